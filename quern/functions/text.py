@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
+# Latin letters with marks and what they are folded to.
+MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
+PLAIN_ = "aaaaaaceeeeiiiinooooouuuuyy"
+TRUNCATED = "\n... [output truncated]"
 
 
 def ascii_lower(text: Column) -> Column:
@@ -19,3 +23,44 @@ def ascii_lower(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of runs of non-white-space; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def split_lines(text: Column) -> Column:
+    """Lines without their ends (LF or CRLF); a final end of line opens no further line."""
+    parts = F.split(text, "\n", -1)
+    whole = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return F.transform(whole, lambda x: F.regexp_replace(x, "\r$", ""))
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
+def safe_truncate(text: Column, most: int) -> Column:
+    """At most ``most`` bytes, cut between characters, and a note if anything was cut."""
+    data = text.cast("binary")
+    cuts = [F.substring(data, 1, most - k) for k in range(4)]
+    cut = F.coalesce(*[F.when(F.is_valid_utf8(c), c.cast("string")) for c in cuts])
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(cut, F.lit(TRUNCATED)))
+
+
+def token_estimate(text: Column) -> Column:
+    """A quarter of the bytes, rounded down."""
+    return F.floor(F.octet_length(text) / 4).cast("long")
+
+
+def folded_tokens(text: Column) -> Column:
+    """Lower-cased words of a-z and numbers of 0-9, marks of Latin letters folded away."""
+    return F.regexp_extract_all(F.translate(F.lower(text), MARKED, PLAIN_), F.lit("[a-z]+|[0-9]+"), 0)
+
+
+def extension(path: Column) -> Column:
+    """What follows the last dot of the last path segment; empty if there is none."""
+    return F.regexp_extract(path, r"\.([^./]+)$", 1)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two arrays of doubles."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
+    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
