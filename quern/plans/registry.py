@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quern.plans import ledger, retrieval
+from quern.plans import corpus, ledger, retrieval
 
-MODULES = (retrieval, ledger)
+MODULES = (retrieval, ledger, corpus)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
