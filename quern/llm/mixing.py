@@ -84,8 +84,9 @@ def _thresholds(slim: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFr
         if open_.limit(1).count() == 0:
             break
     joined = start.alias("a").join(found.alias("f"), F.col("a.source").eqNullSafe(F.col("f.source")), "left")
-    # no bucket passes the budget of a source whose target is a whole multiple of an empty size
-    return scratch.table(joined.select("a.source", "source_size", "target", "whole", F.coalesce("f.last", F.lit(-1)).alias("last")))
+    # a source without a budget takes nothing more, not even documents without words
+    last = F.when(F.col("a.budget") > 0, F.coalesce("f.last", F.lit(-1))).otherwise(F.lit(-1)).cast("long")
+    return scratch.table(joined.select("a.source", "source_size", "target", "whole", last.alias("last")))
 
 
 def _cut(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, share, most) -> tuple[DataFrame, DataFrame]:
