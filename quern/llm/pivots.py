@@ -41,10 +41,10 @@ def choose_pivots(units: DataFrame, n: int, dims: int) -> np.ndarray:
     Of pivots that are close to each other the first stays, so that a dense group of vectors shares its pivot
     rather than dividing itself among many.
     """
-    many = min(MAX_PIVOTS, max(MIN_PIVOTS, 1 << round(math.log2(max(n, 1) * NEAREST / LIST_SIZE))))
+    many = min(MAX_PIVOTS, max(MIN_PIVOTS, 1 << max(0, round(math.log2(max(n, 1) * NEAREST / LIST_SIZE)))))
     share = min(1.0, 1.2 * many / max(n, 1) + 64 / max(n, 1))
     h = F.shiftrightunsigned(F.xxhash64("v"), 1)
-    near = units.select("v", h.alias("h")).filter(F.col("h") <= int(share * (2**63 - 1)))
+    near = units.select("v", h.alias("h")).filter(F.col("h") <= min(2**63 - 1, int(share * 2**63)))
     rows = near.orderBy("h", "v").limit(many).collect()
     sample = np.array([r["v"] for r in rows], np.float64).reshape(-1, dims)
     kept = np.ones(len(sample), bool)
