@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.functions.stemming import stems
 from quern.functions.text import folded_tokens
 from quern.operators import retrieval as R
 from quern.plans import views as V
@@ -66,6 +67,15 @@ def analyze_tokens(spark, sf_dir):
     return per.groupBy("token").agg(F.sum("n").alias("times"), F.count(F.lit(1)).alias("records"))
 
 
+STEM_WORDS = "Consistency consigned running hopping happy skies relational generously knightly national easily controlling agreed 42"
+
+
+def analyze_stems(spark, sf_dir):
+    """The analyzer with English stems, on a literal text."""
+    t = spark.createDataFrame([(STEM_WORDS,)], "content string")
+    return t.select(F.posexplode(stems(folded_tokens(F.col("content")))).alias("place", "stem"))
+
+
 def filter_tag_contains(spark, sf_dir):
     return V.memory(spark, sf_dir).filter(F.array_contains("tags", "roi")).select("key", F.array_join("tags", ",").alias("tags"))
 
@@ -75,7 +85,7 @@ def filter_tag_not_contains(spark, sf_dir):
     return m.filter(~F.coalesce(F.array_contains("tags", "roi"), F.lit(False))).select("key", F.array_join("tags", ",").alias("tags"))
 
 
-QUERIES = {f.__name__: f for f in (recall_hybrid_rrf, recall_bm25_only, recall_formatted, knn_top20, bm25_top20, bm25_stats, rrf_full_outer, rrf_union_variant, analyze_tokens, filter_tag_contains, filter_tag_not_contains)}
+QUERIES = {f.__name__: f for f in (recall_hybrid_rrf, recall_bm25_only, recall_formatted, knn_top20, bm25_top20, bm25_stats, rrf_full_outer, rrf_union_variant, analyze_tokens, analyze_stems, filter_tag_contains, filter_tag_not_contains)}
 
 _TOKENS = "regexp_extract_all(translate(lower(content), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[a-z]+|[0-9]+')"
 _RANKED = f"""{V.MEMORY},
@@ -109,6 +119,8 @@ ORACLE_SQL = {
     "rrf_union_variant": f"WITH {_RANKED} SELECT key, score FROM rrf",
     "analyze_tokens": f"""WITH {V.MEMORY}, x AS (SELECT key, unnest({_TOKENS}) AS token FROM v_memory)
         SELECT token, count(*) AS times, count(DISTINCT key) AS records FROM x GROUP BY token""",
+    "analyze_stems": """SELECT CAST(p AS INTEGER) AS place, s AS stem FROM (VALUES (0, 'consist'), (1, 'consign'), (2, 'run'), (3, 'hop'), (4, 'happi'), (5, 'sky'),
+        (6, 'relat'), (7, 'generous'), (8, 'knight'), (9, 'nation'), (10, 'easili'), (11, 'control'), (12, 'agre'), (13, '42')) t(p, s)""",
     "filter_tag_contains": f"WITH {V.MEMORY} SELECT key, array_to_string(tags, ',') AS tags FROM v_memory WHERE list_contains(tags, 'roi')",
     "filter_tag_not_contains": f"WITH {V.MEMORY} SELECT key, array_to_string(tags, ',') AS tags FROM v_memory WHERE NOT list_contains(tags, 'roi')",
 }
