@@ -243,8 +243,12 @@ def split_points(data: bytes, offsets: list[int]) -> tuple[np.ndarray, np.ndarra
     return at_byte[piece], np.searchsorted(piece, text_at)
 
 
-def encoded(data: bytes, offsets: list[int], pieces: dict) -> Iterator[list[int]]:
-    """Token ids of each text of a buffer, piece by piece."""
+def _listed(parts: Iterator[tuple[int, ...]]) -> list[int]:
+    return list(chain.from_iterable(parts))
+
+
+def encoded(data: bytes, offsets: list[int], pieces: dict, joined=_listed) -> Iterator:
+    """What ``joined`` makes of the pieces' entries, for each text of a buffer; by default its list of token ids."""
     for a, b in slices(offsets):
         part = data[offsets[a] : offsets[b]]
         starts, first = split_points(part, [x - offsets[a] for x in offsets[a : b + 1]])
@@ -254,7 +258,7 @@ def encoded(data: bytes, offsets: list[int], pieces: dict) -> Iterator[list[int]
             pieces.learn(found)
         get = pieces.__getitem__
         for i, j in zip(first.tolist(), first.tolist()[1:]):
-            yield list(chain.from_iterable(map(get, found[i:j])))
+            yield joined(map(get, found[i:j]))
 
 
 class EditableText:

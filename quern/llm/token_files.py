@@ -19,14 +19,16 @@ import json
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.bpe import MEMO_ENTRIES, encoded
+from quern.llm.bpe import encoded
 from quern.llm.hashing import column_bytes
 from quern.sources.scratch import Scratch
 
@@ -130,8 +132,12 @@ class FrameReader:
         return self.frame_documents(k)[i - self.first_doc[k]]
 
 
+#: Entries of a worker's memo, about 200 bytes each; a full memo is emptied.
+MEMO_ENTRIES = 800_000
+
+
 class LibraryPieces(dict):
-    """Piece bytes -> token ids by the tokenizers library, asked once per distinct piece and batch.
+    """Piece bytes -> token ids as 32-bit integers in bytes, by the tokenizers library, asked once per distinct piece.
 
     The library splits a text into the same pieces and encodes each on its own.
     """
@@ -147,15 +153,15 @@ class LibraryPieces(dict):
         self.library.encode_special_tokens = True
         self.size = self.library.get_vocab_size()
 
-    def learn(self, pieces: Iterable[bytes]) -> None:
-        new = list({p for p in pieces if p not in self})
+    def learn(self, pieces: list[bytes]) -> None:
+        new = list(set(filterfalse(self.__contains__, pieces)))
         if len(self) + len(new) > MEMO_ENTRIES:
             self.clear()
             new = list(set(pieces))
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
             batch = self.library.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
-            self.update((p, e.ids) for p, e in zip(some, batch))
+            self.update((p, array("I", e.ids).tobytes()) for p, e in zip(some, batch))
 
 
 @lru_cache(maxsize=2)
@@ -186,15 +192,15 @@ def write_token_files(
 
         shard, files = TaskContext.get().partitionId(), _filesystem(folder)
         pieces = _library(vocabulary_path)
-        end = np.array([end_id], np.uint32)
+        end = array("I", [end_id]).tobytes()
         own, writer, stream = f"{files[1]}/attempt-{uuid.uuid4().hex}", None, None
         for batch in batches:
             if not writer and batch.num_rows:
                 stream = files[0].open_output_stream(own)
                 writer = FrameWriter(stream, 2 if max(pieces.size - 1, end_id) < 1 << 16 else 4)
-            texts = encoded(*column_bytes(batch.column(1)), pieces)
+            texts = encoded(*column_bytes(batch.column(1)), pieces, b"".join)
             for key, ids in zip(batch.column(0).to_pylist(), texts):
-                writer.add(key, np.concatenate([np.array(ids, np.uint32), end]))
+                writer.add(key, np.frombuffer(ids + end, np.uint32))
         if writer:
             n, ids = writer.close()
             stream.close()
