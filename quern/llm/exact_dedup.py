@@ -99,6 +99,8 @@ def exact_duplicates(
     """
     ids = text_identities(docs, id_col, ascii_lower(F.col(text_col)), block_bytes, hash_bits)
     groups = ids.groupBy("level", "name").agg(F.max("id").alias("keep_id"), F.sum("m").alias("group_size"))
+    # as a table of its own it meets ids in a plain shuffle join, whose large groups adaptive execution can split
+    groups = Scratch(docs.sparkSession, "exact").table(groups)
     rows = ids.join(groups, ["level", "name"])
     return rows.select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("copy"), F.col("sha").alias("text_sha256")
