@@ -65,12 +65,12 @@ class LastSent(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator, timers) -> Iterator:
         import pandas as pd
 
+        reads = [r for pdf in rows for r in zip(pdf["seq"], pdf["content"])]
         known = self.last.get()[0] if self.last.exists() else None
         out = []
-        for pdf in rows:
-            for seq, content in sorted(zip(pdf["seq"], pdf["content"])):
-                out.append((*key, seq, known is not None, known == content))
-                known = content
+        for seq, content in sorted(reads):
+            out.append((*key, seq, known is not None, known == content))
+            known = content
         if known is not None:
             self.last.update((known,))
         yield pd.DataFrame(out, columns=["agent_id", "file", "seq", "seen", "same"])
