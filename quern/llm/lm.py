@@ -10,8 +10,9 @@ Beside that model stands an exact unigram score. Words are known by their 64-bit
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,7 +26,7 @@ from quern.sources.scratch import Scratch
 KEY_BITS = 40
 #: n-grams of orders 1 to ORDER; levels grow by LOG_BASE; PRIOR is the weight of the order below, in observations.
 ORDER, LOG_BASE, PRIOR = 2, 1.5, 50.0
-#: The filter never has more than MAX_BITS; an item takes ITEM_BITS of them and PROBES probes.
+#: A filter of more than MAX_BITS is not broadcast but spread over its groups; an item takes ITEM_BITS and PROBES probes.
 MAX_BITS, ITEM_BITS, PROBES = 1 << 29, 10, 5
 #: Words whose exact counts are broadcast; all other words are looked up by a join.
 COMMON_WORDS = 1 << 19
@@ -33,6 +34,8 @@ COMMON_WORDS = 1 << 19
 ADDED = 0.1
 #: n-grams that meet in one group of the counting stage, about.
 GROUP_TOKENS = 1 << 21
+#: Text that asks a spread filter together, about: its n-grams are asked once each.
+CHUNK_BYTES = 1 << 23
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -133,9 +136,79 @@ class LogFrequencyFilter:
             out[alive] = level
 
 
+@dataclass
+class KnownLevels:
+    """Levels that were read beforehand from a spread filter, for the n-grams of one chunk of texts."""
+
+    keys: np.ndarray  # sorted
+    read: np.ndarray
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        return self.read[np.searchsorted(self.keys, keys)].astype(np.int64)
+
+
+@dataclass
+class SpreadFilter:
+    """A filter too large for one machine: a group's segment is made from its counts where its keys are probed."""
+
+    counted: DataFrame
+    group_bits: int
+    segment_bits: int
+
+    def read(self, chunks: DataFrame, order: int) -> DataFrame:
+        """(chunk, grp, levels): a byte for the level of each distinct n-gram of (chunk, data), in ascending order."""
+        low_bits, segment_bits = KEY_BITS - self.group_bits, self.segment_bits
+
+        def ask(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for batch in batches:
+                for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    keys = chunk_keys(chunk_rows(data.as_buffer()).column("text"), order)
+                    groups, at = np.unique(keys >> np.uint64(low_bits), return_index=True)
+                    low = [_pack(k, k[:0], low_bits)[0] for k in np.split(keys, at[1:])]
+                    columns = [pa.array(np.full(len(groups), chunk)), pa.array(groups.astype(np.int32)), pa.array(low, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["chunk", "grp", "low"])
+
+        def probe(asked, counted):
+            import pyarrow as pa
+
+            bits = np.zeros(segment_bits // 8, np.uint8)
+            for group, low, counts in zip(*(counted.column(c).to_pylist() for c in ("grp", "low", "counts"))):
+                bits |= _segment(group, low, counts, low_bits, segment_bits)
+            filter_, found = LogFrequencyFilter(0, segment_bits, bits), []
+            for group, low in zip(asked.column("grp").to_pylist(), asked.column("low").to_pylist()):
+                found.append(filter_.levels(_unpack(low, b"", group, low_bits)[0]).astype(np.uint8).tobytes())
+            return asked.select(["chunk", "grp"]).append_column("levels", pa.array(found, pa.binary()))
+
+        both = chunks.mapInArrow(ask, "chunk long, grp int, low binary").groupBy("grp").cogroup(self.counted.groupBy("grp"))
+        return both.applyInArrow(probe, "chunk long, grp int, levels binary")
+
+
+def chunk_keys(texts, order: int) -> np.ndarray:
+    """The distinct keys of all n-grams of an Arrow column, in ascending order."""
+    return np.unique(np.concatenate([k for _, _, h, f in tokens(*column_bytes(texts)) for k in ngram_keys(h, f, order)]))
+
+
+def chunk_rows(data):
+    """The Arrow batch of a packed chunk."""
+    import pyarrow as pa
+
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
+def packed_chunk(batch) -> bytes:
+    import pyarrow as pa
+
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 @dataclass
 class Model:
-    filter: LogFrequencyFilter | None
+    filter: LogFrequencyFilter | KnownLevels | None
     order: int
     train_docs: int
     train_tokens: int
@@ -260,7 +333,7 @@ def _least_levels(histogram: dict[tuple[int, int], int], order: int, capacity: i
     """For each order the lowest level that goes into the filter, and the number of items that then do.
 
     Lower orders come first, and in an order the more frequent n-grams: where the filter's bits end, the rarest
-    n-grams of the highest order are left to smoothing.
+    n-grams of the highest order are left to smoothing. ``train`` has no such end: it counts with unlimited capacity.
     """
     least, items = {}, 0
     for n in range(1, order + 1):
@@ -275,25 +348,31 @@ def _least_levels(histogram: dict[tuple[int, int], int], order: int, capacity: i
     return least, items
 
 
-def _filter(counted: DataFrame, group_bits: int, order: int, max_bits: int) -> LogFrequencyFilter:
-    least, items = _least_levels(_histogram(counted, group_bits), order, max_bits // ITEM_BITS)
+def _segment(group: int, low: bytes, counts: bytes, low_bits: int, segment_bits: int) -> np.ndarray:
+    """The bits of a row of counted n-grams in its group's segment."""
+    keys, sums = _unpack(low, counts, group, low_bits)
+    return LogFrequencyFilter.segment(keys, level_of(sums), segment_bits)
+
+
+def _filter(counted: DataFrame, group_bits: int, order: int, max_bits: int) -> LogFrequencyFilter | SpreadFilter:
+    """A filter of all counted n-grams, sized by their number; beyond max_bits a spread one with the same bits."""
+    _, items = _least_levels(_histogram(counted, group_bits), order, sys.maxsize)
     groups = 1 << group_bits
-    segment_bits = max(64, min(max_bits, math.ceil(items * ITEM_BITS * 1.05)) // groups // 8 * 8)
+    segment_bits = max(64, math.ceil(items * ITEM_BITS * 1.05) // groups // 8 * 8)
+    if groups * segment_bits > max_bits:
+        return SpreadFilter(counted, group_bits, segment_bits)
     low_bits = KEY_BITS - group_bits
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for group, n, low, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                keys, sums = _unpack(low, counts, group, low_bits)
-                levels = level_of(sums)
-                keep = levels >= least[n]
-                bits = LogFrequencyFilter.segment(keys[keep], levels[keep], segment_bits).tobytes()
+            for group, low, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                bits = _segment(group, low, counts, low_bits, segment_bits).tobytes()
                 yield pa.RecordBatch.from_pydict({"grp": pa.array([group], pa.int32()), "bits": pa.array([bits], pa.binary())})
 
     bits = np.zeros((groups, segment_bits // 8), np.uint8)
-    for r in counted.mapInArrow(run, "grp int, bits binary").toLocalIterator():
+    for r in counted.select("grp", "low", "counts").mapInArrow(run, "grp int, bits binary").toLocalIterator():
         bits[r["grp"]] |= np.frombuffer(r["bits"], np.uint8)
     return LogFrequencyFilter(group_bits, segment_bits, bits.ravel())
 
@@ -312,19 +391,44 @@ def _common(words: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
     return least, h[order], n[order]
 
 
-def train(texts: DataFrame, scratch: Scratch, order: int, max_bits: int, common: int) -> tuple[Model, DataFrame]:
-    """The model of all rows of (text), and the table (h, n) of exact counts of words that it does not hold."""
+def train(texts: DataFrame, scratch: Scratch, order: int, max_bits: int, common: int) -> tuple[Model, DataFrame, SpreadFilter | None]:
+    """The model of all rows of (text), the table (h, n) of exact counts of words that it does not hold, and its
+    filter if that is spread."""
     words = scratch.table(_word_counts(texts))
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     docs = texts.count()
     least, hashes, counts = _common(words, common)
-    filter_ = None
+    filter_ = spread = None
     if docs:
         group_bits = min(24, max(8, math.ceil(math.log2(order * sums[0] / GROUP_TOKENS))))
         counted = scratch.table(_ngram_counts(texts, order, group_bits))
         filter_ = _filter(counted, group_bits, order, max_bits)
-        scratch.drop(counted)
-    return Model(filter_, order, docs, sums[0], sums[1], hashes, counts), words.filter(F.col("n") < least)
+        if isinstance(filter_, SpreadFilter):
+            filter_, spread = None, filter_
+        else:
+            scratch.drop(counted)
+    return Model(filter_, order, docs, sums[0], sums[1], hashes, counts), words.filter(F.col("n") < least), spread
+
+
+def _scores(m: Model, column) -> list:
+    """Of each text of an Arrow column: n_tokens, tokens and log10 sum of common words, score, hashes of other words."""
+    import pyarrow as pa
+
+    n_all, known_all, base_all, score_all, rare_all = [], [], [], [], []
+    for _, _, hashes, first in tokens(*column_bytes(column)):
+        starts = first[:-1]
+        at = np.searchsorted(m.common, hashes)
+        at[at == len(m.common)] = 0
+        common_ = m.common[at] == hashes if len(m.common) else np.zeros(len(hashes), bool)
+        base = np.where(common_, m.word_log10(m.common_counts[at]) if len(m.common) else 0.0, 0.0)
+        n_all += np.diff(first).tolist()
+        known_all += np.add.reduceat(common_, starts, dtype=np.int64).tolist()
+        base_all += np.add.reduceat(base, starts).tolist()
+        score_all += np.add.reduceat(m.token_log10(hashes, first), starts).tolist()
+        rare = hashes[~common_].view(np.int64)
+        cuts = np.r_[0, np.cumsum(np.add.reduceat(~common_, starts, dtype=np.int64))]
+        rare_all.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rare)))
+    return [pa.array(n_all), pa.array(known_all), pa.array(base_all), pa.array(score_all), pa.concat_arrays(rare_all)]
 
 
 def score_documents(
@@ -339,50 +443,64 @@ def score_documents(
     """One row per row of docs: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows whose fold (see ``langid.fold``) is not 0 and scores all. Null and empty texts have one
-    token, the end. base_score is exact; score is the filter model's. Two bounded things are broadcast: the filter
-    (max_bits) and the exact counts of at most ``common`` words; words beyond those meet their counts in a join.
+    token, the end. base_score is exact; score is the filter model's, whose filter holds every n-gram. Two bounded
+    things are broadcast: the filter if it has at most max_bits, and the exact counts of at most ``common`` words.
+    Words beyond those meet their counts in a join, and n-grams meet a larger filter's segments in a shuffle; the
+    rows are the same.
     Repeated rows count and are scored as often as they stand; without training rows all counts are 0. Other columns
     are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     slim = docs.select(F.col(id_col).alias("id"), (fold(id_col, folds) == 0).alias("held_out"), F.col(text_col).alias("text"))
-    model, rare_words = train(slim.filter("not held_out").select("text"), scratch, order, max_bits, common)
+    model, rare_words, spread = train(slim.filter("not held_out").select("text"), scratch, order, max_bits, common)
     known = spark.sparkContext.broadcast(model)
 
+    names = ["row", "id", "held_out", "n_tokens", "known", "base", "score", "rare"]
+    kinds = [T.LongType(), docs.schema[id_col].dataType, T.BooleanType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.ArrayType(T.LongType())]
+    schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        m, row = known.value, TaskContext.get().partitionId() << 40
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            n_all, known_all, base_all, score_all, rare_all = [], [], [], [], []
-            for _, _, hashes, first in tokens(*column_bytes(batch.column(2))):
-                starts = first[:-1]
-                at = np.searchsorted(m.common, hashes)
-                at[at == len(m.common)] = 0
-                common_ = m.common[at] == hashes if len(m.common) else np.zeros(len(hashes), bool)
-                base = np.where(common_, m.word_log10(m.common_counts[at]) if len(m.common) else 0.0, 0.0)
-                n_all += np.diff(first).tolist()
-                known_all += np.add.reduceat(common_, starts, dtype=np.int64).tolist()
-                base_all += np.add.reduceat(base, starts).tolist()
-                score_all += np.add.reduceat(m.token_log10(hashes, first), starts).tolist()
-                rare = hashes[~common_].view(np.int64)
-                cuts = np.r_[0, np.cumsum(np.add.reduceat(~common_, starts, dtype=np.int64))]
-                rare_all.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rare)))
-            size = len(n_all)
-            if not size:
-                continue
-            rows = pa.array(np.arange(row, row + size))
-            row += size
-            rare_lists = pa.concat_arrays(rare_all)
-            columns = [rows, batch.column(0), batch.column(1), pa.array(n_all), pa.array(known_all), pa.array(base_all), pa.array(score_all), rare_lists]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            if batch.num_rows:
+                rows = pa.array(np.arange(row, row + batch.num_rows))
+                row += batch.num_rows
+                columns = [rows, batch.column(0), batch.column(1), *_scores(known.value, batch.column(2))]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["row", "id", "held_out", "n_tokens", "known", "base", "score", "rare"]
-    kinds = [T.LongType(), docs.schema[id_col].dataType, T.BooleanType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.ArrayType(T.LongType())]
-    schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])
-    scored = scratch.table(slim.mapInArrow(run, schema))
+    def pack(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for a, b in slices(column_bytes(batch.column(2))[1], CHUNK_BYTES):
+                columns = [pa.array(np.arange(row, row + b - a)), *batch.slice(a, b - a).columns]
+                data = packed_chunk(pa.RecordBatch.from_arrays(columns, [*names[:3], "text"]))
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([row], pa.int64()), "data": pa.array([data], pa.binary())})
+                row += b - a
+
+    def run_chunk(chunk, read):
+        import pyarrow as pa
+
+        rows = chunk_rows(chunk.column("data")[0].as_buffer())
+        levels = b"".join(x["levels"] for x in sorted(read.select(["grp", "levels"]).to_pylist(), key=lambda x: x["grp"]))
+        filter_ = KnownLevels(chunk_keys(rows.column("text"), order), np.frombuffer(levels, np.uint8))
+        columns = [*(rows.column(c) for c in names[:3]), *_scores(replace(known.value, filter=filter_), rows.column("text"))]
+        return pa.Table.from_arrays(columns, names)
+
+    if spread:
+        chunks = scratch.table(slim.mapInArrow(pack, "chunk long, data binary"))
+        asked = spread.read(chunks, order)
+        scored = scratch.table(chunks.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(run_chunk, schema))
+        scratch.drop(chunks)
+        scratch.drop(spread.counted)
+    else:
+        scored = scratch.table(slim.mapInArrow(run, schema))
 
     counts = F.coalesce(F.col("n"), F.lit(0))
     log_p = F.log10((counts + F.lit(ADDED)) / F.lit(model.train_tokens + ADDED * (model.train_words + 1)))

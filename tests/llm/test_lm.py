@@ -70,3 +70,10 @@ def test_levels_and_capacity():
     histogram = {(1, 1): 10, (1, 2): 5, (2, 1): 100, (2, 3): 4}
     assert lm._least_levels(histogram, 2, 1000) == ({1: 1, 2: 1}, 132)
     assert lm._least_levels(histogram, 2, 40) == ({1: 1, 2: 2}, 32)  # rare bigrams stay out
+
+
+def test_a_filter_beyond_the_broadcast_size_leaves_nothing_out(spark):
+    """Spread over its groups, a filter gives the scores of the broadcast one."""
+    rows = odd_documents() + [(k, f"word w{k % 3} w{k} x{k}", *[None] * 8) for k in range(20, 400)]
+    whole, spread = (lm.score_documents(frame(spark, rows), max_bits=bits).collect() for bits in (1 << 29, 1))
+    assert sorted(((*r[:5], round(r[5], 8), round(r[6], 8)) for r in spread), key=str) == sorted(((*r[:5], round(r[5], 8), round(r[6], 8)) for r in whole), key=str)
