@@ -2,7 +2,8 @@
 
 Parser events are folded into lines, one per block of text, each with its ratio of text to tags. The ratios are
 smoothed along the page with a Gaussian; lines above a threshold are the seeds of content, and the containers that
-hold seeds are the content regions. What a page marks as navigation, header, footer, sidebar, notice, advert,
+hold seeds are the content regions. An article or main element is one region; its seeds count PRIOR times when the
+regions of a page are weighed against each other, so cards that are articles do not outweigh a body in a div. What a page marks as navigation, header, footer, sidebar, notice, advert,
 form, script, style or reader comment makes no lines at all.
 """
 
@@ -44,6 +45,9 @@ ROLES = frozenset("navigation banner contentinfo complementary search form menu
 
 #: Standard deviation of the smoothing, in lines, and the seeds' threshold as a share of the ratios' deviation.
 SIGMA, THRESHOLD = 1.0, 0.8
+#: What a seed inside an article or main element counts against one outside; and the kinds of regions.
+PRIOR = 2.0
+PLAIN, MAIN, ARTICLE = 0, 1, 2
 
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _CUT_TAG = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
@@ -62,21 +66,22 @@ def _unread(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool)
     if _HIDDEN.search(given.get("style") or ""):
         return True
     named = f"{given.get('class') or ''} {given.get('id') or ''}".strip()
-    if not named or tag in MARKED:
+    if not named or tag == "main":
         return False
     said = {w.lower() for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", named).lower()) if w}
     return bool(said & NEVER) or (bool(said & RARELY) and not said & UNLESS)
 
 
 class Lines(HTMLParser):
-    """Folds parser events into lines: (text, tags, characters in links, container, marked as article, heading)."""
+    """Folds parser events into lines: (text, tags, characters in links, region, its kind, heading)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool, bool]] = []
+        self.lines: list[tuple[str, int, int, int, int, bool]] = []
         self.open: list[tuple[str, bool]] = []  # element and whether it is unread
         self.unread = self.marked = self.links = 0
         self.containers, self.n_containers = [0], 0
+        self.regions: list[tuple[int, int]] = []  # kind and container of the open article and main elements
         self.text, self.tags, self.link_chars = [], 0, 0
         self.heading = False
         self.in_header = 0  # headers inside articles: only their headings are read
@@ -84,7 +89,9 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.link_chars, self.containers[-1], self.marked > 0, self.heading))
+            # the outermost article, else main, is a region with all it holds
+            kind, region = max(self.regions, key=lambda x: (x[0], -x[1]), default=(PLAIN, self.containers[-1]))
+            self.lines.append((text, self.tags, self.link_chars, region, kind, self.heading))
             self.tags = 0
         self.text, self.link_chars = [], 0
 
@@ -96,7 +103,7 @@ class Lines(HTMLParser):
             self.flush()
         if tag in VOID:
             return
-        if tag in MARKED and self.unread and any(t in ("nav", "header") and u for t, u in self.open):
+        if tag in MARKED and self.unread and any(t in ("nav", "header") and u for t, u in self.open) and not _unread(tag, attrs, True):
             while self.open and self.unread:  # an unclosed menu ends where the article starts
                 self._pop()
         if tag in CLOSED_BY:
@@ -117,6 +124,8 @@ class Lines(HTMLParser):
         if tag in CONTAINERS:
             self.n_containers += 1
             self.containers.append(self.n_containers)
+        if tag in MARKED:
+            self.regions.append((ARTICLE if tag == "article" else MAIN, self.n_containers))
         if tag in HEADINGS:
             self.heading = True
 
@@ -131,6 +140,8 @@ class Lines(HTMLParser):
             self.flush()
         self.unread -= unread
         self.marked -= tag in MARKED
+        if tag in MARKED:
+            self.regions.pop()
         self.links -= tag == "a"
         self.in_header -= tag == "header"
         if tag in CONTAINERS and len(self.containers) > 1:
@@ -169,20 +180,25 @@ def content_lines(lines: list, sigma: float = SIGMA, threshold: float = THRESHOL
     """Texts of the lines in content regions."""
     if not lines:
         return []
-    ratios = np.array([(len(text) - links) / (tags + 1) for text, tags, links, *_ in lines])
+    ratios = np.array([max(0, len(text) - links) / (tags + 1) for text, tags, links, *_ in lines])
     level = _smoothed(ratios, sigma)
     seeds = level >= threshold * level.std() if len(lines) > 1 else np.ones(1, bool)
-    if any(marked for *_, marked, _ in lines):  # seeds outside what the page marks as its article are not content
-        inside = np.array([x[4] for x in lines])
-        seeds = seeds & inside if (seeds & inside).any() else inside
-    regions = {lines[i][3] for i in np.flatnonzero(seeds)}
+    weights: dict[tuple[int, int], float] = {}  # of regions with seeds, by kind and region
+    for i in np.flatnonzero(seeds).tolist():
+        at = lines[i][4], lines[i][3]
+        weights[at] = weights.get(at, 0.0) + level[i] * (PRIOR if at[0] else 1.0)
+    top = max(weights, key=lambda at: (weights[at], at[0]))
+    if top[0] == PLAIN:
+        regions = {at for at in weights if at[0] == PLAIN}
+    elif top[0] == MAIN:  # articles inside that are small beside it are cards
+        regions = {at for at in weights if at[0] == MAIN or (at[0] == ARTICLE and PRIOR * weights[at] >= weights[top])}
+    else:
+        regions = {at for at in weights if at[0]}
     # a region is a container with all its lines: short lines between seeds are no gaps
-    kept = np.array([x[3] in regions for x in lines])
-    if inside_any := any(x[4] for x in lines):
-        kept = np.array([x[4] for x in lines])
-    if not inside_any:  # a heading belongs to the region it stands before
-        for i in range(len(lines) - 2, -1, -1):
-            kept[i] = kept[i] or (lines[i][5] and kept[i + 1])
+    kept = [(x[4], x[3]) in regions for x in lines]
+    for i in range(len(lines) - 2, -1, -1):  # a heading belongs to the region it stands before
+        loose = lines[i][4] == MAIN or (lines[i][4] == PLAIN and top[0] == PLAIN)
+        kept[i] = kept[i] or (loose and lines[i][5] and kept[i + 1])
     return [x[0] for x, keep in zip(lines, kept) if keep]
 
 

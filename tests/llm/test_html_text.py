@@ -58,3 +58,20 @@ def test_nulls_repeats_and_more_columns(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     assert Counter(map(tuple, extract_text(df).collect())) == Counter([(1, None, "", 0), (1, None, "", 0), (None, "u", "x", 1)])
     assert extract_text(df.limit(0)).collect() == []
+
+
+LONG = "A sentence of the body that is long enough to be read as text, with more than one clause in it. " * 3
+
+
+def test_articles_are_no_more_than_a_prior():
+    card = '<article class="card"><h3><a href=x>A related story</a></h3><p>Its teaser, in one short line of text.</p></article>'
+    body = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p><p>Short.</p><p>{LONG}</p>"
+    want = "\n".join(["Title", LONG.strip(), LONG.strip(), "Short.", LONG.strip()])
+    assert main_text(f"<div class=story>{body}</div><div>{card * 4}</div>") == want
+    assert main_text(f"<main><div class=story>{body}</div>{card * 4}</main>") == want
+    assert main_text(f"<div><p>{LONG[:97]}</p></div><article>{body}</article>") == want
+
+
+@pytest.mark.parametrize("name", ["comment", "teaser", "promo-card"])
+def test_an_article_by_name_something_else_is_not_read(name):
+    assert main_text(f'<article><p>{LONG}</p></article><article class="{name}"><p>{LONG[:97]} else</p></article>') == LONG.strip()
