@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article aside blockquote body center details dialog div html main section td".split())
-UNREAD = frozenset("aside button canvas datalist embed footer form head iframe input label map math menu meter nav noscript object progress script select style svg template textarea title".split())
+UNREAD = frozenset("aside button canvas datalist embed footer form head iframe input menu meter nav noscript progress script select style svg template textarea title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 MARKED = frozenset(("article", "main"))
 # a start tag of the first kind ends an open element of the second, up to an element of the third
@@ -36,11 +36,20 @@ CLOSED_BY = {
     "th": (frozenset("td th".split()), frozenset("tr table".split())),
     "option": (frozenset("option".split()), frozenset("select datalist".split())),
 }
-# Words in class and id that mark what is not the article, whatever else stands there; and unless a word of the
-# third list stands beside it.
+# Block elements that hold other blocks: only these are judged by their names.
+NAMED = BLOCKS - HEADINGS - frozenset("address caption dt figcaption hr html body legend p pre summary".split())
+# Words in class and id that mark what is not the article, unless a name of the article's own stands beside it; and
+# unless a word of the third list stands beside it.
 NEVER = frozenset("ad ads adv advert advertisement advertising adverts adslot sponsor sponsored comment comments commentlist disqus respond replies cookie cookies consent gdpr newsletter breadcrumb breadcrumbs paywall popup modal skiplink".split())
 RARELY = frozenset("alert announcement banner bar bottombar byline copyright disclaimer foot footer header login masthead menu nav navbar navigation navi notice notices notification pager pagination promo promotion promoted recommended recommendations related search share sharing sidebar sidebars signup social subscribe tags teaser toolbar topbar widget widgets".split())
 UNLESS = frozenset("article body content entry has main page post story text with without wrapper container layout no".split())
+# A name that says a thing is absent, or its state, or (on blogs) the article's subject does not name the element.
+ABSENT = frozenset("no not non has have with without category tag format".split())
+STATES = frozenset("closed open disabled enabled hidden off on free".split())
+# Names of these words alone are the article's own: as an id, or two and more of them together.
+OWN = frozenset("article body content entry main page post story text".split())
+# Whole class names that mark a paragraph or inline element as an advert.
+ADVERTS = frozenset("ad ads advert advertisement advertising adverts adslot sponsored".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert alertdialog dialog".split())
 
 #: Standard deviation of the smoothing, in lines, and the seeds' threshold as a share of the ratios' deviation.
@@ -49,7 +58,7 @@ SIGMA, THRESHOLD = 1.0, 0.8
 PRIOR = 2.0
 PLAIN, MAIN, ARTICLE = 0, 1, 2
 
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_SPLIT = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 _CUT_TAG = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
 _MARKED_SECTION = re.compile(r"<!\[[^>]*>?")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -65,10 +74,21 @@ def _unread(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool)
         return True
     if _HIDDEN.search(given.get("style") or ""):
         return True
-    named = f"{given.get('class') or ''} {given.get('id') or ''}".strip()
-    if not named or tag == "main":
-        return False
-    said = {w.lower() for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", named).lower()) if w}
+    return tag != "main" and tag not in HEADINGS and _named_apart(tag, (given.get("class") or "").split(), (given.get("id") or "").split())
+
+
+def _named_apart(tag: str, classes: list[str], ids: list[str]) -> bool:
+    """Whether an element's names mark it as no part of the article."""
+    if tag not in NAMED:
+        return any(c.lower() in ADVERTS for c in classes)
+    said: set[str] = set()
+    for k, name in enumerate(classes + ids):
+        words = [w.lower() for w in _SPLIT.split(name) if w]
+        if not words or (len(words) > 1 and (words[0] in ABSENT or words[-1] in STATES)):
+            continue
+        if OWN.issuperset(words) and (len(words) > 1 or k >= len(classes)):
+            return False
+        said.update(words)
     return bool(said & NEVER) or (bool(said & RARELY) and not said & UNLESS)
 
 

@@ -75,3 +75,19 @@ def test_articles_are_no_more_than_a_prior():
 @pytest.mark.parametrize("name", ["comment", "teaser", "promo-card"])
 def test_an_article_by_name_something_else_is_not_read(name):
     assert main_text(f'<article><p>{LONG}</p></article><article class="{name}"><p>{LONG[:97]} else</p></article>') == LONG.strip()
+
+
+@pytest.mark.parametrize("part", ['<h2 id="related-work">x y</h2>', '<h2 id="search-results">x y</h2>', '<p id="notice-period">x y</p>', '<h2 id="ad-hoc-networks">x y</h2>', '<p>x <span class="comment">y</span></p>', "<p><label>x</label> <math><mi>y</mi></math></p>", "<p>x <object>y</object></p>", "<p><map>x</map> y</p>"])
+def test_the_articles_own_text_stays_whatever_its_names(part):
+    assert main_text(f"<article><p>{LONG}</p>{part}</article>") == f"{LONG.strip()}\nx y"
+
+
+@pytest.mark.parametrize("names", ['class="entry-content no-comments"', 'id=content class="no-ads"', 'class="post comments-closed"', 'class="entry-content comments"', 'class="category-ads post"', 'class="has-ads"'])
+def test_names_that_do_not_mark_the_container(names):
+    assert main_text(f"<div {names}><p>{LONG}</p></div>") == LONG.strip()
+    assert main_text(f"<article {names}><p>{LONG}</p></article>") == LONG.strip()
+
+
+@pytest.mark.parametrize("part", ['<div class="ad content">x</div>', '<div class="commentBody">x</div>', '<ul class="share"><li>x</ul>', '<p class="advert">x</p>', '<div class="sponsored-content">x</div>', '<div class="no-js nav">x</div>'])
+def test_names_that_mark_a_container(part):
+    assert main_text(f"<article><p>{LONG}</p>{part}</article>") == LONG.strip()
