@@ -16,13 +16,14 @@ A reader that wants some documents reads the tail, the seek table, and only the
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import filterfalse
+from itertools import filterfalse, islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -139,7 +140,7 @@ MEMO_ENTRIES = 800_000
 class LibraryPieces(dict):
     """Piece bytes -> token ids as 32-bit integers in bytes, by the tokenizers library, asked once per distinct piece.
 
-    The library splits a text into the same pieces and encodes each on its own.
+    The library splits a text at the tokenizer's added tokens and then into the same pieces, and encodes each on its own.
     """
 
     def __init__(self, path: str):
@@ -150,8 +151,38 @@ class LibraryPieces(dict):
 
         super().__init__()
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.size = self.library.get_vocab_size()
+        added = {t.content.encode(): (i, t) for i, t in self.library.get_added_tokens_decoder().items() if t.content}
+        #: Whether added tokens stand for themselves alone; else the library gets each text that holds one as a whole.
+        self.plain = self.library.normalizer is None and not any(t.single_word or t.lstrip or t.rstrip or t.normalized for _, t in added.values())
+        self.added = {content: array("I", [i]).tobytes() for content, (i, _) in added.items()}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.any_added = re.compile(b"|".join(map(re.escape, longest_first)) or rb"(?!)")
+
+    def ids(self, data: bytes, offsets: list[int]) -> Iterator[bytes]:
+        """The ids of each text of a buffer, as the library gives them for the whole text."""
+        if not self.any_added.search(data):
+            yield from encoded(data, offsets, self, b"".join)
+            return
+        cuts, own = [0], []  # ends of the parts of all texts; the ids of parts that are added tokens
+        counts = []
+        for s, e in zip(offsets, offsets[1:]):
+            before, at = len(own), s
+            for m in self.any_added.finditer(data, s, e) if self.plain else ():
+                if m.start() > at:
+                    cuts.append(m.start())
+                    own.append(None)
+                cuts.append(m.end())
+                own.append(self.added[m[0]])
+                at = m.end()
+            if at < e or len(own) == before:
+                cuts.append(e)
+                whole = not self.plain and self.any_added.search(data, s, e)
+                own.append(array("I", self.library.encode(data[s:e].decode(), add_special_tokens=False).ids).tobytes() if whole else None)
+            counts.append(len(own) - before)
+        parts = (ids if known is None else known for ids, known in zip(encoded(data, cuts, self, b"".join), own))
+        for n in counts:
+            yield b"".join(islice(parts, n))
 
     def learn(self, pieces: list[bytes]) -> None:
         new = list(set(filterfalse(self.__contains__, pieces)))
@@ -198,7 +229,7 @@ def write_token_files(
             if not writer and batch.num_rows:
                 stream = files[0].open_output_stream(own)
                 writer = FrameWriter(stream, 2 if max(pieces.size - 1, end_id) < 1 << 16 else 4)
-            texts = encoded(*column_bytes(batch.column(1)), pieces, b"".join)
+            texts = pieces.ids(*column_bytes(batch.column(1)))
             for key, ids in zip(batch.column(0).to_pylist(), texts):
                 writer.add(key, np.frombuffer(ids + end, np.uint32))
         if writer:

@@ -65,3 +65,27 @@ def test_a_reader_decompresses_only_what_it_is_asked_for(monkeypatch):
     assert damaged.document(4).tolist() == docs[4].tolist()
     with pytest.raises(ValueError):
         F.FrameReader(io.BytesIO(data[:-3]), len(data) - 3)
+
+
+def test_added_tokens_in_a_text_are_the_librarys(spark):
+    texts = ["end of one<|endoftext|>start", "<|endoftext|>", "<|endoftext|><|endoftext|> a", "a <|endoftext|>\n\n b<|endoftext", None, "", " é<|endoftext|>é's"]
+    library = Tokenizer.from_file(PATH)
+    rows, start = [], 0
+    for k, t in enumerate(texts):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
+        rows.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(tuple(r) for r in F.token_digests(docs, PATH, 2).collect()) == rows
+
+
+def test_added_tokens_with_rules_of_their_own(tmp_path):
+    from tokenizers import AddedToken
+
+    library = Tokenizer.from_file(PATH)
+    library.add_special_tokens([AddedToken("<|x|>", lstrip=True, rstrip=True), AddedToken("<|word|>", single_word=True)])
+    library.save(str(tmp_path / "t.json"))
+    texts = ["a  <|x|>  b", "a<|word|>b", "a <|word|> b", "", "plain", "<|endoftext|>c"]
+    data, ends = "".join(texts).encode(), np.cumsum([0] + [len(t) for t in texts]).tolist()
+    got = [np.frombuffer(x, np.uint32).tolist() for x in F.LibraryPieces(str(tmp_path / "t.json")).ids(data, ends)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
