@@ -1,10 +1,11 @@
-"""Source-code queries over literal files, and their hand-computed rows."""
+"""Source-code queries over the files of the corpus, and over literal files with their hand-computed rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from quern.operators import code as C
+from quern.plans import views as V
 
 # Invented source files, one per language, and a text file.
 SOURCES = [
@@ -47,7 +48,38 @@ def read_modes(spark, sf_dir):
     return modes[0].unionByName(modes[1]).unionByName(modes[2])
 
 
-QUERIES = {f.__name__: f for f in (symbol_rows, symbol_index, find_symbol, skeleton, strip_comments, read_modes)}
+def _files(spark, sf_dir):
+    return V.files(spark, sf_dir).select("path", "text")
+
+
+def files_symbol_rows(spark, sf_dir):
+    return C.symbols(_files(spark, sf_dir))
+
+
+def files_symbol_index(spark, sf_dir):
+    return C.symbol_index(C.symbols(_files(spark, sf_dir)))
+
+
+def files_find_symbol(spark, sf_dir):
+    return C.symbols(_files(spark, sf_dir)).filter(F.col("name") == "anonymous")
+
+
+def files_skeleton(spark, sf_dir):
+    return C.with_reads(_files(spark, sf_dir), "skeleton").select("path", "sent")
+
+
+def files_strip_comments(spark, sf_dir):
+    return C.with_reads(_files(spark, sf_dir), "compressed").select("path", "sent")
+
+
+def files_read_modes(spark, sf_dir):
+    modes = [C.with_reads(_files(spark, sf_dir), m).select("path", F.lit(m).alias("mode"), F.octet_length("sent").cast("long").alias("sent_bytes"), "saved") for m in ("full", "skeleton", "compressed")]
+    return modes[0].unionByName(modes[1]).unionByName(modes[2])
+
+
+LITERAL = (symbol_rows, symbol_index, find_symbol, skeleton, strip_comments, read_modes)
+WHOLE = (files_symbol_rows, files_symbol_index, files_find_symbol, files_skeleton, files_strip_comments, files_read_modes)
+QUERIES = {f.__name__: f for f in LITERAL + WHOLE}
 
 _SYMBOLS = """v(path, name, line, kind) AS (VALUES
     ('src/shape.rs', 'std::fmt', 1, 'use_declaration'), ('src/shape.rs', 'Point', 3, 'struct_item'), ('src/shape.rs', 'area', 9, 'function_item'),

@@ -32,6 +32,15 @@ def hunk_validate(spark, sf_dir):
     return P.validated(_documents(spark, sf_dir), spark.createDataFrame(INVALID, HUNKS))
 
 
+def documents_hunk_validate(spark, sf_dir):
+    """Hunks of every document, each with the kind of error that its id says; a fifth have none."""
+    kind = F.col("id") % 5
+    start = F.when(kind == 0, 0).otherwise(1)
+    end = F.when(kind == 1, 10_000_000).when(kind == 2, 0).otherwise(1)
+    hunks = _documents(spark, sf_dir).select("id", start.alias("start"), end.alias("end"), F.lit("x").alias("content"))
+    return P.validated(_documents(spark, sf_dir), hunks.unionByName(hunks.filter(kind == 3)))
+
+
 def hunk_overlap(spark, sf_dir):
     """Shipping and quantity ranges of an order's lines as hunks."""
     l = V.table(spark, sf_dir, "lineitem")
@@ -59,19 +68,29 @@ def line_diff(spark, sf_dir):
     return P.with_diff(spark.createDataFrame(PAIRS, "id long, old string, new string"), "old", "new").select("id", "diff")
 
 
+def turns_line_diff(spark, sf_dir):
+    """Of each turn and the turn of the same role before it, whole; the first one's is against nothing."""
+    c = V.table(spark, sf_dir, "conversations")
+    before = F.lag("text").over(P.W.partitionBy("role", "conv_id").orderBy("turn"))
+    pairs = c.select("role", "conv_id", "turn", F.coalesce(before, F.lit("")).alias("old"), F.col("text").alias("new"))
+    return P.with_diff(pairs, "old", "new").select("role", "conv_id", "turn", "diff")
+
+
 def diff_ratio(spark, sf_dir):
     """Of each document and itself with one more line: its last line, which gets an end, and the new one change."""
     pairs = _documents(spark, sf_dir).select("id", "text", F.concat("text", F.lit("\nend")).alias("new"))
     return P.with_diff(pairs, "text", "new").select("id", F.round("ratio", 9).alias("ratio"))
 
 
-QUERIES = {f.__name__: f for f in (apply_hunks, hunk_validate, hunk_overlap, diff_since_last_read, previous_reads, line_diff, diff_ratio)}
+QUERIES = {f.__name__: f for f in (apply_hunks, hunk_validate, documents_hunk_validate, hunk_overlap, diff_since_last_read, previous_reads, line_diff, turns_line_diff, diff_ratio)}
 
 ORACLE_SQL = {
     "apply_hunks": """WITH l AS (SELECT doc_id AS id, string_split(text, chr(10)) AS p FROM documents WHERE len(string_split(text, chr(10))) >= 3)
         SELECT id, 'ok' AS status, CAST(2 AS BIGINT) AS lines_changed,
                sha256(array_to_string(list_concat(p[:1], list_concat(CASE WHEN id % 5 = 0 THEN [] ELSE ['patched-' || id] END, p[4:])), chr(10))) AS text_sha256 FROM l""",
     "hunk_validate": """SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'start below 1'), (2, 'end beyond file'), (3, 'start after end'), (4, 'Hunks overlap'), (5, NULL)) t(id, error)""",
+    "documents_hunk_validate": """SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'start below 1' WHEN 1 THEN 'end beyond file'
+        WHEN 2 THEN 'start after end' WHEN 3 THEN 'Hunks overlap' END AS error FROM documents""",
     "hunk_overlap": """WITH h AS (SELECT l_orderkey AS id, l_linenumber AS s, l_linenumber + l_partkey % 2 AS e FROM lineitem),
         w AS (SELECT id, coalesce(max(e) OVER (PARTITION BY id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= s, false) AS o FROM h)
         SELECT id, CAST(count_if(o) AS BIGINT) AS n_overlaps FROM w GROUP BY id""",

@@ -76,6 +76,13 @@ def analyze_stems(spark, sf_dir):
     return t.select(F.posexplode(stems(folded_tokens(F.col("content")))).alias("place", "stem"))
 
 
+def corpus_stems(spark, sf_dir):
+    """How often each English stem stands in the corpus, and in how many records."""
+    t = V.memory(spark, sf_dir).select("key", F.explode(stems(folded_tokens(F.col("content")))).alias("stem"))
+    per = t.groupBy("stem", "key").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("stem").agg(F.sum("n").alias("times"), F.count(F.lit(1)).alias("records"))
+
+
 def filter_tag_contains(spark, sf_dir):
     return V.memory(spark, sf_dir).filter(F.array_contains("tags", "roi")).select("key", F.array_join("tags", ",").alias("tags"))
 
@@ -85,7 +92,7 @@ def filter_tag_not_contains(spark, sf_dir):
     return m.filter(~F.coalesce(F.array_contains("tags", "roi"), F.lit(False))).select("key", F.array_join("tags", ",").alias("tags"))
 
 
-QUERIES = {f.__name__: f for f in (recall_hybrid_rrf, recall_bm25_only, recall_formatted, knn_top20, bm25_top20, bm25_stats, rrf_full_outer, rrf_union_variant, analyze_tokens, analyze_stems, filter_tag_contains, filter_tag_not_contains)}
+QUERIES = {f.__name__: f for f in (recall_hybrid_rrf, recall_bm25_only, recall_formatted, knn_top20, bm25_top20, bm25_stats, rrf_full_outer, rrf_union_variant, analyze_tokens, analyze_stems, corpus_stems, filter_tag_contains, filter_tag_not_contains)}
 
 _TOKENS = "regexp_extract_all(translate(lower(content), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[a-z]+|[0-9]+')"
 _RANKED = f"""{V.MEMORY},
