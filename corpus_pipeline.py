@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.bpe import encode_digests
 from quern.llm.exact_dedup import drop_exact_duplicates
-from quern.llm.langid import UNDETERMINED, train, with_language
+from quern.llm.langid import FEATURES, UNDETERMINED, Model, train, with_language
 from quern.llm.mixing import mix
 from quern.llm.simhash import drop_near_duplicates
 from quern.sources.scratch import Scratch
@@ -16,10 +17,15 @@ from quern.sources.scratch import Scratch
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts in no language (null, or without a letter); a missing lang becomes the predicted one.
 
-    Learns from all labelled texts. Ambiguous texts stay: mixed languages are no fault.
+    Learns from all labelled texts. Ambiguous texts stay: mixed languages are no fault. Where nothing was learned,
+    a missing lang stays missing.
     """
-    found = with_language(docs, train(docs), prefix="__").filter(F.col("__lang_pred") != UNDETERMINED)
-    return found.withColumn("lang", F.coalesce("lang", "__lang_pred")).select(*docs.columns)
+    model = train(docs)
+    learned = bool(model.languages)
+    if not learned:  # a stand-in for any language, so that only texts without a letter are undetermined
+        model = Model.from_counts({"": np.zeros(FEATURES)})
+    found = with_language(docs, model, prefix="__").filter(F.col("__lang_pred") != UNDETERMINED)
+    return (found.withColumn("lang", F.coalesce("lang", "__lang_pred")) if learned else found).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

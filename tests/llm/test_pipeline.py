@@ -38,3 +38,10 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, empty, None)
         assert out.collect() == []
+
+
+def test_texts_with_letters_stay_where_no_language_was_learned(spark):
+    texts = ["some text", None, "12 !!", "été", ""]
+    docs = spark.createDataFrame([(k, t, None) for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    out = corpus_pipeline.language_id(spark, docs, None).collect()
+    assert sorted((r["doc_id"], r["text"], r["lang"]) for r in out) == [(0, "some text", None), (3, "été", None)]
