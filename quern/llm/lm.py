@@ -4,15 +4,19 @@ The filter holds n-gram counts quantised to levels on a log scale: an n-gram of
 (n-gram, 1) to (n-gram, q). To read a count, probe (n-gram, 1), (n-gram, 2), ... until one is missing. Probabilities
 come from such counts, smoothed by mixing each order with the one below.
 
-Beside that model stands an exact unigram score. Words are known by their 64-bit XXH64, n-grams by 40 bits.
+A filter of all n-grams grows with the corpus, so no machine holds it: it is cut into segments by key, and what is
+broadcast in a small setting is turned round here. Texts are packed into chunks; a chunk sends each of its distinct
+n-grams once to the n-gram's segment, with its count there. The task that has a segment's n-grams of all chunks adds
+up the counts, enters them, probes the segment for every chunk, and sends a byte for each n-gram back.
+
+Beside that model stands an exact unigram score. Words are known by their 64-bit XXH64, longer n-grams by 48 bits.
 """
 
 from __future__ import annotations
 
 import math
-import sys
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,19 +27,21 @@ from quern.llm.hashing import column_bytes, slices, xxh64_slices
 from quern.llm.langid import fold
 from quern.sources.scratch import Scratch
 
-KEY_BITS = 40
-#: n-grams of orders 1 to ORDER; levels grow by LOG_BASE; PRIOR is the weight of the order below, in observations.
-ORDER, LOG_BASE, PRIOR = 2, 1.5, 50.0
-#: A filter of more than MAX_BITS is not broadcast but spread over its groups; an item takes ITEM_BITS and PROBES probes.
-MAX_BITS, ITEM_BITS, PROBES = 1 << 29, 10, 5
-#: Words whose exact counts are broadcast; all other words are looked up by a join.
-COMMON_WORDS = 1 << 19
+KEY_BITS = 48
+#: n-grams of orders 1 to ORDER; levels grow by LOG_BASE.
+ORDER, LOG_BASE = 3, 1.5
+#: Weight of the order below in the orders from 2 on, in observations; the last holds for all further orders.
+PRIORS = (100.0, 3.0)
+#: An item takes ITEM_BITS of its segment and PROBES probes; a false hit, which can raise one token a thousandfold, is rare (0.06 %).
+ITEM_BITS, PROBES = 16, 8
 #: Added to every count of the exact unigram score.
 ADDED = 0.1
-#: n-grams that meet in one group of the counting stage, about.
-GROUP_TOKENS = 1 << 21
-#: Text that asks a spread filter together, about: its n-grams are asked once each.
+#: Distinct n-grams of chunks that meet in one segment's task, about.
+SEGMENT_GRAMS = 1 << 20
+#: Text of a chunk, about: its n-grams are sent once each.
 CHUNK_BYTES = 1 << 23
+#: Bytes of text to a token, about: only sizes follow from it.
+TOKEN_BYTES = 6
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -62,25 +68,26 @@ def tokens(texts: bytes, offsets: list[int]) -> Iterator[tuple[int, int, np.ndar
         yield a, b, xxh64_slices(data, starts, stops - starts), first
 
 
+def _gram_key(x: np.ndarray) -> np.ndarray:
+    return _mix(x) >> np.uint64(64 - KEY_BITS)
+
+
 def ngram_keys(hashes: np.ndarray, first: np.ndarray, order: int) -> Iterator[np.ndarray]:
-    """Keys of the n-grams that end at each token, for n = 1 to order; a text's first tokens follow a start mark."""
-    keys = hashes
-    yield _mix(keys) >> np.uint64(64 - KEY_BITS)
+    """Keys of the n-grams that end at each token, for n = 2 to order; a text's first tokens follow a start mark."""
+    keys = before = hashes
     opens = np.zeros(len(hashes), bool)
     opens[first[:-1]] = True
-    before = hashes
     with np.errstate(over="ignore"):
         for n in range(2, order + 1):
             before = np.r_[np.uint64(0), before[:-1]]
             before[opens] = np.uint64(n)  # the start mark, whatever stands before in the buffer
             keys = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + before)
-            yield _mix(keys) >> np.uint64(64 - KEY_BITS)
+            yield _gram_key(keys)
 
 
 def level_of(count: np.ndarray) -> np.ndarray:
     """1 + floor(log(count)) in LOG_BASE; 0 for 0."""
-    lows = level_starts()
-    return np.searchsorted(lows, count, "right").astype(np.int64)
+    return np.searchsorted(level_starts(), count, "right").astype(np.int64)
 
 
 def level_starts() -> np.ndarray:
@@ -94,13 +101,17 @@ def level_values() -> np.ndarray:
     return np.r_[0.0, (lows[:-1] + lows[1:] - 1) / 2]
 
 
-@dataclass
 class LogFrequencyFilter:
-    """Bits in one segment for each group of keys, so that groups fill their segments apart from each other."""
+    """One segment of the filter, sized by the items that go into it."""
 
-    group_bits: int
-    segment_bits: int
-    bits: np.ndarray
+    def __init__(self, keys: np.ndarray, levels: np.ndarray):
+        self.size = max(64, int(levels.sum()) * ITEM_BITS)
+        bits = np.zeros(self.size, bool)
+        for level in range(1, int(levels.max(initial=0)) + 1):
+            at, step = self._walk(keys[levels >= level], level)
+            for i in range(PROBES):
+                bits[self._place(at, step, i)] = True
+        self.bits = np.packbits(bits, bitorder="little")
 
     @staticmethod
     def _walk(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,406 +120,242 @@ class LogFrequencyFilter:
             x = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level))
         return x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1)
 
-    @classmethod
-    def segment(cls, keys: np.ndarray, levels: np.ndarray, segment_bits: int) -> np.ndarray:
-        """One group's segment as bytes."""
-        bits = np.zeros(segment_bits, bool)
-        for level in range(1, int(levels.max(initial=0)) + 1):
-            at, step = cls._walk(keys[levels >= level], level)
-            for i in range(PROBES):
-                bits[((at + np.uint64(i) * step) % np.uint64(segment_bits)).astype(np.int64)] = True
-        return np.packbits(bits, bitorder="little")
+    def _place(self, at: np.ndarray, step: np.ndarray, i: int) -> np.ndarray:
+        return ((at + np.uint64(i) * step) % np.uint64(self.size)).astype(np.int64)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key; now and then too high by one or more, never too low."""
-        out = np.zeros(len(keys), np.int64)
-        base = (keys >> np.uint64(KEY_BITS - self.group_bits)).astype(np.int64) * self.segment_bits
+        out = np.zeros(len(keys), np.uint8)
         alive, level = np.arange(len(keys)), 0
-        while True:
+        while len(alive):
             at, step = self._walk(keys[alive], level + 1)
             left = np.arange(len(alive))
             for i in range(PROBES):
-                place = ((at[left] + np.uint64(i) * step[left]) % np.uint64(self.segment_bits)).astype(np.int64) + base[alive[left]]
+                place = self._place(at[left], step[left], i)
                 left = left[(self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
             alive, level = alive[left], level + 1
-            if not len(alive):
-                return out
             out[alive] = level
+        return out
 
 
 @dataclass
-class KnownLevels:
-    """Levels that were read beforehand from a spread filter, for the n-grams of one chunk of texts."""
+class Counted:
+    """Distinct keys in ascending order, and how often each stands in the training texts."""
 
-    keys: np.ndarray  # sorted
-    read: np.ndarray
+    keys: np.ndarray
+    counts: np.ndarray
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        return self.read[np.searchsorted(self.keys, keys)].astype(np.int64)
-
-
-@dataclass
-class SpreadFilter:
-    """A filter too large for one machine: a group's segment is made from its counts where its keys are probed."""
-
-    counted: DataFrame
-    group_bits: int
-    segment_bits: int
-
-    def read(self, chunks: DataFrame, order: int) -> DataFrame:
-        """(chunk, grp, levels): a byte for the level of each distinct n-gram of (chunk, data), in ascending order."""
-        low_bits, segment_bits = KEY_BITS - self.group_bits, self.segment_bits
+    @classmethod
+    def of(cls, trained: list[np.ndarray], held: list[np.ndarray]) -> Counted:
+        own, n = np.unique(_joined(trained), return_counts=True)
+        keys = np.union1d(own, _joined(held)) if held else own
+        counts = np.zeros(len(keys), np.uint32)
+        counts[np.searchsorted(keys, own)] = n
+        return cls(keys, counts)
 
-        def ask(batches: Iterator) -> Iterator:
-            import pyarrow as pa
 
-            for batch in batches:
-                for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    keys = chunk_keys(chunk_rows(data.as_buffer()).column("text"), order)
-                    groups, at = np.unique(keys >> np.uint64(low_bits), return_index=True)
-                    low = [_pack(k, k[:0], low_bits)[0] for k in np.split(keys, at[1:])]
-                    columns = [pa.array(np.full(len(groups), chunk)), pa.array(groups.astype(np.int32)), pa.array(low, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, ["chunk", "grp", "low"])
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
-        def probe(asked, counted):
-            import pyarrow as pa
 
-            bits = np.zeros(segment_bits // 8, np.uint8)
-            for group, low, counts in zip(*(counted.column(c).to_pylist() for c in ("grp", "low", "counts"))):
-                bits |= _segment(group, low, counts, low_bits, segment_bits)
-            filter_, found = LogFrequencyFilter(0, segment_bits, bits), []
-            for group, low in zip(asked.column("grp").to_pylist(), asked.column("low").to_pylist()):
-                found.append(filter_.levels(_unpack(low, b"", group, low_bits)[0]).astype(np.uint8).tobytes())
-            return asked.select(["chunk", "grp"]).append_column("levels", pa.array(found, pa.binary()))
+def _grams(rows, order: int) -> tuple[Counted, Counted]:
+    """Words and longer n-grams of a chunk."""
+    kept: tuple[list, list, list, list] = ([], [], [], [])
+    held_out = rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+    for a, b, hashes, first in tokens(*column_bytes(rows.column("text"))):
+        held = np.repeat(held_out[a:b], np.diff(first))
+        for k, keys in enumerate([hashes, *ngram_keys(hashes, first, order)]):
+            kept[2 * (k > 0)].append(keys[~held])
+            kept[2 * (k > 0) + 1].append(keys[held])
+    return Counted.of(*kept[:2]), Counted.of(*kept[2:])
 
-        both = chunks.mapInArrow(ask, "chunk long, grp int, low binary").groupBy("grp").cogroup(self.counted.groupBy("grp"))
-        return both.applyInArrow(probe, "chunk long, grp int, levels binary")
 
+def _binary(values: np.ndarray, cuts: np.ndarray):
+    """An Arrow column of byte strings: values between one cut and the next."""
+    import pyarrow as pa
 
-def chunk_keys(texts, order: int) -> np.ndarray:
-    """The distinct keys of all n-grams of an Arrow column, in ascending order."""
-    return np.unique(np.concatenate([k for _, _, h, f in tokens(*column_bytes(texts)) for k in ngram_keys(h, f, order)]))
+    offsets = (cuts * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def chunk_rows(data):
-    """The Arrow batch of a packed chunk."""
+def _flat(column, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all byte strings of a column, and the cuts between the strings."""
     import pyarrow as pa
 
-    return pa.ipc.open_stream(data).read_next_batch()
+    whole = column.cast(pa.large_binary())
+    whole = whole.combine_chunks() if isinstance(whole, pa.ChunkedArray) else whole
+    offsets = np.frombuffer(whole.buffers()[1], np.int64, len(whole) + 1, whole.offset * 8)
+    data = whole.buffers()[2].slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes() if offsets[-1] > offsets[0] else b""
+    return np.frombuffer(data, kind), (offsets - offsets[0]) // np.dtype(kind).itemsize
 
 
-def packed_chunk(batch) -> bytes:
+def _packed_chunk(batch) -> bytes:
     import pyarrow as pa
+    import zstandard
 
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+    with pa.ipc.new_stream(sink, batch.schema) as stream:
         stream.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+    return zstandard.ZstdCompressor(level=6).compress(sink.getvalue())
 
 
-@dataclass
-class Model:
-    filter: LogFrequencyFilter | KnownLevels | None
-    order: int
-    train_docs: int
-    train_tokens: int
-    train_words: int
-    common: np.ndarray  # hashes of common words, sorted
-    common_counts: np.ndarray
-
-    def word_log10(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10(self.word_p(counts))
-
-    def word_p(self, counts: np.ndarray) -> np.ndarray:
-        return (counts + ADDED) / (self.train_tokens + ADDED * (self.train_words + 1))
+def _chunk_rows(data: bytes):
+    import pyarrow as pa
+    import zstandard
 
-    def token_log10(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 of each token's smoothed probability after the tokens before it, from filter probes alone."""
-        values = level_values()
-        opens = np.zeros(len(hashes), bool)
-        opens[first[:-1]] = True
-        count = p = None
-        for n, keys in enumerate(ngram_keys(hashes, first, self.order), 1):
-            own, back = np.unique(keys, return_inverse=True)
-            read = values[self.filter.levels(own)][back] if self.filter else np.zeros(len(keys))
-            if n == 1:
-                count, p = read, self.word_p(read)
-                context = np.r_[0.0, read[:-1]]
-                context[opens] = self.train_docs
-            else:
-                # no n-gram is more frequent than its parts: what exceeds them is a false hit
-                held = np.minimum(read, np.minimum(count, context))
-                p = (held + PRIOR * p) / (context + PRIOR)
-                context = np.r_[0.0, held[:-1]]
-                context[opens] = self.train_docs
-                count = held
-        return np.log10(np.minimum(p, 1.0))
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_next_batch()
 
 
-def _word_counts(texts: DataFrame) -> DataFrame:
-    """(h, n) of all tokens of (text); each batch is summed up before it is shuffled."""
+def _chunks(slim: DataFrame) -> DataFrame:
+    """(chunk, data, bytes, trained): rows of (id, held_out, text) packed together."""
 
-    def run(batches: Iterator) -> Iterator:
+    def pack(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
 
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            parts = [h for _, _, h, _ in tokens(*column_bytes(batch.column(0)))]
-            if parts:
-                h, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
-
-    return texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-
-
-def _pack(keys: np.ndarray, counts: np.ndarray, low_bits: int) -> tuple[bytes, bytes]:
-    low = keys & np.uint64((1 << low_bits) - 1)
-    return low.astype("<u4" if low_bits <= 32 else "<u8").tobytes(), counts.astype("<u4").tobytes()
+            offsets = column_bytes(batch.column(2))[1]
+            for a, b in slices(offsets, CHUNK_BYTES):
+                rows = pa.RecordBatch.from_arrays(batch.slice(a, b - a).columns, ["id", "held_out", "text"])
+                trained = sum(not x for x in rows.column(1).to_pylist())
+                columns = {"chunk": [row], "data": [_packed_chunk(rows)], "bytes": [offsets[b] - offsets[a]], "trained": [trained]}
+                yield pa.RecordBatch.from_pydict(columns)
+                row += 1
 
+    return slim.mapInArrow(pack, "chunk long, data binary, bytes long, trained long")
 
-def _unpack(low: bytes, counts: bytes, group: int, low_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.frombuffer(low, "<u4" if low_bits <= 32 else "<u8").astype(np.uint64)
-    n = np.frombuffer(counts, "<u4").astype(np.int64) if counts else np.ones(len(keys), np.int64)
-    return keys | np.uint64(group << low_bits), n
 
+def _asked(chunks: DataFrame, order: int, segment_bits: int) -> DataFrame:
+    """One row for each chunk and segment: the chunk's words there and their counts, its longer n-grams (the low 32 and
+    the high 16 bits of their keys) and their counts, all in ascending order."""
 
-def _ngram_counts(texts: DataFrame, order: int, group_bits: int) -> DataFrame:
-    """(grp, n, low, counts): all n-grams of a group of keys and their counts, packed in two byte strings.
-
-    Workers send one row for each batch, order and group, so what is shuffled is a few bytes for each distinct
-    n-gram of a batch; groups are small by the choice of group_bits.
-    """
-    low_bits = KEY_BITS - group_bits
-    schema = "grp int, n int, low binary, counts binary"
-
-    def count(batches: Iterator) -> Iterator:
+    def ask(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            found: list[list[np.ndarray]] = [[] for _ in range(order)]
-            for _, _, hashes, first in tokens(*column_bytes(batch.column(0))):
-                for part, keys in zip(found, ngram_keys(hashes, first, order)):
-                    part.append(keys)
-            for n, parts in enumerate(found, 1):
-                if parts:
-                    keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-                    groups, at = np.unique(keys >> np.uint64(low_bits), return_index=True)
-                    ends = [*at[1:].tolist(), len(keys)]
-                    packed = [_pack(keys[i:j], counts[i:j], low_bits) for i, j in zip(at.tolist(), ends)]
-                    # counts of a row that are all 1 need no bytes
-                    packed = [(low, b"" if len(set(c)) <= 2 and (counts[i:j] == 1).all() else c) for (low, c), i, j in zip(packed, at.tolist(), ends)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(groups.astype(np.int32)), pa.array([n] * len(groups), pa.int32()), pa.array([x[0] for x in packed], pa.binary()), pa.array([x[1] for x in packed], pa.binary())],
-                        ["grp", "n", "low", "counts"],
-                    )
-
-    def merge(table):
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words, grams = _grams(_chunk_rows(data), order)
+                own = [words.keys >> np.uint64(64 - segment_bits), grams.keys >> np.uint64(KEY_BITS - segment_bits)]
+                segments = np.union1d(*own)
+                at = [np.r_[np.searchsorted(x, segments), len(x)] for x in own]
+                columns = [
+                    pa.array(np.full(len(segments), chunk)), pa.array(segments.astype(np.int64)), _binary(words.keys, at[0]), _binary(words.counts, at[0]),
+                    _binary(grams.keys.astype(np.uint32), at[1]), _binary((grams.keys >> np.uint64(32)).astype(np.uint16), at[1]), _binary(grams.counts, at[1]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "segment", "words", "words_n", "low", "high", "grams_n"])
+
+    schema = "chunk long, segment long, words binary, words_n binary, low binary, high binary, grams_n binary"
+    return chunks.select("chunk", "data").mapInArrow(ask, schema)
+
+
+def _answered(asked: DataFrame) -> DataFrame:
+    """(chunk, segment, counts, word_levels, gram_levels, n, v): exact counts of the words and the filter's levels, in
+    the order in which they were asked. A segment's first row has its number of training tokens and of distinct ones."""
+
+    def answer(table):
         import pyarrow as pa
 
-        group, n = table.column("grp")[0].as_py(), table.column("n")[0].as_py()
-        parts = [_unpack(a, c, group, low_bits) for a, c in zip(table.column("low").to_pylist(), table.column("counts").to_pylist())]
-        keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        sums = np.bincount(back, np.concatenate([c for _, c in parts])).astype(np.int64)
-        low, counts = _pack(keys, np.minimum(sums, 0xFFFFFFFF), low_bits)
-        return pa.table({"grp": pa.array([group], pa.int32()), "n": pa.array([n], pa.int32()), "low": [low], "counts": [counts]})
-
-    return texts.mapInArrow(count, schema).groupBy("grp", "n").applyInArrow(merge, schema)
-
-
-def _histogram(counted: DataFrame, group_bits: int) -> dict[tuple[int, int], int]:
-    """Number of n-grams by (order, level); the driver gets one number for each."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+        words, at_words = _flat(table.column("words"), "<u8")
+        low, at_grams = _flat(table.column("low"), "<u4")
+        grams = _flat(table.column("high"), "<u2")[0].astype(np.uint64) << np.uint64(32) | low
+        sums = []
+        for keys, counts in ((words, "words_n"), (grams, "grams_n")):
+            own, back = np.unique(keys, return_inverse=True)
+            sums.append((own, back, np.bincount(back, _flat(table.column(counts), "<u4")[0], len(own)).astype(np.int64)))
+        (own_words, to_words, n_words), (own_grams, to_grams, n_grams) = sums
+        keys = np.concatenate([_gram_key(own_words), own_grams])
+        levels = level_of(np.concatenate([n_words, n_grams]))
+        read = LogFrequencyFilter(keys, levels).levels(keys)
+        rest = np.zeros(len(at_words) - 2, np.int64)
+        return pa.table({
+            "chunk": table.column("chunk"), "segment": table.column("segment"), "counts": _binary(n_words[to_words], at_words),
+            "word_levels": _binary(read[: len(own_words)][to_words], at_words), "gram_levels": _binary(read[len(own_words) :][to_grams], at_grams),
+            "n": np.r_[n_words.sum(), rest], "v": np.r_[(n_words > 0).sum(), rest],
+        })
+
+    schema = "chunk long, segment long, counts binary, word_levels binary, gram_levels binary, n long, v long"
+    return asked.groupBy("segment").applyInArrow(answer, schema)
 
-        for batch in batches:
-            for n, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                levels, many = np.unique(level_of(np.frombuffer(counts, "<u4")), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"n": pa.array([n] * len(levels), pa.int32()), "level": levels, "many": many})
 
-    rows = counted.select("n", "counts").mapInArrow(run, "n int, level long, many long")
-    return {(r["n"], r["level"]): r["many"] for r in rows.groupBy("n", "level").agg(F.sum("many").alias("many")).collect()}
+@dataclass
+class Model:
+    """The smoothing over levels that were read from the filter."""
 
+    order: int
+    train_docs: int
+    train_tokens: int
+    train_words: int
 
-def _least_levels(histogram: dict[tuple[int, int], int], order: int, capacity: int) -> tuple[dict[int, int], int]:
-    """For each order the lowest level that goes into the filter, and the number of items that then do.
+    def token_log10(self, levels: list[np.ndarray], first: np.ndarray) -> np.ndarray:
+        """log10 of each token's smoothed probability after the tokens before it; levels: for each order those of the
+        n-grams that end at each token."""
+        values = level_values()
+        opens = np.zeros(len(levels[0]), bool)
+        opens[first[:-1]] = True
+        held = values[levels[0]]
+        p = (held + ADDED) / (self.train_tokens + ADDED * (self.train_words + 1))
+        for n in range(2, self.order + 1):
+            context = np.r_[0.0, held[:-1]]
+            context[opens] = self.train_docs
+            # no n-gram is more frequent than its parts: what exceeds them is a false hit
+            held = np.minimum(values[levels[n - 1]], np.minimum(held, context))
+            prior = PRIORS[min(n - 2, len(PRIORS) - 1)]
+            p = (held + prior * p) / (context + prior)
+        return np.log10(np.minimum(p, 1.0))
 
-    Lower orders come first, and in an order the more frequent n-grams: where the filter's bits end, the rarest
-    n-grams of the highest order are left to smoothing. ``train`` has no such end: it counts with unlimited capacity.
-    """
-    least, items = {}, 0
-    for n in range(1, order + 1):
-        top = max((q for m, q in histogram if m == n), default=0)
-        least[n] = top + 1
-        for q in range(top, 0, -1):
-            more = q * histogram.get((n, q), 0)
-            if items + more > capacity:
-                break
-            items += more
-            least[n] = q
-    return least, items
-
-
-def _segment(group: int, low: bytes, counts: bytes, low_bits: int, segment_bits: int) -> np.ndarray:
-    """The bits of a row of counted n-grams in its group's segment."""
-    keys, sums = _unpack(low, counts, group, low_bits)
-    return LogFrequencyFilter.segment(keys, level_of(sums), segment_bits)
-
-
-def _filter(counted: DataFrame, group_bits: int, order: int, max_bits: int) -> LogFrequencyFilter | SpreadFilter:
-    """A filter of all counted n-grams, sized by their number; beyond max_bits a spread one with the same bits."""
-    _, items = _least_levels(_histogram(counted, group_bits), order, sys.maxsize)
-    groups = 1 << group_bits
-    segment_bits = max(64, math.ceil(items * ITEM_BITS * 1.05) // groups // 8 * 8)
-    if groups * segment_bits > max_bits:
-        return SpreadFilter(counted, group_bits, segment_bits)
-    low_bits = KEY_BITS - group_bits
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        for batch in batches:
-            for group, low, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                bits = _segment(group, low, counts, low_bits, segment_bits).tobytes()
-                yield pa.RecordBatch.from_pydict({"grp": pa.array([group], pa.int32()), "bits": pa.array([bits], pa.binary())})
-
-    bits = np.zeros((groups, segment_bits // 8), np.uint8)
-    for r in counted.select("grp", "low", "counts").mapInArrow(run, "grp int, bits binary").toLocalIterator():
-        bits[r["grp"]] |= np.frombuffer(r["bits"], np.uint8)
-    return LogFrequencyFilter(group_bits, segment_bits, bits.ravel())
-
-
-def _common(words: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """The count from which words are common, chosen so that at most ``most`` are; their hashes and counts."""
-    table = words.groupBy(F.floor(F.log2("n")).alias("e")).count().collect()
-    held, least = 0, 1 << 62
-    for e, many in sorted(((r["e"], r["count"]) for r in table), reverse=True):
-        if held + many > most:
-            break
-        held, least = held + many, 1 << e
-    rows = words.filter(F.col("n") >= least).toArrow()
-    h, n = rows.column("h").to_numpy().view(np.uint64), rows.column("n").to_numpy()
-    order = np.argsort(h)
-    return least, h[order], n[order]
-
-
-def train(texts: DataFrame, scratch: Scratch, order: int, max_bits: int, common: int) -> tuple[Model, DataFrame, SpreadFilter | None]:
-    """The model of all rows of (text), the table (h, n) of exact counts of words that it does not hold, and its
-    filter if that is spread."""
-    words = scratch.table(_word_counts(texts))
-    sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    docs = texts.count()
-    least, hashes, counts = _common(words, common)
-    filter_ = spread = None
-    if docs:
-        group_bits = min(24, max(8, math.ceil(math.log2(order * sums[0] / GROUP_TOKENS))))
-        counted = scratch.table(_ngram_counts(texts, order, group_bits))
-        filter_ = _filter(counted, group_bits, order, max_bits)
-        if isinstance(filter_, SpreadFilter):
-            filter_, spread = None, filter_
-        else:
-            scratch.drop(counted)
-    return Model(filter_, order, docs, sums[0], sums[1], hashes, counts), words.filter(F.col("n") < least), spread
-
-
-def _scores(m: Model, column) -> list:
-    """Of each text of an Arrow column: n_tokens, tokens and log10 sum of common words, score, hashes of other words."""
+def _scored(model: Model, rows, counts: np.ndarray, word_levels: np.ndarray, gram_levels: np.ndarray):
+    """The result's rows of a chunk."""
     import pyarrow as pa
 
-    n_all, known_all, base_all, score_all, rare_all = [], [], [], [], []
-    for _, _, hashes, first in tokens(*column_bytes(column)):
-        starts = first[:-1]
-        at = np.searchsorted(m.common, hashes)
-        at[at == len(m.common)] = 0
-        common_ = m.common[at] == hashes if len(m.common) else np.zeros(len(hashes), bool)
-        base = np.where(common_, m.word_log10(m.common_counts[at]) if len(m.common) else 0.0, 0.0)
-        n_all += np.diff(first).tolist()
-        known_all += np.add.reduceat(common_, starts, dtype=np.int64).tolist()
-        base_all += np.add.reduceat(base, starts).tolist()
-        score_all += np.add.reduceat(m.token_log10(hashes, first), starts).tolist()
-        rare = hashes[~common_].view(np.int64)
-        cuts = np.r_[0, np.cumsum(np.add.reduceat(~common_, starts, dtype=np.int64))]
-        rare_all.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rare)))
-    return [pa.array(n_all), pa.array(known_all), pa.array(base_all), pa.array(score_all), pa.concat_arrays(rare_all)]
-
-
-def score_documents(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    folds: int = 10,
-    order: int = ORDER,
-    max_bits: int = MAX_BITS,
-    common: int = COMMON_WORDS,
-) -> DataFrame:
+    parts = list(tokens(*column_bytes(rows.column("text"))))
+    keys = [[h, *ngram_keys(h, f, model.order)] for _, _, h, f in parts]
+    words, grams = np.unique(_joined([k[0] for k in keys])), np.unique(_joined([x for k in keys for x in k[1:]]))
+    whole = math.log10(model.train_tokens + ADDED * (model.train_words + 1))
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    for (_, _, hashes, first), (_, *longer) in zip(parts, keys):
+        at, starts = np.searchsorted(words, hashes), first[:-1]
+        c = counts[at]
+        score = model.token_log10([word_levels[at], *(gram_levels[np.searchsorted(grams, x)] for x in longer)], first)
+        for column, x in zip(out[1:], (c > 0, np.log10(c + ADDED) - whole, score)):
+            column.append(np.add.reduceat(x, starts, dtype=np.int64 if x.dtype == bool else np.float64))
+        out[0].append(np.diff(first))
+    n = len(rows)
+    trained = pa.array(np.full(n, model.train_tokens))
+    n_tokens, known, base, score = (pa.array(np.concatenate(x)) for x in out)
+    return [rows.column("id"), rows.column("held_out"), n_tokens, known, trained, base, score]
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, order: int = ORDER, segment_grams: int = SEGMENT_GRAMS) -> DataFrame:
     """One row per row of docs: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows whose fold (see ``langid.fold``) is not 0 and scores all. Null and empty texts have one
-    token, the end. base_score is exact; score is the filter model's, whose filter holds every n-gram. Two bounded
-    things are broadcast: the filter if it has at most max_bits, and the exact counts of at most ``common`` words.
-    Words beyond those meet their counts in a join, and n-grams meet a larger filter's segments in a shuffle; the
-    rows are the same.
-    Repeated rows count and are scored as often as they stand; without training rows all counts are 0. Other columns
-    are not read; an empty table gives no rows.
+    token, the end. base_score is exact; score is the model's, whose filter holds every n-gram of every training text
+    up to the order: what is gathered grows with the input, nothing is broadcast, and the rows do not depend on how
+    many segments the filter has, but for false hits. Texts are read whole; one longer than a chunk is a chunk of its
+    own and takes about twenty times its size in a worker. Repeated rows count and are scored as often as they stand;
+    without training rows all counts are 0. Other columns are not read; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lm")
+    scratch = Scratch(docs.sparkSession, "lm")
     slim = docs.select(F.col(id_col).alias("id"), (fold(id_col, folds) == 0).alias("held_out"), F.col(text_col).alias("text"))
-    model, rare_words, spread = train(slim.filter("not held_out").select("text"), scratch, order, max_bits, common)
-    known = spark.sparkContext.broadcast(model)
-
-    names = ["row", "id", "held_out", "n_tokens", "known", "base", "score", "rare"]
-    kinds = [T.LongType(), docs.schema[id_col].dataType, T.BooleanType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.ArrayType(T.LongType())]
-    schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        from pyspark import TaskContext
+    chunks = scratch.table(_chunks(slim))
+    size, trained = chunks.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("trained"), F.lit(0))).first()
+    segment_bits = min(32, max(1, math.ceil(math.log2(1 + size / TOKEN_BYTES * order / segment_grams))))
+    answers = scratch.table(_answered(_asked(chunks, order, segment_bits)))
+    n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    model = Model(order, trained, n, v)
 
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            if batch.num_rows:
-                rows = pa.array(np.arange(row, row + batch.num_rows))
-                row += batch.num_rows
-                columns = [rows, batch.column(0), batch.column(1), *_scores(known.value, batch.column(2))]
-                yield pa.RecordBatch.from_arrays(columns, names)
+    names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    kinds = [docs.schema[id_col].dataType, T.BooleanType(), T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType()]
 
-    def pack(batches: Iterator) -> Iterator:
+    def run(chunk, answer):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for a, b in slices(column_bytes(batch.column(2))[1], CHUNK_BYTES):
-                columns = [pa.array(np.arange(row, row + b - a)), *batch.slice(a, b - a).columns]
-                data = packed_chunk(pa.RecordBatch.from_arrays(columns, [*names[:3], "text"]))
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([row], pa.int64()), "data": pa.array([data], pa.binary())})
-                row += b - a
-
-    def run_chunk(chunk, read):
-        import pyarrow as pa
+        answer = answer.sort_by("segment")
+        read = (_flat(answer.column(c), k)[0] for c, k in (("counts", "<i8"), ("word_levels", "u1"), ("gram_levels", "u1")))
+        return pa.Table.from_arrays(_scored(model, _chunk_rows(chunk.column("data")[0].as_py()), *read), names)
 
-        rows = chunk_rows(chunk.column("data")[0].as_buffer())
-        levels = b"".join(x["levels"] for x in sorted(read.select(["grp", "levels"]).to_pylist(), key=lambda x: x["grp"]))
-        filter_ = KnownLevels(chunk_keys(rows.column("text"), order), np.frombuffer(levels, np.uint8))
-        columns = [*(rows.column(c) for c in names[:3]), *_scores(replace(known.value, filter=filter_), rows.column("text"))]
-        return pa.Table.from_arrays(columns, names)
-
-    if spread:
-        chunks = scratch.table(slim.mapInArrow(pack, "chunk long, data binary"))
-        asked = spread.read(chunks, order)
-        scored = scratch.table(chunks.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(run_chunk, schema))
-        scratch.drop(chunks)
-        scratch.drop(spread.counted)
-    else:
-        scored = scratch.table(slim.mapInArrow(run, schema))
-
-    counts = F.coalesce(F.col("n"), F.lit(0))
-    log_p = F.log10((counts + F.lit(ADDED)) / F.lit(model.train_tokens + ADDED * (model.train_words + 1)))
-    rare = scored.select("row", F.explode("rare").alias("h"))
-    rare = rare.join(rare_words, "h", "left").select("row", log_p.alias("more"), (counts > 0).cast("long").alias("held"))
-    rare = rare.groupBy("row").agg(F.sum("more").alias("more"), F.sum("held").alias("held"))
-    out = scored.drop("rare").join(rare, "row", "left")
-    return out.select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("held", F.lit(0))).alias("n_known"),
-        F.lit(model.train_tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
-    )
+    schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])
+    read = answers.drop("n", "v").groupBy("chunk")
+    return chunks.select("chunk", "data").groupBy("chunk").cogroup(read).applyInArrow(run, schema).withColumnRenamed("id", id_col)
