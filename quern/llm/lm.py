@@ -29,7 +29,7 @@ from quern.sources.scratch import Scratch
 
 KEY_BITS = 48
 #: n-grams of orders 1 to ORDER; levels grow by LOG_BASE.
-ORDER, LOG_BASE = 3, 1.5
+ORDER, LOG_BASE = 3, 1.2
 #: Weight of the order below in the orders from 2 on, in observations; the last holds for all further orders.
 PRIORS = (100.0, 3.0)
 #: An item takes ITEM_BITS of its segment and PROBES probes; a false hit, which can raise one token a thousandfold, is rare (0.06 %).
@@ -91,8 +91,8 @@ def level_of(count: np.ndarray) -> np.ndarray:
 
 
 def level_starts() -> np.ndarray:
-    """Smallest count of each level from 1 on."""
-    return np.unique(np.ceil(LOG_BASE ** np.arange(0, 100) - 1e-9)).astype(np.float64)
+    """Smallest count of each level from 1 on, beyond any count there is; a level fits in a byte."""
+    return np.unique(np.ceil(LOG_BASE ** np.arange(0, 180) - 1e-9)).astype(np.float64)
 
 
 def level_values() -> np.ndarray:
