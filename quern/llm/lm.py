@@ -138,6 +138,21 @@ class LogFrequencyFilter:
         return out
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """In ascending order. By sorting, which is many times faster for integers than numpy's own ``unique``."""
+    keys = np.sort(keys)
+    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+
+
+def _places(keys: np.ndarray) -> np.ndarray:
+    """Of each key its place in ``_distinct(keys)``."""
+    by_key = np.argsort(keys)
+    ordered = keys[by_key]
+    out = np.empty(len(keys), np.int64)
+    out[by_key] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]]) if len(keys) else 0
+    return out
+
+
 @dataclass
 class Counted:
     """Distinct keys in ascending order, and how often each stands in the training texts."""
@@ -147,11 +162,15 @@ class Counted:
 
     @classmethod
     def of(cls, trained: list[np.ndarray], held: list[np.ndarray]) -> Counted:
-        own, n = np.unique(_joined(trained), return_counts=True)
-        keys = np.union1d(own, _joined(held)) if held else own
-        counts = np.zeros(len(keys), np.uint32)
-        counts[np.searchsorted(keys, own)] = n
-        return cls(keys, counts)
+        keys, alone = np.sort(_joined(trained)), _distinct(_joined(held))
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        counts = np.diff(np.r_[starts, len(keys)]).astype(np.uint32)
+        # a key of both kinds stands twice now, with its count and with 0
+        both, counts = np.concatenate([keys[starts], alone]), np.r_[counts, np.zeros(len(alone), np.uint32)]
+        by_key = np.argsort(both)
+        both, counts = both[by_key], counts[by_key]
+        first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else starts
+        return cls(both[first], np.add.reduceat(counts, first, dtype=np.uint32) if len(both) else counts)
 
 
 def _joined(parts: list[np.ndarray]) -> np.ndarray:
@@ -237,7 +256,7 @@ def _asked(chunks: DataFrame, order: int, segment_bits: int) -> DataFrame:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words, grams = _grams(_chunk_rows(data), order)
                 own = [words.keys >> np.uint64(64 - segment_bits), grams.keys >> np.uint64(KEY_BITS - segment_bits)]
-                segments = np.union1d(*own)
+                segments = _distinct(np.concatenate(own))
                 at = [np.r_[np.searchsorted(x, segments), len(x)] for x in own]
                 columns = [
                     pa.array(np.full(len(segments), chunk)), pa.array(segments.astype(np.int64)), _binary(words.keys, at[0]), _binary(words.counts, at[0]),
@@ -261,7 +280,7 @@ def _answered(asked: DataFrame) -> DataFrame:
         grams = _flat(table.column("high"), "<u2")[0].astype(np.uint64) << np.uint64(32) | low
         sums = []
         for keys, counts in ((words, "words_n"), (grams, "grams_n")):
-            own, back = np.unique(keys, return_inverse=True)
+            own, back = _distinct(keys), _places(keys)
             sums.append((own, back, np.bincount(back, _flat(table.column(counts), "<u4")[0], len(own)).astype(np.int64)))
         (own_words, to_words, n_words), (own_grams, to_grams, n_grams) = sums
         keys = np.concatenate([_gram_key(own_words), own_grams])
@@ -311,18 +330,20 @@ def _scored(model: Model, rows, counts: np.ndarray, word_levels: np.ndarray, gra
 
     parts = list(tokens(*column_bytes(rows.column("text"))))
     keys = [[h, *ngram_keys(h, f, model.order)] for _, _, h, f in parts]
-    words, grams = np.unique(_joined([k[0] for k in keys])), np.unique(_joined([x for k in keys for x in k[1:]]))
+    at_words, at_grams = _places(_joined([k[0] for k in keys])), _places(_joined([x for k in keys for x in k[1:]]))
     whole = math.log10(model.train_tokens + ADDED * (model.train_words + 1))
     out: list[list[np.ndarray]] = [[], [], [], []]
-    for (_, _, hashes, first), (_, *longer) in zip(parts, keys):
-        at, starts = np.searchsorted(words, hashes), first[:-1]
+    done = 0
+    for _, _, hashes, first in parts:
+        n, starts = len(hashes), first[:-1]
+        at, longer = at_words[done : done + n], at_grams[done * (model.order - 1) : (done + n) * (model.order - 1)].reshape(-1, n)
+        done += n
         c = counts[at]
-        score = model.token_log10([word_levels[at], *(gram_levels[np.searchsorted(grams, x)] for x in longer)], first)
+        score = model.token_log10([word_levels[at], *gram_levels[longer]], first)
         for column, x in zip(out[1:], (c > 0, np.log10(c + ADDED) - whole, score)):
             column.append(np.add.reduceat(x, starts, dtype=np.int64 if x.dtype == bool else np.float64))
         out[0].append(np.diff(first))
-    n = len(rows)
-    trained = pa.array(np.full(n, model.train_tokens))
+    trained = pa.array(np.full(len(rows), model.train_tokens))
     n_tokens, known, base, score = (pa.array(np.concatenate(x)) for x in out)
     return [rows.column("id"), rows.column("held_out"), n_tokens, known, trained, base, score]
 
