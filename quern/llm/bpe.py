@@ -19,10 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.hashing import column_bytes, slices
+from quern.llm.hashing import column_bytes, distinct_slices, slices
 
-#: Entries of a worker's memo tables; a full table is emptied, which costs time but changes no result.
-MEMO_ENTRIES = 400_000
+#: Bytes of a worker's memo of pieces, about, and entries of its memo of token pairs (about 100 bytes each). A full
+#: memo is emptied, which costs time but changes no result.
+MEMO_BYTES, PAIRS = 64 << 20, 200_000
+#: Text that is cut into pieces at a time.
+PART_BYTES = 1 << 21
 
 
 class Vocabulary:
@@ -75,7 +78,7 @@ class Vocabulary:
         key = left << 32 | right
         known = self._follows.get(key)
         if known is None:
-            if len(self._follows) >= MEMO_ENTRIES:
+            if len(self._follows) >= PAIRS:
                 self._follows.clear()
             known = self._follows[key] = self._stay_apart(self._spine(left, 1), self._spine(right, 0))
         return known
@@ -153,13 +156,41 @@ class PrefixTable:
         return _read_back(self.vocabulary, self.last)
 
 
-class Pieces(dict):
-    """Piece bytes -> token ids, computed when first asked for."""
+class Memo(dict):
+    """What is known of pieces; emptied when it holds more than so many bytes, about."""
+
+    #: Bytes of an entry besides its piece and its ids.
+    ENTRY = 220
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, most_bytes: int):
         super().__init__()
+        self.most_bytes = self.room = most_bytes
+
+    def make_room(self, pieces: int, data_bytes: int) -> bool:
+        """Whether the memo had to be emptied to take so many more pieces."""
+        self.room -= self.ENTRY * pieces + data_bytes
+        if self.room >= 0 or not self:
+            return False
+        self.clear()
+        self.room = self.most_bytes
+        return True
+
+    def ids_of(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces one after another, and each piece's number of ids."""
+        raise NotImplementedError
+
+
+class Pieces(Memo):
+    """Piece bytes -> token ids, computed when first asked for."""
+
+    def __init__(self, vocabulary: Vocabulary, most_bytes: int = MEMO_BYTES):
+        super().__init__(most_bytes)
         self.vocabulary = vocabulary
 
+    def ids_of(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = list(map(self.__getitem__, pieces))
+        return np.array(list(chain.from_iterable(found)), np.uint32), np.array(list(map(len, found)), np.int64)
+
     def __missing__(self, piece: bytes) -> tuple[int, ...]:
         whole = self.vocabulary.ranks.get(piece)
         if whole is not None:
@@ -168,8 +199,7 @@ class Pieces(dict):
             last = [-1]
             _extend(self.vocabulary, piece, last, len(piece))
             ids = tuple(_read_back(self.vocabulary, last))
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
+        self.make_room(1, len(piece) + 8 * len(ids))
         self[piece] = ids
         return ids
 
@@ -243,22 +273,33 @@ def split_points(data: bytes, offsets: list[int]) -> tuple[np.ndarray, np.ndarra
     return at_byte[piece], np.searchsorted(piece, text_at)
 
 
-def _listed(parts: Iterator[tuple[int, ...]]) -> list[int]:
-    return list(chain.from_iterable(parts))
-
-
-def encoded(data: bytes, offsets: list[int], pieces: dict, joined=_listed) -> Iterator:
-    """What ``joined`` makes of the pieces' entries, for each text of a buffer; by default its list of token ids."""
-    for a, b in slices(offsets):
+def parts(data: bytes, offsets: list[int]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """For runs of texts of a buffer: the distinct pieces, each piece's number among those, and each text's first piece
+    and the end."""
+    for a, b in slices(offsets, PART_BYTES):
         part = data[offsets[a] : offsets[b]]
         starts, first = split_points(part, [x - offsets[a] for x in offsets[a : b + 1]])
-        cuts = starts.tolist() + [len(part)]
-        found = [part[s:e] for s, e in zip(cuts, cuts[1:])]
-        if hasattr(pieces, "learn"):
-            pieces.learn(found)
-        get = pieces.__getitem__
-        for i, j in zip(first.tolist(), first.tolist()[1:]):
-            yield joined(map(get, found[i:j]))
+        ends = np.append(starts[1:], len(part))[: len(starts)]
+        chosen, own = distinct_slices(part, starts, ends - starts)
+        yield [part[s:e] for s, e in zip(starts[chosen].tolist(), ends[chosen].tolist())], own, first
+
+
+def encoded(data: bytes, offsets: list[int], memo: Memo) -> Iterator[np.ndarray]:
+    """The token ids of each text of a buffer."""
+    for pieces, own, first in parts(data, offsets):
+        ids, sizes = memo.ids_of(pieces)
+        begin, n = np.cumsum(sizes) - sizes, sizes[own]
+        upto = np.r_[0, np.cumsum(n)]
+        flat = ids[np.repeat(begin[own] - upto[:-1], n) + np.arange(upto[-1])]
+        cuts = upto[first].tolist()
+        for i, j in zip(cuts, cuts[1:]):
+            yield flat[i:j]
+
+
+def _each(values: list, own: np.ndarray) -> list:
+    table = np.empty(len(values), object)
+    table[:] = values
+    return table[own].tolist()
 
 
 class EditableText:
@@ -319,7 +360,7 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
 
         pieces = _pieces(vocabulary_path)
         for batch in batches:
-            ids = list(encoded(*column_bytes(batch.column(1)), pieces))
+            ids = [x.astype(np.int32) for x in encoded(*column_bytes(batch.column(1)), pieces)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
     kind = docs.schema[id_col].dataType
@@ -335,7 +376,10 @@ def decode_bytes(ids: list[int], vocabulary: Vocabulary) -> bytes:
 def encode_digests(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, ids_sha256, decoded_sha256): ``encode`` and ``decode_bytes`` where the text stands.
 
-    Token lists never leave the worker, so nothing is shuffled and no row is wider than its digests.
+    Token lists never leave the worker, so nothing is shuffled and no row is wider than its digests. Null and empty
+    texts have no tokens and the digests of nothing; a very long text is read whole and takes about thirty times its
+    size in a worker. One row per row of docs, repeated rows included; other columns are not read; an empty table gives
+    no rows.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -346,10 +390,15 @@ def encode_digests(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id"
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
-            for ids in encoded(*column_bytes(batch.column(1)), pieces):
-                n.append(len(ids))
-                ids_sha.append(sha(b" ".join(map(names.__getitem__, ids))))
-                text_sha.append(sha(decode_bytes(ids, pieces.vocabulary)))
+            for distinct, own, first in parts(*column_bytes(batch.column(1))):
+                ids = list(map(pieces.__getitem__, distinct))
+                written = _each([b" ".join(map(names.__getitem__, x)) for x in ids], own)
+                decoded = _each([decode_bytes(x, pieces.vocabulary) for x in ids], own)
+                upto = np.r_[0, np.cumsum(np.array(list(map(len, ids)), np.int64)[own])][first]
+                n += np.diff(upto).tolist()
+                for i, j in zip(first.tolist(), first.tolist()[1:]):
+                    ids_sha.append(sha(b" ".join(written[i:j])))
+                    text_sha.append(sha(b"".join(decoded[i:j])))
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

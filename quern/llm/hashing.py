@@ -73,6 +73,28 @@ def xxh64_slices(data: bytes, starts: np.ndarray, lengths: np.ndarray, seed: int
     return out
 
 
+def distinct_slices(data: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of one range of each distinct content, and for each range the number of its content among those.
+
+    Ranges are sorted by hash; a second hash and the lengths must agree wherever the first does, else the bytes
+    themselves are compared.
+    """
+    h = xxh64_slices(data, starts, lengths)
+    by_hash = np.argsort(h)
+    ordered = h[by_hash]
+    new = np.r_[True, ordered[1:] != ordered[:-1]][: len(h)]
+    group = np.cumsum(new) - 1
+    chosen, own = by_hash[new], np.empty(len(h), np.int64)
+    own[by_hash] = group
+    check = xxh64_slices(data, starts, lengths, seed=1)
+    if not (np.array_equal(check, check[chosen][own]) and np.array_equal(lengths, lengths[chosen][own])):
+        seen: dict[bytes, int] = {}
+        pieces = [data[s : s + n] for s, n in zip(starts.tolist(), lengths.tolist())]
+        own = np.array([seen.setdefault(x, len(seen)) for x in pieces])
+        chosen = np.unique(own, return_index=True)[1]
+    return chosen, own
+
+
 def column_bytes(column) -> tuple[bytes, list[int]]:
     """An Arrow string array as one UTF-8 buffer and the offsets of its values; null counts as empty."""
     import pyarrow as pa

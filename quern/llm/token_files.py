@@ -16,6 +16,7 @@ A reader that wants some documents reads the tail, the seek table, and only the
 from __future__ import annotations
 
 import json
+import math
 import re
 import struct
 import uuid
@@ -29,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.bpe import encoded
+from quern.llm.bpe import Memo, encoded
 from quern.llm.hashing import column_bytes
 from quern.sources.scratch import Scratch
 
@@ -37,6 +38,8 @@ MAGIC, VERSION = b"QTOK", 1
 HEAD, FRAME, TAIL = struct.Struct("<4sBB"), struct.Struct("<QIIQI"), struct.Struct("<QIIIQQ4s")
 #: A frame is closed at the first document end beyond this many ids.
 FRAME_IDS = 1 << 18
+#: Text of a file, about: there are more files than shuffle partitions only beyond that.
+FILE_BYTES = 64 << 20
 
 
 def _filesystem(uri: str):
@@ -133,11 +136,11 @@ class FrameReader:
         return self.frame_documents(k)[i - self.first_doc[k]]
 
 
-#: Entries of a worker's memo, about 200 bytes each; a full memo is emptied.
-MEMO_ENTRIES = 800_000
+#: Bytes of a worker's memo, about.
+MEMO_BYTES = 96 << 20
 
 
-class LibraryPieces(dict):
+class LibraryPieces(Memo):
     """Piece bytes -> token ids as 32-bit integers in bytes, by the tokenizers library, asked once per distinct piece.
 
     The library splits a text at the tokenizer's added tokens and then into the same pieces, and encodes each on its own.
@@ -149,20 +152,20 @@ class LibraryPieces(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(MEMO_BYTES)
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
         added = {t.content.encode(): (i, t) for i, t in self.library.get_added_tokens_decoder().items() if t.content}
         #: Whether added tokens stand for themselves alone; else the library gets each text that holds one as a whole.
         self.plain = self.library.normalizer is None and not any(t.single_word or t.lstrip or t.rstrip or t.normalized for _, t in added.values())
-        self.added = {content: array("I", [i]).tobytes() for content, (i, _) in added.items()}
+        self.added = {content: np.array([i], np.uint32) for content, (i, _) in added.items()}
         longest_first = sorted(self.added, key=len, reverse=True)
         self.any_added = re.compile(b"|".join(map(re.escape, longest_first)) or rb"(?!)")
 
-    def ids(self, data: bytes, offsets: list[int]) -> Iterator[bytes]:
+    def ids(self, data: bytes, offsets: list[int]) -> Iterator[np.ndarray]:
         """The ids of each text of a buffer, as the library gives them for the whole text."""
         if not self.any_added.search(data):
-            yield from encoded(data, offsets, self, b"".join)
+            yield from encoded(data, offsets, self)
             return
         cuts, own = [0], []  # ends of the parts of all texts; the ids of parts that are added tokens
         counts = []
@@ -178,21 +181,22 @@ class LibraryPieces(dict):
             if at < e or len(own) == before:
                 cuts.append(e)
                 whole = not self.plain and self.any_added.search(data, s, e)
-                own.append(array("I", self.library.encode(data[s:e].decode(), add_special_tokens=False).ids).tobytes() if whole else None)
+                own.append(np.array(self.library.encode(data[s:e].decode(), add_special_tokens=False).ids, np.uint32) if whole else None)
             counts.append(len(own) - before)
-        parts = (ids if known is None else known for ids, known in zip(encoded(data, cuts, self, b"".join), own))
+        found = (ids if known is None else known for ids, known in zip(encoded(data, cuts, self), own))
         for n in counts:
-            yield b"".join(islice(parts, n))
+            yield np.concatenate(list(islice(found, n)))
 
-    def learn(self, pieces: list[bytes]) -> None:
-        new = list(set(filterfalse(self.__contains__, pieces)))
-        if len(self) + len(new) > MEMO_ENTRIES:
-            self.clear()
-            new = list(set(pieces))
+    def ids_of(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        new = list(filterfalse(self.__contains__, pieces))
+        if self.make_room(len(new), sum(map(len, new)) * 2):
+            new = pieces
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
             batch = self.library.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
             self.update((p, array("I", e.ids).tobytes()) for p, e in zip(some, batch))
+        found = list(map(self.__getitem__, pieces))
+        return np.frombuffer(b"".join(found), np.uint32), np.array(list(map(len, found)), np.int64) // 4
 
 
 @lru_cache(maxsize=2)
@@ -206,13 +210,18 @@ def write_token_files(
     """Writes docs in ascending id order as token files in folder; returns the manifest, also written there.
 
     Null text counts as empty; end_id is appended to each document. Null ids come first; rows of one id follow
-    each other in text order, so repeated rows make repeated documents and reruns make the same bytes. Each file is
-    written under a name of its attempt and then renamed, so a task that is run again or twice does no harm.
-    An empty table gives a manifest without files. The driver gets one row per file.
+    each other in text order, so repeated rows make repeated documents and reruns make the same bytes. Each attempt of
+    a task writes a file of its own name; the manifest names those of the attempts that count, and files of others are
+    removed, so a task that is run again or twice does no harm and nothing is renamed. Texts are read whole; a very
+    long one takes about thirty times its size in a worker. Other columns are not read. An empty table gives a manifest
+    without files. The driver gets one row per file.
     """
+    from pyarrow import fs
+
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / FILE_BYTES))
     ordered = rows.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(
         F.col("id").asc_nulls_first(), "text"
     )
@@ -223,20 +232,18 @@ def write_token_files(
 
         shard, files = TaskContext.get().partitionId(), _filesystem(folder)
         pieces = _library(vocabulary_path)
-        end = array("I", [end_id]).tobytes()
-        own, writer, stream = f"{files[1]}/attempt-{uuid.uuid4().hex}", None, None
+        end = np.array([end_id], np.uint32)
+        name, writer, stream = f"tokens-{shard:06d}-{uuid.uuid4().hex}.qtok", None, None
         for batch in batches:
             if not writer and batch.num_rows:
-                stream = files[0].open_output_stream(own)
+                stream = files[0].open_output_stream(f"{files[1]}/{name}")
                 writer = FrameWriter(stream, 2 if max(pieces.size - 1, end_id) < 1 << 16 else 4)
             texts = pieces.ids(*column_bytes(batch.column(1)))
             for key, ids in zip(batch.column(0).to_pylist(), texts):
-                writer.add(key, np.frombuffer(ids + end, np.uint32))
+                writer.add(key, np.concatenate([ids, end]))
         if writer:
             n, ids = writer.close()
             stream.close()
-            name = f"tokens-{shard:06d}.qtok"
-            files[0].move(own, f"{files[1]}/{name}")
             yield pa.RecordBatch.from_pydict({"shard": [shard], "name": [name], "documents": [n], "ids": [ids]})
 
     _filesystem(folder)[0].create_dir(_filesystem(folder)[1], recursive=True)
@@ -249,6 +256,10 @@ def write_token_files(
     files, path = _filesystem(folder)
     with files.open_output_stream(f"{path}/manifest.json") as f:
         f.write(json.dumps(manifest).encode())
+    named = {f["name"] for f in manifest["files"]}
+    for left in files.get_file_info(fs.FileSelector(path)):
+        if left.base_name.endswith(".qtok") and left.base_name not in named:
+            files.delete_file(left.path)
     return manifest
 
 
@@ -284,7 +295,10 @@ def read_digests(spark: SparkSession, folder: str, manifest: dict) -> DataFrame:
 
 
 def token_digests(docs: DataFrame, vocabulary_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, start, n_tokens, ids_crc32): writes token files to a shared scratch folder and reads them back."""
+    """(id_col, start, n_tokens, ids_crc32): writes token files to a shared scratch folder and reads them back.
+
+    Nulls, empty and very long texts, repeated rows and empty tables: see ``write_token_files``.
+    """
     spark = docs.sparkSession
     folder = Scratch(spark, "tokens").path()
     manifest = write_token_files(docs, folder, vocabulary_path, end_id, id_col, text_col)

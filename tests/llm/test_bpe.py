@@ -3,6 +3,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -35,8 +36,10 @@ def test_same_ids_as_the_library(vocabulary, library):
     r = random.Random(2)
     texts = [x[1] or "" for x in odd_documents()] + [random_text(r) for _ in range(1500)]
     texts += ["", "'s", "''s", " 's", "a's b'sx  '", "x'LL 'll 'llm", "  \n  a", " \n", "a  ", "'", "<|endoftext|>", "  x"]
-    got = list(encoded(*column_bytes(pa.array(texts)), Pieces(vocabulary)))
-    assert got == [library.encode_ordinary(t) for t in texts]
+    texts.append("long " * 300_000 + "x" * 3000)
+    for memo in (Pieces(vocabulary), Pieces(vocabulary, 1000)):
+        got = [x.tolist() for x in encoded(*column_bytes(pa.array(texts)), memo)]
+        assert got == [library.encode_ordinary(t) for t in texts]
 
 
 def test_text_grows_and_changes_as_if_encoded_anew(vocabulary, library):
@@ -74,3 +77,12 @@ def test_round_trip_and_digests(spark, vocabulary, library):
         want[i, len(own), sha(" ".join(map(str, own)).encode()), sha((t or "").encode())] += 1
     assert Counter(map(tuple, encode_digests(frame(spark), PATH).collect())) == want
     assert encode_digests(frame(spark, []), PATH).collect() == []
+
+
+def test_pieces_are_told_apart_when_hashes_clash(monkeypatch):
+    from quern.llm import hashing
+
+    data, starts, lengths = b"abcabcxabd", np.array([0, 3, 6, 7]), np.array([3, 3, 1, 3])
+    monkeypatch.setattr(hashing, "xxh64_slices", lambda d, s, n, seed=0: np.zeros(len(s), np.uint64) if seed == 0 else s.astype(np.uint64))
+    chosen, own = hashing.distinct_slices(data, starts, lengths)
+    assert [data[s : s + n] for s, n in zip(starts[chosen][own], lengths[chosen][own])] == [b"abc", b"abc", b"x", b"abd"]
