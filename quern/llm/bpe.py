@@ -23,9 +23,9 @@ from quern.llm.hashing import column_bytes, distinct_slices, slices
 
 #: Bytes of a worker's memo of pieces, about, and entries of its memo of token pairs (about 100 bytes each). A full
 #: memo is emptied, which costs time but changes no result.
-MEMO_BYTES, PAIRS = 64 << 20, 200_000
+MEMO_BYTES, PAIRS = 96 << 20, 200_000
 #: Text that is cut into pieces at a time.
-PART_BYTES = 1 << 21
+PART_BYTES = 1 << 20
 
 
 class Vocabulary:
@@ -160,7 +160,7 @@ class Memo(dict):
     """What is known of pieces; emptied when it holds more than so many bytes, about."""
 
     #: Bytes of an entry besides its piece and its ids.
-    ENTRY = 220
+    ENTRY = 140
 
     def __init__(self, most_bytes: int):
         super().__init__()

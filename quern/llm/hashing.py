@@ -61,15 +61,15 @@ def xxh64_slices(data: bytes, starts: np.ndarray, lengths: np.ndarray, seed: int
 
     buf = np.frombuffer(data + b"\0" * 8, np.uint8)
     out = np.empty(len(starts), np.uint64)
-    order = np.argsort(lengths.astype(np.int32), kind="stable")
-    sizes, first = np.unique(lengths[order], return_index=True)
-    ends = np.append(first[1:], len(order))
-    for size, a, b in zip(sizes.tolist(), first.tolist(), ends.tolist()):
-        pick = order[a:b]
+    kinds = np.minimum(lengths, 257).astype(np.uint16)  # a stable sort of 16-bit numbers is a radix sort
+    order = np.argsort(kinds, kind="stable")
+    ends = np.cumsum(np.bincount(kinds, minlength=258))
+    for size in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
+        pick = order[ends[size - 1] if size else 0 : ends[size]]
         if size <= 256:
             out[pick] = _of_length(buf, starts[pick], size, np.uint64(seed))
         else:
-            out[pick] = [xxhash.xxh64_intdigest(data[s : s + size], seed) for s in starts[pick].tolist()]
+            out[pick] = [xxhash.xxh64_intdigest(data[s : s + n], seed) for s, n in zip(starts[pick].tolist(), lengths[pick].tolist())]
     return out
 
 

@@ -24,7 +24,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import filterfalse, islice
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -188,14 +188,16 @@ class LibraryPieces(Memo):
             yield np.concatenate(list(islice(found, n)))
 
     def ids_of(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        new = list(filterfalse(self.__contains__, pieces))
+        found = list(map(self.get, pieces))
+        new = [x for x, ids in zip(pieces, found) if ids is None]
         if self.make_room(len(new), sum(map(len, new)) * 2):
             new = pieces
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
             batch = self.library.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
             self.update((p, array("I", e.ids).tobytes()) for p, e in zip(some, batch))
-        found = list(map(self.__getitem__, pieces))
+        if new:
+            found = list(map(self.__getitem__, pieces))
         return np.frombuffer(b"".join(found), np.uint32), np.array(list(map(len, found)), np.int64) // 4
 
 
