@@ -25,7 +25,7 @@ from quern.llm.hashing import column_bytes, distinct_slices, slices
 #: memo is emptied, which costs time but changes no result.
 MEMO_BYTES, PAIRS = 96 << 20, 200_000
 #: Text that is cut into pieces at a time.
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 21
 
 
 class Vocabulary:
@@ -273,10 +273,10 @@ def split_points(data: bytes, offsets: list[int]) -> tuple[np.ndarray, np.ndarra
     return at_byte[piece], np.searchsorted(piece, text_at)
 
 
-def parts(data: bytes, offsets: list[int]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+def parts(data: bytes, offsets: list[int], part_bytes: int = PART_BYTES) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
     """For runs of texts of a buffer: the distinct pieces, each piece's number among those, and each text's first piece
     and the end."""
-    for a, b in slices(offsets, PART_BYTES):
+    for a, b in slices(offsets, part_bytes):
         part = data[offsets[a] : offsets[b]]
         starts, first = split_points(part, [x - offsets[a] for x in offsets[a : b + 1]])
         ends = np.append(starts[1:], len(part))[: len(starts)]
@@ -284,9 +284,9 @@ def parts(data: bytes, offsets: list[int]) -> Iterator[tuple[list[bytes], np.nda
         yield [part[s:e] for s, e in zip(starts[chosen].tolist(), ends[chosen].tolist())], own, first
 
 
-def encoded(data: bytes, offsets: list[int], memo: Memo) -> Iterator[np.ndarray]:
+def encoded(data: bytes, offsets: list[int], memo: Memo, part_bytes: int = PART_BYTES) -> Iterator[np.ndarray]:
     """The token ids of each text of a buffer."""
-    for pieces, own, first in parts(data, offsets):
+    for pieces, own, first in parts(data, offsets, part_bytes):
         ids, sizes = memo.ids_of(pieces)
         begin, n = np.cumsum(sizes) - sizes, sizes[own]
         upto = np.r_[0, np.cumsum(n)]

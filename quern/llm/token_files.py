@@ -136,8 +136,8 @@ class FrameReader:
         return self.frame_documents(k)[i - self.first_doc[k]]
 
 
-#: Bytes of a worker's memo, about.
-MEMO_BYTES = 96 << 20
+#: Bytes of a worker's memo, about; text that is cut into pieces at a time; pieces that the library gets at a time.
+MEMO_BYTES, PART_BYTES, LINES = 128 << 20, 1 << 22, 1000
 
 
 class LibraryPieces(Memo):
@@ -159,13 +159,16 @@ class LibraryPieces(Memo):
         #: Whether added tokens stand for themselves alone; else the library gets each text that holds one as a whole.
         self.plain = self.library.normalizer is None and not any(t.single_word or t.lstrip or t.rstrip or t.normalized for _, t in added.values())
         self.added = {content: np.array([i], np.uint32) for content, (i, _) in added.items()}
+        ids = lambda text: self.library.encode(text, add_special_tokens=False).ids
+        #: The id that stands between pieces that the library gets in one text, if an end of line is a token of its own.
+        self.between = ids("\n")[0] if self.plain and len(ids("\n")) == 1 and ids("a\n b\nc") == ids("a") + ids("\n") + ids(" b") + ids("\n") + ids("c") else None
         longest_first = sorted(self.added, key=len, reverse=True)
         self.any_added = re.compile(b"|".join(map(re.escape, longest_first)) or rb"(?!)")
 
     def ids(self, data: bytes, offsets: list[int]) -> Iterator[np.ndarray]:
         """The ids of each text of a buffer, as the library gives them for the whole text."""
         if not self.any_added.search(data):
-            yield from encoded(data, offsets, self)
+            yield from encoded(data, offsets, self, PART_BYTES)
             return
         cuts, own = [0], []  # ends of the parts of all texts; the ids of parts that are added tokens
         counts = []
@@ -183,19 +186,38 @@ class LibraryPieces(Memo):
                 whole = not self.plain and self.any_added.search(data, s, e)
                 own.append(np.array(self.library.encode(data[s:e].decode(), add_special_tokens=False).ids, np.uint32) if whole else None)
             counts.append(len(own) - before)
-        found = (ids if known is None else known for ids, known in zip(encoded(data, cuts, self), own))
+        found = (ids if known is None else known for ids, known in zip(encoded(data, cuts, self, PART_BYTES), own))
         for n in counts:
             yield np.concatenate(list(islice(found, n)))
 
+    def _learn(self, words: list[bytes]) -> None:
+        """Of pieces that hold no white space but a U+0020 at their start: each is a line of one text. The end of line
+        before a piece is a piece of its own, and no token of such a piece holds one, so it tells where a piece ends."""
+        if self.between is None:
+            return self._learn_each(words)
+        ids = np.array(self.library.encode_batch_fast([b"\n".join(words).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.append(np.flatnonzero(ids == self.between), len(ids))
+        if len(ends) != len(words):
+            return self._learn_each(words)
+        data = ids.tobytes()
+        cuts = (4 * np.r_[-1, ends]).tolist()
+        self.update((x, data[i + 4 : j]) for x, i, j in zip(words, cuts, cuts[1:]))
+
+    def _learn_each(self, pieces: list[bytes]) -> None:
+        batch = self.library.encode_batch_fast([x.decode() for x in pieces], add_special_tokens=False) if pieces else []
+        self.update((x, array("I", e.ids).tobytes()) for x, e in zip(pieces, batch))
+
     def ids_of(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found = list(map(self.get, pieces))
         new = [x for x, ids in zip(pieces, found) if ids is None]
         if self.make_room(len(new), sum(map(len, new)) * 2):
             new = pieces
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            batch = self.library.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
-            self.update((p, array("I", e.ids).tobytes()) for p, e in zip(some, batch))
+        words, spaces = [], []
+        for x in new:
+            (spaces if x.isspace() or x.decode().isspace() else words).append(x)
+        for i in range(0, len(words), LINES):
+            self._learn(words[i : i + LINES])
+        self._learn_each(spaces)
         if new:
             found = list(map(self.__getitem__, pieces))
         return np.frombuffer(b"".join(found), np.uint32), np.array(list(map(len, found)), np.int64) // 4
