@@ -1,14 +1,17 @@
 """Near-duplicate vectors with a pivot-permutation index.
 
 A vector is described by its nearest reference points (pivots) in order. Vectors that are close see much the same
-pivots, so each pivot's inverted list gathers the vectors that have it among their nearest; two vectors of a list are
-candidates if their descriptions share enough pivots, and candidates are verified with their cosine.
+pivots, so a vector is posted in the inverted lists of the first PREFIX of its pivots; two vectors of a list are
+candidates if their whole descriptions share at least SHARED pivots, and candidates are verified with their cosine.
+Candidates meet by their second shared pivot: inside a list by sublists of further pivots, and a list too long for one
+task is dealt out by those pivots in the shuffle.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -18,14 +21,16 @@ from pyspark.sql import types as T
 from quern.llm.components import connected_components
 from quern.sources.scratch import Scratch
 
-#: Nearest pivots in a description, and how many of them two candidates share at least.
-NEAREST, SHARED = 8, 1
-#: Pivots: one for each LIST_SIZE / NEAREST vectors, at most MAX_PIVOTS (documented bound of the fitted sample).
-LIST_SIZE, MIN_PIVOTS, MAX_PIVOTS = 128, 64, 8192
+#: Nearest pivots in a description, those of them that post a vector, and how many of all two candidates share at least.
+NEAREST, PREFIX, SHARED = 8, 6, 2
+#: Pivots: PIVOTS times the square root of the number of vectors, at most MAX_PIVOTS (documented bound of the fitted sample).
+PIVOTS, MIN_PIVOTS, MAX_PIVOTS = 4, 64, 8192
 #: Pivots with this cosine and more do for each other.
 APART = 0.7
-#: Rows of a list that meet in one task come in two blocks of at most about this many.
-BLOCK = 1024
+#: A list of more vectors is dealt out by second pivots; one of a pair of pivots comes in blocks of about this many.
+LONG = 8192
+#: Vectors compared with one product; lists of so many need no sublists. Hits of a product that are checked one by one.
+TILE, HITS = 512, 1 << 15
 
 
 def _matrix(column, dims: int) -> np.ndarray:
@@ -41,7 +46,7 @@ def choose_pivots(units: DataFrame, n: int, dims: int) -> np.ndarray:
     Of pivots that are close to each other the first stays, so that a dense group of vectors shares its pivot
     rather than dividing itself among many.
     """
-    many = min(MAX_PIVOTS, max(MIN_PIVOTS, 1 << max(0, round(math.log2(max(n, 1) * NEAREST / LIST_SIZE)))))
+    many = min(MAX_PIVOTS, max(MIN_PIVOTS, 1 << round(math.log2(PIVOTS * math.sqrt(max(n, 1))))))
     share = min(1.0, 1.2 * many / max(n, 1) + 64 / max(n, 1))
     h = F.shiftrightunsigned(F.xxhash64("v"), 1)
     near = units.select("v", h.alias("h")).filter(F.col("h") <= min(2**63 - 1, int(share * 2**63)))
@@ -79,73 +84,162 @@ def _described(units: DataFrame, pivots: np.ndarray, dims: int) -> DataFrame:
     return units.mapInArrow(run, schema)
 
 
-def _block_links(pivot: int, xa, xb, near_a, near_b, least: float, shared: int) -> np.ndarray:
-    """Links between rows of two blocks of a pivot's list, each at its first shared pivot only."""
-    common = np.zeros((len(xa), len(xb)), np.uint8)
-    first = np.ones((len(xa), len(xb)), bool)
-    for i in range(near_a.shape[1]):
-        for j in range(near_b.shape[1]):
-            same = near_a[:, i, None] == near_b[None, :, j]
-            common += same
-            first &= ~(same & (near_a[:, i, None] < pivot))
-    return (common >= shared) & first & (xa @ xb.T >= least)
+@dataclass
+class Members:
+    """Vectors of one list that meet in a task, and what their comparison has found."""
+
+    pivot: int
+    x: np.ndarray
+    near: np.ndarray
+    weight: np.ndarray
+    least: float
+    shared: int
+
+    def __post_init__(self):
+        self.links = np.zeros(len(self.x), np.int64)
+        self.edges: list[np.ndarray] = []
+
+    def _holders(self, rows: np.ndarray, upto: int) -> dict[int, np.ndarray]:
+        """Of each pivot among the first upto of these rows' descriptions the rows that have it, by place in rows."""
+        flat = self.near[rows, :upto].ravel()
+        by_pivot = np.argsort(flat, kind="stable")
+        pivots, first = np.unique(flat[by_pivot], return_index=True)
+        return dict(zip(pivots.tolist(), np.split(by_pivot // upto, first[1:])))
+
+    def _others_out(self, hit: np.ndarray, a: np.ndarray, b: np.ndarray, second: int) -> None:
+        """Leaves the pairs whose first shared posting pivot is this list's, and whose first further one is ``second``."""
+        for upto, limit in ((min(PREFIX, self.near.shape[1]), self.pivot), (self.near.shape[1], second)):
+            held = self._holders(b, upto) if limit > 0 else {}
+            for pivot, rows in self._holders(a, upto).items() if held else ():
+                if pivot < limit and pivot != self.pivot and pivot in held:
+                    hit[np.ix_(rows, held[pivot])] = False
+
+    def compare(self, a: np.ndarray, b: np.ndarray, second: int = -1) -> None:
+        """Counts the links between two sets of rows (the same set, or apart) that belong to this list and ``second``;
+        without a second pivot all that share enough pivots."""
+        same = a is b
+        for i in range(0, len(a), TILE):
+            for j in range(i if same else 0, len(b), TILE):
+                ia, ib = a[i : i + TILE], b[j : j + TILE]
+                hit = self.x[ia] @ self.x[ib].T >= self.least
+                if same and i == j:
+                    hit = np.triu(hit, 1)
+                n = np.count_nonzero(hit)
+                if not n:
+                    continue
+                if n <= HITS:
+                    p, q = np.nonzero(hit)
+                    kept = self._own(ia[p], ib[q], second)
+                    p, q = ia[p[kept]], ib[q[kept]]
+                    np.add.at(self.links, p, self.weight[q])
+                    np.add.at(self.links, q, self.weight[p])
+                    self.edges.append(np.stack([p, q]))
+                    continue
+                if self.shared > (1 if second < 0 else 2):
+                    enough = np.zeros(hit.shape, np.uint8)
+                    held = self._holders(ib, self.near.shape[1])
+                    for pivot, rows in self._holders(ia, self.near.shape[1]).items():
+                        if pivot in held:
+                            enough[np.ix_(rows, held[pivot])] += 1
+                    hit &= enough >= self.shared
+                self._others_out(hit, ia, ib, second)
+                self.links[ia] += hit @ self.weight[ib]
+                self.links[ib] += hit.T @ self.weight[ia]
+                self._spanned(hit, ia, ib)
+
+    def _own(self, p: np.ndarray, q: np.ndarray, second: int) -> np.ndarray:
+        same = self.near[p][:, :, None] == self.near[q][:, None, :]
+        common = np.where(same.any(2), self.near[p], MAX_PIVOTS)
+        posted = np.where(same[:, :PREFIX, :PREFIX].any(2), self.near[p][:, :PREFIX], MAX_PIVOTS)
+        kept = (posted.min(1) == self.pivot) & (same.any(2).sum(1) >= self.shared)
+        return kept & (np.where(common == self.pivot, MAX_PIVOTS, common).min(1) == second) if second >= 0 else kept
+
+    def _spanned(self, hit: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> None:
+        """Edges that connect what the hits of a product connect, at most one for each row."""
+        none = len(self.x)
+        la, lb = np.where(hit.any(1), ia, none), np.where(hit.any(0), ib, none)
+        while True:
+            na = np.minimum(la, np.where(hit, lb[None, :], none).min(1))
+            nb = np.minimum(lb, np.where(hit, na[:, None], none).min(0))
+            if np.array_equal(na, la) and np.array_equal(nb, lb):
+                break
+            la, lb = na, nb
+        self.edges.append(np.concatenate([np.stack([r[x < none], x[x < none]]) for r, x in ((ia, la), (ib, lb))], axis=1))
+
+    def labels(self) -> np.ndarray:
+        """Of each row the first one of its connected part."""
+        label = np.arange(len(self.x))
+        if self.edges:
+            p, q = np.concatenate(self.edges, axis=1)
+            while True:
+                new = label.copy()
+                np.minimum.at(new, p, label[q])
+                np.minimum.at(new, q, label[p])
+                new = new[new]
+                if np.array_equal(new, label):
+                    break
+                label = new
+        return label
 
 
 def _list_links(lists: DataFrame, dims: int, least: float, shared: int) -> DataFrame:
-    """(u, links, root): for each vector of a block pair how many vectors (copies counted) it is linked with there,
-    and a vector of its connected part of that block pair. No pair is listed."""
+    """(u, links, root): for each vector of a list how many vectors (copies counted) it is linked with there, and a
+    vector of its connected part of that list. No pair is listed."""
 
     def run(table):
         import pyarrow as pa
 
-        pivot, ba, bb = (table.column(c)[0].as_py() for c in ("pivot", "ba", "bb"))
+        pivot, second, ba, bb = (table.column(c)[0].as_py() for c in ("pivot", "second", "ba", "bb"))
         u, w, block = (table.column(c).to_numpy() for c in ("u", "w", "block"))
-        x = _matrix(table.column("v"), dims)
         near = _matrix(table.column("near"), len(table.column("near")[0])).astype(np.int32)
-        a = np.flatnonzero(block == ba)
-        b = np.flatnonzero(block == bb)
-        # a very long list's blocks can still exceed BLOCK by chance: tile them
-        links, edges = np.zeros(len(u), np.int64), []
-        label = np.arange(len(u))
-        tiles = []
-        for i in range(0, len(a), BLOCK):
-            for j in range(0, len(b), BLOCK):
-                ia, ib = a[i : i + BLOCK], b[j : j + BLOCK]
-                if ba == bb and j < i:
-                    continue
-                hit = _block_links(pivot, x[ia], x[ib], near[ia], near[ib], least, shared)
-                if ba == bb and i == j:
-                    np.fill_diagonal(hit, False)
-                    links[ia] += hit @ w[ib]
-                else:
-                    links[ia] += hit @ w[ib]
-                    links[ib] += hit.T @ w[ia]
-                if hit.any():
-                    tiles.append((ia, ib, hit))
-        changed = bool(tiles)
-        while changed:
-            before = label.copy()
-            for ia, ib, hit in tiles:
-                label[ia] = np.minimum(label[ia], np.where(hit, label[ib][None, :], len(u)).min(1))
-                label[ib] = np.minimum(label[ib], np.where(hit, label[ia][:, None], len(u)).min(0))
-            label = label[label]
-            changed = not np.array_equal(before, label)
-        keep = links > 0
-        return pa.table({"u": u[keep], "links": links[keep], "root": u[label[keep]]})
-
-    return lists.groupBy("pivot", "ba", "bb").applyInArrow(run, "u long, links long, root long")
+        members = Members(pivot, _matrix(table.column("v"), dims), near, w, least, min(shared, near.shape[1]))
+        everyone = np.arange(len(u))
+        if ba != bb:
+            members.compare(everyone[block == ba], everyone[block == bb], second)
+        elif second >= 0 or len(u) <= TILE or members.shared < 2:
+            members.compare(everyone, everyone, second)
+        else:
+            for further, rows in members._holders(everyone, near.shape[1]).items():
+                if further != pivot and len(rows) > 1:
+                    members.compare(rows, rows, further)
+        keep = members.links > 0
+        return pa.table({"u": u[keep], "links": members.links[keep], "root": u[members.labels()[keep]]})
+
+    return lists.groupBy("pivot", "second", "ba", "bb").applyInArrow(run, "u long, links long, root long")
+
+
+def _lists(described: DataFrame, long: int) -> DataFrame:
+    """described posted in the lists of the first PREFIX pivots: pivot, second (-1 for a whole list), block, ba, bb.
+
+    Vectors of a long list are posted by each further pivot instead, and where the two pivots' list is long too (a
+    dense group) in each pair of its blocks.
+    """
+    posts = described.withColumn("pivot", F.explode(F.slice("near", 1, PREFIX)))
+    # one number for each pivot, and there are at most MAX_PIVOTS of them
+    sizes = posts.groupBy("pivot").agg((F.count(F.lit(1)) > long).alias("is_long"))
+    posts = posts.join(F.broadcast(sizes), "pivot")
+    keep = ["u", "w", "v", "near", "pivot"]
+    whole = posts.filter("not is_long").select(*keep, *(F.lit(k).alias(c) for c, k in (("second", -1), ("block", 0), ("ba", 0), ("bb", 0))))
+    further = F.filter("near", lambda x: x != F.col("pivot"))
+    dealt = posts.filter("is_long").select(*keep, F.explode(F.when(F.size(further) > 0, further).otherwise(F.array(F.lit(-1)))).alias("second"))
+    pairs = dealt.groupBy("pivot", "second").agg(F.ceil(F.count(F.lit(1)) / long).cast("int").alias("blocks")).filter("blocks > 1")
+    dealt = dealt.join(pairs, ["pivot", "second"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(*keep, "second", "block", F.least("block", "other").alias("ba"), F.greatest("block", "other").alias("bb"))
+    return whole.unionByName(dealt)
 
 
 def near_duplicate_vectors(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, shared: int = SHARED
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, shared: int = SHARED, long: int = LONG
 ) -> DataFrame:
     """One row per row of vectors: id_col, n_links, component_id, kept.
 
     Links are pairs with cosine >= least, computed in double precision. Vectors that are null, empty, zero, or hold a
     null or non-finite component link with nothing; so do vectors of different lengths with each other (each length
     has an index of its own). Equal vectors become one vector with a weight before anything is compared; n_links counts
-    all of its copies. A hot list is cut into blocks, and block pairs are compared apart; they pass on counts and
-    one edge per vector, never pairs. Repeated ids count as vectors of their own and share results; null ids get
+    all of its copies. Lists pass on counts and one edge per vector, never pairs; a list of more than ``long`` vectors is
+    dealt out, so no task's rows grow with the table. Repeated ids count as vectors of their own and share results; null ids get
     component_id null unless linked with others. An empty table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
@@ -165,13 +259,7 @@ def near_duplicate_vectors(
     for dims, n in sorted((r["dims"], r["count"]) for r in classes.groupBy(F.size("v").alias("dims")).count().collect()):
         units = classes.filter(F.size("v") == dims).select("u", "w", "v")
         described = scratch.table(_described(units, choose_pivots(units, n, dims), dims))
-        lists = described.withColumn("pivot", F.explode("near"))
-        # one number for each pivot, and there are at most MAX_PIVOTS of them
-        blocks = lists.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        lists = lists.join(F.broadcast(blocks), "pivot").withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        lists = lists.select("u", "w", "v", "near", "pivot", "block", other)
-        lists = lists.withColumn("ba", F.least("block", "other")).withColumn("bb", F.greatest("block", "other")).drop("other")
+        lists = _lists(described, long)
         part = _list_links(lists, dims, least, shared)
         found = part if found is None else found.unionByName(part)
     if found is None:
