@@ -248,10 +248,12 @@ def near_duplicate_vectors(
     finite = "forall(e, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(e, x -> x <> 0)"
     good = rows.filter(f"e is not null and size(e) > 0 and {finite}")
     classes = good.groupBy("e").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("w"))
-    # scaling by the largest component first keeps squares of very large and very small vectors finite
-    scaled = F.expr("transform(e, x -> x / array_max(transform(e, y -> abs(y))))")
-    classes = classes.withColumn("s", scaled)
-    unit = F.expr("transform(s, x -> x / sqrt(aggregate(s, 0D, (a, y) -> a + y * y)))")
+    # scaling by the largest component first keeps squares of very large and very small vectors finite; each divisor is
+    # bound to a variable, as it would be computed again for every component
+    divided = "transform(array(named_struct('v', {0}, 'by', {1})), t -> transform(t.v, x -> x / t.by))[0]"
+    scaled = divided.format("e", "array_max(transform(e, y -> abs(y)))")
+    classes = classes.withColumn("s", F.expr(scaled))
+    unit = F.expr(divided.format("s", "sqrt(aggregate(s, 0D, (a, y) -> a + y * y))"))
     classes = classes.select(F.monotonically_increasing_id().alias("u"), "e", "least", "w", unit.alias("v"))
     classes = scratch.table(classes)
 
