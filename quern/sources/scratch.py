@@ -5,18 +5,21 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder named by spark.checkpoint.dir; a temporary one of our own only where it is unset and all runs here."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="quern-")
     spark.sparkContext.setCheckpointDir(own)
     return shared_dir(spark)
@@ -32,14 +35,16 @@ class Scratch:
     """Parquet tables that cut lineage: a lost executor re-reads files instead of re-running the plan.
 
     Tables are named by a random run id, so reruns and concurrent jobs never meet. ``drop`` frees a table
-    that no later plan reads; the rest goes when the driver process ends.
+    that no later plan reads; the rest goes with ``release``, or when the driver process ends.
     """
 
+    _open: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/quern-{label}-{uuid.uuid4().hex}"
         self._n = 0
-        atexit.register(self._close)
+        Scratch._open.append(self)
 
     def path(self) -> str:
         self._n += 1
@@ -60,3 +65,10 @@ class Scratch:
             delete(self.spark, self.root)
         except Exception:  # the session has ended first; its files are the cluster's to expire
             pass
+
+
+@atexit.register
+def release() -> None:
+    """Frees the tables of all operators so far. Results that were not written or collected can't be read any more."""
+    while Scratch._open:
+        Scratch._open.pop()._close()
