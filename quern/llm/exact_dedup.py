@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quern.functions.names import column, columns, unused
 from quern.functions.text import ascii_lower
 from quern.sources.scratch import Scratch
 
@@ -59,7 +60,7 @@ def text_identities(
 ) -> DataFrame:
     """(id, sha, m, level, name): one row per distinct pair of id and text, m the number of such rows."""
     scratch = Scratch(docs.sparkSession, "exact")
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("t"))
+    texts = docs.select(column(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("t"))
     rows, keys = _level_zero(texts, scratch, block_bytes, hash_bits)
     longest = rows.agg(F.max("n")).first()[0] or 1
     named = scratch.table(_named(rows, keys).select("id", "sha", "m", "n", "pos", "name"))
@@ -95,9 +96,10 @@ def exact_duplicates(
     Texts are equal when they are identical after lower-casing A-Z; null counts as empty. The row with the
     largest id stays. Rows that repeat both id and text get one row each, and one of them is kept. A null id
     is smaller than every other. An empty table gives no rows. Only id_col and text_col are read, so further
-    columns, whatever their names, do no harm. hash_bits below 64 forces clashes, for tests.
+    columns, whatever their names, do no harm. A very long text is cut into blocks, so no step needs more memory for it
+    than its own size. hash_bits below 64 forces clashes, for tests.
     """
-    ids = text_identities(docs, id_col, ascii_lower(F.col(text_col)), block_bytes, hash_bits)
+    ids = text_identities(docs, id_col, ascii_lower(column(text_col)), block_bytes, hash_bits)
     groups = ids.groupBy("level", "name").agg(F.max("id").alias("keep_id"), F.sum("m").alias("group_size"))
     # as a table of its own it meets ids in a plain shuffle join, whose large groups adaptive execution can split
     groups = Scratch(docs.sparkSession, "exact").table(groups)
@@ -110,19 +112,18 @@ def exact_duplicates(
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that ``exact_duplicates`` does not keep; columns as they were.
+    """docs without the rows that ``exact_duplicates`` does not keep; columns as they were, whatever their names.
 
-    The rows to drop are found by id and text hash. Rows that repeat both are reduced to one by their
-    place within that pair, which is a window over repeats of one row only.
+    The rows to drop are found by id and text hash. Of rows that repeat both the one whose columns come first as JSON
+    stays. Nulls, very long texts and empty tables as in ``exact_duplicates``.
     """
     verdict = exact_duplicates(docs, id_col, text_col)
-    keep = verdict.filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
-    sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
+    own_id, own_sha, sha, row, group = unused(docs.columns, "id", "sha", "h", "row", "group")
+    keep = verdict.filter("kept").select(column(id_col).alias(own_id), F.col("text_sha256").alias(own_sha))
+    rows = docs.withColumn(sha, F.sha2(ascii_lower(F.coalesce(column(text_col), F.lit(""))), 256))
     repeated = verdict.groupBy(id_col).count().filter("count > 1").limit(1).count() > 0
-    rows = docs.withColumn("__h", sha)
     if repeated:  # ids alone do not name rows: keep one row of each kept pair of id and text
-        cols = [c for c in docs.columns]
-        rows = rows.groupBy(F.col(id_col).alias("__gid"), "__h").agg(*[F.first(F.struct(*cols)).alias("__row")])
-        rows = rows.select("__row.*", "__h")
-    match = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__sha"))
-    return rows.join(keep, match, "left_semi").select(*docs.columns)
+        whole = F.struct(*columns(docs))
+        rows = rows.groupBy(column(id_col).alias(group), sha).agg(F.min_by(whole, F.to_json(whole)).alias(row)).select(f"{row}.*", sha)
+    match = column(id_col).eqNullSafe(F.col(own_id)) & (F.col(sha) == F.col(own_sha))
+    return rows.join(keep, match, "left_semi").select(*columns(docs))

@@ -1,10 +1,12 @@
 """Main text of web pages from the events of the standard library's streaming HTML parser.
 
 Parser events are folded into lines, one per block of text, each with its ratio of text to tags. The ratios are
-smoothed along the page with a Gaussian; lines above a threshold are the seeds of content, and the containers that
-hold seeds are the content regions. An article or main element is one region; its seeds count PRIOR times when the
-regions of a page are weighed against each other, so cards that are articles do not outweigh a body in a div. What a page marks as navigation, header, footer, sidebar, notice, advert,
-form, script, style or reader comment makes no lines at all.
+smoothed along the page with a Gaussian; lines whose smoothed ratio is at least THRESHOLD standard deviations of all of
+the page's (threshold clustering, as published with the text-to-tag ratio) are the seeds of content, and the containers
+that hold seeds are the content regions. An article or main element is one region; its seeds count PRIOR times when the
+regions of a page are weighed against each other, so cards that are articles do not outweigh a body in a div. What a
+page marks as navigation, header, footer, sidebar, notice, advert, form, script, style or reader comment makes no lines
+at all.
 """
 
 from __future__ import annotations
@@ -239,7 +241,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """(id_col, url_col, text, n_chars), one row per row of pages, from the whole html.
 
     Null and empty pages, and pages without content, give an empty text. A page that is cut short gives what comes
-    before the cut; a tag cut in two is no text. Repeated rows give repeated results; other columns are not read.
+    before the cut; a tag cut in two is no text. Pages are read whole; a very long one takes about ten times its size in
+    a worker. An empty table gives no rows. Repeated rows give repeated results; other columns are not read.
     """
     kinds = [T.StructField("id", pages.schema[id_col].dataType), T.StructField("url", pages.schema[url_col].dataType)]
     kinds += [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]

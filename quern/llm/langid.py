@@ -84,7 +84,12 @@ class Model:
         minus = (share.T @ (1 - on)) / (1 - on).sum(0)
         odds = np.log(plus / minus)
         apart = (code * (share @ odds)).mean(0)
-        return cls(languages, code, (odds / apart).astype(np.float32), apart / apart.sum())
+        # a bit that tells nothing apart (languages with the same counts) has no say
+        useful = apart > 1e-9
+        if not useful.any():
+            return cls(languages, code, np.zeros(odds.shape, np.float32), np.full(len(apart), 1 / len(apart)))
+        odds = np.where(useful, odds / np.where(useful, apart, 1.0), 0.0)
+        return cls(languages, code, odds.astype(np.float32), np.where(useful, apart, 0.0) / apart[useful].sum())
 
     def predict(self, data: bytes, offsets: list[int]) -> Iterator[tuple[str, float, bool]]:
         """(language, score, ambiguous) of each text of a buffer."""
@@ -158,25 +163,27 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     """
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
     table = _counts(rows).toArrow()
-    langs, feature, n = (table.column(k) for k in ("lang", "feature", "n"))
-    counts: dict[str, np.ndarray] = {}
-    feature, n, langs = feature.to_numpy(), n.to_numpy(), np.array(langs.to_pylist(), dtype=object)
-    for lang in set(langs.tolist()):
-        counts[lang] = np.zeros(FEATURES, np.int64)
-        counts[lang][feature[langs == lang]] = n[langs == lang]
-    return Model.from_counts(counts)
+    langs = table.column("lang").dictionary_encode().combine_chunks()
+    counts = np.zeros((len(langs.dictionary), FEATURES), np.int64)
+    counts[langs.indices.to_numpy(), table.column("feature").to_numpy()] = table.column("n").to_numpy()
+    return Model.from_counts(dict(zip(langs.dictionary.to_pylist(), counts)))
 
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:
     """docs with lang_pred (a learned language or "und"), score (0 to 1) and ambiguous, read from the whole text alone.
 
     Null texts and texts without a letter get "und", score 0 and are ambiguous; so do all if nothing was learned.
+    A text that fits several languages alike (two with the same counts) is ambiguous and gets the first of them. A very
+    long text takes about ten times its size in a worker. Repeated rows give repeated results, an empty table none;
+    docs must not have the new columns' names (``prefix`` goes before them).
     """
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(model)
     names = [f"{prefix}lang_pred", f"{prefix}score", f"{prefix}ambiguous"]
-    added = zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()))
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(*x) for x in added)])
+    # the worker sees columns by number, as their names may hold dots and backticks
+    numbers = [f"c{k}" for k in range(len(docs.columns) + 3)]
+    kinds = [*(f.dataType for f in docs.schema.fields), T.StringType(), T.DoubleType(), T.BooleanType()]
+    schema = T.StructType([T.StructField(*x) for x in zip(numbers, kinds)])
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator) -> Iterator:
@@ -185,9 +192,9 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text", prefix:
         for batch in batches:
             found = list(known.value.predict(*column_bytes(batch.column(place))))
             more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(batch.columns + more, batch.schema.names + names)
+            yield pa.RecordBatch.from_arrays(batch.columns + more, numbers)
 
-    return docs.mapInArrow(run, schema)
+    return docs.toDF(*numbers[:-3]).mapInArrow(run, schema).toDF(*docs.columns, *names)
 
 
 def fold(id_col: str, folds: int) -> Column:
@@ -199,7 +206,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """(id_col, held_out, lang_pred, score, ambiguous), one row per row of docs.
 
     Learns from the folds 0 and 2 of three; ids only choose the fold. See ``with_language`` for nulls and empty
-    texts. Repeated rows count and are answered as often as they stand. An empty table gives no rows.
+    and very long texts. Rows without a language teach nothing. Repeated rows count and are answered as often as they
+    stand. Other columns are not read. An empty table gives no rows.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     model = train(slim.filter(fold("id", 3) != 1))

@@ -1,10 +1,10 @@
 """License scans with a positional rare-token index.
 
-Templates (licence notices and phrases) are indexed by their rarest words: word -> (template, position). In a
-file only those words are looked up. Each hit votes for a template at a place, its own position less the word's
-position in the template; places with enough votes are verified by comparing the template's mandatory key phrases
-where they ought to stand. Rarity is measured over the corpus: a word's IDF comes from the number of documents
-that hold it.
+Templates (licence notices and phrases) are indexed by their words: word -> (template, position). Of a file's words that
+stand in a template whose mandatory words it has, the ones with the highest IDF are looked up. Each hit votes for a
+template at a place, its own position less the word's position in the template; places with enough votes are verified
+by comparing the template's mandatory key phrases where they ought to stand. Rarity is measured over the corpus: a
+word's IDF comes from the number of documents that hold it.
 """
 
 from __future__ import annotations
@@ -57,19 +57,37 @@ NOTICES = (
     Template("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", ("gnu lesser general public license",)),
     Template("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", ("gnu affero general public license",)),
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    Template("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
-    Template("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
-    Template("cc-by-nd", "licensed under cc by nd 4 0", ("cc by nd",)),
     Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
     Template("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
     Template("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
     Template("cc0", "the person who associated a work with this deed has dedicated the work to the public domain cc0 1 0 universal", ("dedicated the work to the public domain",)),
+    Template("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", ("provided by the copyright holders and contributors as is", "are disclaimed")),
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("this permission notice shall be included in all copies",)),
+    Template("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license 2 0",)),
+    Template("bsl-1.0", "distributed under the boost software license version 1 0", ("boost software license version 1 0",)),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("provided as is without any express or implied warranty", "authors be held liable")),
+    Template("wtfpl", "do what the fuck you want to public license", ("do what the fuck you want to public license",)),
+    Template("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", ("sil open font license",)),
+    Template("artistic-2.0", "distributed under the terms of the artistic license 2 0", ("artistic license 2 0",)),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software released into the public domain",)),
 )
 
-TEMPLATES = tuple(Template(label, phrase, (phrase,), True) for phrase, label in BASE_PHRASES) + NOTICES
+# Identifiers of the SPDX list, as they follow "SPDX-License-Identifier:", and terms of Creative Commons.
+SPDX = "MIT Apache-2.0 GPL-2.0 GPL-3.0 LGPL-2.1 LGPL-3.0 AGPL-3.0 BSD-2-Clause BSD-3-Clause MPL-2.0 ISC EPL-2.0 BSL-1.0 Zlib 0BSD CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 Unlicense".split()
+CC_TERMS = ("by nc", "by sa", "by nd", "by nc sa", "by nc nd")
 
-#: Rarest words of a template that are indexed; a template with fewer words is indexed by all.
+
+def _phrase(label: str, words: str, base: bool = False) -> Template:
+    return Template(label, words, (words,), base)
+
+
+TEMPLATES = (
+    *(_phrase(label, phrase, True) for phrase, label in BASE_PHRASES), *NOTICES,
+    *(_phrase(x.lower(), "spdx license identifier " + x.lower().replace("-", " ").replace(".", " ")) for x in SPDX),
+    *(_phrase("cc-" + x.replace(" ", "-"), f"cc {x}") for x in CC_TERMS),
+)
+
+#: A file's words with the highest IDF that are looked up for a template, all if it has fewer.
 ANCHORS = 5
 #: Share of a template's anchors that must agree on a place, give or take SLACK words of insertions.
 VOTES, SLACK = 0.6, 2
@@ -88,39 +106,57 @@ def words_of(raw: bytes) -> list[bytes]:
 class Index:
     templates: tuple[Template, ...]
     words: list[list[bytes]]
-    #: word -> (template, position of the word in it)
-    postings: dict[bytes, list[tuple[int, int]]]
-    needed: list[int]
-    #: per template: (first word's position, words) of its key phrases
+    #: word -> its rank by IDF, the rarest first
+    rank: dict[bytes, int]
+    #: template -> word -> positions of the word in it
+    postings: list[dict[bytes, list[int]]]
+    #: per template: (first word's position, words) of its key phrases, and all their words
     keys: list[list[tuple[int, list[bytes]]]]
+    mandatory: list[frozenset[bytes]]
+    #: rarest mandatory word -> templates
+    by_rarest: dict[bytes, list[int]]
 
     @classmethod
     def build(cls, templates: tuple[Template, ...], idf: dict[bytes, float]) -> Index:
         words = [words_of(t.text.encode()) for t in templates]
-        postings, needed, keys = defaultdict(list), [], []
+        rank = {w: k for k, w in enumerate(sorted(set().union(*words), key=lambda w: (-idf.get(w, 0.0), w)))}
+        postings, keys, mandatory, by_rarest = [], [], [], defaultdict(list)
         for k, (t, own) in enumerate(zip(templates, words)):
-            # a base phrase is anchored at its one rarest word, and so are all its places found
-            rare = sorted(range(len(own)), key=lambda i: (-idf.get(own[i], 0.0), i))[: 1 if t.base else ANCHORS]
-            for i in rare:
-                postings[own[i]].append((k, i))
-            needed.append(max(1, math.ceil(VOTES * len(rare))))
+            places = defaultdict(list)
+            for i, w in enumerate(own):
+                places[w].append(i)
+            postings.append(dict(places))
             spans = []
             for phrase in t.key_phrases:
                 part = words_of(phrase.encode())
-                at = next(i for i in range(len(own)) if own[i : i + len(part)] == part)
-                spans.append((at, part))
+                spans.append((next(i for i in range(len(own)) if own[i : i + len(part)] == part), part))
             keys.append(spans)
-        return cls(templates, words, dict(postings), needed, keys)
+            mandatory.append(frozenset(w for _, part in spans for w in part))
+            by_rarest[min(mandatory[-1], key=rank.__getitem__)].append(k)
+        return cls(templates, words, rank, postings, keys, mandatory, dict(by_rarest))
+
+    def anchors(self, k: int, present: set[bytes]) -> list[bytes]:
+        """The words of a file to look up for a template: a base phrase needs its rarest word alone to have all its places."""
+        own = sorted(self.postings[k].keys() & present, key=self.rank.__getitem__)
+        return own[: 1 if self.templates[k].base else ANCHORS]
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], dict[str, float]]:
         """Base places as (start, label), and labels of verified notices with the share of their words found."""
-        if self.postings.keys().isdisjoint(words):
+        present = self.rank.keys() & words
+        chosen = {k: self.anchors(k, present) for w in present & self.by_rarest.keys() for k in self.by_rarest[w] if self.mandatory[k] <= present}
+        if not chosen:
             return [], {}
+        wanted: dict[bytes, list[int]] = defaultdict(list)
+        for k, own in chosen.items():
+            for w in own:
+                wanted[w].append(k)
         votes = Counter()
         for i, w in enumerate(words):
-            for k, at in self.postings.get(w, ()):
-                votes[k, i - at] += 1
-        places, labels = [], {}
+            if w in wanted:
+                for k in wanted[w]:
+                    for at in self.postings[k][w]:
+                        votes[k, i - at] += 1
+        places, found = [], []
         for k, start in sorted(votes):
             t, size = self.templates[k], len(self.words[k])
             if t.base:
@@ -128,16 +164,33 @@ class Index:
                     places.append((start, t.label))
                 continue
             near = sum(votes[k, start + d] for d in range(-SLACK, SLACK + 1))
-            if near < self.needed[k] or not all(self._stands(words, start + at, part) for at, part in self.keys[k]):
+            spans = [self._stands(words, start + at, part) for at, part in self.keys[k]]
+            if near < math.ceil(VOTES * len(chosen[k])) or None in spans:
                 continue
             window = Counter(words[max(0, start - SLACK) : max(0, start + size + SLACK)])
-            share = sum((Counter(self.words[k]) & window).values()) / size
-            labels[t.label] = max(labels.get(t.label, 0.0), share)
+            found.append((spans, t.label, sum((Counter(self.words[k]) & window).values()) / size))
+        labels = {}
+        for spans, label, share in self._outermost(found):
+            labels[label] = max(labels.get(label, 0.0), share)
         return places, labels
 
     @staticmethod
-    def _stands(words: list[bytes], at: int, part: list[bytes]) -> bool:
-        return any(a >= 0 and words[a : a + len(part)] == part for a in range(at - SLACK, at + SLACK + 1))
+    def _outermost(found: list) -> list:
+        """Without notices all of whose key phrases stand inside longer key phrases of others: cc by nc in cc by nc sa."""
+        spans = sorted({x for own, *_ in found for x in own}, key=lambda x: (x[0], -x[1]))
+        inside, last = set(), None
+        for x in spans:
+            if last and x[1] <= last[1]:
+                inside.add(x)
+            else:
+                last = x
+        return [x for x in found if not inside.issuperset(x[0])]
+
+    @staticmethod
+    def _stands(words: list[bytes], at: int, part: list[bytes]) -> tuple[int, int] | None:
+        """Start and end of the part, at its place or near it."""
+        near = sorted(range(at - SLACK, at + SLACK + 1), key=lambda a: abs(a - at))
+        return next(((a, a + len(part)) for a in near if a >= 0 and words[a : a + len(part)] == part), None)
 
 
 def word_idf(docs: DataFrame, text_col: str, templates: tuple[Template, ...] = TEMPLATES) -> dict[bytes, float]:
@@ -169,8 +222,9 @@ def scan_licenses(
     n_base counts all places of the base phrases, first_word and last_word are the smallest and largest word at
     which one starts (null if none). labels adds the labels of verified notices; notices holds those with the share
     of the notice's words that were found. score: 0 without a label, 0.5 for base phrases alone, otherwise 0.5 plus
-    half of the best share. Null and empty texts have no words and no labels ("" and score 0). Repeated rows give
-    repeated results; other columns are not read.
+    half of the best share. Null and empty texts have no words and no labels ("" and score 0). Texts are read
+    whole; a very long one takes about fifteen times its size in a worker. Repeated rows give repeated results; other
+    columns are not read; an empty table gives no rows.
     """
     index = Index.build(templates, word_idf(docs, text_col, templates))
     fields = [("n_words", T.LongType()), ("n_base", T.LongType()), ("first_word", T.LongType()), ("last_word", T.LongType())]

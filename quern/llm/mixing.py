@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quern.functions.names import column, columns, unused
 from quern.functions.text import word_count
 from quern.sources.scratch import Scratch
 
@@ -22,7 +23,7 @@ HASH_BITS, DIGIT_BITS = 60, 12
 
 def unit_hash(id_col: str):
     """The first 60 bits of the id's MD5, as a non-negative long; any SQL engine can compute it."""
-    text = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    text = F.coalesce(column(id_col).cast("string"), F.lit("null"))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
@@ -91,8 +92,8 @@ def _thresholds(slim: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFr
 
 def _cut(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, share, most) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch(docs.sparkSession, "mix")
-    source = F.col(source_col).cast("string").alias("source")
-    slim = docs.select(F.col(id_col).alias("id"), source, word_count(F.col(text_col)).alias("size"), unit_hash(id_col).alias("hash"))
+    source = column(source_col).cast("string").alias("source")
+    slim = docs.select(column(id_col).alias("id"), source, word_count(column(text_col)).alias("size"), unit_hash(id_col).alias("hash"))
     slim = scratch.table(slim)
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     return slim, _thresholds(slim, source_targets(sizes, weights, share, most), scratch)
@@ -113,7 +114,8 @@ def mix_table(
     last, get the weights in turn; ``share`` of all words is dealt out, at most ``most`` times a source's words.
     A source's taken words differ from its target by at most half of one document's words (of all documents of
     one id, if ids repeat: they share a hash and are taken alike). A null id hashes like the text "null". Sources
-    of size 0 take nothing. An empty table gives no rows. Other columns are not read. One row per source is sorted
+    of size 0 take nothing. Of a text only its number of words is kept, however long it is. An empty table gives no rows.
+    Other columns are not read. One row per source is sorted
     in one task; one row per document never is.
     """
     slim, cut = _cut(docs, id_col, text_col, source_col, weights, share, most)
@@ -132,15 +134,16 @@ def mix(
     share: float = 1.5,
     most: float = 2.0,
 ) -> DataFrame:
-    """docs with each row as often as ``mix_table`` takes it (0, 1, 2... times); columns as they were.
+    """docs with each row as often as ``mix_table`` takes it (0, 1, 2... times); columns as they were, whatever their
+    names.
 
     A document is compared with its source's threshold where it stands: texts are not shuffled unless the
     thresholds, one row per source, outgrow a broadcast. Documents without words follow the threshold like any other.
+    Null texts, ids and sources, repeated rows, very long texts and empty tables as in ``mix_table``.
     """
     _, cut = _cut(docs, id_col, text_col, source_col, weights, share, most)
-    cut = cut.select(F.col("source").alias("__source"), F.col("whole").alias("__whole"), F.col("last").alias("__last"))
-    rows = docs.join(cut, docs[source_col].cast("string").eqNullSafe(F.col("__source")))
-    copies = F.col("__whole") + (unit_hash(id_col) <= F.col("__last")).cast("long")
-    rows = rows.withColumn("__copies", copies).filter("__copies > 0")
-    rows = rows.withColumn("__copy", F.explode(F.expr("sequence(1L, __copies)")))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    source, whole, last, copies, copy = unused(docs.columns, "source", "whole", "last", "copies", "copy")
+    cut = cut.select(F.col("source").alias(source), F.col("whole").alias(whole), F.col("last").alias(last))
+    rows = docs.join(cut, column(source_col).cast("string").eqNullSafe(F.col(source)))
+    rows = rows.withColumn(copies, F.col(whole) + (unit_hash(id_col) <= F.col(last)).cast("long")).filter(F.col(copies) > 0)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*columns(docs))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from quern.functions.names import column, columns, unused
 from quern.llm.components import connected_components
 from quern.llm.hashing import column_bytes, slices, xxh64_slices
 from quern.sources.scratch import Scratch
@@ -91,7 +92,7 @@ def with_fingerprint(docs: DataFrame, id_col: str, text_col: str, shingle: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["id", "fp"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(column(id_col).alias("id"), column(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def neighbours(points: DataFrame, radius: int = 2) -> DataFrame:
@@ -124,7 +125,8 @@ def near_duplicates(
     component_id is the smallest id reachable over fingerprints that differ in at most radius bits. Null and empty
     texts have fingerprint 0 and are linked like any other. Equal fingerprints, however many, become one point
     before anything is compared. A null id counts only where its whole component has no other: component_id is
-    then null. Repeated rows give repeated results. An empty table gives no rows; other columns are not read.
+    then null. Texts are read whole; a very long one takes about ten times its size in a worker. Repeated rows give
+    repeated results. An empty table gives no rows; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.table(with_fingerprint(docs, id_col, text_col, shingle))
@@ -139,10 +141,12 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each component: the one whose id names it. Columns as they were.
+    """docs with one row of each component: the one whose id names it. Columns as they were, whatever their names.
 
     ids must be unique for that; rows that repeat an id are kept or dropped together, and so are rows without one.
+    Null, empty and very long texts and empty tables as in ``near_duplicates``.
     """
     groups = near_duplicates(docs, id_col, text_col, **options)
-    keep = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi").select(*docs.columns)
+    (keep,) = unused(docs.columns, "keep")
+    kept = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(keep)).distinct()
+    return docs.join(kept, column(id_col).eqNullSafe(F.col(keep)), "left_semi").select(*columns(docs))

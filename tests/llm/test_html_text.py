@@ -1,9 +1,12 @@
+import math
+import random
 import html as lib
 import re
 from collections import Counter
 
 import pytest
 
+from quern.llm import html_text as H
 from quern.llm.html_text import extract_text, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body>
@@ -91,3 +94,31 @@ def test_names_that_do_not_mark_the_container(names):
 @pytest.mark.parametrize("part", ['<div class="ad content">x</div>', '<div class="commentBody">x</div>', '<ul class="share"><li>x</ul>', '<p class="advert">x</p>', '<div class="sponsored-content">x</div>', '<div class="no-js nav">x</div>'])
 def test_names_that_mark_a_container(part):
     assert main_text(f"<article><p>{LONG}</p>{part}</article>") == LONG.strip()
+
+
+def slow_regions(ratios, lines, sigma, threshold):
+    """Plain pages line by line: smoothed ratio, threshold by the deviation, regions with a line above it."""
+    n = len(ratios)
+    level = []
+    for i in range(n):
+        near = [(j, math.exp(-0.5 * ((i - j) / sigma) ** 2)) for j in range(max(0, i - int(3 * sigma)), min(n, i + int(3 * sigma) + 1))]
+        level.append(sum(ratios[j] * w for j, w in near) / sum(w for _, w in near))
+    mean = sum(level) / n
+    deviation = math.sqrt(sum((x - mean) ** 2 for x in level) / n)
+    regions = {line[3] for line, x in zip(lines, level) if n == 1 or x >= threshold * deviation}
+    kept = [line[3] in regions for line in lines]
+    for i in range(n - 2, -1, -1):
+        kept[i] = kept[i] or (lines[i][5] and kept[i + 1])
+    return [line[0] for line, keep in zip(lines, kept) if keep]
+
+
+def test_regions_of_plain_pages_against_brute_force():
+    r = random.Random(1)
+    some = 0
+    for _ in range(400):
+        lines = [("x" * r.choice([3, 8, 40, 300]), r.randrange(1, 9), r.randrange(3), r.randrange(5), H.PLAIN, r.random() < 0.2) for _ in range(r.randrange(1, 25))]
+        ratios = [max(0, len(t) - links) / (tags + 1) for t, tags, links, *_ in lines]
+        got = H.content_lines(lines)
+        assert got == slow_regions(ratios, lines, H.SIGMA, H.THRESHOLD)
+        some += 0 < len(got) < len(lines)
+    assert some > 50

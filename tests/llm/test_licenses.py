@@ -1,7 +1,9 @@
+import math
+import random
 import re
 from collections import Counter
 
-from quern.llm.licenses import BASE_PHRASES, Index, TEMPLATES, scan_licenses, words_of
+from quern.llm.licenses import ANCHORS, BASE_PHRASES, SLACK, TEMPLATES, VOTES, Index, scan_licenses, words_of
 from tests.llm.cases import ascii_lower, frame, odd_documents
 
 
@@ -34,7 +36,7 @@ def test_every_template_is_found_amid_other_words_and_small_edits():
         assert labels.get(t.label) == 1.0
         _, gone = index.scan([w for w in words if w not in words_of(t.key_phrases[0].encode())])
         assert labels.keys() - gone.keys() >= {t.label}
-    mit = words_of(TEMPLATES[4].text.encode())
+    mit = words_of(next(t.text for t in TEMPLATES if t.label == "mit" and len(t.text) > 100).encode())
     _, labels = index.scan(mit[:9] + [b"inserted"] + mit[9:])
     assert 0.9 < labels["mit"] <= 1
 
@@ -44,3 +46,67 @@ def test_scattered_words_are_no_notice():
     words = sorted({w for t in TEMPLATES for w in words_of(t.text.encode())})
     places, labels = index.scan(words[::-1])
     assert not labels and not [p for p in places if p[1] != "cc-by"]
+
+
+def labels_of(text):
+    return set(Index.build(TEMPLATES, {}).scan(words_of(text.encode()))[1])
+
+
+def test_identifiers_and_combined_terms():
+    assert labels_of("// SPDX-License-Identifier: MIT\nint main;") == {"mit"}
+    assert labels_of("SPDX-License-Identifier: GPL-3.0-or-later") == {"gpl-3.0"}
+    assert labels_of("Texts are under CC BY-NC-SA 4.0, images CC BY-ND.") == {"cc-by-nc-sa", "cc-by-nd"}
+    assert labels_of("by nc sa cc") == set()
+
+
+def slow_labels(words, idf):
+    """The method without postings: every template at every place, votes of the file's rarest words of the template."""
+    found = []
+    for t in TEMPLATES:
+        own = words_of(t.text.encode())
+        if t.base or not {w for p in t.key_phrases for w in words_of(p.encode())} <= set(words):
+            continue
+        rare = sorted(set(own) & set(words), key=lambda w: (-idf.get(w, 0.0), w))[:ANCHORS]
+        for start in range(-len(own), len(words)):
+            votes = sum(0 <= start + d + i < len(words) and words[start + d + i] == w for d in range(-SLACK, SLACK + 1) for i, w in enumerate(own) if w in rare)
+            if votes < math.ceil(VOTES * len(rare)) or not any(own[i] in rare and 0 <= start + i < len(words) and words[start + i] == own[i] for i in range(len(own))):
+                continue
+            spans = []
+            for p in t.key_phrases:
+                part = words_of(p.encode())
+                at = next(i for i in range(len(own)) if own[i : i + len(part)] == part)
+                near = [a for a in sorted(range(start + at - SLACK, start + at + SLACK + 1), key=lambda a: abs(a - start - at)) if a >= 0 and words[a : a + len(part)] == part]
+                spans += [(near[0], near[0] + len(part))] if near else []
+            if len(spans) == len(t.key_phrases):
+                found.append((t.label, spans))
+    every = {x for _, spans in found for x in spans}
+    inside = {x for x in every if any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in every)}
+    return {label for label, spans in found if not inside.issuperset(spans)}
+
+
+def test_labels_against_a_scan_of_every_place():
+    r = random.Random(3)
+    pool = [words_of(t.text.encode()) for t in TEMPLATES]
+    vocabulary = sorted({w for x in pool for w in x})
+    idf = {w: r.random() for w in vocabulary}
+    index = Index.build(TEMPLATES, idf)
+    hits = 0
+    for _ in range(150):
+        words = []
+        for _ in range(r.randrange(4)):
+            part = list(r.choice(pool))
+            for _ in range(r.randrange(4)):
+                at = r.randrange(len(part))
+                part[at : at + r.randrange(2)] = [r.choice(vocabulary)] * r.randrange(2)
+                part = part or [b"x"]
+            words += r.choices(vocabulary, k=r.randrange(9)) + part
+        got = set(index.scan(words)[1])
+        assert got == slow_labels(words, idf)
+        hits += bool(got)
+    assert hits > 50
+
+
+def test_a_very_long_text(spark):
+    text = "plain words here " * 100_000 + "released under the MIT license"
+    row = scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row["n_words"], row["n_base"], row["first_word"], row["labels"]) == (300_005, 1, 300_003, "mit")
