@@ -23,9 +23,9 @@ from quern.llm.hashing import column_bytes, distinct_slices, slices
 
 #: Bytes of a worker's memo of pieces, about, and entries of its memo of token pairs (about 100 bytes each). A full
 #: memo is emptied, which costs time but changes no result.
-MEMO_BYTES, PAIRS = 96 << 20, 200_000
+MEMO_BYTES, PAIRS = 48 << 20, 150_000
 #: Text that is cut into pieces at a time.
-PART_BYTES = 1 << 21
+PART_BYTES = 1 << 20
 
 
 class Vocabulary:
@@ -187,8 +187,27 @@ class Pieces(Memo):
         super().__init__(most_bytes)
         self.vocabulary = vocabulary
 
+    def of_all(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """The ids of each of many pieces. New ones are taken in byte order, so that a piece starts from the table of
+        the one before it, as far as the two begin alike."""
+        new = sorted(x for x in pieces if x not in self)
+        if self.make_room(len(new), 9 * sum(map(len, new)) // 2):
+            new = sorted(pieces)
+        rank, data, last = self.vocabulary.ranks.get, b"", [-1]
+        for piece in new:
+            whole = rank(piece)
+            if whole is None:
+                same, most = 0, min(len(data), len(piece))
+                while same < most and data[same] == piece[same]:
+                    same += 1
+                del last[same + 1 :]
+                _extend(self.vocabulary, piece, last, len(piece))
+                data = piece
+            self[piece] = (whole,) if whole is not None else tuple(_read_back(self.vocabulary, last))
+        return list(map(self.__getitem__, pieces))
+
     def ids_of(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = list(map(self.__getitem__, pieces))
+        found = self.of_all(pieces)
         return np.array(list(chain.from_iterable(found)), np.uint32), np.array(list(map(len, found)), np.int64)
 
     def __missing__(self, piece: bytes) -> tuple[int, ...]:
@@ -391,7 +410,7 @@ def encode_digests(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id"
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
             for distinct, own, first in parts(*column_bytes(batch.column(1))):
-                ids = list(map(pieces.__getitem__, distinct))
+                ids = pieces.of_all(distinct)
                 written = _each([b" ".join(map(names.__getitem__, x)) for x in ids], own)
                 decoded = _each([decode_bytes(x, pieces.vocabulary) for x in ids], own)
                 upto = np.r_[0, np.cumsum(np.array(list(map(len, ids)), np.int64)[own])][first]
