@@ -50,9 +50,19 @@ def token_estimate(text: Column) -> Column:
     return F.floor(F.octet_length(text) / 4).cast("long")
 
 
+TOKEN = r"\p{L}+|\p{N}+"
+
+
 def folded_tokens(text: Column) -> Column:
-    """Lower-cased words of a-z and numbers of 0-9, marks of Latin letters folded away."""
-    return F.regexp_extract_all(F.translate(F.lower(text), MARKED, PLAIN_), F.lit("[a-z]+|[0-9]+"), 0)
+    """Lower-cased words of letters and numbers of digits, of any script; marks of Latin letters folded away."""
+    return F.regexp_extract_all(F.translate(F.lower(text), MARKED, PLAIN_), F.lit(TOKEN), 0)
+
+
+def tokens_of(text: str) -> list[str]:
+    """``folded_tokens`` of a text that the driver has, such as a query."""
+    import regex
+
+    return regex.findall(TOKEN, text.lower().translate(str.maketrans(MARKED, PLAIN_)))
 
 
 def extension(path: Column) -> Column:

@@ -1,44 +1,67 @@
 """Hybrid retrieval: exact cosine top-k, BM25 top-k, and their fusion by reciprocal rank.
 
-The corpus is never shuffled: similarity and term statistics are expressions over each record, and every ranking is
-cut to its top k (TakeOrderedAndProject) before anything is ranked or joined.
+Query and records go through one analyzer: folded words, then English stems. Texts are analysed once a query, where they
+stand, into a narrow table of lengths and term counts; statistics and scores come from that table. Every ranking is cut
+to its top k (TakeOrderedAndProject) before anything is ranked or joined, and only the winners' texts are read again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quern.functions.text import cosine, folded_tokens, safe_truncate
+from quern.functions.stemming import stem, stems
+from quern.functions.text import cosine, folded_tokens, safe_truncate, tokens_of
+from quern.sources.scratch import Scratch
 
 K1, B, RRF_K, CANDIDATES, MOST = 1.2, 0.75, 60, 20, 50
+#: Stems that words of another second letter have: dying, lying, tying.
+SHORT = ("die", "lie", "tie")
+
+
+def analyze(query: str) -> list[str]:
+    """The distinct terms of a query text, in order."""
+    return list(dict.fromkeys(map(stem, tokens_of(query))))
+
+
+def is_visible() -> Column:
+    """Of a record: not a ledger entry (tag roi); records without tags are visible."""
+    return ~F.coalesce(F.array_contains("tags", "roi"), F.lit(False))
 
 
 def visible(memory: DataFrame, project: str) -> DataFrame:
-    """A project's records without ledger entries (tag roi); records without tags are visible."""
-    return memory.filter((F.col("project") == project) & ~F.coalesce(F.array_contains("tags", "roi"), F.lit(False)))
+    return memory.filter((F.col("project") == project) & is_visible())
+
 
+def _start(term: str) -> str:
+    """What every word with this stem starts with."""
+    return term[: 1 if len(term) < 3 or term in SHORT else 2]
 
-def _times(tokens: str, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda x: x == F.lit(term)))
 
+def analyzed(memory: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """(key, project, created_at, visible, dl, tf): of each record its number of tokens and how often it holds each term.
 
-def with_terms(memory: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """memory with dl (its number of tokens) and tf (how often each term stands in it)."""
-    tokens = memory.withColumn("__tokens", folded_tokens(F.col("content")))
-    tf = F.array(*[_times("__tokens", t) for t in terms])
-    return tokens.withColumn("dl", F.size("__tokens")).withColumn("tf", tf).drop("__tokens")
+    Written once, without texts. Only tokens that start like a term are stemmed. A null content has no tokens.
+    """
+    starts = sorted({_start(t) for t in terms})
+    near = lambda x: F.lit(False) if not starts else F.substring(x, 1, 2).isin(*starts) | F.substring(x, 1, 1).isin(*starts)
+    tokens = F.coalesce(folded_tokens(F.col("content")), F.array().cast("array<string>"))
+    # the tokens are bound to a variable, as each use would compute them again
+    read = F.transform(F.array(tokens), lambda t: F.struct(F.size(t).alias("dl"), F.filter(t, near).alias("near")))[0]
+    rows = memory.select("key", "project", "created_at", is_visible().alias("visible"), read.alias("r"))
+    rows = rows.select("key", "project", "created_at", "visible", "r.dl", stems(F.col("r.near")).alias("near"))
+    tf = F.array(*[F.size("near") - F.size(F.array_remove("near", t)) for t in terms]).cast("array<int>")
+    return Scratch(memory.sparkSession, "terms").table(rows.select("key", "project", "created_at", "visible", "dl", tf.alias("tf")))
 
 
-def term_statistics(memory: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """One row: n records, avgdl, and df, the number of records that hold each term."""
-    counted = with_terms(memory.select("content"), terms)
-    df = [F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]
-    one = counted.agg(F.count("dl").alias("n"), F.avg("dl").alias("avgdl"), *df)
-    return one.select("n", "avgdl", F.array(*[F.coalesce(f"df{i}", F.lit(0)) for i in range(len(terms))]).alias("df"))
+def term_statistics(rows: DataFrame, n_terms: int) -> DataFrame:
+    """One row of ``analyzed`` records: n, avgdl, and df, the number of records that hold each term."""
+    df = [F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(n_terms)]
+    one = rows.agg(F.count("dl").alias("n"), F.avg("dl").alias("avgdl"), *df)
+    return one.select("n", "avgdl", F.array(*[F.coalesce(f"df{i}", F.lit(0)) for i in range(n_terms)]).alias("df"))
 
 
 def bm25(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Column:
@@ -46,20 +69,27 @@ def bm25(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Column
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def bm25_ranked(memory: DataFrame, project: str, terms: Sequence[str]) -> DataFrame:
-    """Visible records that hold every term, with their score; statistics are over the whole corpus."""
-    found = with_terms(visible(memory, project), terms)
+def bm25_ranked(memory: DataFrame, project: str, query: str) -> DataFrame:
+    """(key, created_at, score) of visible records that hold every term of the query; statistics are over all records.
+
+    A query without a word finds nothing.
+    """
+    terms = analyze(query)
+    rows = analyzed(memory, terms)
+    found = rows.filter((F.col("project") == project) & F.col("visible") & F.lit(bool(terms)))
     for i in range(len(terms)):
         found = found.filter(F.col("tf")[i] > 0)
-    scored = found.crossJoin(F.broadcast(term_statistics(memory, terms)))  # one row
+    scored = found.crossJoin(F.broadcast(term_statistics(rows, len(terms))))  # one row
     parts = [bm25(F.col("tf")[i], F.col("dl"), F.col("df")[i], F.col("n"), F.col("avgdl")) for i in range(len(terms))]
-    return scored.withColumn("score", F.round(sum(parts[1:], parts[0]), 6)).drop("tf", "dl", "df", "n", "avgdl")
+    return scored.select("key", "created_at", F.round(sum(parts[1:], parts[0]) if parts else F.lit(0.0), 6).alias("score"))
 
 
-def knn_ranked(memory: DataFrame, project: str, vector: DataFrame) -> DataFrame:
-    """Visible records that have a vector, with their cosine to the one row ``qvec`` of vector."""
-    found = visible(memory, project).filter(F.col("embedding").isNotNull()).crossJoin(F.broadcast(vector.limit(1)))
-    return found.withColumn("score", F.round(cosine(F.col("embedding"), F.col("qvec")), 6)).drop("qvec")
+def knn_ranked(memory: DataFrame, vectors: DataFrame, project: str, vector: DataFrame) -> DataFrame:
+    """(key, created_at, score): visible records that have a vector in (key, embedding), with their cosine to the one row
+    ``qvec`` of vector. No text is read."""
+    own = visible(memory, project).select("key", "created_at")
+    found = vectors.filter(F.col("embedding").isNotNull()).join(own, "key").crossJoin(F.broadcast(vector.limit(1)))
+    return found.select("key", "created_at", F.round(cosine(F.col("embedding"), F.col("qvec")), 6).alias("score"))
 
 
 def top(ranked: DataFrame, k: int, *tie: Column) -> DataFrame:
@@ -85,22 +115,51 @@ def fused_by_union(vector_top: DataFrame, text_top: DataFrame) -> DataFrame:
 
 
 def recall(
-    memory: DataFrame, project: str, terms: Sequence[str], vector: DataFrame | None = None, limit: int = 5
+    memory: DataFrame, project: str, query: str, vectors: DataFrame | None = None, vector: DataFrame | None = None, limit: int = 5
 ) -> DataFrame:
     """At most limit (50 at most) visible records, best first: fused if there is a query vector, else by BM25.
 
-    Columns: key, content, project, created_at, agent_id, score, search_mode.
+    Columns: key, content, project, created_at, agent_id, score, search_mode. memory: keyed records; vectors: (key,
+    embedding).
     """
     limit = min(limit, MOST)
-    ranked = bm25_ranked(memory, project, terms)
+    ranked = bm25_ranked(memory, project, query)
     if vector is None:
         best, mode = top(ranked, limit, F.col("created_at").desc()), "bm25"
-        return best.select("key", "content", "project", "created_at", "agent_id", "score", F.lit(mode).alias("search_mode"))
-    v, t = top(knn_ranked(memory, project, vector), CANDIDATES), top(ranked, CANDIDATES)
-    keep = ["key", "content", "project", "created_at", "agent_id"]
-    records = v.select(*keep).unionByName(t.select(*keep)).dropDuplicates(["key"])
-    best = top(fused(v, t), limit)
-    return best.join(records, "key").select(*keep, "score", F.lit("vector+bm25").alias("search_mode"))
+    else:
+        best, mode = top(fused(top(knn_ranked(memory, vectors, project, vector), CANDIDATES), top(ranked, CANDIDATES)), limit), "vector+bm25"
+    # MOST rows at most; a record's key is its own
+    records = visible(memory, project).select("key", "content", "project", "created_at", "agent_id")
+    found = records.join(F.broadcast(best.select("key", "score")), "key")
+    return found.withColumn("search_mode", F.lit(mode))
+
+
+def recall_by_text(
+    memory: DataFrame, project: str, query: str, vectors: DataFrame, embed: Callable[[str], Sequence[float]] | None, limit: int = 5
+) -> DataFrame:
+    """``recall`` of a query text: embedded if there is an embedder and it succeeds, else by BM25 alone."""
+    vector = None
+    if embed is not None:
+        try:
+            values = [float(x) for x in embed(query)]
+            vector = memory.sparkSession.createDataFrame([(values,)], "qvec array<double>")
+        except Exception:  # whatever fails in an embedder, the text still decides
+            vector = None
+    return recall(memory, project, query, vectors, vector, limit)
+
+
+def remembered(memory: DataFrame, vectors: DataFrame, record: dict, embed: Callable[[str], Sequence[float]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Snapshots of memory and vectors after a record is stored: its row replaces the one of its project and key, tags
+    included, and its vector the one of its key, even by none where there is no embedder or it fails."""
+    spark = memory.sparkSession
+    try:
+        values = [float(x) for x in embed(record["content"])] if embed else None
+    except Exception:  # a record without a vector can still be found by its text
+        values = None
+    row = spark.createDataFrame([tuple(record.get(c) for c in memory.columns)], memory.schema)
+    same = (F.col("project") == record["project"]) & (F.col("key") == record["key"])
+    vector = spark.createDataFrame([(record["key"], values)], vectors.schema)
+    return memory.filter(~F.coalesce(same, F.lit(False))).unionByName(row), vectors.filter(F.col("key") != record["key"]).unionByName(vector)
 
 
 def formatted(recalled: DataFrame, most: int = 4096) -> DataFrame:

@@ -9,7 +9,7 @@ from quern.functions.text import folded_tokens
 from quern.operators import retrieval as R
 from quern.plans import views as V
 
-PROJECT, TERMS, VECTOR, LIMIT = "en", ("the", "and"), 7, 10
+PROJECT, QUERY, VECTOR, LIMIT = "en", "The, and", 7, 10
 
 
 def _vector(spark, sf_dir):
@@ -22,34 +22,35 @@ def _day(df):
 
 
 def knn_top20(spark, sf_dir):
-    return R.top(R.knn_ranked(V.memory(spark, sf_dir), PROJECT, _vector(spark, sf_dir)), 20).select("key", "score")
+    return R.top(R.knn_ranked(V.memory(spark, sf_dir), V.vectors(spark, sf_dir), PROJECT, _vector(spark, sf_dir)), 20).select("key", "score")
 
 
 def bm25_top20(spark, sf_dir):
-    return R.top(R.bm25_ranked(V.memory(spark, sf_dir), PROJECT, TERMS), 20).select("key", "score")
+    return R.top(R.bm25_ranked(V.memory(spark, sf_dir), PROJECT, QUERY), 20).select("key", "score")
 
 
 def bm25_stats(spark, sf_dir):
-    one = R.term_statistics(V.memory(spark, sf_dir), TERMS)
-    return one.select("n", F.round("avgdl", 6).alias("avgdl"), *[F.col("df")[i].alias(f"df_{t}") for i, t in enumerate(TERMS)])
+    terms = R.analyze(QUERY)
+    one = R.term_statistics(R.analyzed(V.memory(spark, sf_dir), terms), len(terms))
+    return one.select("n", F.round("avgdl", 6).alias("avgdl"), *[F.col("df")[i].alias(f"df_{t}") for i, t in enumerate(terms)])
 
 
 def recall_hybrid_rrf(spark, sf_dir):
-    out = R.recall(V.memory(spark, sf_dir), PROJECT, TERMS, _vector(spark, sf_dir), LIMIT)
+    out = R.recall(V.memory(spark, sf_dir), PROJECT, QUERY, V.vectors(spark, sf_dir), _vector(spark, sf_dir), LIMIT)
     return _day(out).drop("content")
 
 
 def recall_bm25_only(spark, sf_dir):
-    return _day(R.recall(V.memory(spark, sf_dir), PROJECT, TERMS, None, LIMIT)).drop("content")
+    return _day(R.recall(V.memory(spark, sf_dir), PROJECT, QUERY, limit=LIMIT)).drop("content")
 
 
 def recall_formatted(spark, sf_dir):
-    return R.formatted(R.recall(V.memory(spark, sf_dir), PROJECT, TERMS, None, LIMIT), 400)
+    return R.formatted(R.recall(V.memory(spark, sf_dir), PROJECT, QUERY, limit=LIMIT), 400)
 
 
 def _lists(spark, sf_dir):
     m = V.memory(spark, sf_dir)
-    return R.top(R.knn_ranked(m, PROJECT, _vector(spark, sf_dir)), 20), R.top(R.bm25_ranked(m, PROJECT, TERMS), 20)
+    return R.top(R.knn_ranked(m, V.vectors(spark, sf_dir), PROJECT, _vector(spark, sf_dir)), 20), R.top(R.bm25_ranked(m, PROJECT, QUERY), 20)
 
 
 def rrf_full_outer(spark, sf_dir):
@@ -94,10 +95,12 @@ def filter_tag_not_contains(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (recall_hybrid_rrf, recall_bm25_only, recall_formatted, knn_top20, bm25_top20, bm25_stats, rrf_full_outer, rrf_union_variant, analyze_tokens, analyze_stems, corpus_stems, filter_tag_contains, filter_tag_not_contains)}
 
-_TOKENS = "regexp_extract_all(translate(lower(content), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[a-z]+|[0-9]+')"
+_TOKENS = "regexp_extract_all(translate(lower(content), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '\\p{L}+|\\p{N}+')"
+# SQL has no stems: these are the words with the stem "and"; "the" is alone with its own.
+_AND = "('and', 'ands', 'anded', 'anding', 'andly', 'andlyedly')"
 _RANKED = f"""{V.MEMORY},
 t AS (SELECT * EXCLUDE (tokens), len(tokens) AS dl, len(list_filter(tokens, lambda x: x = 'the')) AS tf0,
-             len(list_filter(tokens, lambda x: x = 'and')) AS tf1 FROM (SELECT *, {_TOKENS} AS tokens FROM v_memory)),
+             len(list_filter(tokens, lambda x: x IN {_AND})) AS tf1 FROM (SELECT *, {_TOKENS} AS tokens FROM v_memory)),
 s AS (SELECT count(*) AS n, avg(dl) AS avgdl, count_if(tf0 > 0) AS df0, count_if(tf1 > 0) AS df1 FROM t),
 vis AS (SELECT * FROM t WHERE project = 'en' AND NOT list_contains(tags, 'roi')),
 lex AS (SELECT vis.*, round(ln(1 + (n - df0 + 0.5) / (df0 + 0.5)) * tf0 * 2.2 / (tf0 + 1.2 * (0.25 + 0.75 * dl / avgdl))

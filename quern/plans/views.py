@@ -10,17 +10,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, embedding) of the records that have a vector."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.concat(F.lit("doc-"), "vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+
 def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyed knowledge records, one per document."""
-    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    """Keyed knowledge records, one per document; their vectors stand apart."""
     roi = F.col("doc_id") % 10 == 0
     tags = F.when(roi, F.array("lang", "source", F.lit("roi"))).otherwise(F.array("lang", "source"))
     usage = F.floor(F.col("n_chars") / 4).cast("long")
-    return d.join(e, d["doc_id"] == e["vec_id"], "left").select(
+    return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("doc-"), "doc_id").alias("key"), F.col("text").alias("content"), tags.alias("tags"), F.col("lang").alias("project"),
         F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id as int), 0)").alias("created_at"),
         F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit("agent-"), F.col("doc_id") % 7)).alias("agent_id"),
-        usage.alias("token_usage"), F.when(roi, F.floor(usage / 2).cast("long")).alias("token_saved"), F.col("embedding").cast("array<double>").alias("embedding"),
+        usage.alias("token_usage"), F.when(roi, F.floor(usage / 2).cast("long")).alias("token_saved"),
     )
 
 

@@ -10,6 +10,10 @@ def memory(spark, rows):
     return spark.createDataFrame([(k, c, tags, p, t + datetime.timedelta(minutes=i), None, e) for i, (k, c, tags, p, e) in enumerate(rows)], SCHEMA)
 
 
+def vectors(m):
+    return m.select("key", "embedding")
+
+
 def one_hot(k, n=384):
     return [1.0 if i == k else 0.0 for i in range(n)]
 
@@ -20,7 +24,7 @@ def query(spark, vector):
 
 def test_vector_and_text_hits_are_both_found(spark):
     m = memory(spark, [("a", "Reciprocal ranks", [], "p", one_hot(0)), ("b", "other words", [], "p", one_hot(1))])
-    got = R.recall(m, "p", ["reciprocal"], query(spark, one_hot(1)), 2).collect()
+    got = R.recall(m, "p", "reciprocals rank", vectors(m), query(spark, one_hot(1)), 2).collect()
     assert {r["key"] for r in got} == {"a", "b"} and {r["search_mode"] for r in got} == {"vector+bm25"}
     best = max(got, key=lambda r: r["score"])
     assert best["key"] == "a"  # second by vector and first by text
@@ -28,7 +32,7 @@ def test_vector_and_text_hits_are_both_found(spark):
 
 def test_without_a_vector_text_decides(spark):
     m = memory(spark, [("a", "one two two", [], "p", None), ("b", "one", None, "p", None), ("c", "two", [], "q", None), ("d", "two", ["roi"], "p", None)])
-    got = R.recall(m, "p", ["two"]).collect()
+    got = R.recall(m, "p", "Two").collect()
     assert [(r["key"], r["search_mode"]) for r in got] == [("a", "bm25")]
 
 
@@ -41,7 +45,44 @@ def test_both_fusions_agree_and_are_symmetric(spark):
 
 def test_limit_is_at_most_fifty_and_formatting_cuts(spark):
     m = memory(spark, [(f"k{i:03d}", "word " * 200, [], "p", None) for i in range(60)])
-    got = R.recall(m, "p", ["word"], None, 99)
+    got = R.recall(m, "p", "words", limit=99)
     assert got.count() == 50
     entry = R.formatted(got, 100).first()["entry"]
     assert entry.endswith("... [output truncated]") and "by Unknown" in entry
+
+
+def test_query_and_text_go_through_one_analyzer(spark):
+    m = memory(spark, [("a", "Running quickly, Été", [], "p", None), ("b", "быстрый 漢字 x2", [], "p", None), ("c", None, [], "p", None), ("d", "dying", [], "p", None)])
+    keys = lambda q: [r["key"] for r in R.recall(m, "p", q).collect()]
+    assert keys("run") == keys("Runs") == keys("ETE quick") == ["a"]
+    assert keys("Быстрый") == keys("漢字") == keys("2 x") == ["b"]
+    assert keys("die") == ["d"]
+    assert keys("") == keys("...") == keys("run missing") == []
+
+
+def test_every_word_with_a_stem_starts_like_it(spark):
+    from quern.functions.stemming import stem
+
+    words = {x for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() for x in R.tokens_of(r["text"] or "")}
+    words |= set("dying lying tying skies skis happily gently news consistency relational ugly ties".split())
+    assert all(w.startswith(R._start(stem(w))) for w in words)
+
+
+def test_an_embedder_that_fails_leaves_the_text(spark):
+    def broken(text):
+        raise RuntimeError("no model")
+
+    m = memory(spark, [("a", "some words", [], "p", one_hot(0)), ("b", "others", [], "p", one_hot(1))])
+    mode = lambda embed: {(r["key"], r["search_mode"]) for r in R.recall_by_text(m, "p", "word", vectors(m), embed, 1).collect()}
+    assert mode(broken) == mode(None) == {("a", "bm25")}
+    assert mode(lambda text: one_hot(0)) == {("a", "vector+bm25")}
+
+
+def test_storing_replaces_record_and_vector(spark):
+    m = memory(spark, [("a", "old", ["x"], "p", one_hot(0)), ("b", "kept", [], "p", one_hot(1))])
+    rows, v = m.drop("embedding"), vectors(m)
+    record = {"key": "a", "content": "new words", "tags": ["y"], "project": "p"}
+    for embed, want in ((lambda text: one_hot(2), one_hot(2)), (None, None)):
+        now, then = R.remembered(rows, v, record, embed)
+        assert {r["key"]: (r["content"], r["tags"]) for r in now.collect()} == {"a": ("new words", ["y"]), "b": ("kept", [])}
+        assert {r["key"]: r["embedding"] for r in then.collect()} == {"a": want, "b": one_hot(1)}
