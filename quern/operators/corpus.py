@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,13 +12,15 @@ from pyspark.sql import Window as W
 from quern.functions.text import extension, safe_truncate, split_lines, trimmed
 
 # Directories that scans leave out, and the one more that listings do.
-NOISE = ("node_modules", "target", ".git", "dist", "build", ".next", "__pycache__", ".venv")
+NOISE = ("node_modules", "target", ".git", ".next", "dist", "__pycache__", ".turbo", "build")
 LISTING_NOISE = (*NOISE, "vendor")
 # Extensions of text files.
-TEXT_EXTENSIONS = ("rs", "ts", "tsx", "js", "jsx", "py", "go", "md", "toml", "json", "yaml", "yml", "html", "css", "txt", "sh", "sql", "c", "h")
+TEXT_EXTENSIONS = ("rs", "ts", "tsx", "js", "jsx", "py", "go", "toml", "yaml", "yml", "json", "md", "txt", "sh", "sql", "html", "css", "env", "lock")
 LANGUAGES = {"rs": "rust", "ts": "typescript", "tsx": "typescript", "py": "python", "go": "go"}
 GREP_BYTES, INDEX_BYTES, PATTERN_BYTES, MATCHES = 1_000_000, 1_048_576, 1024, 50
 LISTING_BYTES, DEPTH, DEEPEST = 10_000, 2, 20
+#: What a match in a line can have that the whole file has not: ends of the text, looks around, flags, possessive parts.
+_OWN_LINE = re.compile(r"\\[AzZG]|\(\?(?!:)|[*+?}]\+")
 
 
 def scan(spark: SparkSession, folder: str, most: int = GREP_BYTES) -> DataFrame:
@@ -57,8 +60,8 @@ def lines(files: DataFrame) -> DataFrame:
 def matches(files: DataFrame, pattern: str, ignore_case: bool = True, glob: str | None = None) -> DataFrame:
     """(path, line, text) of every line that the pattern matches, text trimmed.
 
-    A glob chooses by what follows its last dot. Files are tested as a whole first (a match in a line is one in the
-    file), so only files with matches are cut into lines.
+    A glob chooses by what follows its last dot. Where a match in a line must be one in the file too, files are tested
+    as a whole first, so only files with matches are cut into lines.
     """
     if len(pattern.encode()) > PATTERN_BYTES:
         raise ValueError(f"a pattern has at most {PATTERN_BYTES} bytes")
@@ -66,7 +69,7 @@ def matches(files: DataFrame, pattern: str, ignore_case: bool = True, glob: str
     files = files.filter(F.octet_length("text") <= GREP_BYTES)
     if glob is not None:
         files = files.filter(extension(F.col("path")) == glob.rpartition(".")[2])
-    if "\\A" not in pattern and "\\z" not in pattern:
+    if not _OWN_LINE.search(pattern):
         files = files.filter(F.col("text").rlike(f"(?m){flags}{pattern}"))
     found = lines(files.select("path", "text")).filter(F.col("text").rlike(flags + pattern))
     return found.withColumn("text", trimmed(F.col("text")))
@@ -83,29 +86,49 @@ def grouped(found: DataFrame) -> DataFrame:
     return found.groupBy("path").agg(F.count(F.lit(1)).alias("n_matches"), F.array_join(shown, "\n").alias("shown"))
 
 
-def tree(paths: DataFrame, depth: int = DEPTH, noise: Sequence[str] = LISTING_NOISE) -> DataFrame:
-    """(path, depth, is_dir, entry): every file and directory down to depth (1 to 20), noise directories left out.
+def tree(paths: DataFrame, depth: int = DEPTH, noise: Sequence[str] = LISTING_NOISE, root: str | None = None) -> DataFrame:
+    """(path, depth, is_dir, entry): every file and directory down to depth (at most 20), without noise directories and
+    what they hold; a file may have such a name.
 
-    paths: column path. A path that others continue is a directory.
+    paths: column path. A path that others continue is a directory. Of a root only what lies below it, named from there;
+    one that holds nothing is an error.
     """
-    depth = max(1, min(depth, DEEPEST))
+    if root is not None:
+        inside = paths.filter(F.col("path").startswith(root.rstrip("/") + "/"))
+        if inside.limit(1).count() == 0:
+            raise ValueError(f"no such directory: {root}")
+        paths = inside.select(F.substring("path", len(root.rstrip("/")) + 2, 1 << 30).alias("path"))
     parts = F.split("path", "/")
-    prefix = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(depth))), lambda i: F.struct(F.slice(parts, 1, i).alias("p"), (i < F.size(parts)).alias("is_dir")))
-    every = paths.select(F.explode(prefix).alias("x")).select("x.p", "x.is_dir")
-    every = every.filter(~F.arrays_overlap("p", F.array(*map(F.lit, noise))))
+    found = F.filter(F.transform(F.array(*map(F.lit, noise)), lambda x: F.array_position(F.slice(parts, 1, F.size(parts) - 1), x)), lambda k: k > 0)
+    last = F.least(F.coalesce(F.array_min(found) - 1, F.size(parts)), F.lit(min(depth, DEEPEST))).cast("int")
+    kept = paths.withColumn("__last", last).filter("__last > 0")
+    prefix = F.transform(F.sequence(F.lit(1), F.col("__last")), lambda i: F.struct(F.slice(parts, 1, i).alias("p"), (i < F.size(parts)).alias("is_dir")))
+    every = kept.select(F.explode(prefix).alias("x")).select("x.p", "x.is_dir")
     every = every.groupBy(F.array_join("p", "/").alias("path"), F.size("p").alias("depth"), F.element_at("p", -1).alias("name")).agg(F.bool_or("is_dir").alias("is_dir"))
-    mark = F.when(F.col("is_dir"), F.concat(F.lit("[d] "), "name", F.lit("/"))).otherwise(F.concat(F.lit("[f] "), "name"))
-    return every.select("path", "depth", "is_dir", F.concat(F.expr("repeat('  ', depth - 1)"), mark).alias("entry"))
+    # An entry is two spaces for each level, a sign, a slash for directories, and the name.
+    mark = F.when(F.col("is_dir"), F.lit("📁/ ")).otherwise(F.lit("📄 "))
+    return every.select("path", "depth", "is_dir", F.concat(F.expr("repeat('  ', depth)"), mark, "name").alias("entry"))
 
 
-def listing(entries: DataFrame, most: int = LISTING_BYTES) -> DataFrame:
-    """One row: the entries of ``tree`` as a text in path order, cut to most bytes.
+def listing(entries: DataFrame, most: int = LISTING_BYTES, root: str = ".") -> DataFrame:
+    """One row: the root and the entries of ``tree``, a line each in path order, cut to most bytes.
 
     Only the entries that the text can hold are gathered: none is shorter than two bytes with its end of line.
     """
     first = entries.orderBy("path").limit(most // 2 + 1)
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "entry"))), lambda x: x["entry"]), "\n")
-    return first.agg(text.alias("t")).select(safe_truncate(F.col("t"), most).alias("listing"))
+    lines = F.concat_ws("\n", F.lit(f"📂 {root}"), F.nullif("t", F.lit("")), F.lit(""))
+    return first.agg(text.alias("t")).select(safe_truncate(lines, most).alias("listing"))
+
+
+def resolved(path: Column) -> Column:
+    """The path without empty, "." and ".." parts and without a slash at its end; "/" for the root. Null, for which no
+    guard opens, if a relative path leaves the folder that it starts from."""
+    absolute = path.startswith("/")
+    climbed = lambda acc: F.when(F.size(acc) > 0, F.slice(acc, 1, F.size(acc) - 1)).when(absolute, acc)
+    step = lambda acc, x: F.when(x.isin("", "."), acc).when(x == "..", climbed(acc)).otherwise(F.concat(acc, F.array(x)))
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.when(absolute, F.lit("/")).otherwise(F.lit("")), F.array_join(parts, "/"))
 
 
 def under(path: Column, root: Column) -> Column:
@@ -115,15 +138,19 @@ def under(path: Column, root: Column) -> Column:
 
 def allowed(paths: DataFrame, roots: DataFrame, deny_without_roots: bool = True) -> DataFrame:
     """paths with ``allowed``: some root of (root) holds it. Without roots nothing is allowed, unless said otherwise.
+    Paths and roots are resolved first; links are not followed, as there are no files to ask.
 
     Each path asks for its own ancestors, so this is an equality join of paths' prefixes with roots, not a
     comparison of all with all.
     """
     if not deny_without_roots and roots.limit(1).count() == 0:
         return paths.withColumn("allowed", F.lit(True))
-    parts = F.split("path", "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    hit = paths.select("path", F.explode(prefixes).alias("root")).join(roots.select("root").distinct(), "root", "left_semi")
+    known = roots.select(resolved(F.col("root")).alias("root")).distinct()
+    path = resolved(F.col("path"))
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    first = F.when(path.startswith("/"), F.lit("/")).otherwise(F.lit(""))
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.concat(first, F.array_join(F.slice(parts, F.lit(1), i), "/")))
+    hit = paths.select("path", F.explode(above).alias("root")).join(known, "root", "left_semi")
     hit = hit.select("path").distinct().withColumn("__hit", F.lit(True))
     return paths.join(hit, "path", "left").withColumn("allowed", F.coalesce("__hit", F.lit(False))).drop("__hit")
 

@@ -69,11 +69,14 @@ def filter_path_prefix(spark, sf_dir):
 
 
 def _roots(spark):
-    return spark.createDataFrame([("src1",), ("src2/en",), ("src3/f",)], "root string")
+    return spark.createDataFrame([("src1/",), ("./src2/en",), ("src3//f/.",), ("/srv",)], "root string")
 
 
 def path_guard_semi(spark, sf_dir):
-    return C.allowed(V.files(spark, sf_dir).select("path"), _roots(spark))
+    """Of each file's path, and of ways to write it: round a detour, as a directory, out of its folder, from the root."""
+    path = F.col("path")
+    ways = [path, F.concat(F.lit("src1/x/../../"), path), F.concat(F.lit("./"), path, F.lit("/")), F.concat(path, F.lit("/../../../../etc/passwd")), F.concat(F.lit("/srv/../"), path), F.concat(F.lit("/../srv/./"), path)]
+    return C.allowed(V.files(spark, sf_dir).select(F.explode(F.array(*ways)).alias("path")), _roots(spark))
 
 
 def project_root(spark, sf_dir):
@@ -107,8 +110,8 @@ _EXT = r"regexp_extract(path, '\.([^./]+)$', 1)"
 _TREE = f"""WITH {V.TREE}, s AS (SELECT string_split(path, '/') AS p FROM v_tree),
     x AS (SELECT p[:i] AS p, i < len(p) AS is_dir, i AS depth FROM (SELECT p, unnest(range(1, least(len(p), DEPTH) + 1)) AS i FROM s)),
     e AS (SELECT array_to_string(p, '/') AS path, CAST(depth AS INTEGER) AS depth, bool_or(is_dir) AS is_dir, any_value(p[-1]) AS name
-          FROM x WHERE NOT list_contains(p, 'fr') GROUP BY 1, 2),
-    t AS (SELECT path, depth, is_dir, repeat('  ', depth - 1) || CASE WHEN is_dir THEN '[d] ' || name || '/' ELSE '[f] ' || name END AS entry FROM e)"""
+          FROM x WHERE NOT list_contains(p[:-2], 'fr') AND NOT (is_dir AND p[-1] = 'fr') GROUP BY 1, 2),
+    t AS (SELECT path, depth, is_dir, repeat('  ', depth) || CASE WHEN is_dir THEN '📁/ ' ELSE '📄 ' END || name AS entry FROM e)"""
 
 ORACLE_SQL = {
     "grep_regex": _GREP + f"regexp_matches(text, '(?i){PATTERN}') ORDER BY path, line LIMIT 50",
@@ -121,16 +124,18 @@ ORACLE_SQL = {
     "safe_truncate": f"""WITH {V.FILES} SELECT path, CASE WHEN strlen(text) <= 100 THEN text
         ELSE left(text, list_max(list_filter(range(0, 101), lambda n: strlen(left(text, n)) <= 100))) || chr(10) || '... [output truncated]' END AS head FROM v_files""",
     "token_estimate": f"WITH {V.FILES} SELECT path, strlen(text) // 4 AS tokens, greatest(0, strlen(text) // 4 - 1024) AS saved FROM v_files",
-    "filter_text_ext": f"WITH {V.FILES} SELECT path FROM v_files WHERE {_EXT} IN {C.TEXT_EXTENSIONS}",
+    "filter_text_ext": f"WITH {V.FILES} SELECT path FROM v_files WHERE {_EXT} IN ('rs', 'ts', 'tsx', 'js', 'jsx', 'py', 'go', 'toml', 'yaml', 'yml', 'json', 'md', 'txt', 'sh', 'sql', 'html', 'css', 'env', 'lock')",
     "detect_language": f"""WITH {V.FILES} SELECT path, CASE {_EXT} WHEN 'rs' THEN 'rust' WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'typescript'
         WHEN 'py' THEN 'python' WHEN 'go' THEN 'go' END AS language FROM v_files""",
     "scan_prune_dirs": f"WITH {V.TREE} SELECT page_id, path FROM v_tree WHERE NOT list_has_any(string_split(path, '/')[:-2], ['fr', 'de'])",
     "tree_listing": _TREE.replace("DEPTH", "3") + " SELECT path, depth, is_dir, entry FROM t",
-    "tree_text": _TREE.replace("DEPTH", "2") + """, l AS (SELECT string_agg(entry, chr(10) ORDER BY path) AS s FROM t)
+    "tree_text": _TREE.replace("DEPTH", "2") + """, l AS (SELECT '📂 .' || chr(10) || string_agg(entry, chr(10) ORDER BY path) || chr(10) AS s FROM t)
         SELECT CASE WHEN strlen(s) <= 10000 THEN s ELSE left(s, list_max(list_filter(range(2500, 10001), lambda n: strlen(left(s, n)) <= 10000)))
                || chr(10) || '... [output truncated]' END AS listing FROM l""",
     "filter_path_prefix": f"WITH {V.FILES} SELECT path FROM v_files WHERE path = 'src1' OR starts_with(path, 'src1/')",
-    "path_guard_semi": f"WITH {V.FILES} SELECT path, path LIKE 'src1/%' OR path LIKE 'src2/en/%' OR path LIKE 'src3/f/%' AS allowed FROM v_files",
+    "path_guard_semi": f"""WITH {V.FILES}, a AS (SELECT path, path LIKE 'src1/%' OR path LIKE 'src2/en/%' OR path LIKE 'src3/f/%' AS allowed FROM v_files)
+        SELECT path, allowed FROM a UNION ALL SELECT 'src1/x/../../' || path, allowed FROM a UNION ALL SELECT './' || path || '/', allowed FROM a
+        UNION ALL SELECT path || '/../../../../etc/passwd', false FROM a UNION ALL SELECT '/srv/../' || path, false FROM a UNION ALL SELECT '/../srv/./' || path, true FROM a""",
     "project_root": f"""WITH {V.FILES} SELECT path, CASE WHEN path LIKE 'src1/en/%' THEN 'src1/en' WHEN path LIKE 'src1/%' THEN 'src1'
         WHEN path LIKE 'src2/en/%' THEN 'src2/en' END AS root FROM v_files""",
     "invalidate_targets": f"""WITH {V.FILES}, c AS (SELECT path FROM v_files WHERE doc_id % 50 = 0)

@@ -50,7 +50,7 @@ def hunk_overlap(spark, sf_dir):
 
 def diff_since_last_read(spark, sf_dir):
     c = V.table(spark, sf_dir, "conversations")
-    reads = c.select(F.col("role").alias("agent_id"), F.col("conv_id").alias("file"), F.col("turn").alias("seq"), F.col("text").alias("content"))
+    reads = c.select(F.col("role").alias("agent_id"), F.col("conv_id").alias("file"), F.col("turn").alias("seq"), F.col("text").alias("content"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, 40 * turn * turn)").alias("ts"))
     out = P.since_last_read(reads)
     return out.select("agent_id", "file", "seq", "mode", F.octet_length("sent").alias("sent_bytes"))
 

@@ -36,24 +36,53 @@ def test_scan_and_grep_of_a_folder(spark, tmp_path):
     assert sorted(found) == [("a.rs", 1, "fn Main() {}"), ("a.rs", 2, "main"), ("b.bin", 1, "MAIN")]
     assert C.grep(files, "main", ignore_case=False).count() == 1
     assert C.grep(files, "^x$", glob="**/*.rs").count() == 1
+    assert C.grep(files, r"Main\(\) \{\}\Z", ignore_case=False).count() == 1
+    assert C.grep(files, r"(?<![\s\S])  main").count() == 1
     with pytest.raises(ValueError):
         C.grep(files, "x" * 1025)
 
 
+def test_trees(spark):
+    names = ["a/build", "a/build.rs/x", "a/target/y/z", "a/b/c/d", "vendor/q", "a/b/e"]
+    paths = spark.createDataFrame([(x,) for x in names], "path string")
+    shown = lambda **k: C.listing(C.tree(paths, **k), root=k.get("root", ".")).first()[0]
+    assert shown(depth=9) == "📂 .\n  📁/ a\n    📁/ b\n      📁/ c\n        📄 d\n      📄 e\n    📄 build\n    📁/ build.rs\n      📄 x\n"
+    assert shown(depth=1, root="a") == "📂 a\n  📁/ b\n  📄 build\n  📁/ build.rs\n"
+    with pytest.raises(ValueError, match="no such directory"):
+        C.tree(paths, root="missing")
+
+
 def test_guard_is_closed_without_roots(spark):
     paths = spark.createDataFrame([("/a/b/c",), ("/a/bc",), ("/a/b",)], "path string")
     roots = spark.createDataFrame([("/a/b",)], "root string")
     allowed = lambda r, **k: {x["path"] for x in C.allowed(paths, r, **k).collect() if x["allowed"]}
     assert allowed(roots) == {"/a/b/c", "/a/b"}
+    odd = ["/a/b/../../etc/passwd", "/a/b/./c/../d/", "/a//b/x", "/a/x/../b", "a/b", "/..", None, ""]
+    odd_paths = spark.createDataFrame([(x,) for x in odd], "path string")
+    opened = lambda root: {x["path"] for x in C.allowed(odd_paths, spark.createDataFrame([(root,)], "root string")).collect() if x["allowed"]}
+    assert opened("/a/b") == opened("/a/./b/") == opened("//a/c/../b//") == {"/a/b/./c/../d/", "/a//b/x", "/a/x/../b"}
+    assert opened("/") == {x for x in odd if x and x.startswith("/")}
+    assert opened("../x") == set()
     assert allowed(roots.limit(0)) == set()
     assert len(allowed(roots.limit(0), deny_without_roots=False)) == 3
 
 
+HUNKS = "id long, start int, end int, content string"
+
+
 def test_overlapping_hunks_are_refused(spark):
-    files = texts(spark, "line 1\nline 2\nline 3\nline 4\nline 5\n")
-    hunks = spark.createDataFrame([(0, 2, 4, "x"), (0, 3, 5, "y")], "id long, start int, end int, content string")
-    got = P.patched(files, hunks).first()
-    assert "Hunks overlap" in got["status"] and got["text"].startswith("line 1\nline 2") and got["lines_changed"] == 0
+    files = texts(spark, "ash\nbirch\ncedar\nelm\nfir\noak\npine")
+    got = P.patched(files, spark.createDataFrame([(0, 5, 6, "yew"), (0, 1, 5, "")], HUNKS)).first()
+    assert (got["status"], got["lines_changed"]) == ("Hunks overlap", 0) and got["text"].endswith("fir\noak\npine")
+
+
+def test_the_first_failing_hunk_says_why(spark):
+    files = texts(spark, "a\nb\n", None)
+    seen = lambda rows, kind=HUNKS: {r["id"]: r["error"] for r in P.validated(files, spark.createDataFrame(rows, kind)).collect()}
+    assert seen([(0, 2, 999, ""), (0, 3, 2, ""), (9, 1, 1, "x"), (1, 1, 1, "")]) == {0: "end beyond file", 9: "no such file", 1: "end beyond file"}
+    assert seen([(0, 1, 999, "", 1), (0, 0, 1, "", 2)], HUNKS + ", seq int") == {0: "end beyond file"}
+    got = P.patched(files, spark.createDataFrame([(9, 1, 1, "x")], HUNKS)).first()
+    assert (got["status"], got["lines_changed"], got["text"]) == ("no such file", 0, None)
 
 
 def test_hunks_replace_insert_and_delete(spark):
@@ -78,6 +107,18 @@ def test_scripts_are_right_and_shortest(a, b):
     assert sum(s != " " for s, _ in script) == len(a) + len(b) - 2 * common[-1][-1]
 
 
+def test_long_files_need_little_memory():
+    import tracemalloc
+
+    old, new = [f"{i % 97} {i}" for i in range(6000)], [f"{i % 89} {i}" for i in range(6000)]
+    shuffled = [f"line {i * 37 % 500}" for i in range(500)]
+    tracemalloc.start()
+    assert len(P.edit_script(old, new)) > 6000
+    P.edit_script(sorted(shuffled), shuffled)
+    assert tracemalloc.get_traced_memory()[1] < 20e6
+    tracemalloc.stop()
+
+
 def test_ratio_of_a_long_file():
     old = [f"line {i}" for i in range(1000)]
     new = [x if i % 10 else f"{x} changed" for i, x in enumerate(old)]
@@ -89,9 +130,11 @@ def test_a_repeated_read_is_sent_as_a_diff(spark):
     base = [f"line {i}" for i in range(30)]
     changed = ["new"] + base[1:]
     rows = [("a", "f", 1, "\n".join(base)), ("a", "f", 2, "\n".join(changed)), ("a", "f", 3, "\n".join(changed)), ("b", "f", 4, "x"), ("a", "f", 5, "all new")]
-    df = spark.createDataFrame(rows, "agent_id string, file string, seq long, content string")
+    late = [("c", "f", 6, "\n".join(base)), ("c", "f", 20, "\n".join(changed))]
+    df = spark.createDataFrame(rows + late, "agent_id string, file string, seq long, content string")
+    df = df.withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, seq * 25)"))
     got = {r["seq"]: (r["mode"], r["sent"]) for r in P.since_last_read(df).collect()}
-    assert {k: v[0] for k, v in got.items()} == {1: "full", 2: "diff", 3: "full", 4: "full", 5: "full"}
+    assert {k: v[0] for k, v in got.items()} == {1: "full", 2: "diff", 3: "full", 4: "full", 5: "full", 6: "full", 20: "full"}
     assert got[2][1].startswith("-line 0\n+new\n line 1")
 
 
