@@ -7,18 +7,20 @@ mean nothing. Definitions are then found at bracket depth 0, where a statement s
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.text import extension
-from quern.operators.corpus import language
+from quern.operators.corpus import INDEX_BYTES, language, scan
 
-NO_DEFINITIONS = "// (skeleton: no top-level definitions found)\n"
-NO_GRAMMAR = "// No tree-sitter grammar for this file type; returning full content.\n"
+NO_DEFINITIONS = "// nothing is defined at the top level\n"
+NO_OUTLINE = "// no outline for files of this kind; the whole text follows\n"
 
 _TOKENS = {
     "rust": r"""(?P<c>//[^\n]*|/\*)|(?P<s>b?r(?P<h>\#*)".*?"(?P=h)|b?"(?:\\.|[^"\\])*"|b?'(?:\\(?:x..|u\{[^}]*\}|.)|[^'\\\n])')""",
@@ -152,14 +154,28 @@ def _end(mask: str, at: int, ends: str) -> tuple[int | None, int]:
     return None, len(mask.rstrip())
 
 
+@lru_cache(maxsize=2)
+def _places(text: str, pattern: str) -> list[int]:
+    """Where matches of a pattern start."""
+    return [m.start() for m in re.finditer(pattern, text)]
+
+
+def _row(text: str, at: int) -> int:
+    """The line, from 0, that holds a place."""
+    return bisect_left(_places(text, "\n"), at)
+
+
 def _line_ends(mask: str, at: int) -> bool:
     """Whether a statement without semicolon ends at a line end."""
-    before, after = mask[:at].rstrip()[-1:], mask[at:].lstrip()[:1]
+    solid = _places(mask, r"\S")
+    k = bisect_left(solid, at)
+    before, after = mask[solid[k - 1]] if k else "", mask[solid[k]] if k < len(solid) else ""
     return before not in "=,+-*/|&<>?:(" and after not in ".=+-*/|&?:,)]}" if before and after else True
 
 
 def _python(text: str, mask: str) -> Iterator[Definition]:
     rows = list(re.finditer(r"^.*$", mask, re.M))
+    strings = [s for k, s, _ in spans(text, "python") if k == "s"]
     tops, depth = [], 0
     for m in rows:  # lines that start a statement in the first column
         if depth == 0 and m[0][:1].strip() and m[0][0] not in ")]}":
@@ -180,7 +196,8 @@ def _python(text: str, mask: str) -> Iterator[Definition]:
                 i = _close(mask, i) if mask[i] in _OPEN else i + 1
             gap = re.compile(r"\s*").match(mask, i + 1).end()
             # a docstring is masked, but it is the body's first statement
-            first = next((s for k, s, _ in spans(text[: end + 1], "python") if k == "s" and s > i), end)
+            k = bisect_right(strings, i)
+            first = min(strings[k], end) if k < len(strings) else end
             yield Definition("function_definition" if m["d"] else "class_definition", m["d"] or m["c"], start, min(gap, first), end)
 
 
@@ -215,16 +232,15 @@ def definitions(text: str, lang: str) -> list[Definition]:
 
 def signature(text: str, lines: list[str], d: Definition) -> str:
     """Lines of a definition up to the one before its body; the first line if the body starts there."""
-    row = lambda at: text.count("\n", 0, at)
-    first, last = row(d.start), row(max(d.start, d.end - 1))
+    first, last = _row(text, d.start), _row(text, max(d.start, d.end - 1))
     if d.body is not None:
-        last = max(first, row(d.body) - 1)
+        last = max(first, _row(text, d.body) - 1)
     return "\n".join(lines[first : last + 1]).rstrip() or lines[first]
 
 
 def skeleton(text: str, lang: str) -> str:
     lines = [x.removesuffix("\r") for x in text.split("\n")]
-    parts = [f"// L{text.count(chr(10), 0, d.start) + 1}\n{signature(text, lines, d)}\n\n" for d in definitions(text, lang)]
+    parts = [f"// L{_row(text, d.start) + 1}\n{signature(text, lines, d)}\n\n" for d in definitions(text, lang)]
     return "".join(parts) or NO_DEFINITIONS
 
 
@@ -232,7 +248,7 @@ def read(path: str, text: str, lang: str | None, mode: str) -> str:
     """What a read of a file in a mode sends: the text, its skeleton or the text without comments."""
     if mode == "skeleton":
         n = text.count("\n") + (not text.endswith("\n") and bool(text))
-        return f"// skeleton of {path} ({n} lines total)\n\n{skeleton(text, lang)}" if lang else NO_GRAMMAR + text
+        return f"// skeleton of {path} ({n} lines total)\n\n{skeleton(text, lang)}" if lang else NO_OUTLINE + text
     if mode == "compressed" and lang:
         return strip_comments(text, lang)
     return text
@@ -263,7 +279,7 @@ def _mapped(rows: DataFrame, added: list[T.StructField], values: Callable, many:
 def with_reads(files: DataFrame, mode: str) -> DataFrame:
     """files (path, text) with sent and saved (bytes that were not sent); a null text counts as empty."""
     if mode not in ("full", "skeleton", "compressed"):
-        raise ValueError(f"Unknown mode '{mode}'. Use 'skeleton', 'compressed', or 'full'.")
+        raise ValueError(f"a read is full, skeleton or compressed, not {mode}")
     out = _mapped(files, [T.StructField("sent", T.StringType())], lambda p, t, lang: (read(p, t or "", lang, mode),))
     saved = F.greatest(F.lit(0), F.octet_length("text") - F.octet_length("sent")).cast("long")
     known = extension(F.col("path")).isin("rs", "ts", "tsx", "py", "go")
@@ -276,7 +292,7 @@ def symbols(files: DataFrame) -> DataFrame:
 
     def values(path: str, text: str | None, lang: str | None) -> list[tuple]:
         text = text or ""
-        return [(d.name, text.count("\n", 0, d.start) + 1, d.kind) for d in definitions(text, lang)] if lang else []
+        return [(d.name, _row(text, d.start) + 1, d.kind) for d in definitions(text, lang)] if lang else []
 
     return _mapped(files, added, values, many=True).select("path", "name", "line", "kind")
 
@@ -286,3 +302,9 @@ def symbol_index(found: DataFrame) -> DataFrame:
     place = F.struct("path", "line", "kind")
     shown = F.transform(F.sort_array(F.collect_list(place)), lambda x: F.concat(x["path"], F.lit(":"), x["line"].cast("string"), F.lit(" "), x["kind"]))
     return found.groupBy("name").agg(F.count(F.lit(1)).alias("n_places"), F.array_join(shown, ", ").alias("places"))
+
+
+def project_symbols(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, name, line, kind) of a folder's source files of at most INDEX_BYTES, noise directories left out."""
+    files = scan(spark, folder, INDEX_BYTES)
+    return symbols(files.filter(language(F.col("path")).isNotNull()).select("path", "text"))

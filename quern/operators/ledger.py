@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Days that a report's name stands for.
 WINDOWS = {"day": 1, "week": 7, "month": 28}
+NO_PROJECT = "internal"
 
 
 def narrowed(rows: DataFrame, now: str, window: str | None = None, project: str | None = None) -> DataFrame:
@@ -53,11 +54,28 @@ def dump(memory: DataFrame, project: str | None = None, most: int = 100) -> Data
 
 
 def from_reads(reads: DataFrame) -> DataFrame:
-    """Ledger rows of reads (agent_id, path, raw, sent, ts) that saved something; a token is four bytes."""
+    """Ledger rows of reads (agent_id, project, path, raw, sent, ts) that saved something; a token is four bytes. Reads
+    outside any project go to a project of their own."""
     saved = F.greatest(F.lit(0), F.col("raw") - F.col("sent"))
     rows = reads.withColumn("__saved", saved).filter("__saved > 0")
     nanos = (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).cast("string")
     return rows.select(
         F.concat_ws("_", F.lit("token_savings"), "agent_id", "path", nanos).alias("key"), F.array(F.lit("roi"), F.lit("token_savings")).alias("tags"), "agent_id",
+        F.coalesce("project", F.lit(NO_PROJECT)).alias("project"), F.concat(F.lit("Saved "), F.floor(F.col("__saved") / 4).cast("long"), F.lit(" tokens by pruning "), "path").alias("content"),
         F.floor(F.col("__saved") / 4).cast("long").alias("token_saved"), F.floor(F.col("raw") / 4).cast("long").alias("token_usage"), F.col("ts").alias("created_at"),
     )
+
+
+def report(sums: DataFrame, width: int = 24) -> DataFrame:
+    """(line, text): groups of ``stats`` as lines of fixed width, by agent and project, longer names cut; then the sum."""
+    from pyspark.sql import Window as W
+
+    name = lambda c, none: F.rpad(F.coalesce(c, F.lit(none)), width, " ")
+    number = lambda c: F.lpad(F.col(c).cast("string"), 12, " ")
+    pct = F.lpad(F.concat(F.format_string("%.1f", "pct"), F.lit("%")), 9, " ")
+    total = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total_saved", "total_usage")])
+    rows = sums.select("agent_id", "project", "total_saved", "total_usage", F.lit(0).alias("last"))
+    every = rows.unionByName(total.select(F.lit("TOTAL").alias("agent_id"), F.lit("").alias("project"), "total_saved", "total_usage", F.lit(1).alias("last")))
+    text = F.concat(name(F.col("agent_id"), "unknown"), F.lit(" "), name(F.col("project"), ""), number("total_saved"), number("total_usage"), pct)
+    order = W.orderBy("last", F.col("agent_id").asc_nulls_first(), F.col("project").asc_nulls_first())  # a row for each agent and project
+    return with_percent(every).select(F.row_number().over(order).alias("line"), text.alias("text"))

@@ -6,7 +6,7 @@ snapshot. Sums and latest values are combined before the shuffle, so a frequent
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,45 +101,65 @@ def active(locks: DataFrame, now: Column, minutes: int = LEASE_MINUTES) -> DataF
     return locks.filter(F.col("locked_at") >= now - F.expr(f"interval {minutes} minutes"))
 
 
-def lock_answers(requests: DataFrame) -> DataFrame:
-    """requests with answer: acquired (the first of its file), already_held (by the same agent) or locked."""
-    holder = first_locks(requests).select("file_path", F.col("agent_id").alias("holder"), "locked_at")
-    firsts = requests.groupBy("file_path").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("first_id"))
-    rows = requests.join(holder, "file_path").join(firsts, "file_path")
-    answer = F.when(F.col("event_id") == F.col("first_id"), "acquired").when(F.col("agent_id") == F.col("holder"), "already_held").otherwise("locked")
-    return rows.withColumn("answer", answer).drop("first_id", "locked_at")
+def _leases(requests: DataFrame, added: str, answer: Callable, minutes: int) -> DataFrame:
+    """requests (file_path, agent_id, ts, event_id, ...) in order with what ``answer`` says of each and the lease before it.
 
-
-def replay_locks(requests: DataFrame, minutes: int = LEASE_MINUTES) -> DataFrame:
-    """requests (file_path, agent_id, ts, event_id, action lock/unlock) with granted, replayed in order.
-
-    A lock is free, held or expired when a request comes; holding again does not prolong it; unlocking is for the
-    holder. A file's requests are a stream in one task: the task keeps one holder, not the requests.
+    answer(row, holder) gives the new columns and the holder after the request; a holder whose lease is over is none. A
+    file's requests are a stream in one task: the task keeps one holder, not the requests.
     """
     lease = minutes * 60 * 1_000_000
     rows = requests.withColumn("__us", F.unix_micros(F.col("ts").cast("timestamp")))
     ordered = rows.repartition("file_path").sortWithinPartitions("file_path", "ts", "event_id")
+    names = [x.split()[0] for x in added.split(", ")]
 
     def run(batches: Iterator) -> Iterator:
         file, holder, since = None, None, 0
         for pdf in batches:
-            granted = []
-            for f, agent, us, action in zip(pdf["file_path"], pdf["agent_id"], pdf["__us"], pdf["action"]):
-                if f != file:
-                    file, holder = f, None
-                if holder is not None and us - since > lease:
+            found = []
+            for row in pdf.to_dict("records"):
+                if row["file_path"] != file:
+                    file, holder = row["file_path"], None
+                if holder is not None and row["__us"] - since > lease:
                     holder = None
-                if action == "unlock":
-                    granted.append(holder == agent)
-                    holder = None if holder == agent else holder
-                else:
-                    granted.append(holder is None or holder == agent)
-                    if holder is None:
-                        holder, since = agent, us
-            yield pdf.drop(columns="__us").assign(granted=granted)
+                values, after = answer(row, holder)
+                found.append(values)
+                since = row["__us"] if holder is None else since
+                holder = after
+            out = pdf.drop(columns="__us")
+            for k, name in enumerate(names):
+                out[name] = [x[k] for x in found]
+            yield out
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in requests.dtypes)
-    return ordered.mapInPandas(run, f"{kinds}, granted boolean")
+    return ordered.mapInPandas(run, f"{kinds}, {added}")
+
+
+def lock_answers(requests: DataFrame, minutes: int = LEASE_MINUTES) -> DataFrame:
+    """requests with holder (after them) and answer: acquired (the file was free, or its lease over), already_held (by the
+    same agent, which prolongs nothing) or locked."""
+
+    def answer(row: dict, holder: str | None) -> tuple[tuple, str]:
+        if holder is None:
+            return (row["agent_id"], "acquired"), row["agent_id"]
+        return (holder, "already_held" if holder == row["agent_id"] else "locked"), holder
+
+    return _leases(requests, "holder string, answer string", answer, minutes)
+
+
+def replay_locks(requests: DataFrame, minutes: int = LEASE_MINUTES) -> DataFrame:
+    """requests (file_path, agent_id, ts, event_id, action lock/unlock) with granted, replayed in order.
+
+    A lock is free, held or expired when a request comes; holding again does not prolong it; unlocking is for the
+    holder.
+    """
+
+    def answer(row: dict, holder: str | None) -> tuple[tuple, str | None]:
+        own = holder == row["agent_id"]
+        if row["action"] == "unlock":
+            return (own,), None if own else holder
+        return (holder is None or own,), row["agent_id"] if holder is None else holder
+
+    return _leases(requests, "granted boolean", answer, minutes)
 
 
 def sessions(rows: DataFrame, key: str, gap_seconds: int, slot_seconds: int = 86_400, ts: str = "ts", tie: str = "event_id") -> DataFrame:

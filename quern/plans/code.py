@@ -92,7 +92,7 @@ _SKELETON = """s(path, sent) AS (VALUES
     ('web/box.ts', '// skeleton of web/box.ts (7 lines total)~~// L1~export const a = 1;~~// L2~function add(x: number): number {~~// L5~class Box {~~'),
     ('tool/run.py', '// skeleton of tool/run.py (10 lines total)~~// L3~@cached~def load(p):~    return p  # path~~// L7~class Job:~~// L10~def main(): return 0~~'),
     ('cmd/main.go', '// skeleton of cmd/main.go (10 lines total)~~// L3~var n = 1 // count~~// L5~func (j *Job) Run(a int) int {~~// L9~func main() {~~'),
-    ('notes.txt', '// No tree-sitter grammar for this file type; returning full content.~plain text~'))"""
+    ('notes.txt', '// no outline for files of this kind; the whole text follows~plain text~'))"""
 _STRIPPED = """c(path, sent) AS (VALUES
     ('src/shape.rs', 'use std::fmt;~~pub struct Point {~    x: i32,~}~~pub fn area(~    w: u32,~) -> u32 {~    w * 2~}~impl Point {~    fn inner() {}~}'),
     ('web/box.ts', 'export const a = 1;~function add(x: number): number {~  return x; ~}~class Box {~  v = ''{'';~}'),

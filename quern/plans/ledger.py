@@ -42,13 +42,17 @@ def ledger_from_reads(spark, sf_dir):
     """Reads of documents that send 4096 bytes at most."""
     d = V.table(spark, sf_dir, "documents")
     raw = F.octet_length("text").cast("long")
-    reads = d.select(F.concat(F.lit("agent-"), F.col("doc_id") % 7).alias("agent_id"), F.concat_ws("/", "source", "doc_id").alias("path"), raw.alias("raw"),
+    reads = d.select(F.concat(F.lit("agent-"), F.col("doc_id") % 7).alias("agent_id"), F.col("lang").alias("project"), F.concat_ws("/", "source", "doc_id").alias("path"), raw.alias("raw"),
                      F.octet_length(safe_truncate(F.col("text"), 4096)).cast("long").alias("sent"), F.expr("timestamp_ntz'2024-01-01 00:00:00'").alias("ts"))
     rows = L.from_reads(reads)
-    return rows.select("key", F.array_join("tags", ",").alias("tags"), "agent_id", "token_saved", "token_usage")
+    return rows.select("key", F.array_join("tags", ",").alias("tags"), "agent_id", "project", "content", "token_saved", "token_usage")
 
 
-QUERIES = {f.__name__: f for f in (stats_by_agent_project, stats_project, stats_timeframe, stats_grand_total, stats_pct, dump_capped, ledger_from_reads)}
+def stats_report(spark, sf_dir):
+    return L.report(L.stats(L.narrowed(V.ledger(spark, sf_dir), V.NOW, "week")))
+
+
+QUERIES = {f.__name__: f for f in (stats_by_agent_project, stats_project, stats_timeframe, stats_grand_total, stats_pct, dump_capped, ledger_from_reads, stats_report)}
 QUERIES |= {f"stats_{w}": _window(w) for w in L.WINDOWS}
 
 _SUMS = "CAST(coalesce(sum(token_saved), 0) AS BIGINT) AS total_saved, CAST(coalesce(sum(token_usage), 0) AS BIGINT) AS total_usage"
@@ -57,6 +61,11 @@ _TOTAL = f"""SELECT 'group' AS level, agent_id, project, {_SUMS} FROM v_ledger G
     UNION ALL SELECT 'total', NULL, NULL, {_SUMS} FROM v_ledger"""
 
 ORACLE_SQL = {
+    "stats_report": f"""WITH {V.LEDGER}, g AS ({_BY} WHERE created_at >= TIMESTAMP '{V.NOW}' - INTERVAL 7 DAY GROUP BY agent_id, project),
+        e AS (SELECT *, 0 AS last FROM g UNION ALL SELECT 'TOTAL', '', CAST(coalesce(sum(total_saved), 0) AS BIGINT), CAST(coalesce(sum(total_usage), 0) AS BIGINT), 1 FROM g)
+        SELECT CAST(row_number() OVER (ORDER BY last, agent_id NULLS FIRST, project NULLS FIRST) AS INTEGER) AS line,
+               rpad(coalesce(agent_id, 'unknown'), 24, ' ') || ' ' || rpad(coalesce(project, ''), 24, ' ') || lpad(CAST(total_saved AS VARCHAR), 12, ' ') || lpad(CAST(total_usage AS VARCHAR), 12, ' ')
+               || lpad(printf('%.1f', CASE WHEN total_usage > 0 THEN round(total_saved / total_usage * 100, 4) ELSE 0.0 END) || '%', 9, ' ') AS text FROM e""",
     "stats_by_agent_project": f"WITH {V.LEDGER} {_BY} GROUP BY agent_id, project",
     "stats_project": f"WITH {V.LEDGER} {_BY} WHERE project = 'purchase' GROUP BY agent_id, project",
     "stats_timeframe": f"WITH {V.LEDGER} {_BY} WHERE project = 'purchase' AND created_at >= TIMESTAMP '{V.NOW}' - INTERVAL 7 DAY GROUP BY agent_id, project",
@@ -65,7 +74,8 @@ ORACLE_SQL = {
     "dump_capped": f"""WITH {V.MEMORY} SELECT key, project, array_to_string(tags, ',') AS tags, agent_id, token_saved, token_usage,
         (SELECT count(*) FROM v_memory) > 100 AS more FROM v_memory ORDER BY key LIMIT 100""",
     "ledger_from_reads": """SELECT 'token_savings_agent-' || (doc_id % 7) || '_' || source || '/' || doc_id || '_1704067200000000000' AS key, 'roi,token_savings' AS tags,
-        'agent-' || (doc_id % 7) AS agent_id, saved // 4 AS token_saved, raw // 4 AS token_usage
+        'agent-' || (doc_id % 7) AS agent_id, coalesce(lang, 'internal') AS project,
+        'Saved ' || (saved // 4) || ' tokens by pruning ' || source || '/' || doc_id AS content, saved // 4 AS token_saved, raw // 4 AS token_usage
         FROM (SELECT *, raw - strlen(CASE WHEN raw <= 4096 THEN text ELSE left(text, list_max(list_filter(range(1024, 4097), lambda n: strlen(left(text, n)) <= 4096)))
                         || chr(10) || '... [output truncated]' END) AS saved
               FROM (SELECT *, strlen(text) AS raw FROM documents)) WHERE saved > 0""",

@@ -9,6 +9,8 @@ from quern.plans import views as V
 
 FILES = ["part-1", "part-5", "part-77"]
 DAYS = 30
+#: Minutes: events of one file are hours apart.
+LEASE = 12 * 60
 
 
 def _ts(text):
@@ -19,7 +21,9 @@ def _store_log(spark, sf_dir):
     e = V.table(spark, sf_dir, "events")
     return e.select("event_id", F.col("event_type").alias("project"), F.concat(F.lit("k"), "user_id").alias("key"), F.col("props").alias("content"), F.col("ts").alias("created_at"),
                     F.when(F.col("event_id") % 7 != 0, F.concat(F.lit("agent-"), F.col("user_id") % 5)).alias("agent_id"),
-                    F.when(F.col("event_id") % 3 != 0, F.floor("value").cast("long")).alias("token_saved"), F.get_json_object("props", "$.k").cast("long").alias("token_usage"))
+                    F.when(F.col("event_id") % 3 != 0, F.floor("value").cast("long")).alias("token_saved"), F.get_json_object("props", "$.k").cast("long").alias("token_usage"),
+                    F.when(F.col("event_id") % 2 == 0, F.array(F.lit("roi"), "event_type")).otherwise(F.array("event_type")).alias("tags"),
+                    F.when(F.col("event_id") % 4 != 0, F.array("value")).alias("embedding"))
 
 
 def _day(df, *names):
@@ -29,8 +33,8 @@ def _day(df, *names):
 
 
 def memory_upsert(spark, sf_dir):
-    out = S.latest(_store_log(spark, sf_dir), ["project", "key"], ["created_at", "event_id"], ["content", "created_at", "agent_id"], ["token_saved", "token_usage"])
-    return _day(out, "created_at")
+    out = S.latest(_store_log(spark, sf_dir), ["project", "key"], ["created_at", "event_id"], ["content", "tags", "embedding", "created_at", "agent_id"], ["token_saved", "token_usage"])
+    return _day(out.withColumn("tags", F.array_join("tags", ",")).withColumn("embedding", F.col("embedding")[0]), "created_at")
 
 
 def dedup_latest(spark, sf_dir):
@@ -87,12 +91,12 @@ def active_locks(spark, sf_dir):
 
 
 def lock_decision(spark, sf_dir):
-    return S.lock_answers(V.lock_requests(spark, sf_dir)).select("event_id", "file_path", "agent_id", "holder", "answer")
+    return S.lock_answers(V.lock_requests(spark, sf_dir), LEASE).select("event_id", "file_path", "agent_id", "holder", "answer")
 
 
 def lock_replay(spark, sf_dir):
     r = V.lock_requests(spark, sf_dir).withColumn("action", F.when(F.col("event_id") % 4 == 0, "unlock").otherwise("lock"))
-    return S.replay_locks(r, 12 * 60).select("event_id", "file_path", "agent_id", "action", "granted")
+    return S.replay_locks(r, LEASE).select("event_id", "file_path", "agent_id", "action", "granted")
 
 
 def co_change_sets(spark, sf_dir):
@@ -172,7 +176,8 @@ v_decayed AS (SELECT d.*, coalesce(edit_count, 0) AS edit_count, greatest(0.1::D
               FROM v_decisions d LEFT JOIN n USING (id))"""
 _STORE = """s AS (SELECT event_id, event_type AS project, 'k' || user_id AS key, props AS content, ts AS created_at,
     CASE WHEN event_id % 7 <> 0 THEN 'agent-' || (user_id % 5) END AS agent_id,
-    CASE WHEN event_id % 3 <> 0 THEN CAST(floor(value) AS BIGINT) END AS token_saved, CAST(json_extract_string(props, '$.k') AS BIGINT) AS token_usage FROM events)"""
+    CASE WHEN event_id % 3 <> 0 THEN CAST(floor(value) AS BIGINT) END AS token_saved, CAST(json_extract_string(props, '$.k') AS BIGINT) AS token_usage,
+    CASE WHEN event_id % 2 = 0 THEN 'roi,' || event_type ELSE event_type END AS tags, CASE WHEN event_id % 4 <> 0 THEN value END AS embedding FROM events)"""
 _SESSIONS = f"""{V.MODIFIED}, b AS (SELECT *, lag(ts) OVER (PARTITION BY project ORDER BY ts, event_id) AS before FROM v_modified),
 i AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 600 SECOND THEN 1 ELSE 0 END) OVER (PARTITION BY project ORDER BY ts, event_id) AS island FROM b),
 c AS (SELECT project, min(ts) AS session_start, array_to_string(list_sort(list(DISTINCT file)), ',') AS files, count(DISTINCT file) AS n_files
@@ -181,7 +186,7 @@ c AS (SELECT project, min(ts) AS session_start, array_to_string(list_sort(list(D
 ORACLE_SQL = {
     "memory_upsert": f"""WITH {_STORE}, r AS (SELECT *, row_number() OVER (PARTITION BY project, key ORDER BY created_at DESC, event_id DESC) AS n,
         CAST(coalesce(sum(token_saved) OVER (PARTITION BY project, key), 0) AS BIGINT) AS saved, CAST(coalesce(sum(token_usage) OVER (PARTITION BY project, key), 0) AS BIGINT) AS used FROM s)
-        SELECT project, key, content, strftime(created_at, {_US}) AS created_at, agent_id, saved AS token_saved, used AS token_usage FROM r WHERE n = 1""",
+        SELECT project, key, content, tags, embedding, strftime(created_at, {_US}) AS created_at, agent_id, saved AS token_saved, used AS token_usage FROM r WHERE n = 1""",
     "dedup_latest": """SELECT o_orderpriority, o_custkey, o_orderkey FROM orders
         QUALIFY row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1""",
     "confidence_decay": f"WITH {_DECAYED} SELECT id, project, edit_count, confidence FROM v_decayed",
@@ -202,9 +207,13 @@ ORACLE_SQL = {
         QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY ts, event_id) = 1""",
     "active_locks": f"""WITH {V.LOCK_REQUESTS}, l AS (SELECT * FROM v_lock_requests QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY ts DESC, event_id DESC) = 1)
         SELECT file_path, agent_id, strftime(ts, {_US}) AS locked_at FROM l WHERE ts >= (SELECT max(ts) FROM v_lock_requests) - INTERVAL 1 DAY""",
-    "lock_decision": f"""WITH {V.LOCK_REQUESTS}, w AS (SELECT *, first_value(agent_id) OVER (PARTITION BY file_path ORDER BY ts, event_id) AS holder,
-            row_number() OVER (PARTITION BY file_path ORDER BY ts, event_id) AS n FROM v_lock_requests)
-        SELECT event_id, file_path, agent_id, holder, CASE WHEN n = 1 THEN 'acquired' WHEN agent_id = holder THEN 'already_held' ELSE 'locked' END AS answer FROM w""",
+    "lock_decision": f"""WITH RECURSIVE {V.LOCK_REQUESTS},
+        taken AS (SELECT * FROM v_lock_requests QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY ts, event_id) = 1
+                  UNION ALL SELECT r.* FROM taken t JOIN v_lock_requests r ON r.file_path = t.file_path AND r.ts > t.ts + INTERVAL {LEASE} MINUTE
+                  QUALIFY row_number() OVER (PARTITION BY r.file_path ORDER BY r.ts, r.event_id) = 1),
+        w AS (SELECT r.*, t.agent_id AS holder, t.event_id AS lease FROM v_lock_requests r JOIN taken t ON t.file_path = r.file_path AND (t.ts, t.event_id) <= (r.ts, r.event_id)
+              QUALIFY row_number() OVER (PARTITION BY r.event_id ORDER BY t.ts DESC, t.event_id DESC) = 1)
+        SELECT event_id, file_path, agent_id, holder, CASE WHEN event_id = lease THEN 'acquired' WHEN agent_id = holder THEN 'already_held' ELSE 'locked' END AS answer FROM w""",
     "co_change_sets": f"WITH {_SESSIONS} SELECT project, strftime(session_start, {_US}) AS session_start, files, n_files FROM c",
     "recent_co_changes": f"""WITH {_SESSIONS} SELECT project, strftime(session_start, {_US}) AS created_at, files, n_files FROM c
         WHERE session_start >= TIMESTAMP '{V.NOW}' - INTERVAL 14 DAY ORDER BY session_start DESC, project LIMIT 50""",

@@ -154,3 +154,25 @@ def test_unknown_mode_and_null_text(spark):
         K.with_reads(files, "other")
     assert [r["sent"] for r in K.with_reads(files, "compressed").orderBy("path").collect()] == ["", "x // y"]
     assert K.symbols(files).collect() == []
+
+
+def test_symbols_of_a_folder(spark, tmp_path):
+    for name, text in {"src/a.rs": "fn one() {}\n", "target/b.rs": "fn two() {}\n", "c.py": "def three(): pass\n", "d.md": "fn four() {}", "big.go": "func five() {}\n" + " " * K.INDEX_BYTES}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    assert {r["name"] for r in K.project_symbols(spark, str(tmp_path)).collect()} == {"one", "three"}
+
+
+def test_long_files_are_parsed_in_proportion():
+    import time
+
+    def seconds(n, lang, unit):
+        text = "".join(unit % k for k in range(n))
+        began = time.process_time()
+        assert len(K.definitions(text, lang)) == n
+        K.skeleton(text, lang)
+        return time.process_time() - began
+
+    for lang, unit in (("typescript", "const a%d = f(x)\n\n"), ("python", "def f%d(x):\n    'd'\n    return x\n")):
+        seconds(500, lang, unit)
+        assert seconds(16_000, lang, unit) < 30 * max(0.03, seconds(2_000, lang, unit))
