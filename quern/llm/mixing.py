@@ -42,7 +42,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, most:
     ranked = ranked.withColumn("weight", weight).withColumn("limit", F.col("source_size") * F.lit(float(most)))
     ranked = ranked.withColumn("fills_at", F.col("limit") / F.col("weight"))
     before = F.coalesce(F.sum("limit").over(by_fill.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(by_fill.rowsBetween(0, W.unboundedFollowing))
+    # all weights less those before: a frame that ends with the last row would be summed anew for every row
+    rest = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(by_fill.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     budget = F.sum("source_size").over(everything) * F.lit(float(share))
     ranked = ranked.withColumn("level", (budget - before) / rest)
     place = F.when(F.col("level") <= F.col("fills_at"), F.struct("fills_at", "k", "level"))
