@@ -8,9 +8,6 @@ from quern.functions.text import split_lines
 from quern.operators import patch as P
 from quern.plans import views as V
 
-HUNKS = "id long, start int, end int, content string"
-#: Hunks with every kind of error, on documents of any length of at least a line.
-INVALID = [(1, 0, 1, "x"), (2, 1, 10_000_000, "x"), (3, 1, 0, "x"), (4, 1, 1, "x"), (4, 1, 1, "y"), (5, 1, 1, "fine")]
 
 
 def _documents(spark, sf_dir):
@@ -29,10 +26,6 @@ def apply_hunks(spark, sf_dir):
 
 
 def hunk_validate(spark, sf_dir):
-    return P.validated(_documents(spark, sf_dir), spark.createDataFrame(INVALID, HUNKS))
-
-
-def documents_hunk_validate(spark, sf_dir):
     """Hunks of every document, each with the kind of error that its id says; a fifth have none."""
     kind = F.col("id") % 5
     start = F.when(kind == 0, 0).otherwise(1)
@@ -61,14 +54,7 @@ def previous_reads(spark, sf_dir):
     return c.select("role", "conv_id", "turn", F.octet_length(before).alias("previous_bytes"), (before == F.col("text")).alias("same"))
 
 
-PAIRS = [(1, "a\nb\nc\n", "a\nx\nc\n"), (2, "", "new\n"), (3, "same\n", "same\n"), (4, "a\nb\n", ""), (5, "a\nb", "a\nb\n")]
-
-
 def line_diff(spark, sf_dir):
-    return P.with_diff(spark.createDataFrame(PAIRS, "id long, old string, new string"), "old", "new").select("id", "diff")
-
-
-def turns_line_diff(spark, sf_dir):
     """Of each turn and the turn of the same role before it, whole; the first one's is against nothing."""
     c = V.table(spark, sf_dir, "conversations")
     before = F.lag("text").over(P.W.partitionBy("role", "conv_id").orderBy("turn"))
@@ -82,20 +68,18 @@ def diff_ratio(spark, sf_dir):
     return P.with_diff(pairs, "text", "new").select("id", F.round("ratio", 9).alias("ratio"))
 
 
-QUERIES = {f.__name__: f for f in (apply_hunks, hunk_validate, documents_hunk_validate, hunk_overlap, diff_since_last_read, previous_reads, line_diff, turns_line_diff, diff_ratio)}
+QUERIES = {f.__name__: f for f in (apply_hunks, hunk_validate, hunk_overlap, diff_since_last_read, previous_reads, line_diff, diff_ratio)}
 
 ORACLE_SQL = {
     "apply_hunks": """WITH l AS (SELECT doc_id AS id, string_split(text, chr(10)) AS p FROM documents WHERE len(string_split(text, chr(10))) >= 3)
         SELECT id, 'ok' AS status, CAST(2 AS BIGINT) AS lines_changed,
                sha256(array_to_string(list_concat(p[:1], list_concat(CASE WHEN id % 5 = 0 THEN [] ELSE ['patched-' || id] END, p[4:])), chr(10))) AS text_sha256 FROM l""",
-    "hunk_validate": """SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'start below 1'), (2, 'end beyond file'), (3, 'start after end'), (4, 'Hunks overlap'), (5, NULL)) t(id, error)""",
-    "documents_hunk_validate": """SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'start below 1' WHEN 1 THEN 'end beyond file'
+    "hunk_validate": """SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'start below 1' WHEN 1 THEN 'end beyond file'
         WHEN 2 THEN 'start after end' WHEN 3 THEN 'Hunks overlap' END AS error FROM documents""",
     "hunk_overlap": """WITH h AS (SELECT l_orderkey AS id, l_linenumber AS s, l_linenumber + l_partkey % 2 AS e FROM lineitem),
         w AS (SELECT id, coalesce(max(e) OVER (PARTITION BY id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= s, false) AS o FROM h)
         SELECT id, CAST(count_if(o) AS BIGINT) AS n_overlaps FROM w GROUP BY id""",
     "previous_reads": """WITH w AS (SELECT role, conv_id, turn, text, lag(text) OVER (PARTITION BY role, conv_id ORDER BY turn) AS b FROM conversations)
         SELECT role, conv_id, turn, CAST(strlen(b) AS INTEGER) AS previous_bytes, b = text AS same FROM w""",
-    "line_diff": """SELECT id, replace(d, '~', chr(10)) AS diff FROM (VALUES (CAST(1 AS BIGINT), ' a~-b~+x~ c~'), (2, '+new~'), (3, ' same~'), (4, '-a~-b~'), (5, ' a~-b+b~')) t(id, d)""",
     "diff_ratio": """SELECT doc_id AS id, round(CAST(3 AS DOUBLE) / (len(string_split(text, chr(10))) + 2), 9) AS ratio FROM documents""",
 }

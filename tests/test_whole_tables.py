@@ -22,13 +22,13 @@ def test_code_queries_read_every_file(spark):
     texts = files(spark)
     langs = {p: LANGUAGES.get(p.rsplit(".", 1)[-1]) for p in texts}
     want = Counter((p, d.name, t.count("\n", 0, d.start) + 1, d.kind) for p, t in texts.items() if langs[p] for d in C.definitions(t, langs[p]))
-    assert Counter(map(tuple, rows(spark, "files_symbol_rows"))) == want
-    assert {r["name"]: r["n_places"] for r in rows(spark, "files_symbol_index")} == Counter(x[1] for x in want.elements())
-    assert Counter(map(tuple, rows(spark, "files_find_symbol"))) == Counter(x for x in want.elements() if x[1] == "anonymous")
+    assert Counter(map(tuple, rows(spark, "symbol_rows"))) == want
+    assert {r["name"]: r["n_places"] for r in rows(spark, "symbol_index")} == Counter(x[1] for x in want.elements())
+    assert Counter(map(tuple, rows(spark, "find_symbol"))) == Counter(x for x in want.elements() if x[1] == "anonymous")
     sent = {m: {p: C.read(p, t, langs[p], m) for p, t in texts.items()} for m in ("full", "skeleton", "compressed")}
-    assert {r["path"]: r["sent"] for r in rows(spark, "files_skeleton")} == sent["skeleton"]
-    assert {r["path"]: r["sent"] for r in rows(spark, "files_strip_comments")} == sent["compressed"]
-    assert {(r["path"], r["mode"]): r["sent_bytes"] for r in rows(spark, "files_read_modes")} == {(p, m): len(x.encode()) for m, xs in sent.items() for p, x in xs.items()}
+    assert {r["path"]: r["sent"] for r in rows(spark, "skeleton")} == sent["skeleton"]
+    assert {r["path"]: r["sent"] for r in rows(spark, "strip_comments")} == sent["compressed"]
+    assert {(r["path"], r["mode"]): r["sent_bytes"] for r in rows(spark, "read_modes")} == {(p, m): len(x.encode()) for m, xs in sent.items() for p, x in xs.items()}
 
 
 def test_every_turn_is_compared_with_the_one_before(spark):
@@ -39,10 +39,10 @@ def test_every_turn_is_compared_with_the_one_before(spark):
         want[r["role"], r["conv_id"], r["turn"]] = P.diff(old, r["text"])[1]
         assert want[r["role"], r["conv_id"], r["turn"]] or old == r["text"]
         last[r["role"], r["conv_id"]] = r["text"]
-    assert {(r["role"], r["conv_id"], r["turn"]): r["diff"] for r in rows(spark, "turns_line_diff")} == want
+    assert {(r["role"], r["conv_id"], r["turn"]): r["diff"] for r in rows(spark, "line_diff")} == want
 
 
 def test_stems_of_the_whole_corpus(spark):
-    stems = rows(spark, "corpus_stems")
+    stems = rows(spark, "analyze_stems")
     assert sum(r["times"] for r in stems) == sum(r["times"] for r in rows(spark, "analyze_tokens"))
     assert len(stems) == len({r["stem"] for r in stems}) > 100
