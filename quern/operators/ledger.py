@@ -72,7 +72,7 @@ def report(sums: DataFrame, width: int = 24) -> DataFrame:
 
     name = lambda c, none: F.rpad(F.coalesce(c, F.lit(none)), width, " ")
     number = lambda c: F.lpad(F.col(c).cast("string"), 12, " ")
-    pct = F.lpad(F.concat(F.format_string("%.1f", "pct"), F.lit("%")), 9, " ")
+    pct = F.lpad(F.concat(F.format_string("%.1f", F.round("pct", 1)), F.lit("%")), 9, " ")
     total = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total_saved", "total_usage")])
     rows = sums.select("agent_id", "project", "total_saved", "total_usage", F.lit(0).alias("last"))
     every = rows.unionByName(total.select(F.lit("TOTAL").alias("agent_id"), F.lit("").alias("project"), "total_saved", "total_usage", F.lit(1).alias("last")))

@@ -65,7 +65,7 @@ ORACLE_SQL = {
         e AS (SELECT *, 0 AS last FROM g UNION ALL SELECT 'TOTAL', '', CAST(coalesce(sum(total_saved), 0) AS BIGINT), CAST(coalesce(sum(total_usage), 0) AS BIGINT), 1 FROM g)
         SELECT CAST(row_number() OVER (ORDER BY last, agent_id NULLS FIRST, project NULLS FIRST) AS INTEGER) AS line,
                rpad(coalesce(agent_id, 'unknown'), 24, ' ') || ' ' || rpad(coalesce(project, ''), 24, ' ') || lpad(CAST(total_saved AS VARCHAR), 12, ' ') || lpad(CAST(total_usage AS VARCHAR), 12, ' ')
-               || lpad(printf('%.1f', CASE WHEN total_usage > 0 THEN round(total_saved / total_usage * 100, 4) ELSE 0.0 END) || '%', 9, ' ') AS text FROM e""",
+               || lpad(printf('%.1f', round(CASE WHEN total_usage > 0 THEN round(total_saved / total_usage * 100, 4) ELSE 0.0 END, 1)) || '%', 9, ' ') AS text FROM e""",
     "stats_by_agent_project": f"WITH {V.LEDGER} {_BY} GROUP BY agent_id, project",
     "stats_project": f"WITH {V.LEDGER} {_BY} WHERE project = 'purchase' GROUP BY agent_id, project",
     "stats_timeframe": f"WITH {V.LEDGER} {_BY} WHERE project = 'purchase' AND created_at >= TIMESTAMP '{V.NOW}' - INTERVAL 7 DAY GROUP BY agent_id, project",

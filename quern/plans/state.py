@@ -214,6 +214,14 @@ ORACLE_SQL = {
         w AS (SELECT r.*, t.agent_id AS holder, t.event_id AS lease FROM v_lock_requests r JOIN taken t ON t.file_path = r.file_path AND (t.ts, t.event_id) <= (r.ts, r.event_id)
               QUALIFY row_number() OVER (PARTITION BY r.event_id ORDER BY t.ts DESC, t.event_id DESC) = 1)
         SELECT event_id, file_path, agent_id, holder, CASE WHEN event_id = lease THEN 'acquired' WHEN agent_id = holder THEN 'already_held' ELSE 'locked' END AS answer FROM w""",
+    "lock_replay": f"""WITH RECURSIVE {V.LOCK_REQUESTS},
+        r AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN 'unlock' ELSE 'lock' END AS action, row_number() OVER (PARTITION BY file_path ORDER BY ts, event_id) AS n FROM v_lock_requests),
+        s AS (SELECT event_id, file_path, agent_id, action, n, action = 'lock' AS granted, CASE WHEN action = 'lock' THEN agent_id END AS holder, ts AS since FROM r WHERE n = 1
+              UNION ALL
+              SELECT event_id, file_path, agent_id, action, n, CASE WHEN action = 'lock' THEN h IS NULL OR h = agent_id ELSE coalesce(h = agent_id, false) END AS granted,
+                     CASE WHEN action = 'lock' THEN coalesce(h, agent_id) WHEN h = agent_id THEN NULL ELSE h END AS holder, CASE WHEN h IS NULL THEN ts ELSE since END AS since
+              FROM (SELECT r.*, s.since, CASE WHEN r.ts - s.since <= INTERVAL {LEASE} MINUTE THEN s.holder END AS h FROM s JOIN r ON r.file_path = s.file_path AND r.n = s.n + 1))
+        SELECT event_id, file_path, agent_id, action, granted FROM s""",
     "co_change_sets": f"WITH {_SESSIONS} SELECT project, strftime(session_start, {_US}) AS session_start, files, n_files FROM c",
     "recent_co_changes": f"""WITH {_SESSIONS} SELECT project, strftime(session_start, {_US}) AS created_at, files, n_files FROM c
         WHERE session_start >= TIMESTAMP '{V.NOW}' - INTERVAL 14 DAY ORDER BY session_start DESC, project LIMIT 50""",
