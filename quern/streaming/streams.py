@@ -85,8 +85,15 @@ def repeated_reads(reads: DataFrame) -> DataFrame:
     return reads.groupBy("agent_id", "file").transformWithStateInPandas(LastSent(), schema, "Append", "ProcessingTime")
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs the stream over what its source has now. In complete mode the last batch's table is the result."""
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def drained(stream: DataFrame, mode: str = "append", closing: bool = True) -> DataFrame:
+    """Runs the stream over what its source has now. In complete mode the last batch's table is the result.
+
+    closing: further batches without input close what a watermark has passed. State by processing time always asks for
+    one more such batch, so a stream that holds any (``repeated_reads``) only ends without them.
+    """
     spark = stream.sparkSession
     scratch = Scratch(spark, "stream")
     out, state = scratch.path(), scratch.path()
@@ -94,5 +101,11 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
         writer = stream.writeStream.format("parquet").option("path", out).outputMode("append")
     else:
         writer = stream.writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(out)).outputMode(mode)
-    writer.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    before = spark.conf.get(NO_DATA)
+    spark.conf.set(NO_DATA, str(closing).lower())
+    try:
+        query = writer.option("checkpointLocation", state).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(NO_DATA, before)
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)

@@ -1,6 +1,6 @@
 import pandas as pd
 
-from quern.streaming.streams import LastSent
+from quern.streaming.streams import LastSent, drained, repeated_reads
 
 
 class Value:
@@ -38,3 +38,12 @@ def test_repeated_reads_are_known_over_batches():
         rows = iter([pd.DataFrame(batch, columns=["seq", "content"])])
         got += [tuple(r) for out in processor.handleInputRows(("a", "f"), rows, None) for r in out.itertuples(index=False)]
     assert got == [("a", "f", 1, False, False), ("a", "f", 2, True, True), ("a", "f", 3, True, True), ("a", "f", 4, True, True), ("a", "f", 5, True, False)]
+
+
+def test_a_run_of_repeated_reads_ends_and_remembers_between_batches(spark, tmp_path):
+    kind = "agent_id string, file string, seq long, content string"
+    for k, rows in enumerate([[("a", "f", 1, "x"), ("b", "f", 2, "x")], [("a", "f", 3, "x"), ("a", "g", 4, "x")], [("a", "f", 5, "y")]]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    reads = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    out = drained(repeated_reads(reads), closing=False)
+    assert sorted((r["seq"], r["seen"], r["same"]) for r in out.collect()) == [(1, False, False), (2, False, False), (3, True, True), (4, False, False), (5, True, False)]
