@@ -245,12 +245,12 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     words = words.select("chunk", "lang", (F.col("place") + 1).alias("place"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     known = scratch.table(dictionary(words, least))
     numbers = words.join(known, ["lang", "word"]).select(F.col("chunk").alias("of"), "place", "id")
-    counted = scratch.table(keys(chunks, numbers))
     totals = scratch.table(chunks.groupBy("lang").agg(F.sum("n").alias("n")))
-    scratch.drop(chunks)
     shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(shuffled, counted.count() // PART_KEYS + 1)
-    candidates = scratch.table(counted_phrases(counted, parts, least))
+    parts = max(shuffled, (totals.agg(F.sum("n")).first()[0] or 0) // PART_KEYS + 1)
+    # ranges are found by packing the keys once more, which takes less than a written table of them
+    candidates = scratch.table(counted_phrases(keys(chunks, numbers), parts, least))
+    scratch.drop(chunks)
     found = scored(candidates, known.select("id", "f"))
     found = found.withColumn("w", _numbers()).select("*", F.posexplode("w").alias("at", "id")).join(known.select("id", "lang", "word"), "id")
     spelt = F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]))
