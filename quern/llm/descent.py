@@ -30,8 +30,8 @@ ORDERS, BLOCK = 4, 512
 ROUNDS, STILL = 6, 0.02
 #: Pool of a query, and how many of its open nodes are expanded in a round.
 POOL, WIDTH = 240, 60
-#: Nodes whose surroundings are compared in one group, and vectors of a group that scores candidates.
-TOGETHER, SHELF = 256, 1024
+#: Nodes whose surroundings are compared in one group; vectors of a group that scores candidates, and such groups at least.
+TOGETHER, SHELF, SHELVES = 256, 4096, 32
 #: Components of 16 bits.
 _FULL = 32767
 
@@ -220,7 +220,7 @@ def _shelf(u: str, shelves: int) -> Column:
 
 def search(graph: DataFrame, classes: DataFrame, starts: DataFrame, n: int, dims: int, scratch: Scratch, pool: int = POOL) -> DataFrame:
     """(query, u, score): the pool of each query after a greedy search. graph: (w, m); starts: (query, qe, u)."""
-    shelves = n // SHELF + 1
+    shelves = max(SHELVES, n // SHELF)
     vectors = classes.select("u", "e", _shelf("u", shelves).alias("shelf"))
     queries = starts.select("query", "qe")
     wanted = starts.groupBy("query", _shelf("u", shelves).alias("shelf")).agg(F.collect_set("u").alias("us"))
