@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,3 +103,10 @@ def _stems(tokens: pd.Series) -> pd.Series:
 def stems(tokens: Column) -> Column:
     """Stems of an array of tokens; null stays null."""
     return F.pandas_udf(_stems, T.ArrayType(T.StringType()))(tokens)
+
+
+def stemmed(rows: DataFrame, word: str, stem_as: str) -> DataFrame:
+    """rows with the stem of each row's word, which is not null. Each distinct word is stemmed once and joined back."""
+    each = F.pandas_udf(lambda words: words.map(stem), T.StringType())
+    known = rows.select(word).distinct().withColumn(stem_as, each(F.col(word)))
+    return rows.join(known, word)

@@ -71,6 +71,6 @@ def extension(path: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays of doubles."""
+    """Cosine of two arrays of doubles; null where a vector is null or zero, holds a null, or has another length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))

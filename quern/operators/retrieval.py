@@ -1,8 +1,9 @@
 """Hybrid retrieval: exact cosine top-k, BM25 top-k, and their fusion by reciprocal rank.
 
-Query and records go through one analyzer: folded words, then English stems. Texts are analysed once a query, where they
-stand, into a narrow table of lengths and term counts; statistics and scores come from that table. Every ranking is cut
-to its top k (TakeOrderedAndProject) before anything is ranked or joined, and only the winners' texts are read again.
+Query and records go through one analyzer: folded words, then English stems. Where there is an index (``postings``), a
+query reads its terms' blocks; without one, texts are analysed once a query, where they stand, into a narrow table of lengths and
+term counts. Every ranking is cut to its top k (TakeOrderedAndProject) before anything is ranked or joined, and only the
+winners' texts are read.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from pyspark.sql import Window as W
 
 from quern.functions.stemming import stem, stems
 from quern.functions.text import cosine, folded_tokens, safe_truncate, tokens_of
+from quern.operators.postings import Postings, bm25, is_visible
 from quern.sources.scratch import Scratch
 
-K1, B, RRF_K, CANDIDATES, MOST = 1.2, 0.75, 60, 20, 50
+RRF_K, CANDIDATES, MOST = 60, 20, 50
 #: Stems that words of another second letter have: dying, lying, tying.
 SHORT = ("die", "lie", "tie")
 
@@ -27,11 +29,6 @@ def analyze(query: str) -> list[str]:
     return list(dict.fromkeys(map(stem, tokens_of(query))))
 
 
-def is_visible() -> Column:
-    """Of a record: not a ledger entry (tag roi); records without tags are visible."""
-    return ~F.coalesce(F.array_contains("tags", "roi"), F.lit(False))
-
-
 def visible(memory: DataFrame, project: str) -> DataFrame:
     return memory.filter((F.col("project") == project) & is_visible())
 
@@ -64,11 +61,6 @@ def term_statistics(rows: DataFrame, n_terms: int) -> DataFrame:
     return one.select("n", "avgdl", F.array(*[F.coalesce(f"df{i}", F.lit(0)) for i in range(n_terms)]).alias("df"))
 
 
-def bm25(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Column:
-    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
-    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
-
-
 def bm25_ranked(memory: DataFrame, project: str, query: str) -> DataFrame:
     """(key, created_at, score) of visible records that hold every term of the query; statistics are over all records.
 
@@ -85,17 +77,27 @@ def bm25_ranked(memory: DataFrame, project: str, query: str) -> DataFrame:
 
 
 def knn_ranked(memory: DataFrame, vectors: DataFrame, project: str, vector: DataFrame) -> DataFrame:
-    """(key, created_at, score): visible records that have a vector in (key, embedding), with their cosine to the one row
-    ``qvec`` of vector. No text is read."""
+    """(key, created_at, score): visible records that have a vector in (project, key, embedding), with their cosine to the
+    one row ``qvec`` of vector. No text is read. A vector that has no cosine with it (null, zero, not finite, of another
+    length) is not ranked; if that is the query's, nothing is."""
     own = visible(memory, project).select("key", "created_at")
-    found = vectors.filter(F.col("embedding").isNotNull()).join(own, "key").crossJoin(F.broadcast(vector.limit(1)))
-    return found.select("key", "created_at", F.round(cosine(F.col("embedding"), F.col("qvec")), 6).alias("score"))
+    near = vectors.filter((F.col("project") == project) & F.col("embedding").isNotNull()).select("key", "embedding")
+    found = near.join(own, "key").crossJoin(F.broadcast(vector.limit(1)))
+    found = found.select("key", "created_at", F.round(cosine(F.col("embedding"), F.col("qvec")), 6).alias("score"))
+    return found.filter(F.col("score").isNotNull() & ~F.isnan("score"))
 
 
 def top(ranked: DataFrame, k: int, *tie: Column) -> DataFrame:
     return ranked.orderBy(F.col("score").desc(), *tie, "key").limit(k)
 
 
+def bm25_top(memory: DataFrame, project: str, query: str, k: int, *tie: Column, index: Postings | None = None) -> DataFrame:
+    """``top`` of ``bm25_ranked``: from the index of memory if there is one, else by reading every text."""
+    if index is not None:
+        return index.top(project, analyze(query), k, *tie)
+    return top(bm25_ranked(memory, project, query), k, *tie)
+
+
 def _positions(candidates: DataFrame) -> DataFrame:
     """0-based rank of at most CANDIDATES rows."""
     return candidates.select("key", (F.row_number().over(W.orderBy(F.col("score").desc(), "key")) - 1).alias("rank"))
@@ -115,19 +117,19 @@ def fused_by_union(vector_top: DataFrame, text_top: DataFrame) -> DataFrame:
 
 
 def recall(
-    memory: DataFrame, project: str, query: str, vectors: DataFrame | None = None, vector: DataFrame | None = None, limit: int = 5
+    memory: DataFrame, project: str, query: str, vectors: DataFrame | None = None, vector: DataFrame | None = None, limit: int = 5, index: Postings | None = None
 ) -> DataFrame:
     """At most limit (50 at most) visible records, best first: fused if there is a query vector, else by BM25.
 
-    Columns: key, content, project, created_at, agent_id, score, search_mode. memory: keyed records; vectors: (key,
+    Columns: key, content, project, created_at, agent_id, score, search_mode. memory: keyed records; vectors: (project, key,
     embedding).
     """
     limit = min(limit, MOST)
-    ranked = bm25_ranked(memory, project, query)
     if vector is None:
-        best, mode = top(ranked, limit, F.col("created_at").desc()), "bm25"
+        best, mode = bm25_top(memory, project, query, limit, F.col("created_at").desc(), index=index), "bm25"
     else:
-        best, mode = top(fused(top(knn_ranked(memory, vectors, project, vector), CANDIDATES), top(ranked, CANDIDATES)), limit), "vector+bm25"
+        by_text = bm25_top(memory, project, query, CANDIDATES, index=index)
+        best, mode = top(fused(top(knn_ranked(memory, vectors, project, vector), CANDIDATES), by_text), limit), "vector+bm25"
     # MOST rows at most; a record's key is its own
     records = visible(memory, project).select("key", "content", "project", "created_at", "agent_id")
     found = records.join(F.broadcast(best.select("key", "score")), "key")
@@ -149,17 +151,25 @@ def recall_by_text(
 
 
 def remembered(memory: DataFrame, vectors: DataFrame, record: dict, embed: Callable[[str], Sequence[float]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Snapshots of memory and vectors after a record is stored: its row replaces the one of its project and key, tags
-    included, and its vector the one of its key, even by none where there is no embedder or it fails."""
+    """Snapshots of memory and vectors after a record is stored.
+
+    The log of its project and key, the record last, is folded: the last values stay, token counters add up, and one that the
+    record leaves out keeps its sum. Its vector (project, key, embedding) takes the place of the one of its project and key,
+    even by none where there is no embedder or it fails. Records of other projects with that key stay as they are.
+    """
     spark = memory.sparkSession
     try:
         values = [float(x) for x in embed(record["content"])] if embed else None
     except Exception:  # a record without a vector can still be found by its text
         values = None
+    same = F.col("project").eqNullSafe(F.lit(record.get("project"))) & F.col("key").eqNullSafe(F.lit(record["key"]))
     row = spark.createDataFrame([tuple(record.get(c) for c in memory.columns)], memory.schema)
-    same = (F.col("project") == record["project"]) & (F.col("key") == record["key"])
-    vector = spark.createDataFrame([(record["key"], values)], vectors.schema)
-    return memory.filter(~F.coalesce(same, F.lit(False))).unionByName(row), vectors.filter(F.col("key") != record["key"]).unionByName(vector)
+    counters = [c for c in ("token_saved", "token_usage") if c in memory.columns]
+    last = [c for c in memory.columns if c not in ("project", "key", *counters)]
+    log = memory.filter(same).withColumn("__n", F.lit(0)).unionByName(row.withColumn("__n", F.lit(1)))
+    now = log.groupBy("project", "key").agg(F.max_by(F.struct(*last), "__n").alias("__last"), *[F.sum(c).alias(c) for c in counters])
+    vector = spark.createDataFrame([(record.get("project"), record["key"], values)], "project string, key string, embedding array<double>")
+    return memory.filter(~same).unionByName(now.select("project", "key", "__last.*", *counters)), vectors.filter(~same).unionByName(vector)
 
 
 def formatted(recalled: DataFrame, most: int = 4096) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.functions.stemming import stems
+from quern.functions.stemming import stemmed
 from quern.functions.text import folded_tokens
 from quern.operators import retrieval as R
+from quern.operators.postings import Postings
 from quern.plans import views as V
+from quern.sources.scratch import Scratch, file_states
 
 PROJECT, QUERY, VECTOR, LIMIT = "en", "The, and", 7, 10
 
@@ -21,36 +23,48 @@ def _day(df):
     return df.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
 
 
+_INDEXES: dict[tuple, Postings] = {}
+
+
+def text_index(spark, sf_dir):
+    """The full-text index of the records, which the session's first query on just these files writes."""
+    held = (spark.sparkContext.applicationId, file_states(spark, f"{sf_dir}/documents.parquet"))
+    if held not in _INDEXES or not _INDEXES[held].exists():
+        _INDEXES[held] = Postings(spark, Scratch(spark, "text-index").root).build(V.memory(spark, sf_dir))
+    return _INDEXES[held]
+
+
 def knn_top20(spark, sf_dir):
     return R.top(R.knn_ranked(V.memory(spark, sf_dir), V.vectors(spark, sf_dir), PROJECT, _vector(spark, sf_dir)), 20).select("key", "score")
 
 
 def bm25_top20(spark, sf_dir):
-    return R.top(R.bm25_ranked(V.memory(spark, sf_dir), PROJECT, QUERY), 20).select("key", "score")
+    return R.bm25_top(V.memory(spark, sf_dir), PROJECT, QUERY, 20, index=text_index(spark, sf_dir)).select("key", "score")
 
 
 def bm25_stats(spark, sf_dir):
     terms = R.analyze(QUERY)
-    one = R.term_statistics(R.analyzed(V.memory(spark, sf_dir), terms), len(terms))
-    return one.select("n", F.round("avgdl", 6).alias("avgdl"), *[F.col("df")[i].alias(f"df_{t}") for i, t in enumerate(terms)])
+    stats = text_index(spark, sf_dir).statistics(terms)
+    row = (stats.n, None if stats.avgdl is None else round(stats.avgdl, 6), *stats.df)
+    return spark.createDataFrame([row], "n long, avgdl double, " + ", ".join(f"df_{t} long" for t in terms))
 
 
 def recall_hybrid_rrf(spark, sf_dir):
-    out = R.recall(V.memory(spark, sf_dir), PROJECT, QUERY, V.vectors(spark, sf_dir), _vector(spark, sf_dir), LIMIT)
+    out = R.recall(V.memory(spark, sf_dir), PROJECT, QUERY, V.vectors(spark, sf_dir), _vector(spark, sf_dir), LIMIT, text_index(spark, sf_dir))
     return _day(out).drop("content")
 
 
 def recall_bm25_only(spark, sf_dir):
-    return _day(R.recall(V.memory(spark, sf_dir), PROJECT, QUERY, limit=LIMIT)).drop("content")
+    return _day(R.recall(V.memory(spark, sf_dir), PROJECT, QUERY, limit=LIMIT, index=text_index(spark, sf_dir))).drop("content")
 
 
 def recall_formatted(spark, sf_dir):
-    return R.formatted(R.recall(V.memory(spark, sf_dir), PROJECT, QUERY, limit=LIMIT), 400)
+    return R.formatted(R.recall(V.memory(spark, sf_dir), PROJECT, QUERY, limit=LIMIT, index=text_index(spark, sf_dir)), 400)
 
 
 def _lists(spark, sf_dir):
     m = V.memory(spark, sf_dir)
-    return R.top(R.knn_ranked(m, V.vectors(spark, sf_dir), PROJECT, _vector(spark, sf_dir)), 20), R.top(R.bm25_ranked(m, PROJECT, QUERY), 20)
+    return R.top(R.knn_ranked(m, V.vectors(spark, sf_dir), PROJECT, _vector(spark, sf_dir)), 20), R.bm25_top(m, PROJECT, QUERY, 20, index=text_index(spark, sf_dir))
 
 
 def rrf_full_outer(spark, sf_dir):
@@ -70,8 +84,9 @@ def analyze_tokens(spark, sf_dir):
 
 def analyze_stems(spark, sf_dir):
     """How often each English stem stands in the corpus, and in how many records."""
-    t = V.memory(spark, sf_dir).select("key", F.explode(stems(folded_tokens(F.col("content")))).alias("stem"))
-    per = t.groupBy("stem", "key").agg(F.count(F.lit(1)).alias("n"))
+    t = V.memory(spark, sf_dir).select("key", F.explode(folded_tokens(F.col("content"))).alias("word"))
+    words = Scratch(spark, "words").table(t.groupBy("word", "key").agg(F.count(F.lit(1)).alias("n")))
+    per = stemmed(words, "word", "stem").groupBy("stem", "key").agg(F.sum("n").alias("n"))
     return per.groupBy("stem").agg(F.sum("n").alias("times"), F.count(F.lit(1)).alias("records"))
 
 

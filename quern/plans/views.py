@@ -11,9 +11,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(key, embedding) of the records that have a vector."""
-    e = table(spark, sf_dir, "embeddings")
-    return e.select(F.concat(F.lit("doc-"), "vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("embedding"))
+    """(project, key, embedding) of the records that have a vector."""
+    e, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("project"))
+    own = e.join(d, e["vec_id"] == d["doc_id"])
+    return own.select("project", F.concat(F.lit("doc-"), "vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 
 def memory(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,13 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def file_states(spark: SparkSession, path: str) -> tuple:
+    """Name, size and time of change of a table's files: what tells whether it is still the table it was."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found))
+
+
 class Scratch:
     """Parquet tables that cut lineage: a lost executor re-reads files instead of re-running the plan.
 

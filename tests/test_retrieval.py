@@ -11,7 +11,7 @@ def memory(spark, rows):
 
 
 def vectors(m):
-    return m.select("key", "embedding")
+    return m.select("project", "key", "embedding")
 
 
 def one_hot(k, n=384):
@@ -86,3 +86,32 @@ def test_storing_replaces_record_and_vector(spark):
         now, then = R.remembered(rows, v, record, embed)
         assert {r["key"]: (r["content"], r["tags"]) for r in now.collect()} == {"a": ("new words", ["y"]), "b": ("kept", [])}
         assert {r["key"]: r["embedding"] for r in then.collect()} == {"a": want, "b": one_hot(1)}
+
+
+def test_storing_adds_counters_and_leaves_other_projects_alone(spark):
+    import datetime
+
+    t = datetime.datetime(2024, 1, 1)
+    m = spark.createDataFrame(
+        [("k", "old", ["x"], "p1", t, None, 5, None), ("k", "other", ["x"], "p2", t, None, 7, 8)],
+        "key string, content string, tags array<string>, project string, created_at timestamp_ntz, agent_id string, token_saved long, token_usage long",
+    )
+    v = spark.createDataFrame([("p1", "k", one_hot(0, 3)), ("p2", "k", one_hot(1, 3))], "project string, key string, embedding array<double>")
+    now, then = R.remembered(m, v, {"project": "p1", "key": "k", "content": "new", "token_saved": 2})
+    got = {r["project"]: (r["content"], r["token_saved"], r["token_usage"]) for r in now.collect()}
+    assert got == {"p1": ("new", 7, None), "p2": ("other", 7, 8)}
+    assert {r["project"]: r["embedding"] for r in then.collect()} == {"p1": None, "p2": one_hot(1, 3)}
+    again, _ = R.remembered(now, then, {"project": "p1", "key": "k", "content": "newer"})
+    assert {r["project"]: r["token_saved"] for r in again.collect()} == {"p1": 7, "p2": 7}
+    found = R.recall(m, "p1", "nothing", v, query(spark, one_hot(1, 3))).collect()
+    assert [(r["content"]) for r in found] == ["old"]  # its own vector, not the one of p2
+
+
+def test_vectors_without_a_cosine_are_not_ranked(spark):
+    nan = float("nan")
+    rows = [("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", None), ("d", [1.0, None]), ("e", [nan, 1.0]), ("f", [1.0, 0.0, 0.0]), ("g", [0.0, 1.0])]
+    m = memory(spark, [(k, "text", [], "p", e) for k, e in rows])
+    assert {r["key"] for r in R.knn_ranked(m, vectors(m), "p", query(spark, [1.0, 1.0])).collect()} == {"a", "g"}
+    for q in ([0.0, 0.0], None, [nan, 1.0]):
+        got = R.recall(m, "p", "text", vectors(m), spark.createDataFrame([(q,)], "qvec array<double>"), 3).collect()
+        assert len(got) == 3  # by text alone
