@@ -40,6 +40,60 @@ def unpruned(path: Column, noise: Sequence[str] = NOISE) -> Column:
     return ~F.arrays_overlap(folders, F.array(*map(F.lit, noise)))
 
 
+def glob_pattern(glob: str) -> str:
+    """The regular expression of a glob for whole paths and all that lies below them.
+
+    ``*`` and ``?`` stay within a segment, ``**`` stands for any number of segments, ``[a-z]`` and ``[!a-z]`` for a character,
+    ``{a,b}`` for either, also nested; a backslash takes the next character as it is. A glob without a slash (a last one aside) matches at any
+    depth, others from the root on. Raises ValueError for a brace or bracket that is not closed.
+    """
+    body = glob.strip("/")
+    out, depth, i = "" if "/" in body or glob.startswith("/") else "(?:.*/)?", 0, 0
+    while i < len(body):
+        c = body[i]
+        if body.startswith("**/", i) and (i == 0 or body[i - 1] == "/"):
+            out, i = out + "(?:[^/]+/)*", i + 3
+            continue
+        if body.startswith("**", i):
+            out, i = out + ".*", i + 2
+            continue
+        if c == "[":
+            end = body.find("]", i + 2)
+            if end < 0:
+                raise ValueError(f"a bracket is not closed: {glob}")
+            inner = body[i + 1 : end].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
+            out, i = out + ("[^/" + inner[1:] if inner[0] in "!^" else "[" + inner) + "]", end + 1
+            continue
+        if c == "\\" and i + 1 < len(body):
+            i += 1
+            out += re.escape(body[i])
+        elif c in "{}":
+            depth += 1 if c == "{" else -1
+            out += "(?:" if c == "{" else ")"
+        elif c == "," and depth:
+            out += "|"
+        else:
+            out += {"*": "[^/]*", "?": "[^/]"}.get(c) or re.escape(c)
+        if depth < 0:
+            break
+        i += 1
+    if depth:
+        raise ValueError(f"a brace is not closed: {glob}")
+    return f"^{out}(?:/.*)?$"
+
+
+def chosen(path: Column, rules: Sequence[str]) -> Column:
+    """Whether ordered rules choose the path: the last glob that matches it, or a directory it lies in, decides.
+
+    A rule that starts with ``!`` leaves out. What no rule matches is chosen unless some rule chooses. One expression in the JVM, from
+    the last rule to the first; a null path is not chosen.
+    """
+    verdict = F.lit(all(r.startswith("!") for r in rules))
+    for rule in rules:
+        verdict = F.when(path.rlike(glob_pattern(rule.removeprefix("!"))), F.lit(not rule.startswith("!"))).otherwise(verdict)
+    return F.coalesce(path.isNotNull() & verdict, F.lit(False))
+
+
 def is_text(path: Column) -> Column:
     return extension(path).isin(*TEXT_EXTENSIONS)
 
@@ -60,7 +114,7 @@ def lines(files: DataFrame) -> DataFrame:
 def matches(files: DataFrame, pattern: str, ignore_case: bool = True, glob: str | None = None) -> DataFrame:
     """(path, line, text) of every line that the pattern matches, text trimmed.
 
-    A glob chooses by what follows its last dot. Where a match in a line must be one in the file too, files are tested
+    A glob chooses files as one of ``chosen``'s rules. Where a match in a line must be one in the file too, files are tested
     as a whole first, so only files with matches are cut into lines.
     """
     if len(pattern.encode()) > PATTERN_BYTES:
@@ -68,7 +122,7 @@ def matches(files: DataFrame, pattern: str, ignore_case: bool = True, glob: str
     flags = "(?iu)" if ignore_case else ""
     files = files.filter(F.octet_length("text") <= GREP_BYTES)
     if glob is not None:
-        files = files.filter(extension(F.col("path")) == glob.rpartition(".")[2])
+        files = files.filter(chosen(F.col("path"), [glob]))
     if not _OWN_LINE.search(pattern):
         files = files.filter(F.col("text").rlike(f"(?m){flags}{pattern}"))
     found = lines(files.select("path", "text")).filter(F.col("text").rlike(flags + pattern))

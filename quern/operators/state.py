@@ -105,18 +105,23 @@ def _leases(requests: DataFrame, added: str, answer: Callable, minutes: int) ->
     """requests (file_path, agent_id, ts, event_id, ...) in order with what ``answer`` says of each and the lease before it.
 
     answer(row, holder) gives the new columns and the holder after the request; a holder whose lease is over is none. A
-    file's requests are a stream in one task: the task keeps one holder, not the requests.
+    file's requests are a stream in one task: the task keeps one holder, not the requests. The columns of requests pass through as they are.
     """
     lease = minutes * 60 * 1_000_000
     rows = requests.withColumn("__us", F.unix_micros(F.col("ts").cast("timestamp")))
     ordered = rows.repartition("file_path").sortWithinPartitions("file_path", "ts", "event_id")
-    names = [x.split()[0] for x in added.split(", ")]
+    own = [f.name for f in requests.schema]
+    kept = [c for c in ("file_path", "agent_id", "action", "__us") if c in ordered.columns]
+    names, kinds = zip(*(x.split() for x in added.split(", ")))
 
     def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        types = [{"string": pa.string(), "boolean": pa.bool_()}[k] for k in kinds]
         file, holder, since = None, None, 0
-        for pdf in batches:
+        for batch in batches:
             found = []
-            for row in pdf.to_dict("records"):
+            for row in batch.select(kept).to_pylist():
                 if row["file_path"] != file:
                     file, holder = row["file_path"], None
                 if holder is not None and row["__us"] - since > lease:
@@ -125,13 +130,11 @@ def _leases(requests: DataFrame, added: str, answer: Callable, minutes: int) ->
                 found.append(values)
                 since = row["__us"] if holder is None else since
                 holder = after
-            out = pdf.drop(columns="__us")
-            for k, name in enumerate(names):
-                out[name] = [x[k] for x in found]
-            yield out
+            new = [pa.array([x[k] for x in found], t) for k, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *new], [*own, *names])
 
-    kinds = ", ".join(f"`{n}` {t}" for n, t in requests.dtypes)
-    return ordered.mapInPandas(run, f"{kinds}, {added}")
+    before = ", ".join(f"`{n}` {t}" for n, t in requests.dtypes)
+    return ordered.mapInArrow(run, f"{before}, {added}")
 
 
 def lock_answers(requests: DataFrame, minutes: int = LEASE_MINUTES) -> DataFrame:

@@ -25,6 +25,14 @@ def grep_glob(spark, sf_dir):
     return C.grep(V.files(spark, sf_dir), PATTERN, glob="**/*.rs")
 
 
+RULES = ["*.{md,rs,p[xy]}", "!src1?/**", "src1[0-4]/en", "!**/de/*1.py", "/src2/**/*", "!/src2/fr/", "**/fr/*7.rs", "!*.bin"]
+
+
+def path_rules(spark, sf_dir):
+    """Files that ordered rules choose."""
+    return V.files(spark, sf_dir).filter(C.chosen(F.col("path"), RULES)).select("path")
+
+
 def grep_grouped(spark, sf_dir):
     return C.grouped(C.matches(V.files(spark, sf_dir), WIDE))
 
@@ -102,7 +110,7 @@ def inject_standards(spark, sf_dir):
     return out.select("path", F.substring("out", F.length("text") + 1, 1000).alias("added"))
 
 
-QUERIES = {f.__name__: f for f in (grep_regex, grep_case_sensitive, grep_glob, grep_grouped, split_lines, safe_truncate, token_estimate, filter_text_ext, detect_language, scan_prune_dirs, tree_listing, tree_text, filter_path_prefix, path_guard_semi, project_root, invalidate_targets, collapse_blank_lines, inject_standards)}
+QUERIES = {f.__name__: f for f in (grep_regex, grep_case_sensitive, grep_glob, path_rules, grep_grouped, split_lines, safe_truncate, token_estimate, filter_text_ext, detect_language, scan_prune_dirs, tree_listing, tree_text, filter_path_prefix, path_guard_semi, project_root, invalidate_targets, collapse_blank_lines, inject_standards)}
 
 _TRIM = r"regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
 _GREP = f"WITH {V.FILES}, {V.LINES} SELECT path, line, {_TRIM} AS text FROM v_lines WHERE "
@@ -117,6 +125,10 @@ ORACLE_SQL = {
     "grep_regex": _GREP + f"regexp_matches(text, '(?i){PATTERN}') ORDER BY path, line LIMIT 50",
     "grep_case_sensitive": _GREP + f"regexp_matches(text, '{CASE_PATTERN}') ORDER BY path, line LIMIT 50",
     "grep_glob": _GREP + f"path LIKE '%.rs' AND regexp_matches(text, '(?i){PATTERN}') ORDER BY path, line LIMIT 50",
+    "path_rules": f"""WITH {V.FILES}, s AS (SELECT path, split_part(path, '/', 1) AS a, split_part(path, '/', 2) AS b, split_part(path, '/', 3) AS c FROM v_files)
+        SELECT path FROM s WHERE CASE WHEN c LIKE '%.bin' THEN false WHEN b = 'fr' AND c LIKE '%7.rs' THEN true WHEN a = 'src2' AND b = 'fr' THEN false
+            WHEN a = 'src2' THEN true WHEN b = 'de' AND c LIKE '%1.py' THEN false WHEN a IN ('src10', 'src11', 'src12', 'src13', 'src14') AND b = 'en' THEN true
+            WHEN a LIKE 'src1_' THEN false ELSE c LIKE '%.md' OR c LIKE '%.rs' OR c LIKE '%.py' END""",
     "grep_grouped": f"""WITH {V.FILES}, {V.LINES} SELECT path, count(*) AS n_matches,
         string_agg('  ' || line || ': ' || {_TRIM}, chr(10) ORDER BY line) AS shown FROM v_lines WHERE regexp_matches(text, '(?i){WIDE}') GROUP BY path""",
     "split_lines": f"""WITH {V.FILES}, {V.LINES} SELECT path, CAST(count(*) AS INTEGER) AS n_lines, CAST(sum(length(text)) AS INTEGER) AS n_chars

@@ -176,3 +176,20 @@ def test_long_files_are_parsed_in_proportion():
     for lang, unit in (("typescript", "const a%d = f(x)\n\n"), ("python", "def f%d(x):\n    'd'\n    return x\n")):
         seconds(500, lang, unit)
         assert seconds(16_000, lang, unit) < 30 * max(0.03, seconds(2_000, lang, unit))
+
+
+def test_globs_and_ordered_rules(spark):
+    paths = ["src/a.rs", "src/deep/er/b.ts", "a.rs", "lib/x.rs", "src/gen/c.rs", "src/gen/keep.rs", "docs/read me.md", "w[1].txt", "src", None]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    chosen = lambda *rules: {r["path"] for r in df.filter(C.chosen(F.col("path"), list(rules))).collect()}
+    assert chosen("src/**") == {"src/a.rs", "src/deep/er/b.ts", "src/gen/c.rs", "src/gen/keep.rs"}
+    assert chosen("*.{rs,ts}") == {"src/a.rs", "src/deep/er/b.ts", "a.rs", "lib/x.rs", "src/gen/c.rs", "src/gen/keep.rs"}
+    assert chosen("/*.rs") == {"a.rs"} and chosen("**/er/*") == {"src/deep/er/b.ts"}
+    assert chosen("{src/{a,z},lib/*}.r[!a-q]") == {"src/a.rs", "lib/x.rs"}
+    assert chosen("src/**/*.rs", "!gen", "src/gen/keep.rs") == {"src/a.rs", "src/gen/keep.rs"}
+    assert chosen("!src") == {"a.rs", "lib/x.rs", "docs/read me.md", "w[1].txt"}
+    assert chosen("w\\[1\\].*") == {"w[1].txt"} and chosen("read?me.md") == {"docs/read me.md"}
+    for bad in ("{a", "a}", "[a"):
+        with pytest.raises(ValueError):
+            C.glob_pattern(bad)
+

@@ -89,3 +89,13 @@ def test_ledger_totals(spark):
     got = {(r["level"], r["agent_id"]): (r["total_saved"], r["total_usage"], r["pct"]) for r in L.with_percent(L.with_grand_total(rows)).collect()}
     assert got == {("group", None): (5, 20, 25.0), ("group", "a"): (7, 0, 0.0), ("total", None): (12, 20, 60.0)}
     assert L.narrowed(rows, "2024-01-31 00:00:00", "year").count() == 0
+
+
+def test_lock_requests_pass_through_unchanged(spark):
+    big = 2**60 + 1
+    rows = [("f", "a", at(0), big, None), ("f", "b", at(1), big + 1, 7), (None, None, at(2), None, 2**60 + 3)]
+    df = spark.createDataFrame(rows, "file_path string, agent_id string, ts timestamp_ntz, event_id long, other long")
+    got = S.lock_answers(df)
+    assert sorted(map(repr, got.select(*df.columns).collect())) == sorted(map(repr, df.collect()))
+    assert {r["event_id"]: r["answer"] for r in got.collect()} == {big: "acquired", big + 1: "locked", None: "acquired"}
+
