@@ -6,13 +6,13 @@ snapshot. Sums and latest values are combined before the shuffle, so a frequent
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-RETENTION_DAYS, LEASE_MINUTES, TTL_SECONDS = 30, 30, 300
+from quern.operators.leases import LEASE_MINUTES
+
+RETENTION_DAYS, TTL_SECONDS = 30, 300
 STEP, FLOOR = 0.1, 0.1
 FILES_PER_SET, SETS, KEYS_PER_PROJECT = 50, 20, 200
 
@@ -101,70 +101,6 @@ def active(locks: DataFrame, now: Column, minutes: int = LEASE_MINUTES) -> DataF
     return locks.filter(F.col("locked_at") >= now - F.expr(f"interval {minutes} minutes"))
 
 
-def _leases(requests: DataFrame, added: str, answer: Callable, minutes: int) -> DataFrame:
-    """requests (file_path, agent_id, ts, event_id, ...) in order with what ``answer`` says of each and the lease before it.
-
-    answer(row, holder) gives the new columns and the holder after the request; a holder whose lease is over is none. A
-    file's requests are a stream in one task: the task keeps one holder, not the requests. The columns of requests pass through as they are.
-    """
-    lease = minutes * 60 * 1_000_000
-    rows = requests.withColumn("__us", F.unix_micros(F.col("ts").cast("timestamp")))
-    ordered = rows.repartition("file_path").sortWithinPartitions("file_path", "ts", "event_id")
-    own = [f.name for f in requests.schema]
-    kept = [c for c in ("file_path", "agent_id", "action", "__us") if c in ordered.columns]
-    names, kinds = zip(*(x.split() for x in added.split(", ")))
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        types = [{"string": pa.string(), "boolean": pa.bool_()}[k] for k in kinds]
-        file, holder, since = None, None, 0
-        for batch in batches:
-            found = []
-            for row in batch.select(kept).to_pylist():
-                if row["file_path"] != file:
-                    file, holder = row["file_path"], None
-                if holder is not None and row["__us"] - since > lease:
-                    holder = None
-                values, after = answer(row, holder)
-                found.append(values)
-                since = row["__us"] if holder is None else since
-                holder = after
-            new = [pa.array([x[k] for x in found], t) for k, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *new], [*own, *names])
-
-    before = ", ".join(f"`{n}` {t}" for n, t in requests.dtypes)
-    return ordered.mapInArrow(run, f"{before}, {added}")
-
-
-def lock_answers(requests: DataFrame, minutes: int = LEASE_MINUTES) -> DataFrame:
-    """requests with holder (after them) and answer: acquired (the file was free, or its lease over), already_held (by the
-    same agent, which prolongs nothing) or locked."""
-
-    def answer(row: dict, holder: str | None) -> tuple[tuple, str]:
-        if holder is None:
-            return (row["agent_id"], "acquired"), row["agent_id"]
-        return (holder, "already_held" if holder == row["agent_id"] else "locked"), holder
-
-    return _leases(requests, "holder string, answer string", answer, minutes)
-
-
-def replay_locks(requests: DataFrame, minutes: int = LEASE_MINUTES) -> DataFrame:
-    """requests (file_path, agent_id, ts, event_id, action lock/unlock) with granted, replayed in order.
-
-    A lock is free, held or expired when a request comes; holding again does not prolong it; unlocking is for the
-    holder.
-    """
-
-    def answer(row: dict, holder: str | None) -> tuple[tuple, str | None]:
-        own = holder == row["agent_id"]
-        if row["action"] == "unlock":
-            return (own,), None if own else holder
-        return (holder is None or own,), row["agent_id"] if holder is None else holder
-
-    return _leases(requests, "granted boolean", answer, minutes)
-
-
 def sessions(rows: DataFrame, key: str, gap_seconds: int, slot_seconds: int = 86_400, ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """rows with session_start: the time of the first row of its run of rows at most gap_seconds apart.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.operators import leases
 from quern.operators import state as S
 from quern.plans import views as V
 
@@ -91,12 +92,12 @@ def active_locks(spark, sf_dir):
 
 
 def lock_decision(spark, sf_dir):
-    return S.lock_answers(V.lock_requests(spark, sf_dir), LEASE).select("event_id", "file_path", "agent_id", "holder", "answer")
+    return leases.lock_answers(V.lock_requests(spark, sf_dir), LEASE).select("event_id", "file_path", "agent_id", "holder", "answer")
 
 
 def lock_replay(spark, sf_dir):
     r = V.lock_requests(spark, sf_dir).withColumn("action", F.when(F.col("event_id") % 4 == 0, "unlock").otherwise("lock"))
-    return S.replay_locks(r, LEASE).select("event_id", "file_path", "agent_id", "action", "granted")
+    return leases.replay_locks(r, LEASE).select("event_id", "file_path", "agent_id", "action", "granted")
 
 
 def co_change_sets(spark, sf_dir):

@@ -2,6 +2,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from quern.operators import leases
 from quern.operators import ledger as L
 from quern.operators import state as S
 
@@ -38,9 +39,9 @@ def test_edits_over_slot_borders_and_at_the_ends_of_the_range(spark):
 def test_locks_are_granted_one_at_a_time(spark):
     log = [("f", "a", 0, "lock"), ("f", "b", 1, "lock"), ("f", "b", 2, "unlock"), ("f", "a", 3, "unlock"), ("f", "b", 4, "lock"), ("f", "b", 5, "lock"), ("f", "a", 5 + 1801, "lock"), ("g", "a", 0, "lock")]
     df = spark.createDataFrame([(p, a, at(s), i, x) for i, (p, a, s, x) in enumerate(log)], "file_path string, agent_id string, ts timestamp_ntz, event_id long, action string")
-    got = {r["event_id"]: r["granted"] for r in S.replay_locks(df).collect()}
+    got = {r["event_id"]: r["granted"] for r in leases.replay_locks(df).collect()}
     assert got == {0: True, 1: False, 2: False, 3: True, 4: True, 5: True, 6: True, 7: True}
-    held = {r["event_id"]: r["answer"] for r in S.lock_answers(df.filter("action = 'lock'")).collect()}
+    held = {r["event_id"]: r["answer"] for r in leases.lock_answers(df.filter("action = 'lock'")).collect()}
     assert held == {0: "acquired", 1: "locked", 4: "locked", 5: "locked", 6: "acquired", 7: "acquired"}
 
 
@@ -95,7 +96,7 @@ def test_lock_requests_pass_through_unchanged(spark):
     big = 2**60 + 1
     rows = [("f", "a", at(0), big, None), ("f", "b", at(1), big + 1, 7), (None, None, at(2), None, 2**60 + 3)]
     df = spark.createDataFrame(rows, "file_path string, agent_id string, ts timestamp_ntz, event_id long, other long")
-    got = S.lock_answers(df)
+    got = leases.lock_answers(df)
     assert sorted(map(repr, got.select(*df.columns).collect())) == sorted(map(repr, df.collect()))
     assert {r["event_id"]: r["answer"] for r in got.collect()} == {big: "acquired", big + 1: "locked", None: "acquired"}
 
