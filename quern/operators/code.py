@@ -298,10 +298,45 @@ def symbols(files: DataFrame) -> DataFrame:
 
 
 def symbol_index(found: DataFrame) -> DataFrame:
-    """(name, n_places, places): where each name is defined, as path:line kind, sorted."""
-    place = F.struct("path", "line", "kind")
-    shown = F.transform(F.sort_array(F.collect_list(place)), lambda x: F.concat(x["path"], F.lit(":"), x["line"].cast("string"), F.lit(" "), x["kind"]))
-    return found.groupBy("name").agg(F.count(F.lit(1)).alias("n_places"), F.array_join(shown, ", ").alias("places"))
+    """(name, path, line, kind, n_places): the places of each name, a row each, with how many there are."""
+    counts = found.groupBy("name").agg(F.count(F.lit(1)).alias("n_places"))
+    return found.join(counts, "name").select("name", "path", "line", "kind", "n_places")
+
+
+def find_symbol(found: DataFrame, name: str) -> DataFrame:
+    return found.filter(F.col("name") == name)
+
+
+def _hashed(files: DataFrame) -> DataFrame:
+    return files.withColumn("sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+
+
+def indexed(files: DataFrame) -> DataFrame:
+    """(path, sha, name, line, kind) of files (path, text): a row per definition; a file without any has one without a name."""
+    known = language(F.col("path")).isNotNull()
+    rows = _hashed(files.filter(known).select("path", "text"))
+    added = [T.StructField("name", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("kind", T.StringType())]
+
+    def values(path: str, text: str | None, lang: str) -> list[tuple]:
+        text = text or ""
+        return [(d.name, _row(text, d.start) + 1, d.kind) for d in definitions(text, lang)] or [(None, None, None)]
+
+    return _mapped(rows, added, values, many=True).select("path", "sha", "name", "line", "kind")
+
+
+def changed_files(index: DataFrame, files: DataFrame) -> DataFrame:
+    """files (path, text) that the index (``indexed``) does not know with this content; only paths and hashes meet."""
+    known = index.select("path", "sha").distinct()
+    return _hashed(files.filter(language(F.col("path")).isNotNull())).join(known, ["path", "sha"], "left_anti").select("path", "text")
+
+
+def refreshed(index: DataFrame, files: DataFrame) -> DataFrame:
+    """The index of files now: only changed and new files are parsed, rows of files that are gone or changed go.
+
+    Paths are unique in files. The result is ``indexed(files)``, and the next refresh's index once it is written.
+    """
+    now = _hashed(files.select("path", "text")).select("path", "sha")
+    return index.join(now, ["path", "sha"], "left_semi").unionByName(indexed(changed_files(index, files)))
 
 
 def project_symbols(spark: SparkSession, folder: str) -> DataFrame:

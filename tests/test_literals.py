@@ -97,7 +97,7 @@ _STRIPPED = """c(path, sent) AS (VALUES
 
 WANTED = {
     "symbol_rows": f"WITH {_SYMBOLS} SELECT path, name, CAST(line AS INTEGER) AS line, kind FROM v",
-    "symbol_index": f"WITH {_SYMBOLS} SELECT name, count(*) AS n_places, string_agg(path || ':' || line || ' ' || kind, ', ' ORDER BY path, line) AS places FROM v GROUP BY name",
+    "symbol_index": f"WITH {_SYMBOLS} SELECT name, path, CAST(line AS INTEGER) AS line, kind, count(*) OVER (PARTITION BY name) AS n_places FROM v",
     "find_symbol": f"WITH {_SYMBOLS} SELECT path, name, CAST(line AS INTEGER) AS line, kind FROM v WHERE name = 'main'",
     "skeleton": f"WITH {_SKELETON} SELECT path, sent FROM s",
     "strip_comments": f"WITH {_STRIPPED} SELECT path, sent FROM c",

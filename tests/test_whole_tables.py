@@ -8,27 +8,36 @@ from tests.conftest import DATA
 LANGUAGES = {"rs": "rust", "py": "python"}
 
 
-def files(spark):
-    from quern.plans import views
-
-    return {r["path"]: r["text"] for r in views.files(spark, DATA).collect()}
-
-
 def rows(spark, name):
     return registry.QUERIES[name](spark, DATA).collect()
 
 
-def test_code_queries_read_every_file(spark):
-    texts = files(spark)
+def test_code_in_prose_and_odd_texts(spark):
+    """Over every document as a file of its own kind: what plain functions say of each text."""
+    from quern.plans import views
+
+    files = views.files(spark, DATA).select("path", "text")
+    texts = {r["path"]: r["text"] for r in files.collect()}
     langs = {p: LANGUAGES.get(p.rsplit(".", 1)[-1]) for p in texts}
     want = Counter((p, d.name, t.count("\n", 0, d.start) + 1, d.kind) for p, t in texts.items() if langs[p] for d in C.definitions(t, langs[p]))
-    assert Counter(map(tuple, rows(spark, "symbol_rows"))) == want
-    assert {r["name"]: r["n_places"] for r in rows(spark, "symbol_index")} == Counter(x[1] for x in want.elements())
-    assert Counter(map(tuple, rows(spark, "find_symbol"))) == Counter(x for x in want.elements() if x[1] == "anonymous")
-    sent = {m: {p: C.read(p, t, langs[p], m) for p, t in texts.items()} for m in ("full", "skeleton", "compressed")}
-    assert {r["path"]: r["sent"] for r in rows(spark, "skeleton")} == sent["skeleton"]
-    assert {r["path"]: r["sent"] for r in rows(spark, "strip_comments")} == sent["compressed"]
-    assert {(r["path"], r["mode"]): r["sent_bytes"] for r in rows(spark, "read_modes")} == {(p, m): len(x.encode()) for m, xs in sent.items() for p, x in xs.items()}
+    assert Counter(map(tuple, C.symbols(files).collect())) == want
+    for mode in ("full", "skeleton", "compressed"):
+        assert {r["path"]: r["sent"] for r in C.with_reads(files, mode).collect()} == {p: C.read(p, t, langs[p], mode) for p, t in texts.items()}
+
+
+def test_a_refresh_parses_changed_files_alone(spark):
+    kind = "path string, text string"
+    old = [(f"f{i}.rs", f"fn a{i}() {{}}\n") for i in range(40)] + [("none.rs", "// x\n"), ("gone.py", "def g(): pass\n"), ("null.go", None)]
+    new = [(p, t) for p, t in old if p != "gone.py"]
+    new[3], new[7] = ("f3.rs", "fn b() {}\nfn c() {}\n"), ("f7.rs", "")
+    new += [("more.rs", "struct S;\n"), ("text.txt", "fn no() {}\n")]
+    index = C.indexed(spark.createDataFrame(old, kind))
+    files = spark.createDataFrame(new, kind)
+    assert {r["path"] for r in C.changed_files(index, files).collect()} == {"f3.rs", "f7.rs", "more.rs"}
+    rows = lambda df: sorted(map(repr, df.collect()))
+    after = C.refreshed(index, files)
+    assert rows(after) == rows(C.indexed(files))
+    assert rows(C.refreshed(after, files)) == rows(after) and C.changed_files(after, files).count() == 0
 
 
 def test_every_turn_is_compared_with_the_one_before(spark):
@@ -39,7 +48,7 @@ def test_every_turn_is_compared_with_the_one_before(spark):
         want[r["role"], r["conv_id"], r["turn"]] = P.diff(old, r["text"])[1]
         assert want[r["role"], r["conv_id"], r["turn"]] or old == r["text"]
         last[r["role"], r["conv_id"]] = r["text"]
-    assert {(r["role"], r["conv_id"], r["turn"]): r["diff"] for r in rows(spark, "line_diff")} == want
+    assert {(r["role"], r["conv_id"], r["turn"]): r["diff"] for r in rows(spark, "turn_diff")} == want
 
 
 def test_stems_of_the_whole_corpus(spark):
