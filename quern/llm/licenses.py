@@ -1,10 +1,11 @@
 """License scans with a positional rare-token index.
 
-Templates (licence notices and phrases) are indexed by their words: word -> (template, position). Of a file's words that
-stand in a template whose mandatory words it has, the ones with the highest IDF are looked up. Each hit votes for a
-template at a place, its own position less the word's position in the template; places with enough votes are verified
-by comparing the template's mandatory key phrases where they ought to stand. Rarity is measured over the corpus: a
-word's IDF comes from the number of documents that hold it.
+Templates (licence notices and names) are indexed by the words of their mandatory key phrases: word -> (template, position).
+A file's licence words are taken by IDF: the rarest word of a template calls for it, and the file's places of its rarest
+mandatory words, less their positions in the template, are intersected. A place that all agree on is verified: the key
+phrases must stand where the template has them, and SHARE of its words near. What else a file holds changes none of this, so
+no label is lost to words elsewhere. Rarity is measured over the corpus: a word's IDF comes from the number of
+documents that hold it. After an SPDX tag the expression is read, operand by operand.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,54 +45,67 @@ BASE_PHRASES = (
 # Wordings of public licence notices, and the phrases without which they are something else.
 NOTICES = (
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("permission is hereby granted free of charge", "deal in the software without restriction")),
-    Template("mit", "released under the mit license", ("mit license",)),
-    Template("mit", "licensed under the mit license", ("mit license",)),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify", "with or without fee is hereby granted")),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms", "following conditions are met")),
     Template("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", ("neither the name", "endorse or promote products")),
-    Template("bsd", "licensed under the bsd license", ("bsd license",)),
-    Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
     Template("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ("except in compliance with the license", "apache org licenses license 2 0")),
-    Template("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
-    Template("gpl-2.0", "licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
     Template("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("gnu general public license as published by", "free software foundation")),
-    Template("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", ("gnu lesser general public license",)),
-    Template("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", ("gnu affero general public license",)),
-    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
-    Template("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
-    Template("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
+    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("source code form is subject to", "mozilla public license v 2 0")),
     Template("cc0", "the person who associated a work with this deed has dedicated the work to the public domain cc0 1 0 universal", ("dedicated the work to the public domain",)),
     Template("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", ("provided by the copyright holders and contributors as is", "are disclaimed")),
     Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("this permission notice shall be included in all copies",)),
-    Template("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license 2 0",)),
-    Template("bsl-1.0", "distributed under the boost software license version 1 0", ("boost software license version 1 0",)),
     Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("provided as is without any express or implied warranty", "authors be held liable")),
-    Template("wtfpl", "do what the fuck you want to public license", ("do what the fuck you want to public license",)),
-    Template("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", ("sil open font license",)),
-    Template("artistic-2.0", "distributed under the terms of the artistic license 2 0", ("artistic license 2 0",)),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software released into the public domain",)),
 )
 
-# Identifiers of the SPDX list, as they follow "SPDX-License-Identifier:", and terms of Creative Commons.
-SPDX = "MIT Apache-2.0 GPL-2.0 GPL-3.0 LGPL-2.1 LGPL-3.0 AGPL-3.0 BSD-2-Clause BSD-3-Clause MPL-2.0 ISC EPL-2.0 BSL-1.0 Zlib 0BSD CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 Unlicense".split()
+# Names of licences as notices give them, and what follows them for a version.
+NAMES = (
+    ("mit", "mit license"), ("isc", "isc license"), ("unlicense", "the unlicense"), ("0bsd", "zero clause bsd license"),
+    ("bsd", "bsd license"), ("bsd-2-clause", "bsd 2 clause license"), ("bsd-2-clause", "2 clause bsd license"), ("bsd-2-clause", "simplified bsd license"),
+    ("bsd-3-clause", "bsd 3 clause license"), ("bsd-3-clause", "3 clause bsd license"), ("bsd-3-clause", "new bsd license"),
+    ("apache-2.0", "apache license version 2 0"), ("apache-2.0", "apache license 2 0"), ("apache-2.0", "apache license v2 0"), ("apache-1.1", "apache license version 1 1"),
+    ("gpl-2.0", "gnu general public license version 2"), ("gpl-2.0", "gnu general public license v2"), ("gpl-2.0", "gplv2"),
+    ("gpl-3.0", "gnu general public license version 3"), ("gpl-3.0", "gnu general public license v3"), ("gpl-3.0", "gplv3"),
+    ("lgpl", "gnu lesser general public license"), ("lgpl-2.1", "gnu lesser general public license version 2 1"), ("lgpl-3.0", "gnu lesser general public license version 3"),
+    ("agpl", "gnu affero general public license"), ("agpl-3.0", "gnu affero general public license version 3"),
+    ("mpl", "mozilla public license"), ("mpl-1.1", "mozilla public license version 1 1"), ("mpl-2.0", "mozilla public license version 2 0"), ("mpl-2.0", "mozilla public license v 2 0"), ("mpl-2.0", "mozilla public license 2 0"),
+    ("epl", "eclipse public license"), ("epl-1.0", "eclipse public license v1 0"), ("epl-2.0", "eclipse public license 2 0"), ("epl-2.0", "eclipse public license v 2 0"),
+    ("cddl", "common development and distribution license"), ("cddl-1.0", "common development and distribution license version 1 0"), ("cddl-1.0", "cddl 1 0"),
+    ("bsl-1.0", "boost software license version 1 0"), ("zlib", "zlib license"), ("wtfpl", "do what the fuck you want to public license"),
+    ("ofl-1.1", "sil open font license version 1 1"), ("artistic-2.0", "artistic license 2 0"), ("cc0", "creative commons zero"), ("cc0", "cc0 1 0 universal"),
+)
+
+# Identifiers of the SPDX list and exceptions, as they stand after "SPDX-License-Identifier:".
+SPDX = "MIT MIT-0 Apache-1.1 Apache-2.0 GPL-1.0 GPL-2.0 GPL-3.0 LGPL-2.0 LGPL-2.1 LGPL-3.0 AGPL-3.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause MPL-1.1 MPL-2.0 ISC EPL-1.0 EPL-2.0 BSL-1.0 CDDL-1.0 CDDL-1.1 Zlib 0BSD CC0-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0 CC-BY-ND-4.0 Unlicense WTFPL OFL-1.1 Artistic-2.0 Classpath-exception-2.0 LLVM-exception GCC-exception-3.1 Linux-syscall-note".split()
+
+# Terms of Creative Commons in short, and the spellings of their names.
 CC_TERMS = ("by nc", "by sa", "by nd", "by nc sa", "by nc nd")
+CC_SPELLINGS = {
+    "by": ("attribution",), "nc": ("noncommercial", "non commercial"), "sa": ("sharealike", "share alike"),
+    "nd": ("noderivatives", "noderivs", "no derivatives", "no derivs"),
+}
 
 
 def _phrase(label: str, words: str, base: bool = False) -> Template:
     return Template(label, words, (words,), base)
 
 
+def _cc_names() -> list[Template]:
+    terms = [x.split() for x in ("by", *CC_TERMS)]
+    return [_phrase("cc-" + "-".join(t), "creative commons " + " ".join(names)) for t in terms for names in product(*(CC_SPELLINGS[x] for x in t))]
+
+
+#: Stands for the expression that follows it.
+SPDX_TAG = _phrase("", "spdx license identifier")
 TEMPLATES = (
-    *(_phrase(label, phrase, True) for phrase, label in BASE_PHRASES), *NOTICES,
-    *(_phrase(x.lower(), "spdx license identifier " + x.lower().replace("-", " ").replace(".", " ")) for x in SPDX),
-    *(_phrase("cc-" + x.replace(" ", "-"), f"cc {x}") for x in CC_TERMS),
+    *(_phrase(label, phrase, True) for phrase, label in BASE_PHRASES), *NOTICES, *(_phrase(*x) for x in NAMES), *_cc_names(),
+    *(_phrase("cc-" + x.replace(" ", "-"), f"cc {x}") for x in CC_TERMS), SPDX_TAG,
 )
 
-#: A file's words with the highest IDF that are looked up for a template, all if it has fewer.
-ANCHORS = 5
-#: Share of a template's anchors that must agree on a place, give or take SLACK words of insertions.
-VOTES, SLACK = 0.6, 2
+#: A template's rarest mandatory words, whose places in a file are intersected.
+ANCHORS = 3
+#: Share of a template's words that must stand near its place, and by how many words a phrase may be off its own.
+SHARE, SLACK = 0.6, 2
 
 _WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -102,81 +117,105 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(_WORD_BYTES).split()
 
 
+_IDS = {tuple(words_of(x.encode())): x.lower() for x in SPDX}
+_LONGEST_ID = max(map(len, _IDS))
+
+
+def spdx_labels(words: list[bytes], at: int) -> list[tuple[tuple[int, int], str]]:
+    """(span, label) of the identifiers of the expression at a word: operands joined by and, or, with; later versions count as theirs."""
+    found = []
+    while True:
+        size = next((n for n in range(_LONGEST_ID, 0, -1) if tuple(words[at : at + n]) in _IDS and at + n <= len(words)), 0)
+        if not size:
+            return found
+        found.append(((at, at + size), _IDS[tuple(words[at : at + size])]))
+        at += size
+        if words[at : at + 2] == [b"or", b"later"]:
+            at += 2
+        elif words[at : at + 1] == [b"only"]:
+            at += 1
+        if words[at : at + 1] not in ([b"or"], [b"and"], [b"with"]):
+            return found
+        at += 1
+
+
 @dataclass
 class Index:
     templates: tuple[Template, ...]
     words: list[list[bytes]]
-    #: word -> its rank by IDF, the rarest first
-    rank: dict[bytes, int]
-    #: template -> word -> positions of the word in it
-    postings: list[dict[bytes, list[int]]]
     #: per template: (first word's position, words) of its key phrases, and all their words
     keys: list[list[tuple[int, list[bytes]]]]
     mandatory: list[frozenset[bytes]]
+    #: per template: its rarest mandatory words by IDF, each with its positions in the key phrases
+    anchors: list[list[tuple[bytes, list[int]]]]
     #: rarest mandatory word -> templates
     by_rarest: dict[bytes, list[int]]
 
     @classmethod
     def build(cls, templates: tuple[Template, ...], idf: dict[bytes, float]) -> Index:
         words = [words_of(t.text.encode()) for t in templates]
-        rank = {w: k for k, w in enumerate(sorted(set().union(*words), key=lambda w: (-idf.get(w, 0.0), w)))}
-        postings, keys, mandatory, by_rarest = [], [], [], defaultdict(list)
+        keys, mandatory, anchors, by_rarest = [], [], [], defaultdict(list)
         for k, (t, own) in enumerate(zip(templates, words)):
-            places = defaultdict(list)
-            for i, w in enumerate(own):
-                places[w].append(i)
-            postings.append(dict(places))
-            spans = []
+            spans, places = [], defaultdict(list)
             for phrase in t.key_phrases:
                 part = words_of(phrase.encode())
-                spans.append((next(i for i in range(len(own)) if own[i : i + len(part)] == part), part))
+                at = next(i for i in range(len(own)) if own[i : i + len(part)] == part)
+                spans.append((at, part))
+                for i, w in enumerate(part, at):
+                    places[w].append(i)
+            rare = sorted(places, key=lambda w: (-idf.get(w, 0.0), w))
             keys.append(spans)
-            mandatory.append(frozenset(w for _, part in spans for w in part))
-            by_rarest[min(mandatory[-1], key=rank.__getitem__)].append(k)
-        return cls(templates, words, rank, postings, keys, mandatory, dict(by_rarest))
-
-    def anchors(self, k: int, present: set[bytes]) -> list[bytes]:
-        """The words of a file to look up for a template: a base phrase needs its rarest word alone to have all its places."""
-        own = sorted(self.postings[k].keys() & present, key=self.rank.__getitem__)
-        return own[: 1 if self.templates[k].base else ANCHORS]
+            mandatory.append(frozenset(places))
+            anchors.append([(w, places[w]) for w in rare[: 1 if t.base else ANCHORS]])
+            by_rarest[rare[0]].append(k)
+        return cls(templates, words, keys, mandatory, anchors, dict(by_rarest))
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], dict[str, float]]:
-        """Base places as (start, label), and labels of verified notices with the share of their words found."""
-        present = self.rank.keys() & words
-        chosen = {k: self.anchors(k, present) for w in present & self.by_rarest.keys() for k in self.by_rarest[w] if self.mandatory[k] <= present}
+        """Base places as (start, label), and labels of verified notices and names with the share of their words found (names: 0)."""
+        held = set(words)
+        chosen = [k for w in held & self.by_rarest.keys() for k in self.by_rarest[w] if self.mandatory[k] <= held]
         if not chosen:
             return [], {}
-        wanted: dict[bytes, list[int]] = defaultdict(list)
-        for k, own in chosen.items():
-            for w in own:
-                wanted[w].append(k)
-        votes = Counter()
+        at: dict[bytes, list[int]] = {w: [] for k in chosen for w, _ in self.anchors[k]}
         for i, w in enumerate(words):
-            if w in wanted:
-                for k in wanted[w]:
-                    for at in self.postings[k][w]:
-                        votes[k, i - at] += 1
+            if w in at:
+                at[w].append(i)
         places, found = [], []
-        for k, start in sorted(votes):
-            t, size = self.templates[k], len(self.words[k])
+        for k in sorted(chosen):
+            t, own = self.templates[k], self.words[k]
             if t.base:
-                if start >= 0 and words[start : start + size] == self.words[k]:
-                    places.append((start, t.label))
-                continue
-            near = sum(votes[k, start + d] for d in range(-SLACK, SLACK + 1))
-            spans = [self._stands(words, start + at, part) for at, part in self.keys[k]]
-            if near < math.ceil(VOTES * len(chosen[k])) or None in spans:
+                (w, positions), = self.anchors[k]
+                starts = {i - p for i in at[w] for p in positions}
+                places += [(s, t.label) for s in starts if s >= 0 and words[s : s + len(own)] == own]
                 continue
-            window = Counter(words[max(0, start - SLACK) : max(0, start + size + SLACK)])
-            found.append((spans, t.label, sum((Counter(self.words[k]) & window).values()) / size))
+            for start in sorted(self._agreed(k, at)):
+                spans = [self._stands(words, start + p, part) for p, part in self.keys[k]]
+                if None in spans:
+                    continue
+                if t.label == SPDX_TAG.label:
+                    found += [([span], label, 0.0) for span, label in spdx_labels(words, spans[0][1])]
+                    continue
+                window = Counter(words[max(0, start - SLACK) : max(0, start + len(own) + SLACK)])
+                share = sum((Counter(own) & window).values()) / len(own)
+                if share >= SHARE:
+                    found.append((spans, t.label, share if t.key_phrases != (t.text,) else 0.0))
         labels = {}
         for spans, label, share in self._outermost(found):
             labels[label] = max(labels.get(label, 0.0), share)
-        return places, labels
+        return sorted(places), labels
+
+    def _agreed(self, k: int, at: dict[bytes, list[int]]) -> set[int]:
+        """Places of a template that all its anchors agree on; a name stands as it is, phrases of a notice may be off by SLACK."""
+        slack = 0 if len(self.keys[k]) == 1 else SLACK
+        agreed = None
+        for w, positions in self.anchors[k]:
+            own = {i - p + d for i in at[w] for p in positions for d in range(-slack, slack + 1)}
+            agreed = own if agreed is None else agreed & own
+        return agreed
 
     @staticmethod
     def _outermost(found: list) -> list:
-        """Without notices all of whose key phrases stand inside longer key phrases of others: cc by nc in cc by nc sa."""
+        """Without those all of whose key phrases stand inside longer key phrases of others: cc by nc in cc by nc sa."""
         spans = sorted({x for own, *_ in found for x in own}, key=lambda x: (x[0], -x[1]))
         inside, last = set(), None
         for x in spans:
@@ -221,8 +260,8 @@ def scan_licenses(
 
     n_base counts all places of the base phrases, first_word and last_word are the smallest and largest word at
     which one starts (null if none). labels adds the labels of verified notices; notices holds those with the share
-    of the notice's words that were found. score: 0 without a label, 0.5 for base phrases alone, otherwise 0.5 plus
-    half of the best share. Null and empty texts have no words and no labels ("" and score 0). Texts are read
+    of the notice's words that were found. score: 0 without a label, 0.5 for phrases, names and SPDX identifiers alone, otherwise 0.5
+    plus half of the best share of a notice. Null and empty texts have no words and no labels ("" and score 0). Texts are read
     whole; a very long one takes about fifteen times its size in a worker. Repeated rows give repeated results; other
     columns are not read; an empty table gives no rows.
     """
@@ -245,7 +284,7 @@ def scan_licenses(
                 places, notices = index.scan(words)
                 base = {label for _, label in places}
                 starts = [at for at, _ in places]
-                score = 0.5 * bool(base) if not notices else 0.5 + 0.5 * max(notices.values())
+                score = 0.5 * bool(base or notices) + 0.5 * max(notices.values(), default=0.0)
                 row = (len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | notices.keys())), score, list(notices.items()))
                 for column, value in zip(columns, row):
                     column.append(value)
