@@ -85,14 +85,77 @@ def repeated_reads(reads: DataFrame) -> DataFrame:
     return reads.groupBy("agent_id", "file").transformWithStateInPandas(LastSent(), schema, "Append", "ProcessingTime")
 
 
-NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
+class FirstFiles(StatefulProcessor):
+    """Per project the files that were modified first, at most so many; each batch that brings a project rows says its set anew.
+
+    A file leaves when enough others turn out to be earlier. What is kept only gets earlier, so the set is that of all
+    rows so far, in whatever order they came.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        first = T.StructType([T.StructField("us", T.LongType()), T.StructField("event_id", T.LongType())])
+        self.files = handle.getMapState("files", T.StructType([T.StructField("file", T.StringType())]), first)
+        self.version = handle.getValueState("version", T.StructType([T.StructField("n", T.LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator, timers) -> Iterator:
+        import pandas as pd
+
+        before = {file[0]: (first[0], first[1]) for file, first in self.files.iterator()}
+        held = dict(before)
+        for pdf in rows:
+            for file, us, event in zip(pdf["file"], pdf["us"].tolist(), pdf["event_id"].tolist()):
+                held[file] = min(held.get(file, (us, event)), (us, event))
+            held = dict(sorted(held.items(), key=lambda x: (x[1], x[0]))[: self.most])
+        for file in before.keys() - held.keys():
+            self.files.removeKey((file,))
+        for file, first in held.items():
+            if before.get(file) != first:
+                self.files.updateValue((file,), first)
+        version = self.version.get()[0] + 1 if self.version.exists() else 1
+        self.version.update((version,))
+        us, event = min(held.values())
+        yield pd.DataFrame({"project": [key[0]], "version": [version], "files": [sorted(held)], "first_us": [us], "first_id": [event]})
+
+    def close(self) -> None:
+        pass
+
+
+def bounded_sets(modified: DataFrame, most_files: int = 50) -> DataFrame:
+    """modified (project, file, ts, event_id) as growing sets (project, version, files, first_us, first_id); the newest version counts.
+
+    Of a file's rows only the first counts, so each task sends one row a file and Arrow batch to the project's state, and
+    a project with a third of all events costs its state little. Rows without file, ts or event_id do not count. Needs ROCKSDB.
+    """
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = modified.select("project", "file", us.alias("us"), "event_id").dropna(subset=["file", "us", "event_id"])
+
+    def firsts(batches: Iterator) -> Iterator:
+        for pdf in batches:
+            yield pdf.sort_values(["us", "event_id"]).drop_duplicates(["project", "file"])
+
+    thin = rows.mapInPandas(firsts, rows.schema)
+    schema = "project string, version long, files array<string>, first_us long, first_id long"
+    return thin.groupBy("project").transformWithStateInPandas(FirstFiles(most_files), schema, "Append", "None")
+
+
+def newest_sets(sets: DataFrame, most_projects: int = 20) -> DataFrame:
+    """(project, files, n_files) of what ``bounded_sets`` wrote, for the projects that were modified first."""
+    last = sets.groupBy("project").agg(F.max_by(F.struct("files", "first_us", "first_id"), "version").alias("s")).select("project", "s.*")
+    return last.orderBy("first_us", "first_id").limit(most_projects).select("project", "files", F.size("files").alias("n_files"))
+
+
+NO_DATA, PROVIDER = "spark.sql.streaming.noDataMicroBatches.enabled", "spark.sql.streaming.stateStore.providerClass"
 
 
-def drained(stream: DataFrame, mode: str = "append", closing: bool = True) -> DataFrame:
+def drained(stream: DataFrame, mode: str = "append", closing: bool = True, rocksdb: bool = False) -> DataFrame:
     """Runs the stream over what its source has now. In complete mode the last batch's table is the result.
 
     closing: further batches without input close what a watermark has passed. State by processing time always asks for
-    one more such batch, so a stream that holds any (``repeated_reads``) only ends without them.
+    one more such batch, so a stream that holds any (``repeated_reads``) only ends without them. rocksdb: for the
+    operators that need it, whatever the session's state store is.
     """
     spark = stream.sparkSession
     scratch = Scratch(spark, "stream")
@@ -101,11 +164,14 @@ def drained(stream: DataFrame, mode: str = "append", closing: bool = True) -> Da
         writer = stream.writeStream.format("parquet").option("path", out).outputMode("append")
     else:
         writer = stream.writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(out)).outputMode(mode)
-    before = spark.conf.get(NO_DATA)
+    before = {name: spark.conf.get(name) for name in (NO_DATA, PROVIDER)}
     spark.conf.set(NO_DATA, str(closing).lower())
+    if rocksdb:
+        spark.conf.set(PROVIDER, ROCKSDB)
     try:
         query = writer.option("checkpointLocation", state).trigger(availableNow=True).start()
     finally:
-        spark.conf.set(NO_DATA, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
