@@ -247,6 +247,7 @@ def skeleton(text: str, lang: str) -> str:
 def read(path: str, text: str, lang: str | None, mode: str) -> str:
     """What a read of a file in a mode sends: the text, its skeleton or the text without comments."""
     if mode == "skeleton":
+        # fixed value: the first line of a skeleton
         n = text.count("\n") + (not text.endswith("\n") and bool(text))
         return f"// skeleton of {path} ({n} lines total)\n\n{skeleton(text, lang)}" if lang else NO_OUTLINE + text
     if mode == "compressed" and lang:

@@ -46,6 +46,7 @@ def _checked(files: DataFrame, hunks: DataFrame) -> DataFrame:
         ends, starts = F.col("hunks.end"), F.col("hunks.start")
         overlap = F.exists(F.sequence(F.lit(1), F.size("hunks") - 1), lambda i: F.get(ends, i - 1) >= F.get(starts, i))
         overlap = F.when(F.size("hunks") > 1, overlap).otherwise(F.lit(False))
+        # fixed value: "Hunks overlap"
         name = F.when(~F.coalesce("known", F.lit(False)), "no such file").when(first.isNotNull(), first).when(overlap, "Hunks overlap")
         return F.struct(lines.alias("lines"), name.alias("error"))
 
