@@ -4,18 +4,20 @@ The filter holds n-gram counts quantised to levels on a log scale: an n-gram of
 (n-gram, 1) to (n-gram, q). To read a count, probe (n-gram, 1), (n-gram, 2), ... until one is missing. Probabilities
 come from such counts, smoothed by mixing each order with the one below.
 
-A filter of all n-grams grows with the corpus, so no machine holds it: it is cut into segments by key, and what is
-broadcast in a small setting is turned round here. Texts are packed into chunks; a chunk sends each of its distinct
-n-grams once to the n-gram's segment, with its count there. The task that has a segment's n-grams of all chunks adds
-up the counts, enters them, probes the segment for every chunk, and sends a byte for each n-gram back.
-
-Beside that model stands an exact unigram score. Words are known by their 64-bit XXH64, longer n-grams by 48 bits.
+Training: tasks add up the n-grams of their texts, the counts of an n-gram meet in its segment of the filter, and the segment's
+bits are written; counts of longer n-grams end there. Scoring: a worker knows n-grams by probing bits alone. As long as
+all bits are at most BROADCAST_BYTES, they are broadcast. A filter of all n-grams grows with the corpus, so a larger
+one stays where it is written, and segments of bits are joined with the n-grams that chunks of text ask of them, each once a
+chunk; both ways probe the same bits and give the same rows.
+
+Beside that model stands an exact unigram score, whose word counts lie beside the bits. Words are known by their 64-bit
+XXH64, longer n-grams by 48 bits.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,8 +40,16 @@ ITEM_BITS, PROBES = 16, 8
 ADDED = 0.1
 #: Distinct n-grams of chunks that meet in one segment's task, about.
 SEGMENT_GRAMS = 1 << 20
-#: Text of a chunk, about: its n-grams are sent once each.
+#: Text of a chunk, about: its n-grams are looked up once each.
 CHUNK_BYTES = 1 << 23
+#: Longer n-grams, distinct, that a task adds up before it sends their counts to the segments.
+HELD_GRAMS = 1 << 22
+#: Rows of counts that meet in one group at most; beyond them, groups of so many are added up before.
+MET_ROWS = 1 << 12
+#: Bits and word counts that are broadcast at most; a worker holds them once.
+BROADCAST_BYTES = 1 << 27
+#: Bytes of counts from which a segment is much asked; it is copied once for each so many, and asked in turn.
+ASKED_BYTES = 1 << 26
 #: Bytes of text to a token, about: only sizes follow from it.
 TOKEN_BYTES = 6
 
@@ -102,16 +112,22 @@ def level_values() -> np.ndarray:
 
 
 class LogFrequencyFilter:
-    """One segment of the filter, sized by the items that go into it."""
+    """Segments of bits, each sized by the items that go into it; made as one segment, or joined from several."""
 
     def __init__(self, keys: np.ndarray, levels: np.ndarray):
-        self.size = max(64, int(levels.sum()) * ITEM_BITS)
-        bits = np.zeros(self.size, bool)
+        size = max(64, -(-int(levels.sum()) * ITEM_BITS // 8) * 8)
+        bits = np.zeros(size, bool)
         for level in range(1, int(levels.max(initial=0)) + 1):
             at, step = self._walk(keys[levels >= level], level)
             for i in range(PROBES):
-                bits[self._place(at, step, i)] = True
-        self.bits = np.packbits(bits, bitorder="little")
+                bits[self._place(at, step, i, np.uint64(size))] = True
+        self.bits, self.starts = np.packbits(bits, bitorder="little"), np.array([0, size // 8])
+
+    @classmethod
+    def joined(cls, segments: list[bytes]) -> LogFrequencyFilter:
+        out = cls.__new__(cls)
+        out.bits, out.starts = np.frombuffer(b"".join(segments), np.uint8), np.cumsum([0, *map(len, segments)])
+        return out
 
     @staticmethod
     def _walk(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,73 +136,118 @@ class LogFrequencyFilter:
             x = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level))
         return x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1)
 
-    def _place(self, at: np.ndarray, step: np.ndarray, i: int) -> np.ndarray:
-        return ((at + np.uint64(i) * step) % np.uint64(self.size)).astype(np.int64)
+    @staticmethod
+    def _place(at: np.ndarray, step: np.ndarray, i: int, size) -> np.ndarray:
+        return ((at + np.uint64(i) * step) % size).astype(np.int64)
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The level of each key; now and then too high by one or more, never too low."""
+    def levels(self, keys: np.ndarray, segments: np.ndarray | int = 0) -> np.ndarray:
+        """The level of each key, read from its segment; now and then too high by one or more, never too low."""
         out = np.zeros(len(keys), np.uint8)
+        segments = np.broadcast_to(segments, len(keys))
+        starts, sizes = self.starts[:-1] * 8, np.diff(self.starts).astype(np.uint64) * np.uint64(8)
         alive, level = np.arange(len(keys)), 0
         while len(alive):
             at, step = self._walk(keys[alive], level + 1)
+            start, size = starts[segments[alive]], sizes[segments[alive]]
             left = np.arange(len(alive))
             for i in range(PROBES):
-                place = self._place(at[left], step[left], i)
+                place = start[left] + self._place(at[left], step[left], i, size[left])
                 left = left[(self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
             alive, level = alive[left], level + 1
             out[alive] = level
         return out
 
 
-def _distinct(keys: np.ndarray) -> np.ndarray:
-    """In ascending order. By sorting, which is many times faster for integers than numpy's own ``unique``."""
-    keys = np.sort(keys)
-    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+@dataclass
+class Trained:
+    """Segments of the filter, by number, and the counts of their words."""
 
+    segment_bits: int
+    numbers: np.ndarray
+    filter: LogFrequencyFilter
+    words: np.ndarray
+    counts: np.ndarray
 
-def _places(keys: np.ndarray) -> np.ndarray:
-    """Of each key its place in ``_distinct(keys)``."""
+    @classmethod
+    def of(cls, rows, segment_bits: int) -> Trained:
+        """From the written rows (segment, bits, words, words_n), in any order."""
+        rows = rows.sort_by("segment")
+        # a word's first bits are its segment's number, so all words are in ascending order
+        words, counts = _flat(rows.column("words"), "<u8")[0], _flat(rows.column("words_n"), "<i8")[0]
+        return cls(segment_bits, rows.column("segment").to_numpy(), LogFrequencyFilter.joined(rows.column("bits").to_pylist()), words, counts)
+
+    def read(self, words: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of words, levels of words and levels of longer n-grams."""
+        counts = np.zeros(len(words), np.int64)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            counts = np.where(self.words[at] == words, self.counts[at], 0)
+        own = np.concatenate(_segments_of(words, grams, self.segment_bits)).astype(np.int64)
+        levels = np.zeros(len(own), np.uint8)
+        if len(self.numbers):  # a segment without training n-grams is not there
+            at = np.minimum(np.searchsorted(self.numbers, own), len(self.numbers) - 1)
+            there = self.numbers[at] == own
+            levels[there] = self.filter.levels(np.concatenate([_gram_key(words), grams])[there], at[there])
+        return counts, levels[: len(words)], levels[len(words) :]
+
+
+def _segments_of(words: np.ndarray, grams: np.ndarray, segment_bits: int) -> list[np.ndarray]:
+    return [words >> np.uint64(64 - segment_bits), grams >> np.uint64(KEY_BITS - segment_bits)]
+
+
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order, and of each key its place there. By sorting, which is many times faster for
+    integers than numpy's own ``unique``."""
     by_key = np.argsort(keys)
     ordered = keys[by_key]
-    out = np.empty(len(keys), np.int64)
-    out[by_key] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]]) if len(keys) else 0
-    return out
+    new = np.r_[True, ordered[1:] != ordered[:-1]] if len(keys) else np.zeros(0, bool)
+    places = np.empty(len(keys), np.int64)
+    places[by_key] = np.cumsum(new) - 1
+    return ordered[new], places
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
 
 
 @dataclass
 class Counted:
-    """Distinct keys in ascending order, and how often each stands in the training texts."""
+    """Distinct keys in ascending order, and their counts."""
 
     keys: np.ndarray
     counts: np.ndarray
 
     @classmethod
-    def of(cls, trained: list[np.ndarray], held: list[np.ndarray]) -> Counted:
-        keys, alone = np.sort(_joined(trained)), _distinct(_joined(held))
+    def of(cls, keys: np.ndarray) -> Counted:
+        keys = np.sort(keys)
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        return cls(keys[starts], np.diff(np.r_[starts, len(keys)]))
+
+    @classmethod
+    def summed(cls, keys: np.ndarray, counts: np.ndarray) -> Counted:
+        by_key = np.argsort(keys, kind="stable")  # which merges ascending runs
+        keys, counts = keys[by_key], counts[by_key].astype(np.int64)
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-        counts = np.diff(np.r_[starts, len(keys)]).astype(np.uint32)
-        # a key of both kinds stands twice now, with its count and with 0
-        both, counts = np.concatenate([keys[starts], alone]), np.r_[counts, np.zeros(len(alone), np.uint32)]
-        by_key = np.argsort(both)
-        both, counts = both[by_key], counts[by_key]
-        first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else starts
-        return cls(both[first], np.add.reduceat(counts, first, dtype=np.uint32) if len(both) else counts)
+        return cls(keys[starts], np.add.reduceat(counts, starts) if len(keys) else counts)
+
+    def plus(self, other: Counted) -> Counted:
+        return self.summed(np.concatenate([self.keys, other.keys]), np.concatenate([self.counts, other.counts]))
 
 
 def _joined(parts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
-def _grams(rows, order: int) -> tuple[Counted, Counted]:
-    """Words and longer n-grams of a chunk."""
-    kept: tuple[list, list, list, list] = ([], [], [], [])
-    held_out = rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-    for a, b, hashes, first in tokens(*column_bytes(rows.column("text"))):
-        held = np.repeat(held_out[a:b], np.diff(first))
-        for k, keys in enumerate([hashes, *ngram_keys(hashes, first, order)]):
-            kept[2 * (k > 0)].append(keys[~held])
-            kept[2 * (k > 0) + 1].append(keys[held])
-    return Counted.of(*kept[:2]), Counted.of(*kept[2:])
+def _keys(texts, order: int) -> tuple[list, np.ndarray, np.ndarray]:
+    """Parts of a column of texts as (tokens, first tokens), and the keys of all words and of all longer n-grams, part by
+    part, in each part order by order."""
+    parts, words, grams = [], [], []
+    for _, _, hashes, first in tokens(*column_bytes(texts)):
+        parts.append((len(hashes), first))
+        words.append(hashes)
+        grams.extend(ngram_keys(hashes, first, order))
+    return parts, _joined(words), _joined(grams)
 
 
 def _binary(values: np.ndarray, cuts: np.ndarray):
@@ -226,7 +287,7 @@ def _chunk_rows(data: bytes):
 
 
 def _chunks(slim: DataFrame) -> DataFrame:
-    """(chunk, data, bytes, trained): rows of (id, held_out, text) packed together."""
+    """(chunk, data): rows of (id, held_out, text) packed together."""
 
     def pack(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -237,64 +298,149 @@ def _chunks(slim: DataFrame) -> DataFrame:
             offsets = column_bytes(batch.column(2))[1]
             for a, b in slices(offsets, CHUNK_BYTES):
                 rows = pa.RecordBatch.from_arrays(batch.slice(a, b - a).columns, ["id", "held_out", "text"])
-                trained = sum(not x for x in rows.column(1).to_pylist())
-                columns = {"chunk": [row], "data": [_packed_chunk(rows)], "bytes": [offsets[b] - offsets[a]], "trained": [trained]}
-                yield pa.RecordBatch.from_pydict(columns)
+                yield pa.RecordBatch.from_pydict({"chunk": [row], "data": [_packed_chunk(rows)]})
                 row += 1
 
-    return slim.mapInArrow(pack, "chunk long, data binary, bytes long, trained long")
+    return slim.mapInArrow(pack, "chunk long, data binary")
 
 
-def _asked(chunks: DataFrame, order: int, segment_bits: int) -> DataFrame:
-    """One row for each chunk and segment: the chunk's words there and their counts, its longer n-grams (the low 32 and
-    the high 16 bits of their keys) and their counts, all in ascending order."""
+_COUNTS = "segment long, part long, words binary, words_n binary, low binary, high binary, grams_n binary"
 
-    def ask(batches: Iterator) -> Iterator:
+
+def _sent(words: np.ndarray, grams: np.ndarray, segment_bits: int) -> tuple[np.ndarray, list[np.ndarray], list]:
+    """Segments of ascending keys, where each segment's keys are cut, and columns of the keys: words, and the low 32 and
+    the high 16 bits of longer n-grams."""
+    own = _segments_of(words, grams, segment_bits)
+    segments = _distinct(np.concatenate([_distinct(x) for x in own]))
+    at = [np.r_[np.searchsorted(x, segments), len(x)] for x in own]
+    low, high = grams.astype(np.uint32), (grams >> np.uint64(32)).astype(np.uint16)
+    return segments.astype(np.int64), at, [_binary(words, at[0]), _binary(low, at[1]), _binary(high, at[1])]
+
+
+def _received(table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words and longer n-grams of the rows of a table, and the cuts between rows."""
+    words, at_words = _flat(table.column("words"), "<u8")
+    low, at_grams = _flat(table.column("low"), "<u4")
+    return words, _flat(table.column("high"), "<u2")[0].astype(np.uint64) << np.uint64(32) | low, at_words, at_grams
+
+
+def _counted(train: DataFrame, order: int, segment_bits: int) -> DataFrame:
+    """Counts of the n-grams of (text): a row for each segment whenever a task holds HELD_GRAMS, and at its end."""
+
+    def rows(words: Counted, grams: Counted, part: int):
         import pyarrow as pa
 
+        segments, at, keys = _sent(words.keys, grams.keys, segment_bits)
+        n = [_binary(x.counts.astype(np.uint32), cuts) for x, cuts in zip((words, grams), at)]
+        columns = [pa.array(segments), pa.array(np.full(len(segments), part)), keys[0], n[0], keys[1], keys[2], n[1]]
+        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _COUNTS.split(", ")])
+
+    def count(batches: Iterator) -> Iterator:
+        from pyspark import TaskContext
+
+        part, held = TaskContext.get().partitionId(), None
         for batch in batches:
-            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words, grams = _grams(_chunk_rows(data), order)
-                own = [words.keys >> np.uint64(64 - segment_bits), grams.keys >> np.uint64(KEY_BITS - segment_bits)]
-                segments = _distinct(np.concatenate(own))
-                at = [np.r_[np.searchsorted(x, segments), len(x)] for x in own]
-                columns = [
-                    pa.array(np.full(len(segments), chunk)), pa.array(segments.astype(np.int64)), _binary(words.keys, at[0]), _binary(words.counts, at[0]),
-                    _binary(grams.keys.astype(np.uint32), at[1]), _binary((grams.keys >> np.uint64(32)).astype(np.uint16), at[1]), _binary(grams.counts, at[1]),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["chunk", "segment", "words", "words_n", "low", "high", "grams_n"])
+            texts = batch.column(0)
+            for a, b in slices(column_bytes(texts)[1], CHUNK_BYTES):
+                _, *keys = _keys(texts.slice(a, b - a), order)
+                own = [Counted.of(x) for x in keys]
+                held = own if held is None else [x.plus(y) for x, y in zip(held, own)]
+                if len(held[1].keys) >= HELD_GRAMS:
+                    yield rows(*held, part)
+                    held = None
+        if held is not None:
+            yield rows(*held, part)
+
+    return train.mapInArrow(count, _COUNTS)
+
+
+def _sums(table) -> tuple[Counted, Counted]:
+    words, grams, _, _ = _received(table)
+    return Counted.summed(words, _flat(table.column("words_n"), "<u4")[0]), Counted.summed(grams, _flat(table.column("grams_n"), "<u4")[0])
+
 
-    schema = "chunk long, segment long, words binary, words_n binary, low binary, high binary, grams_n binary"
-    return chunks.select("chunk", "data").mapInArrow(ask, schema)
+def _met(counted: DataFrame, groups: int) -> DataFrame:
+    """The same counts in at most ``groups`` rows a segment, so that no segment gets a row of every task.
 
+    A count beyond 32 bits stands in several entries of its row."""
 
-def _answered(asked: DataFrame) -> DataFrame:
-    """(chunk, segment, counts, word_levels, gram_levels, n, v): exact counts of the words and the filter's levels, in
-    the order in which they were asked. A segment's first row has its number of training tokens and of distinct ones."""
+    def add(table):
+        import pyarrow as pa
 
-    def answer(table):
+        out = []
+        most = (1 << 32) - 1
+        for one in _sums(table):
+            times = np.maximum(1, -(-one.counts // most))
+            last = np.cumsum(times) - 1
+            counts = np.full(int(times.sum()), most)
+            counts[last] = one.counts - (times - 1) * most
+            out.append(Counted(np.repeat(one.keys, times), counts))
+        words, grams = out
+        whole = [np.array([0, len(x.keys)]) for x in out]
+        low, high = grams.keys.astype(np.uint32), (grams.keys >> np.uint64(32)).astype(np.uint16)
+        columns = [_binary(words.keys, whole[0]), _binary(words.counts.astype(np.uint32), whole[0])]
+        columns += [_binary(low, whole[1]), _binary(high, whole[1]), _binary(grams.counts.astype(np.uint32), whole[1])]
+        return pa.table([table.column("segment").slice(0, 1), table.column("part").slice(0, 1), *columns], [x.split()[0] for x in _COUNTS.split(", ")])
+
+    return counted.withColumn("part", F.pmod("part", F.lit(groups))).groupBy("segment", "part").applyInArrow(add, _COUNTS)
+
+
+def _segments(counted: DataFrame) -> DataFrame:
+    """(segment, bits, words, words_n, n, v, load): the bits of a segment, its words and their counts, its number of training
+    tokens and of distinct ones, and the bytes of counts that came."""
+
+    def build(table):
         import pyarrow as pa
 
-        words, at_words = _flat(table.column("words"), "<u8")
-        low, at_grams = _flat(table.column("low"), "<u4")
-        grams = _flat(table.column("high"), "<u2")[0].astype(np.uint64) << np.uint64(32) | low
-        sums = []
-        for keys, counts in ((words, "words_n"), (grams, "grams_n")):
-            own, back = _distinct(keys), _places(keys)
-            sums.append((own, back, np.bincount(back, _flat(table.column(counts), "<u4")[0], len(own)).astype(np.int64)))
-        (own_words, to_words, n_words), (own_grams, to_grams, n_grams) = sums
-        keys = np.concatenate([_gram_key(own_words), own_grams])
-        levels = level_of(np.concatenate([n_words, n_grams]))
-        read = LogFrequencyFilter(keys, levels).levels(keys)
-        rest = np.zeros(len(at_words) - 2, np.int64)
+        words, grams = _sums(table)
+        keys, counts = np.concatenate([_gram_key(words.keys), grams.keys]), np.concatenate([words.counts, grams.counts])
+        bits = LogFrequencyFilter(keys, level_of(counts)).bits.tobytes()
         return pa.table({
-            "chunk": table.column("chunk"), "segment": table.column("segment"), "counts": _binary(n_words[to_words], at_words),
-            "word_levels": _binary(read[: len(own_words)][to_words], at_words), "gram_levels": _binary(read[len(own_words) :][to_grams], at_grams),
-            "n": np.r_[n_words.sum(), rest], "v": np.r_[(n_words > 0).sum(), rest],
+            "segment": table.column("segment").slice(0, 1), "bits": [bits], "words": [words.keys.tobytes()], "words_n": [words.counts.tobytes()],
+            "n": [int(words.counts.sum())], "v": [len(words.keys)], "load": [table.nbytes],
         })
 
-    schema = "chunk long, segment long, counts binary, word_levels binary, gram_levels binary, n long, v long"
-    return asked.groupBy("segment").applyInArrow(answer, schema)
+    schema = "segment long, bits binary, words binary, words_n binary, n long, v long, load long"
+    return counted.groupBy("segment").applyInArrow(build, schema)
+
+
+def _asked(chunks: DataFrame, order: int, segment_bits: int) -> DataFrame:
+    """(chunk, segment, words, low, high): the keys that a chunk has in a segment, in ascending order."""
+
+    def ask(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                _, *keys = _keys(_chunk_rows(data).column("text"), order)
+                segments, _, columns = _sent(*map(_distinct, keys), segment_bits)
+                columns = [pa.array(np.full(len(segments), chunk)), pa.array(segments), *columns]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "segment", "words", "low", "high"])
+
+    return chunks.select("chunk", "data").mapInArrow(ask, "chunk long, segment long, words binary, low binary, high binary")
+
+
+def _answered(asked: DataFrame, segments: DataFrame, segment_bits: int, most: int) -> DataFrame:
+    """(chunk, segment, counts, word_levels, gram_levels), in the order in which they were asked. What a segment's bits and
+    word counts say; a segment that takes more than ASKED_BYTES is copied, ``most`` times at most."""
+    copies = F.greatest(F.lit(1), F.ceil(F.col("load") / ASKED_BYTES))
+    if most > 1:
+        hot = segments.select("segment", copies.alias("copies")).filter("copies > 1")
+        asked = asked.join(hot, "segment", "left").withColumn("copy", F.coalesce(F.pmod(F.xxhash64("chunk"), "copies"), F.lit(0).cast("long")))
+    else:
+        asked = asked.withColumn("copy", F.lit(0).cast("long"))
+    held = segments.select("segment", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"), "bits", "words", "words_n")
+
+    def answer(rows, own):
+        import pyarrow as pa
+
+        words, grams, at_words, at_grams = _received(rows)
+        counts, word_levels, gram_levels = Trained.of(own, segment_bits).read(words, grams)
+        columns = [_binary(counts, at_words), _binary(word_levels, at_words), _binary(gram_levels, at_grams)]
+        return pa.table([rows.column("chunk"), rows.column("segment"), *columns], ["chunk", "segment", "counts", "word_levels", "gram_levels"])
+
+    schema = "chunk long, segment long, counts binary, word_levels binary, gram_levels binary"
+    return asked.groupBy("segment", "copy").cogroup(held.groupBy("segment", "copy")).applyInArrow(answer, schema)
 
 
 @dataclass
@@ -324,18 +470,19 @@ class Model:
         return np.log10(np.minimum(p, 1.0))
 
 
-def _scored(model: Model, rows, counts: np.ndarray, word_levels: np.ndarray, gram_levels: np.ndarray):
-    """The result's rows of a chunk."""
+def _scored(model: Model, rows, read: Callable) -> list:
+    """The result's columns for rows of (id, held_out, text); read gives counts of words, their levels and those of longer
+    n-grams, for distinct keys in ascending order."""
     import pyarrow as pa
 
-    parts = list(tokens(*column_bytes(rows.column("text"))))
-    keys = [[h, *ngram_keys(h, f, model.order)] for _, _, h, f in parts]
-    at_words, at_grams = _places(_joined([k[0] for k in keys])), _places(_joined([x for k in keys for x in k[1:]]))
+    parts, words, grams = _keys(rows.column("text"), model.order)
+    (words, at_words), (grams, at_grams) = _numbered(words), _numbered(grams)
+    counts, word_levels, gram_levels = read(words, grams)
     whole = math.log10(model.train_tokens + ADDED * (model.train_words + 1))
     out: list[list[np.ndarray]] = [[], [], [], []]
     done = 0
-    for _, _, hashes, first in parts:
-        n, starts = len(hashes), first[:-1]
+    for n, first in parts:
+        starts = first[:-1]
         at, longer = at_words[done : done + n], at_grams[done * (model.order - 1) : (done + n) * (model.order - 1)].reshape(-1, n)
         done += n
         c = counts[at]
@@ -348,35 +495,58 @@ def _scored(model: Model, rows, counts: np.ndarray, word_levels: np.ndarray, gra
     return [rows.column("id"), rows.column("held_out"), n_tokens, known, trained, base, score]
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, order: int = ORDER, segment_grams: int = SEGMENT_GRAMS) -> DataFrame:
+def score_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, order: int = ORDER,
+    segment_grams: int = SEGMENT_GRAMS, broadcast_bytes: int = BROADCAST_BYTES, met_rows: int = MET_ROWS,
+) -> DataFrame:
     """One row per row of docs: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows whose fold (see ``langid.fold``) is not 0 and scores all. Null and empty texts have one
     token, the end. base_score is exact; score is the model's, whose filter holds every n-gram of every training text
-    up to the order: what is gathered grows with the input, nothing is broadcast, and the rows do not depend on how
-    many segments the filter has, but for false hits. Texts are read whole; one longer than a chunk is a chunk of its
+    up to the order: what is gathered grows with the input. The filter is broadcast while it has at most
+    broadcast_bytes, which is checked, else asked by segment; rows are the same both ways, and depend on the number of segments
+    by false hits alone. Texts are read whole; one longer than a chunk is a chunk of its
     own and takes about twenty times its size in a worker. Repeated rows count and are scored as often as they stand;
     without training rows all counts are 0. Other columns are not read; an empty table gives no rows.
     """
-    scratch = Scratch(docs.sparkSession, "lm")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "lm")
     slim = docs.select(F.col(id_col).alias("id"), (fold(id_col, folds) == 0).alias("held_out"), F.col(text_col).alias("text"))
-    chunks = scratch.table(_chunks(slim))
-    size, trained = chunks.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("trained"), F.lit(0))).first()
+    train = slim.filter(~F.col("held_out"))
+    size, n_train = train.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.count(F.lit(1))).first()
     segment_bits = min(32, max(1, math.ceil(math.log2(1 + size / TOKEN_BYTES * order / segment_grams))))
-    answers = scratch.table(_answered(_asked(chunks, order, segment_bits)))
-    n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    model = Model(order, trained, n, v)
+    counted = _counted(train.select("text"), order, segment_bits)
+    groups = math.ceil((size / CHUNK_BYTES + 1) / met_rows)
+    if groups > 1:
+        counted = _met(counted, groups)
+    segments = scratch.table(_segments(counted))
+    total = F.sum(F.octet_length("bits").cast("long") + F.octet_length("words") + F.octet_length("words_n"))
+    n, v, held, load = segments.agg(*[F.coalesce(x, F.lit(0)) for x in (F.sum("n"), F.sum("v"), total, F.max("load"))]).first()
+    model = Model(order, n_train, n, v)
 
     names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = [docs.schema[id_col].dataType, T.BooleanType(), T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType()]
+    schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])
+    if held <= broadcast_bytes:
+        known = spark.sparkContext.broadcast(Trained.of(segments.select("segment", "bits", "words", "words_n").toArrow(), segment_bits))
+
+        def probe(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for batch in batches:
+                for a, b in slices(column_bytes(batch.column(2))[1], CHUNK_BYTES):
+                    yield pa.RecordBatch.from_arrays(_scored(model, batch.slice(a, b - a), known.value.read), names)
+
+        return slim.mapInArrow(probe, schema).withColumnRenamed("id", id_col)
+
+    chunks = scratch.table(_chunks(slim))
+    answers = scratch.table(_answered(_asked(chunks, order, segment_bits), segments, segment_bits, math.ceil(load / ASKED_BYTES)))
 
     def run(chunk, answer):
         import pyarrow as pa
 
         answer = answer.sort_by("segment")
-        read = (_flat(answer.column(c), k)[0] for c, k in (("counts", "<i8"), ("word_levels", "u1"), ("gram_levels", "u1")))
-        return pa.Table.from_arrays(_scored(model, _chunk_rows(chunk.column("data")[0].as_py()), *read), names)
+        read = [_flat(answer.column(c), k)[0] for c, k in (("counts", "<i8"), ("word_levels", "u1"), ("gram_levels", "u1"))]
+        return pa.Table.from_arrays(_scored(model, _chunk_rows(chunk.column("data")[0].as_py()), lambda *_: read), names)
 
-    schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])
-    read = answers.drop("n", "v").groupBy("chunk")
-    return chunks.select("chunk", "data").groupBy("chunk").cogroup(read).applyInArrow(run, schema).withColumnRenamed("id", id_col)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -20,10 +20,10 @@ def brute(rows):
     return [(r[0], held(r[0]), len(t), sum(w in counts for w in t), n, sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)) for r, t in zip(rows, tokens)]
 
 
-@pytest.mark.parametrize("segment_grams", [lm.SEGMENT_GRAMS, 50])
-def test_base_score_is_exact(spark, segment_grams):
+@pytest.mark.parametrize("settings", [{}, {"segment_grams": 50}, {"segment_grams": 50, "broadcast_bytes": -1}, {"segment_grams": 50, "met_rows": 1}])
+def test_base_score_is_exact(spark, settings):
     rows = odd_documents() + [(k, f"word w{k % 3} w{k}", *[None] * 8) for k in range(20, 60)] + [(70, "very long " * 200_000, *[None] * 8)]
-    got = sorted(((*r[:5], round(r[5], 6)) for r in lm.score_documents(frame(spark, rows), segment_grams=segment_grams).collect()), key=str)
+    got = sorted(((*r[:5], round(r[5], 6)) for r in lm.score_documents(frame(spark, rows), **settings).collect()), key=str)
     assert got == sorted(((*r[:5], round(r[5], 6)) for r in brute(rows)), key=str)
     assert lm.score_documents(frame(spark, [])).collect() == []
 
@@ -79,6 +79,31 @@ def test_the_number_of_segments_changes_little_but_false_hits(spark):
     assert sum(r[6] for r in one) == pytest.approx(sum(r[6] for r in many), rel=0.05)
 
 
+def test_the_broadcast_and_the_joined_filter_are_the_same_bits(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = lambda **settings: sorted(map(tuple, lm.score_documents(docs, segment_grams=1000, **settings).collect()))
+    sent = rows()
+    assert sent == rows(broadcast_bytes=-1)
+    monkeypatch.setattr(lm, "ASKED_BYTES", 4000)  # segments are copied
+    monkeypatch.setattr(lm, "HELD_GRAMS", 500)  # and counts come in many rows
+    assert sent == rows(broadcast_bytes=-1, met_rows=1)
+
+
+def test_scores_come_from_the_bits(spark, monkeypatch):
+    """A filter without bits knows no n-gram: counts reach no score around it."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(50)
+    scores = lambda: sum(r["score"] for r in lm.score_documents(docs).collect())
+    build, own = lm.Trained.of, scores()
+
+    def emptied(rows, segment_bits):
+        out = build(rows, segment_bits)
+        out.filter.bits = np.zeros_like(out.filter.bits)
+        return out
+
+    monkeypatch.setattr(lm.Trained, "of", emptied)
+    assert scores() < 1.5 * own < 0
+
+
 def test_a_text_that_occurs_twice_scores_higher(spark):
     rng = np.random.default_rng(1)
     text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 900, 60))
