@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 
 from quern.functions.stemming import stem, stems
 from quern.functions.text import cosine, folded_tokens, safe_truncate, tokens_of
+from quern.operators.cells import Cells
 from quern.operators.postings import Postings, bm25, is_visible
 from quern.sources.scratch import Scratch
 
@@ -98,6 +99,11 @@ def bm25_top(memory: DataFrame, project: str, query: str, k: int, *tie: Column,
     return top(bm25_ranked(memory, project, query), k, *tie)
 
 
+def knn_top(memory: DataFrame, vectors: DataFrame, project: str, vector: DataFrame, k: int, cells: Cells | None = None) -> DataFrame:
+    """``top`` of ``knn_ranked``: from the vector index of memory and vectors if there is one, else by reading every vector."""
+    return cells.top(project, vector, k) if cells is not None else top(knn_ranked(memory, vectors, project, vector), k)
+
+
 def _positions(candidates: DataFrame) -> DataFrame:
     """0-based rank of at most CANDIDATES rows."""
     return candidates.select("key", (F.row_number().over(W.orderBy(F.col("score").desc(), "key")) - 1).alias("rank"))
@@ -117,8 +123,9 @@ def fused_by_union(vector_top: DataFrame, text_top: DataFrame) -> DataFrame:
 
 
 def recall(
-    memory: DataFrame, project: str, query: str, vectors: DataFrame | None = None, vector: DataFrame | None = None, limit: int = 5, index: Postings | None = None
-) -> DataFrame:
+    memory: DataFrame, project: str, query: str, vectors: DataFrame | None = None, vector: DataFrame | None = None, limit: int = 5, index: Postings | None = None,
+    cells: Cells | None = None,
+) -> DataFrame:
     """At most limit (50 at most) visible records, best first: fused if there is a query vector, else by BM25.
 
     Columns: key, content, project, created_at, agent_id, score, search_mode. memory: keyed records; vectors: (project, key,
@@ -129,7 +136,7 @@ def recall(
         best, mode = bm25_top(memory, project, query, limit, F.col("created_at").desc(), index=index), "bm25"
     else:
         by_text = bm25_top(memory, project, query, CANDIDATES, index=index)
-        best, mode = top(fused(top(knn_ranked(memory, vectors, project, vector), CANDIDATES), by_text), limit), "vector+bm25"
+        best, mode = top(fused(knn_top(memory, vectors, project, vector, CANDIDATES, cells), by_text), limit), "vector+bm25"
     # MOST rows at most; a record's key is its own
     records = visible(memory, project).select("key", "content", "project", "created_at", "agent_id")
     found = records.join(F.broadcast(best.select("key", "score")), "key")
