@@ -38,6 +38,10 @@ def file_states(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found))
 
 
+#: Ends the shuffle files of a statement with it.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Parquet tables that cut lineage: a lost executor re-reads files instead of re-running the plan.
 
@@ -58,8 +62,13 @@ class Scratch:
         return f"{self.root}/{self._n:03d}"
 
     def table(self, df: DataFrame) -> DataFrame:
-        path = self.path()
-        df.write.parquet(path)
+        """Writes df and reads it back. What its plan has shuffled is freed once the table stands, as no later plan reads it."""
+        path, before = self.path(), self.spark.conf.get(CLEANED)
+        self.spark.conf.set(CLEANED, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANED, before)
         table = self.spark.read.schema(df.schema).parquet(path)
         table._quern_path = path
         return table

@@ -29,3 +29,13 @@ def test_any_column_name(spark):
     assert [tuple(r) for r in df.select(*columns(df)).collect()] == [(1, 2, 3)]
     assert df.select(column("a.b")).first()[0] == 1
     assert unused(df.columns, "x", "y", "y") == ["_x", "y", "_y"]
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    from quern.sources.scratch import CLEANED, Scratch
+
+    count = lambda: len(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString("\n").split("shuffle_")) - 1
+    before, set_before = count(), spark.conf.get(CLEANED)
+    table = Scratch(spark, "test").table(spark.range(100_000).repartition(8, "id"))
+    assert count() <= before and spark.conf.get(CLEANED) == set_before
+    assert table.count() == 100_000
