@@ -50,6 +50,8 @@ MET_ROWS = 1 << 12
 BROADCAST_BYTES = 1 << 27
 #: Bytes of counts from which a segment is much asked; it is copied once for each so many, and asked in turn.
 ASKED_BYTES = 1 << 26
+#: Rounds in which chunks ask, each of its own segments: what is shuffled at once is as much smaller, and freed after each.
+ASK_ROUNDS = 4
 #: Bytes of text to a token, about: only sizes follow from it.
 TOKEN_BYTES = 6
 
@@ -404,8 +406,8 @@ def _segments(counted: DataFrame) -> DataFrame:
     return counted.groupBy("segment").applyInArrow(build, schema)
 
 
-def _asked(chunks: DataFrame, order: int, segment_bits: int) -> DataFrame:
-    """(chunk, segment, words, low, high): the keys that a chunk has in a segment, in ascending order."""
+def _asked(chunks: DataFrame, order: int, segment_bits: int, turn: int) -> DataFrame:
+    """(chunk, segment, words, low, high): the keys that a chunk has in a segment whose turn it is, in ascending order."""
 
     def ask(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -413,6 +415,7 @@ def _asked(chunks: DataFrame, order: int, segment_bits: int) -> DataFrame:
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 _, *keys = _keys(_chunk_rows(data).column("text"), order)
+                keys = [k[s % np.uint64(ASK_ROUNDS) == turn] for k, s in zip(keys, _segments_of(*keys, segment_bits))]
                 segments, _, columns = _sent(*map(_distinct, keys), segment_bits)
                 columns = [pa.array(np.full(len(segments), chunk)), pa.array(segments), *columns]
                 yield pa.RecordBatch.from_arrays(columns, ["chunk", "segment", "words", "low", "high"])
@@ -540,7 +543,12 @@ def score_documents(
         return slim.mapInArrow(probe, schema).withColumnRenamed("id", id_col)
 
     chunks = scratch.table(_chunks(slim))
-    answers = scratch.table(_answered(_asked(chunks, order, segment_bits), segments, segment_bits, math.ceil(load / ASKED_BYTES)))
+    answers = None
+    for turn in range(ASK_ROUNDS):
+        own = segments.filter(F.col("segment") % ASK_ROUNDS == turn)
+        read = scratch.table(_answered(_asked(chunks, order, segment_bits, turn), own, segment_bits, math.ceil(load / ASKED_BYTES)))
+        answers = read if answers is None else answers.unionByName(read)
+    scratch.drop(segments)
 
     def run(chunk, answer):
         import pyarrow as pa
