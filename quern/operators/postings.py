@@ -12,21 +12,24 @@ slices of the highest bounds give a score that k records reach, and only slices
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.stemming import stemmed
-from quern.functions.text import folded_tokens
+from quern.functions.stemming import term_counts
+from quern.functions.text import lower_tokens
 from quern.sources.scratch import Scratch
 
 K1, B = 1.2, 0.75
 #: Records to a bucket of terms, and buckets at least; records of a slice, about, if all have one length; slices that are opened to
 #: find a score to beat.
 BUCKET, BUCKETS, BLOCK, FIRST = 1 << 16, 4, 1 << 15, 8
+#: Ways that a bucket is dealt out in, at least; tokens whose postings are sorted in one task, about.
+DEALT, PART_TOKENS = 16, 1 << 21
 #: Scores are rounded to six places, so a bound may be short of a score by half of one.
 ROUNDED = 1e-6
 
@@ -49,13 +52,48 @@ def is_visible() -> Column:
     return ~F.coalesce(F.array_contains("tags", "roi"), F.lit(False))
 
 
-def word_counts(memory: DataFrame) -> DataFrame:
-    """(project, key, created_at, visible, dl, word, tf): words of each record as they stand; a record without words has one
-    row with a null word. A record's words are counted before they are shuffled."""
-    tokens = F.coalesce(folded_tokens(F.col("content")), F.array().cast("array<string>"))
-    rows = memory.select("project", "key", "created_at", is_visible().alias("visible"), tokens.alias("tokens"))
-    rows = rows.select("project", "key", "created_at", "visible", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("word"))
-    return rows.groupBy("project", "key", "created_at", "visible", "dl", "word").agg(F.count(F.lit(1)).alias("tf"))
+#: A task's part of some slices of a term, as arrays side by side; counts are tf in the upper and dl in the lower 32 bits. Those
+#: without a term hold all records.
+PARTS = "term string, project string, visible boolean, hashed long, key array<string>, created_at array<timestamp_ntz>, counts array<long>"
+
+
+def block_parts(memory: DataFrame, slices: int) -> DataFrame:
+    """Parts of the blocks of records, one record for each project and key: records are counted and packed where they stand, so what
+    is shuffled afterwards are postings by term and not words."""
+    hashed = F.pmod(F.xxhash64("project", "key"), F.lit(slices))
+    rows = memory.select("project", is_visible().alias("visible"), hashed.alias("hashed"), "key", "created_at", lower_tokens(F.col("content")).alias("tokens"))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch, terms, row, term, tf in term_counts(batches, "tokens"):
+            dl = np.diff(batch.column("tokens").offsets.to_numpy()).astype(np.int32)
+            groups: dict[tuple, int] = {}
+            heads = zip(*(batch.column(c).to_pylist() for c in ("project", "visible", "hashed")))
+            group = np.array([groups.setdefault(h, len(groups)) for h in heads], np.int64)
+            # all records under one more term, which is none
+            row, term = np.r_[row, np.arange(len(batch))], np.r_[term, np.full(len(batch), len(terms))]
+            tf = np.r_[tf, np.zeros(len(batch), np.int64)].astype(np.int32)
+            block = term * len(groups) + group[row]
+            order = np.argsort(block, kind="stable")
+            row, tf, block = row[order], tf[order], block[order]
+            starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            cuts = pa.array(np.r_[starts, len(block)].astype(np.int32))
+            of = pa.array(block[starts] // len(groups))
+            head = [list(groups)[g] for g in (block[starts] % len(groups)).tolist()]
+            lists = [batch.column("key").take(pa.array(row)), batch.column("created_at").take(pa.array(row)), pa.array(tf.astype(np.int64) << 32 | dl[row])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*terms, None], pa.string()).take(of), *(pa.array([h[i] for h in head], t) for i, t in enumerate((pa.string(), pa.bool_(), pa.int64()))),
+                 *(pa.ListArray.from_arrays(cuts, x) for x in lists)], [c.split()[0] for c in PARTS.split(", ")],
+            )
+
+    return rows.select("project", "visible", "hashed", "key", "created_at", "tokens").mapInArrow(run, PARTS)
+
+
+def _listed(parts: DataFrame) -> DataFrame:
+    """(project, key, dl) of all records."""
+    all_ = parts.filter("term is null").select("project", F.inline(F.arrays_zip("key", "counts")))
+    return all_.select("project", "key", F.col("counts").bitwiseAND(0xFFFFFFFF).cast("int").alias("dl"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -101,49 +139,53 @@ class Postings:
         """Indexes records (key, content, tags, project, created_at), one for each project and key, as generation 0."""
         if self.generations():
             raise ValueError("the folder holds an index already")
+        n = memory.count()
         scratch = Scratch(self.spark, "postings")
-        words = scratch.table(word_counts(memory))
-        n = words.select("project", "key").distinct().count()
-        self._write(words, 0, n // block + 1, buckets or max(BUCKETS, n // BUCKET), None)
-        scratch.drop(words)
+        parts = scratch.table(block_parts(memory, n // block + 1))
+        self._write(parts, 0, n // block + 1, buckets or max(BUCKETS, n // BUCKET), None)
+        scratch.drop(parts)
         return self.refresh()
 
     def add(self, records: DataFrame) -> Postings:
         """Stores records, each in place of one of its project and key: a new generation, whatever is older stays as it is."""
         gens = self.generations()
         scratch = Scratch(self.spark, "postings")
-        words = scratch.table(word_counts(records))
-        self._write(words, max(g.gen for g in gens) + 1, gens[0].slices, gens[0].buckets, words.select("project", "key").distinct())
-        scratch.drop(words)
+        parts = scratch.table(block_parts(records, gens[0].slices))
+        self._write(parts, max(g.gen for g in gens) + 1, gens[0].slices, gens[0].buckets, _listed(parts).select("project", "key").distinct())
+        scratch.drop(parts)
         return self.refresh()
 
     def remove(self, keys: DataFrame) -> Postings:
         """Takes the records (project, key) out of the index."""
         gens = self.generations()
-        none = self.spark.createDataFrame([], "project string, key string, created_at timestamp_ntz, visible boolean, dl int, word string, tf long")
+        none = self.spark.createDataFrame([], PARTS)
         self._write(none, max(g.gen for g in gens) + 1, gens[0].slices, gens[0].buckets, keys.select("project", "key").distinct())
         return self.refresh()
 
-    def _write(self, words: DataFrame, gen: int, slices: int, buckets: int, touched: DataFrame | None) -> None:
+    def _write(self, parts: DataFrame, gen: int, slices: int, buckets: int, touched: DataFrame | None) -> None:
         at = lambda name: f"{self.root}/{name}/gen={gen}"
-        docs = words.select("project", "key", "dl").distinct()
-        docs.write.mode("overwrite").parquet(at("docs"))
+        _listed(parts).write.mode("overwrite").parquet(at("docs"))
+        docs = self.spark.read.schema(DOCS).parquet(f"{self.root}/docs").filter(F.col("gen") == gen)
         n, total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
         if touched is not None:
             old = self._live(self._read("docs", DOCS)).join(touched, ["project", "key"], "left_semi")
             old.select("project", "key").write.mode("overwrite").parquet(at("replaced"))
             gone = old.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
             n, total = n - gone[0], total - gone[1]
+        # one shuffle: a bucket is dealt out by term and records' hash, as a frequent term has postings of all records
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), total // PART_TOKENS + 1)
+        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+        dealt = F.pmod(F.xxhash64("term", "hashed"), F.lit(max(DEALT, 4 * tasks // buckets)))
+        own = parts.filter("term is not null").select("*", bucket.alias("bucket"), dealt.alias("dealt")).repartition(tasks, "bucket", "dealt")
+        own = own.select("bucket", "dealt", "term", "project", "visible", "hashed", F.inline(F.arrays_zip("key", "created_at", "counts")))
+        own = own.withColumns({"tf": F.shiftright("counts", 32), "dl": F.col("counts").bitwiseAND(0xFFFFFFFF).cast("int")})
         # the square root of two from one class of lengths to the next
         length = F.floor(2 * F.log2(F.col("dl") + 1)).cast("long")
-        place = F.shiftleft(length, 32) + F.pmod(F.xxhash64("project", "key"), F.lit(slices))
-        found = stemmed(words.filter("word is not null"), "word", "term").groupBy("project", "key", "created_at", "visible", "dl", "term").agg(F.sum("tf").alias("tf"))
-        blocks = found.withColumn("slice", place).groupBy("term", "project", "visible", "slice").agg(
+        own = own.withColumn("slice", F.shiftleft(length, 32) + F.col("hashed"))
+        blocks = own.groupBy("bucket", "dealt", "term", "project", "visible", "slice").agg(
             F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("key", "created_at", "tf", "dl")).alias("postings")
-        )
-        blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-        ordered = blocks.repartitionByRange("bucket", "term", "slice").sortWithinPartitions("bucket", "term", "slice")
-        ordered.write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
+        ).drop("dealt")
+        blocks.sortWithinPartitions("bucket", "term", "slice").write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
         stats = self.spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(total).cast("long").alias("total"), F.lit(slices).alias("slices"), F.lit(buckets).alias("buckets"))
         stats.coalesce(1).write.mode("overwrite").parquet(at("stats"))
 

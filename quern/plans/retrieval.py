@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.functions.stemming import stemmed
-from quern.functions.text import folded_tokens
+from quern.functions.stemming import term_counts
+from quern.functions.text import folded_tokens, lower_tokens
 from quern.operators import retrieval as R
 from quern.operators.cells import Cells
 from quern.operators.postings import Postings
@@ -96,10 +96,20 @@ def analyze_tokens(spark, sf_dir):
 
 def analyze_stems(spark, sf_dir):
     """How often each English stem stands in the corpus, and in how many records."""
-    t = V.memory(spark, sf_dir).select("key", F.explode(folded_tokens(F.col("content"))).alias("word"))
-    words = Scratch(spark, "words").table(t.groupBy("word", "key").agg(F.count(F.lit(1)).alias("n")))
-    per = stemmed(words, "word", "stem").groupBy("stem", "key").agg(F.sum("n").alias("n"))
-    return per.groupBy("stem").agg(F.sum("n").alias("times"), F.count(F.lit(1)).alias("records"))
+    # rows of one key are one record
+    t = V.memory(spark, sf_dir).groupBy("key").agg(F.collect_list("content").alias("texts"))
+    rows = t.select(F.flatten(F.transform("texts", lower_tokens)).alias("words"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for _, stems, _, at, n in term_counts(batches, "words"):
+            times, records = np.bincount(at, n, len(stems)).astype(np.int64), np.bincount(at, minlength=len(stems))
+            yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), pa.array(times), pa.array(records)], ["stem", "times", "records"])
+
+    per = rows.mapInArrow(run, "stem string, times long, records long")
+    return per.groupBy("stem").agg(F.sum("times").alias("times"), F.sum("records").alias("records"))
 
 
 def filter_tag_contains(spark, sf_dir):
