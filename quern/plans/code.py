@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import code as C
 from quern.plans import views as V
+from quern.sources.scratch import Scratch
 
 # Files by p_partkey % 5: path, head, then p_size % 4 + 1 functions, tail. {k} is the part's key, {s} its size, {n} its name,
 # {t} its type, {i} a function's number. Comments and strings hold brackets that mean nothing.
@@ -35,7 +36,8 @@ def _by_kind(values: list[F.Column]) -> F.Column:
 
 
 def _files(spark, sf_dir):
-    part = V.table(spark, sf_dir, "part")
+    # parsing a file takes far longer than reading its row, and such a table may be one split
+    part = V.table(spark, sf_dir, "part").repartition(C.tasks(spark), "p_partkey")
     numbers = F.sequence(F.lit(1), F.col("p_size") % 4 + 1)
     steps = lambda f: F.array_join(F.transform(numbers, lambda i: _filled(f, i)), "")
     text = [F.concat(_filled(head), steps(f), _filled(tail)) for _, head, f, tail in FILES]
@@ -61,7 +63,8 @@ def symbol_refresh(spark, sf_dir):
     gone = now.filter(n % 13 == 0).withColumn("path", F.concat(F.lit("old/"), "path"))
     changed = F.when(n % 7 == 0, F.concat(F.lit("\n"), "text")).otherwise(F.col("text"))
     before = now.filter(n % 11 != 0).withColumn("text", changed).unionByName(gone)
-    return C.refreshed(C.indexed(before), now).filter("name is not null").select("path", "name", "line", "kind")
+    index = Scratch(spark, "symbols").table(C.indexed(before))
+    return C.refreshed(index, now).filter("name is not null").select("path", "name", "line", "kind")
 
 
 def skeleton(spark, sf_dir):
