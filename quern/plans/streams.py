@@ -21,7 +21,8 @@ def stream_ingest(spark, sf_dir):
 def co_change_stream(spark, sf_dir):
     """Without the sessions that end within the lateness of the last event: those are still open."""
     modified = _events(spark, sf_dir).select(F.col("event_type").alias("project"), F.concat(F.lit("u"), "user_id").alias("file"), "ts")
-    out = S.drained(S.change_sets(modified, "10 minutes", "1 hour"))
+    bounds, slots = (S.drained(f(modified, "10 minutes", "1 hour")) for f in (S.session_bounds, S.slot_files))
+    out = S.change_sets(bounds, slots, "10 minutes")
     return out.select("project", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_start"), F.array_join("files", ",").alias("files"))
 
 

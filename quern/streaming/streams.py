@@ -42,11 +42,29 @@ def timed(events: DataFrame, lateness: str) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
 
 
-def change_sets(modified: DataFrame, gap: str = "2 seconds", lateness: str = "1 minute") -> DataFrame:
-    """Files of a project modified together (project, file, ts): a session closes when the watermark passes its gap."""
+def session_bounds(modified: DataFrame, gap: str = "2 seconds", lateness: str = "1 minute") -> DataFrame:
+    """(project, start, end) of sessions of (project, file, ts): one closes when the watermark passes its gap. Without files, as a set
+    that grows with a session is copied for each row that is merged into it."""
     session = F.session_window("ts", gap)
-    sets = timed(modified, lateness).groupBy(session.alias("w"), "project").agg(F.collect_set("file").alias("files"))
-    return sets.filter(F.size("files") > 1).select("project", F.col("w.start").alias("session_start"), F.sort_array("files").alias("files"))
+    return timed(modified, lateness).groupBy(session.alias("w"), "project").agg(F.count(F.lit(1)).alias("n")).select("project", "w.start", "w.end")
+
+
+def slot_files(modified: DataFrame, gap: str = "2 seconds", lateness: str = "1 minute") -> DataFrame:
+    """(project, slot, files) by slots of the gap's length: a slot's rows are of one session, so a project's rows are spread by slots."""
+    slots = timed(modified, lateness).groupBy(F.window("ts", gap).alias("w"), "project").agg(F.collect_set("file").alias("files"))
+    return slots.select("project", F.col("w.start").alias("slot"), "files")
+
+
+def change_sets(bounds: DataFrame, slots: DataFrame, gap: str = "2 seconds") -> DataFrame:
+    """Files of a project modified together, from what ``session_bounds`` and ``slot_files`` of one stream wrote: the slots of a closed
+    session are closed too. Rows that come later than the lateness may be missing."""
+    length = F.expr(f"unix_micros(timestamp_seconds(0) + interval {gap})")
+    number = lambda c: F.floor(F.unix_micros(c) / length)
+    last = F.col("end") - F.expr(f"interval {gap}")
+    own = bounds.select("project", F.col("start").alias("session_start"), F.explode(F.sequence(number(F.col("start")), number(last))).alias("number"))
+    held = slots.select("project", number(F.col("slot")).alias("number"), F.explode("files").alias("file"))
+    sets = own.join(held, ["project", "number"]).groupBy("project", "session_start").agg(F.collect_set("file").alias("files"))
+    return sets.filter(F.size("files") > 1).select("project", "session_start", F.sort_array("files").alias("files"))
 
 
 def window_counts(events: DataFrame, size: str, lateness: str = "1 hour") -> DataFrame:
