@@ -17,6 +17,8 @@ from quern.functions.text import split_lines
 
 #: A repeated read is sent as a diff if both texts are at most so long and less than this share of lines changed.
 DIFF_BYTES, DIFF_SHARE = 500_000, 0.20
+#: Bytes of rows whose scripts a worker holds at a time, about.
+SLICE = 1 << 20
 #: For so long an agent is thought to remember what it has read.
 TTL_SECONDS = 300
 
@@ -152,6 +154,13 @@ def diff(old: str | None, new: str | None) -> tuple[float, str]:
     return (changes / len(script) if script else 0.0), "".join(sign + line for sign, line in script)
 
 
+def _sliced(batch) -> Iterator:
+    """An Arrow batch in slices of about SLICE bytes, one row at least."""
+    step = max(1, SLICE * len(batch) // max(1, batch.nbytes))
+    for at in range(0, len(batch), step):
+        yield batch.slice(at, step)
+
+
 def with_diff(rows: DataFrame, old: str, new: str) -> DataFrame:
     """rows with ratio and diff of two text columns, computed in Arrow batches."""
     schema = T.StructType([*rows.schema.fields, T.StructField("ratio", T.DoubleType()), T.StructField("diff", T.StringType())])
@@ -160,10 +169,11 @@ def with_diff(rows: DataFrame, old: str, new: str) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            found = [diff(x, y) for x, y in zip(batch.column(i).to_pylist(), batch.column(j).to_pylist())]
-            more = [pa.array([r for r, _ in found], pa.float64()), pa.array([t for _, t in found], pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "ratio", "diff"])
+        for whole in batches:
+            for batch in _sliced(whole):
+                found = [diff(x.as_py(), y.as_py()) for x, y in zip(batch.column(i), batch.column(j))]
+                more = [pa.array([r for r, _ in found], pa.float64()), pa.array([t for _, t in found], pa.string())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "ratio", "diff"])
 
     return rows.mapInArrow(run, schema)
 
