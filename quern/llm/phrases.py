@@ -27,6 +27,8 @@ from quern.sources.scratch import Scratch
 LONGEST = 4
 #: Tokens of a chunk, about (a piece without punctuation is never divided), and bytes of text that are tokenised at a time.
 CHUNK_TOKENS, STEP = 1 << 19, 1 << 21
+#: Chunks of a file: Parquet's reader takes up to 4096 rows of a file at a time, and one chunk has some megabytes.
+FILE_CHUNKS = 8
 #: Keys that are sorted in one task, about.
 PART_KEYS = 1 << 20
 #: Dictionary numbers are given in so many buckets; buckets in which a language's phrases are ranked first.
@@ -240,7 +242,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     dealt by ranges of whole keys, and ranks are cut in buckets first. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "phrases")
-    chunks = scratch.table(chunked(docs, text_col, lang_col))
+    chunks = scratch.table(chunked(docs, text_col, lang_col), FILE_CHUNKS)
     words = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x"))
     words = words.select("chunk", "lang", (F.col("place") + 1).alias("place"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     known = scratch.table(dictionary(words, least))

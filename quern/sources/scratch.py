@@ -61,12 +61,13 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n:03d}"
 
-    def table(self, df: DataFrame) -> DataFrame:
-        """Writes df and reads it back. What its plan has shuffled is freed once the table stands, as no later plan reads it."""
+    def table(self, df: DataFrame, file_rows: int = 0) -> DataFrame:
+        """Writes df and reads it back. What its plan has shuffled is freed once the table stands, as no later plan reads it.
+        file_rows: rows of a file at most, where rows are large."""
         path, before = self.path(), self.spark.conf.get(CLEANED)
         self.spark.conf.set(CLEANED, "true")
         try:
-            df.write.parquet(path)
+            df.write.option("maxRecordsPerFile", file_rows).parquet(path)
         finally:
             self.spark.conf.set(CLEANED, before)
         table = self.spark.read.schema(df.schema).parquet(path)
