@@ -4,11 +4,12 @@ The filter holds n-gram counts quantised to levels on a log scale: an n-gram of
 (n-gram, 1) to (n-gram, q). To read a count, probe (n-gram, 1), (n-gram, 2), ... until one is missing. Probabilities
 come from such counts, smoothed by mixing each order with the one below.
 
-Training: tasks add up the n-grams of their texts, the counts of an n-gram meet in its segment of the filter, and the segment's
-bits are written; counts of longer n-grams end there. Scoring: a worker knows n-grams by probing bits alone. As long as
-all bits are at most BROADCAST_BYTES, they are broadcast. A filter of all n-grams grows with the corpus, so a larger
-one stays where it is written, and segments of bits are joined with the n-grams that chunks of text ask of them, each once a
-chunk; both ways probe the same bits and give the same rows.
+Texts are cut into tokens once and written as chunks: distinct words, and each token's place among them. Training: tasks add up
+the n-grams of their chunks, the counts of an n-gram meet in its segment of the filter, and the segment's bits are written;
+counts of longer n-grams end there. Scoring: a worker knows n-grams by probing bits alone. As long as all bits are at most
+BROADCAST_BYTES, they are broadcast. A filter of all n-grams grows with the corpus, so a larger one stays where it is written,
+and segments of bits are joined with the n-grams that chunks ask of them, each once a chunk; both ways probe the same bits
+and give the same rows. Counts and questions go to their segments in rounds, each of its own segments.
 
 Beside that model stands an exact unigram score, whose word counts lie beside the bits. Words are known by their 64-bit
 XXH64, longer n-grams by 48 bits.
@@ -19,6 +20,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from typing import ClassVar
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -42,16 +45,21 @@ ADDED = 0.1
 SEGMENT_GRAMS = 1 << 20
 #: Text of a chunk, about: its n-grams are looked up once each.
 CHUNK_BYTES = 1 << 23
-#: Longer n-grams, distinct, that a task adds up before it sends their counts to the segments.
-HELD_GRAMS = 1 << 22
+#: Chunks of a file: Parquet's reader takes up to 4096 rows of a file at a time, and one chunk has some megabytes.
+FILE_CHUNKS = 4
+#: Longer n-grams, distinct in their chunks, that a task holds before it sends their counts to the segments.
+HELD_GRAMS = 1 << 21
+#: Largest counts of words and of longer n-grams in one entry; what is beyond stands in further entries.
+MOST_WORDS, MOST_GRAMS = (1 << 32) - 1, (1 << 16) - 1
 #: Rows of counts that meet in one group at most; beyond them, groups of so many are added up before.
 MET_ROWS = 1 << 12
-#: Bits and word counts that are broadcast at most; a worker holds them once.
-BROADCAST_BYTES = 1 << 27
+#: Bits and word counts that are broadcast at most; each worker holds them, and twice for a moment.
+BROADCAST_BYTES = 1 << 25
 #: Bytes of counts from which a segment is much asked; it is copied once for each so many, and asked in turn.
 ASKED_BYTES = 1 << 26
-#: Rounds in which chunks ask, each of its own segments: what is shuffled at once is as much smaller, and freed after each.
-ASK_ROUNDS = 4
+#: Rounds in which chunks send counts, and then ask, each of its own segments: what is shuffled at once is as much smaller,
+#: and freed after each.
+ROUNDS = 4
 #: Bytes of text to a token, about: only sizes follow from it.
 TOKEN_BYTES = 6
 
@@ -120,9 +128,11 @@ class LogFrequencyFilter:
         size = max(64, -(-int(levels.sum()) * ITEM_BITS // 8) * 8)
         bits = np.zeros(size, bool)
         for level in range(1, int(levels.max(initial=0)) + 1):
-            at, step = self._walk(keys[levels >= level], level)
-            for i in range(PROBES):
-                bits[self._place(at, step, i, np.uint64(size))] = True
+            keys, levels = keys[levels >= level], levels[levels >= level]
+            place, step = self._walk(keys, level, np.uint64(size))
+            for _ in range(PROBES):
+                bits[place.view(np.int64)] = True
+                place = self._next(place, step, np.uint64(size))
         self.bits, self.starts = np.packbits(bits, bitorder="little"), np.array([0, size // 8])
 
     @classmethod
@@ -132,30 +142,42 @@ class LogFrequencyFilter:
         return out
 
     @staticmethod
-    def _walk(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """First place and step of the probes of (key, level), before they are wrapped to the segment."""
+    def _walk(keys: np.ndarray, level: int, size) -> tuple[np.ndarray, np.ndarray]:
+        """First place and step of the probes of (key, level), wrapped to the segment."""
         with np.errstate(over="ignore"):
             x = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level))
-        return x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1)
+        return (x & np.uint64(0xFFFFFFFF)) % size, ((x >> np.uint64(32)) | np.uint64(1)) % size
 
     @staticmethod
-    def _place(at: np.ndarray, step: np.ndarray, i: int, size) -> np.ndarray:
-        return ((at + np.uint64(i) * step) % size).astype(np.int64)
+    def _next(place: np.ndarray, step: np.ndarray, size) -> np.ndarray:
+        place = place + step
+        with np.errstate(over="ignore"):  # below size, the difference wraps to a huge number
+            return np.minimum(place, place - size)
+
+    def _set(self, place: np.ndarray) -> np.ndarray:
+        return (self.bits[(place >> np.uint64(3)).view(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
     def levels(self, keys: np.ndarray, segments: np.ndarray | int = 0) -> np.ndarray:
         """The level of each key, read from its segment; now and then too high by one or more, never too low."""
         out = np.zeros(len(keys), np.uint8)
-        segments = np.broadcast_to(segments, len(keys))
-        starts, sizes = self.starts[:-1] * 8, np.diff(self.starts).astype(np.uint64) * np.uint64(8)
+        starts, sizes = self.starts[:-1].astype(np.uint64) * np.uint64(8), np.diff(self.starts).astype(np.uint64) * np.uint64(8)
+        alone = len(sizes) == 1
+        segments = np.zeros(0, np.int64) if alone else np.broadcast_to(segments, len(keys))
         alive, level = np.arange(len(keys)), 0
         while len(alive):
-            at, step = self._walk(keys[alive], level + 1)
-            start, size = starts[segments[alive]], sizes[segments[alive]]
-            left = np.arange(len(alive))
-            for i in range(PROBES):
-                place = start[left] + self._place(at[left], step[left], i, size[left])
-                left = left[(self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
-            alive, level = alive[left], level + 1
+            start, size = (np.uint64(0), sizes[0]) if alone else (starts[segments[alive]], sizes[segments[alive]])
+            place, step = self._walk(keys[alive], level + 1, size)
+            found = self._set(start + place)
+            place = self._next(place, step, size)
+            found &= self._set(start + place)
+            # few of those that are missing come so far
+            alive, place, step = alive[found], place[found], step[found]
+            start, size = (start, size) if alone else (start[found], size[found])
+            found = np.ones(len(alive), bool)
+            for _ in range(PROBES - 2):
+                place = self._next(place, step, size)
+                found &= self._set(start + place)
+            alive, level = alive[found], level + 1
             out[alive] = level
         return out
 
@@ -184,7 +206,7 @@ class Trained:
         if len(self.words):
             at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
             counts = np.where(self.words[at] == words, self.counts[at], 0)
-        own = np.concatenate(_segments_of(words, grams, self.segment_bits)).astype(np.int64)
+        own = np.concatenate([_word_segments(words, self.segment_bits), _gram_segments(grams, self.segment_bits)]).astype(np.int64)
         levels = np.zeros(len(own), np.uint8)
         if len(self.numbers):  # a segment without training n-grams is not there
             at = np.minimum(np.searchsorted(self.numbers, own), len(self.numbers) - 1)
@@ -193,24 +215,41 @@ class Trained:
         return counts, levels[: len(words)], levels[len(words) :]
 
 
-def _segments_of(words: np.ndarray, grams: np.ndarray, segment_bits: int) -> list[np.ndarray]:
-    return [words >> np.uint64(64 - segment_bits), grams >> np.uint64(KEY_BITS - segment_bits)]
+def _word_segments(words: np.ndarray, segment_bits: int) -> np.ndarray:
+    return words >> np.uint64(64 - segment_bits)
+
+
+def _gram_segments(grams: np.ndarray, segment_bits: int) -> np.ndarray:
+    return grams >> np.uint64(KEY_BITS - segment_bits)
+
 
+def _numbered(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, of so many bits, in ascending order, and of each key its place there.
 
-def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in ascending order, and of each key its place there. By sorting, which is many times faster for
-    integers than numpy's own ``unique``."""
-    by_key = np.argsort(keys)
+    Integers are sorted many times faster by themselves than by index, so the key's first bits and its index are sorted as one
+    integer; if keys that differ share those bits, they are sorted by index after all."""
+    index_bits = max(1, (len(keys) - 1).bit_length())
+    cut = np.uint64(max(0, bits + index_bits - 64))
+    packed = np.sort(keys >> cut << np.uint64(index_bits) | np.arange(len(keys), dtype=np.uint64))
+    by_key = (packed & np.uint64((1 << index_bits) - 1)).view(np.int64)
     ordered = keys[by_key]
-    new = np.r_[True, ordered[1:] != ordered[:-1]] if len(keys) else np.zeros(0, bool)
-    places = np.empty(len(keys), np.int64)
-    places[by_key] = np.cumsum(new) - 1
+    if (ordered[1:] < ordered[:-1]).any():
+        by_key = np.argsort(keys)
+        ordered = keys[by_key]
+    new = _changes(ordered)
+    places = np.empty(len(keys), np.int32)
+    places[by_key] = np.cumsum(new, dtype=np.int32) - 1
     return ordered[new], places
 
 
+def _changes(ordered: np.ndarray) -> np.ndarray:
+    """Which values of an ascending array differ from the one before."""
+    return np.r_[True, ordered[1:] != ordered[:-1]] if len(ordered) else np.zeros(0, bool)
+
+
 def _distinct(keys: np.ndarray) -> np.ndarray:
     keys = np.sort(keys)
-    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+    return keys[_changes(keys)]
 
 
 @dataclass
@@ -223,33 +262,46 @@ class Counted:
     @classmethod
     def of(cls, keys: np.ndarray) -> Counted:
         keys = np.sort(keys)
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        starts = np.flatnonzero(_changes(keys))
         return cls(keys[starts], np.diff(np.r_[starts, len(keys)]))
 
     @classmethod
     def summed(cls, keys: np.ndarray, counts: np.ndarray) -> Counted:
         by_key = np.argsort(keys, kind="stable")  # which merges ascending runs
-        keys, counts = keys[by_key], counts[by_key].astype(np.int64)
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-        return cls(keys[starts], np.add.reduceat(counts, starts) if len(keys) else counts)
+        return cls._runs(keys[by_key], counts[by_key])
+
+    @classmethod
+    def unpacked(cls, packed: np.ndarray) -> Counted:
+        """From entries of longer n-grams, see ``packed``, in any order; they are sorted where they stand."""
+        packed.sort()
+        return cls._runs(packed >> np.uint64(64 - KEY_BITS), packed.astype(np.uint16))
+
+    @classmethod
+    def _runs(cls, keys: np.ndarray, counts: np.ndarray) -> Counted:
+        starts = np.flatnonzero(_changes(keys))
+        return cls(keys[starts], np.add.reduceat(counts, starts, dtype=np.int64) if len(keys) else counts.astype(np.int64))
+
+    def split(self, most: int) -> Counted:
+        """The same counts in entries of at most so much."""
+        if self.counts.max(initial=0) <= most:
+            return self
+        times = np.maximum(1, -(-self.counts // most))
+        counts = np.full(int(times.sum()), most)
+        counts[np.cumsum(times) - 1] = self.counts - (times - 1) * most
+        return Counted(np.repeat(self.keys, times), counts)
 
-    def plus(self, other: Counted) -> Counted:
-        return self.summed(np.concatenate([self.keys, other.keys]), np.concatenate([self.counts, other.counts]))
+    def packed(self) -> np.ndarray:
+        """Entries of longer n-grams as one integer each: the key, and a count of 16 bits."""
+        own = self.split(MOST_GRAMS)
+        return own.keys << np.uint64(64 - KEY_BITS) | own.counts.astype(np.uint64)
 
 
 def _joined(parts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
-def _keys(texts, order: int) -> tuple[list, np.ndarray, np.ndarray]:
-    """Parts of a column of texts as (tokens, first tokens), and the keys of all words and of all longer n-grams, part by
-    part, in each part order by order."""
-    parts, words, grams = [], [], []
-    for _, _, hashes, first in tokens(*column_bytes(texts)):
-        parts.append((len(hashes), first))
-        words.append(hashes)
-        grams.extend(ngram_keys(hashes, first, order))
-    return parts, _joined(words), _joined(grams)
+def _in_turn(segments: np.ndarray, turn: int) -> np.ndarray:
+    return segments % np.uint64(ROUNDS) == turn
 
 
 def _binary(values: np.ndarray, cuts: np.ndarray):
@@ -271,39 +323,94 @@ def _flat(column, kind) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, kind), (offsets - offsets[0]) // np.dtype(kind).itemsize
 
 
-def _packed_chunk(batch) -> bytes:
-    import pyarrow as pa
-    import zstandard
+@dataclass
+class Chunk:
+    """Rows whose texts are read: (id, held_out), where each row's tokens start and the last end, distinct words in ascending order,
+    and each token's place among them."""
+
+    rows: object
+    first: np.ndarray
+    words: np.ndarray
+    places: np.ndarray
 
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as stream:
-        stream.write_batch(batch)
-    return zstandard.ZstdCompressor(level=6).compress(sink.getvalue())
+    SCHEMA: ClassVar[str] = "rows binary, sizes binary, words binary, places binary"
 
+    @classmethod
+    def of(cls, rows, texts) -> Chunk:
+        hashes, sizes = [], []
+        for _, _, own, first in tokens(*column_bytes(texts)):
+            hashes.append(own)
+            sizes.append(np.diff(first))
+        return cls(rows, np.cumsum(np.r_[0, np.concatenate(sizes)]), *_numbered(np.concatenate(hashes), 64))
+
+    def written(self) -> list[bytes]:
+        import pyarrow as pa
+        import zstandard
 
-def _chunk_rows(data: bytes):
-    import pyarrow as pa
-    import zstandard
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.rows.schema) as stream:
+            stream.write_batch(self.rows)
+        # bytes of one weight together, which packs better
+        planes = np.ascontiguousarray(self.places.view(np.uint8).reshape(-1, 4).T)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        return [pack(sink.getvalue()), pack(np.diff(self.first).astype(np.uint32)), self.words.tobytes(), pack(planes)]
+
+    @classmethod
+    def read(cls, rows, sizes, words, places) -> Chunk:
+        import pyarrow as pa
+        import zstandard
 
-    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_next_batch()
+        unpack = zstandard.ZstdDecompressor().decompress
+        planes = np.frombuffer(unpack(places), np.uint8).reshape(4, -1)
+        return cls(
+            pa.ipc.open_stream(unpack(rows)).read_next_batch(), np.cumsum(np.r_[0, np.frombuffer(unpack(sizes), np.uint32).astype(np.int64)]),
+            np.frombuffer(words, np.uint64), np.ascontiguousarray(planes.T).view(np.int32).reshape(-1),
+        )
+
+    def grams(self, order: int) -> Iterator[np.ndarray]:
+        """Keys of the n-grams that end at each token, for n = 2 to order."""
+        return ngram_keys(self.words[self.places], self.first, order)
+
+    def counted(self, order: int, segment_bits: int, turn: int) -> tuple[Counted, Counted]:
+        """Counts of the words and of the longer n-grams of rows to learn from, of the segments whose turn it is."""
+        train = np.repeat(~self.rows.column("held_out").to_numpy(zero_copy_only=False), np.diff(self.first))
+        n = np.bincount(self.places[train], minlength=len(self.words))
+        n[~_in_turn(_word_segments(self.words, segment_bits), turn)] = 0
+        grams = _joined([x[train & _in_turn(_gram_segments(x, segment_bits), turn)] for x in self.grams(order)])
+        return Counted(self.words[n > 0], n[n > 0]), Counted.of(grams)
+
+    def asked(self, order: int, segment_bits: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct words and longer n-grams of the segments whose turn it is, in ascending order."""
+        grams = _joined([x[_in_turn(_gram_segments(x, segment_bits), turn)] for x in self.grams(order)])
+        return self.words[_in_turn(_word_segments(self.words, segment_bits), turn)], _distinct(grams)
 
 
 def _chunks(slim: DataFrame) -> DataFrame:
-    """(chunk, data): rows of (id, held_out, text) packed together."""
+    """(chunk, rows, sizes, words, places): rows of (id, held_out, text) packed together."""
 
     def pack(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
+        names = ["chunk", *(x.split()[0] for x in Chunk.SCHEMA.split(", "))]
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            offsets = column_bytes(batch.column(2))[1]
-            for a, b in slices(offsets, CHUNK_BYTES):
-                rows = pa.RecordBatch.from_arrays(batch.slice(a, b - a).columns, ["id", "held_out", "text"])
-                yield pa.RecordBatch.from_pydict({"chunk": [row], "data": [_packed_chunk(rows)]})
+            sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
+            for a, b in slices(np.cumsum(np.r_[0, sizes.astype(np.int64)]).tolist(), CHUNK_BYTES):
+                own = batch.slice(a, b - a)
+                chunk = Chunk.of(pa.RecordBatch.from_arrays(own.columns[:2], ["id", "held_out"]), own.column(2))
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (row, *chunk.written())], names)
                 row += 1
 
-    return slim.mapInArrow(pack, "chunk long, data binary")
+    return slim.mapInArrow(pack, f"chunk long, {Chunk.SCHEMA}")
+
+
+def _read(batch) -> Iterator[tuple[int, Chunk]]:
+    """Numbers and chunks of a batch of written rows, one at a time."""
+    for i in range(len(batch)):
+        number, *parts = (batch.column(k)[i] for k in range(5))
+        yield number.as_py(), Chunk.read(*(x.as_buffer() for x in parts))
 
 
 _COUNTS = "segment long, part long, words binary, words_n binary, low binary, high binary, grams_n binary"
@@ -312,8 +419,8 @@ _COUNTS = "segment long, part long, words binary, words_n binary, low binary, hi
 def _sent(words: np.ndarray, grams: np.ndarray, segment_bits: int) -> tuple[np.ndarray, list[np.ndarray], list]:
     """Segments of ascending keys, where each segment's keys are cut, and columns of the keys: words, and the low 32 and
     the high 16 bits of longer n-grams."""
-    own = _segments_of(words, grams, segment_bits)
-    segments = _distinct(np.concatenate([_distinct(x) for x in own]))
+    own = _word_segments(words, segment_bits), _gram_segments(grams, segment_bits)
+    segments = _distinct(np.concatenate([x[_changes(x)] for x in own]))
     at = [np.r_[np.searchsorted(x, segments), len(x)] for x in own]
     low, high = grams.astype(np.uint32), (grams >> np.uint64(32)).astype(np.uint16)
     return segments.astype(np.int64), at, [_binary(words, at[0]), _binary(low, at[1]), _binary(high, at[1])]
@@ -326,62 +433,56 @@ def _received(table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return words, _flat(table.column("high"), "<u2")[0].astype(np.uint64) << np.uint64(32) | low, at_words, at_grams
 
 
-def _counted(train: DataFrame, order: int, segment_bits: int) -> DataFrame:
-    """Counts of the n-grams of (text): a row for each segment whenever a task holds HELD_GRAMS, and at its end."""
+def _counted(chunks: DataFrame, order: int, segment_bits: int, turn: int) -> DataFrame:
+    """Counts of the n-grams of chunks in segments whose turn it is: a row for each segment whenever a task holds HELD_GRAMS, and
+    at its end. Held counts are entries of one integer each, which are sorted and added up when they are sent."""
 
-    def rows(words: Counted, grams: Counted, part: int):
+    def rows(held: list[Counted], packed: list[np.ndarray], part: int):
         import pyarrow as pa
 
+        words = Counted.summed(_joined([x.keys for x in held]), np.concatenate([x.counts for x in held])).split(MOST_WORDS)
+        grams = Counted.unpacked(_joined(packed)).split(MOST_GRAMS)
         segments, at, keys = _sent(words.keys, grams.keys, segment_bits)
-        n = [_binary(x.counts.astype(np.uint32), cuts) for x, cuts in zip((words, grams), at)]
-        columns = [pa.array(segments), pa.array(np.full(len(segments), part)), keys[0], n[0], keys[1], keys[2], n[1]]
+        words_n, grams_n = _binary(words.counts.astype(np.uint32), at[0]), _binary(grams.counts.astype(np.uint16), at[1])
+        columns = [pa.array(segments), pa.array(np.full(len(segments), part)), keys[0], words_n, keys[1], keys[2], grams_n]
         return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _COUNTS.split(", ")])
 
     def count(batches: Iterator) -> Iterator:
         from pyspark import TaskContext
 
-        part, held = TaskContext.get().partitionId(), None
+        part, held, packed = TaskContext.get().partitionId(), [], []
         for batch in batches:
-            texts = batch.column(0)
-            for a, b in slices(column_bytes(texts)[1], CHUNK_BYTES):
-                _, *keys = _keys(texts.slice(a, b - a), order)
-                own = [Counted.of(x) for x in keys]
-                held = own if held is None else [x.plus(y) for x, y in zip(held, own)]
-                if len(held[1].keys) >= HELD_GRAMS:
-                    yield rows(*held, part)
-                    held = None
-        if held is not None:
-            yield rows(*held, part)
+            for _, chunk in _read(batch):
+                words, grams = chunk.counted(order, segment_bits, turn)
+                held.append(words)
+                packed.append(grams.packed())
+                if sum(map(len, packed)) >= HELD_GRAMS:
+                    yield rows(held, packed, part)
+                    held, packed = [], []
+        if held:
+            yield rows(held, packed, part)
 
-    return train.mapInArrow(count, _COUNTS)
+    return chunks.mapInArrow(count, _COUNTS)
 
 
 def _sums(table) -> tuple[Counted, Counted]:
     words, grams, _, _ = _received(table)
-    return Counted.summed(words, _flat(table.column("words_n"), "<u4")[0]), Counted.summed(grams, _flat(table.column("grams_n"), "<u4")[0])
+    packed = grams << np.uint64(64 - KEY_BITS) | _flat(table.column("grams_n"), "<u2")[0]
+    return Counted.summed(words, _flat(table.column("words_n"), "<u4")[0]), Counted.unpacked(packed)
 
 
 def _met(counted: DataFrame, groups: int) -> DataFrame:
-    """The same counts in at most ``groups`` rows a segment, so that no segment gets a row of every task.
-
-    A count beyond 32 bits stands in several entries of its row."""
+    """The same counts in at most ``groups`` rows a segment, so that no segment gets a row of every task."""
 
     def add(table):
         import pyarrow as pa
 
-        out = []
-        most = (1 << 32) - 1
-        for one in _sums(table):
-            times = np.maximum(1, -(-one.counts // most))
-            last = np.cumsum(times) - 1
-            counts = np.full(int(times.sum()), most)
-            counts[last] = one.counts - (times - 1) * most
-            out.append(Counted(np.repeat(one.keys, times), counts))
-        words, grams = out
-        whole = [np.array([0, len(x.keys)]) for x in out]
+        words, grams = _sums(table)
+        words, grams = words.split(MOST_WORDS), grams.split(MOST_GRAMS)
+        whole = [np.array([0, len(x.keys)]) for x in (words, grams)]
         low, high = grams.keys.astype(np.uint32), (grams.keys >> np.uint64(32)).astype(np.uint16)
         columns = [_binary(words.keys, whole[0]), _binary(words.counts.astype(np.uint32), whole[0])]
-        columns += [_binary(low, whole[1]), _binary(high, whole[1]), _binary(grams.counts.astype(np.uint32), whole[1])]
+        columns += [_binary(low, whole[1]), _binary(high, whole[1]), _binary(grams.counts.astype(np.uint16), whole[1])]
         return pa.table([table.column("segment").slice(0, 1), table.column("part").slice(0, 1), *columns], [x.split()[0] for x in _COUNTS.split(", ")])
 
     return counted.withColumn("part", F.pmod("part", F.lit(groups))).groupBy("segment", "part").applyInArrow(add, _COUNTS)
@@ -413,14 +514,12 @@ def _asked(chunks: DataFrame, order: int, segment_bits: int, turn: int) -> DataF
         import pyarrow as pa
 
         for batch in batches:
-            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                _, *keys = _keys(_chunk_rows(data).column("text"), order)
-                keys = [k[s % np.uint64(ASK_ROUNDS) == turn] for k, s in zip(keys, _segments_of(*keys, segment_bits))]
-                segments, _, columns = _sent(*map(_distinct, keys), segment_bits)
-                columns = [pa.array(np.full(len(segments), chunk)), pa.array(segments), *columns]
+            for number, chunk in _read(batch):
+                segments, _, columns = _sent(*chunk.asked(order, segment_bits, turn), segment_bits)
+                columns = [pa.array(np.full(len(segments), number)), pa.array(segments), *columns]
                 yield pa.RecordBatch.from_arrays(columns, ["chunk", "segment", "words", "low", "high"])
 
-    return chunks.select("chunk", "data").mapInArrow(ask, "chunk long, segment long, words binary, low binary, high binary")
+    return chunks.mapInArrow(ask, "chunk long, segment long, words binary, low binary, high binary")
 
 
 def _answered(asked: DataFrame, segments: DataFrame, segment_bits: int, most: int) -> DataFrame:
@@ -473,29 +572,21 @@ class Model:
         return np.log10(np.minimum(p, 1.0))
 
 
-def _scored(model: Model, rows, read: Callable) -> list:
-    """The result's columns for rows of (id, held_out, text); read gives counts of words, their levels and those of longer
-    n-grams, for distinct keys in ascending order."""
+def _scored(model: Model, chunk: Chunk, read: Callable) -> list:
+    """The result's columns for a chunk; read gives counts of words, their levels and those of longer n-grams, for distinct keys in
+    ascending order."""
     import pyarrow as pa
 
-    parts, words, grams = _keys(rows.column("text"), model.order)
-    (words, at_words), (grams, at_grams) = _numbered(words), _numbered(grams)
-    counts, word_levels, gram_levels = read(words, grams)
+    grams, at_grams = _numbered(_joined(list(chunk.grams(model.order))), KEY_BITS)
+    counts, word_levels, gram_levels = read(chunk.words, grams)
+    longer = gram_levels[at_grams].reshape(model.order - 1, -1)
     whole = math.log10(model.train_tokens + ADDED * (model.train_words + 1))
-    out: list[list[np.ndarray]] = [[], [], [], []]
-    done = 0
-    for n, first in parts:
-        starts = first[:-1]
-        at, longer = at_words[done : done + n], at_grams[done * (model.order - 1) : (done + n) * (model.order - 1)].reshape(-1, n)
-        done += n
-        c = counts[at]
-        score = model.token_log10([word_levels[at], *gram_levels[longer]], first)
-        for column, x in zip(out[1:], (c > 0, np.log10(c + ADDED) - whole, score)):
-            column.append(np.add.reduceat(x, starts, dtype=np.int64 if x.dtype == bool else np.float64))
-        out[0].append(np.diff(first))
-    trained = pa.array(np.full(len(rows), model.train_tokens))
-    n_tokens, known, base, score = (pa.array(np.concatenate(x)) for x in out)
-    return [rows.column("id"), rows.column("held_out"), n_tokens, known, trained, base, score]
+    known, base = counts > 0, np.log10(counts + ADDED) - whole
+    score = model.token_log10([word_levels[chunk.places], *longer], chunk.first)
+    starts = chunk.first[:-1]
+    sums = [np.add.reduceat(x, starts, dtype=k) for x, k in ((known[chunk.places], np.int64), (base[chunk.places], np.float64), (score, np.float64))]
+    trained = np.full(len(starts), model.train_tokens)
+    return [*chunk.rows.columns, *map(pa.array, (np.diff(chunk.first), sums[0], trained, *sums[1:]))]
 
 
 def score_documents(
@@ -518,11 +609,13 @@ def score_documents(
     train = slim.filter(~F.col("held_out"))
     size, n_train = train.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.count(F.lit(1))).first()
     segment_bits = min(32, max(1, math.ceil(math.log2(1 + size / TOKEN_BYTES * order / segment_grams))))
-    counted = _counted(train.select("text"), order, segment_bits)
     groups = math.ceil((size / CHUNK_BYTES + 1) / met_rows)
-    if groups > 1:
-        counted = _met(counted, groups)
-    segments = scratch.table(_segments(counted))
+    chunks = scratch.table(_chunks(slim), FILE_CHUNKS)
+    built = []
+    for turn in range(ROUNDS):
+        counted = _counted(chunks, order, segment_bits, turn)
+        built.append(scratch.table(_segments(_met(counted, groups) if groups > 1 else counted)))
+    segments = reduce(DataFrame.unionByName, built)
     total = F.sum(F.octet_length("bits").cast("long") + F.octet_length("words") + F.octet_length("words_n"))
     n, v, held, load = segments.agg(*[F.coalesce(x, F.lit(0)) for x in (F.sum("n"), F.sum("v"), total, F.max("load"))]).first()
     model = Model(order, n_train, n, v)
@@ -537,24 +630,23 @@ def score_documents(
             import pyarrow as pa
 
             for batch in batches:
-                for a, b in slices(column_bytes(batch.column(2))[1], CHUNK_BYTES):
-                    yield pa.RecordBatch.from_arrays(_scored(model, batch.slice(a, b - a), known.value.read), names)
+                for _, chunk in _read(batch):
+                    yield pa.RecordBatch.from_arrays(_scored(model, chunk, known.value.read), names)
 
-        return slim.mapInArrow(probe, schema).withColumnRenamed("id", id_col)
+        return chunks.mapInArrow(probe, schema).withColumnRenamed("id", id_col)
 
-    chunks = scratch.table(_chunks(slim))
-    answers = None
-    for turn in range(ASK_ROUNDS):
-        own = segments.filter(F.col("segment") % ASK_ROUNDS == turn)
-        read = scratch.table(_answered(_asked(chunks, order, segment_bits, turn), own, segment_bits, math.ceil(load / ASKED_BYTES)))
-        answers = read if answers is None else answers.unionByName(read)
-    scratch.drop(segments)
+    answers = []
+    for turn, own in enumerate(built):
+        answers.append(scratch.table(_answered(_asked(chunks, order, segment_bits, turn), own, segment_bits, math.ceil(load / ASKED_BYTES))))
+        scratch.drop(own)
 
     def run(chunk, answer):
         import pyarrow as pa
 
         answer = answer.sort_by("segment")
         read = [_flat(answer.column(c), k)[0] for c, k in (("counts", "<i8"), ("word_levels", "u1"), ("gram_levels", "u1"))]
-        return pa.Table.from_arrays(_scored(model, _chunk_rows(chunk.column("data")[0].as_py()), lambda *_: read), names)
+        _, own = next(_read(chunk.combine_chunks().to_batches()[0]))
+        return pa.Table.from_arrays(_scored(model, own, lambda *_: read), names)
 
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema).withColumnRenamed("id", id_col)
+    read = reduce(DataFrame.unionByName, answers)
+    return chunks.groupBy("chunk").cogroup(read.groupBy("chunk")).applyInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -1,6 +1,10 @@
 import math
+import os
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -113,3 +117,49 @@ def test_a_text_that_occurs_twice_scores_higher(spark):
     got = {r["doc_id"]: r["score"] for r in lm.score_documents(frame(spark, [(i, t, *[None] * 8) for i, t in zip(ids, texts)])).collect()}
     twice, once = [got[i] for i in ids[:20]], [got[i] for i in ids[20:-20]]
     assert min(twice) > max(once)
+
+
+PEAK = """
+import re, sys, tempfile
+from pathlib import Path
+import pyspark
+from pyspark.sql import SparkSession
+from quern.llm import lm
+
+folder = sys.argv[1]
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.local.dir", folder).config(
+    "spark.checkpoint.dir", f"file://{folder}/shared").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+words = "array_join(transform(sequence(1, 400), i -> concat('w', pmod(xxhash64(id, i), 300000))), ' ')"
+spark.range(0, 12000, 1, 1).selectExpr("id AS doc_id", f"{words} AS text").write.parquet(f"{folder}/documents")
+lm.score_documents(spark.read.parquet(f"{folder}/documents"), broadcast_bytes=-1).write.parquet(f"{folder}/out")
+peaks = [0]
+for p in Path("/proc").iterdir():
+    try:
+        own = p.name.isdigit() and b"pyspark.daemon" in (p / "cmdline").read_bytes() and folder.encode() in (p / "environ").read_bytes()
+        peaks.append(int(re.search(r"VmHWM:\\s+(\\d+)", (p / "status").read_text())[1]) // 1024 if own else 0)
+    except OSError:
+        pass
+print("peak", max(peaks), "MB of", spark.read.parquet(f"{folder}/out").count())
+"""
+
+
+def test_a_worker_holds_few_n_grams(tmp_path):
+    """34 MB of text in one task, nearly all of whose n-grams differ, which is the most to hold."""
+    env = {**os.environ, "PYTHONPATH": str(Path(lm.__file__).parents[2]), "QUERN_TEST_FOLDER": str(tmp_path)}
+    said = subprocess.run([sys.executable, "-c", PEAK, str(tmp_path)], env=env, capture_output=True, text=True, timeout=300).stdout
+    peak, rows = int(said.split("peak ")[1].split()[0]), int(said.split()[-1])
+    assert rows == 12000 and 0 < peak < 450
+
+
+def test_counts_beyond_16_bits_stand_in_several_entries():
+    own = lm.Counted(np.array([3, 5, 1 << 47], np.uint64), np.array([1, 200_000, 65_535]))
+    packed = own.packed()
+    assert len(packed) == 6
+    back = lm.Counted.unpacked(np.r_[packed, packed])
+    assert back.keys.tolist() == own.keys.tolist() and back.counts.tolist() == [2, 400_000, 131_070]
+
+
+def test_numbers_of_keys_that_share_their_first_bits():
+    keys = np.array([7, 4, 4, 6, (1 << 64) - 1, (1 << 64) - 2, 5, 7], np.uint64)
+    distinct, places = lm._numbered(keys, 64)
+    assert distinct.tolist() == sorted(set(keys.tolist())) and (distinct[places] == keys).all()
