@@ -29,7 +29,8 @@ def split_lines(text: Column) -> Column:
     """Lines without their ends (LF or CRLF); a final end of line opens no further line."""
     parts = F.split(text, "\n", -1)
     whole = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.transform(whole, lambda x: F.regexp_replace(x, "\r$", ""))
+    # \z, as $ also stands before a last CR
+    return F.transform(whole, lambda x: F.regexp_replace(x, r"\r\z", ""))
 
 
 def trimmed(text: Column) -> Column:
