@@ -54,21 +54,26 @@ def token_estimate(text: Column) -> Column:
 TOKEN = r"\p{L}+|\p{N}+"
 
 
+def _lowered(text: Column) -> Column:
+    """In lower case; of İ only the i stays, as its dot would be a mark of its own and divide the word."""
+    return F.lower(F.replace(text, F.lit("İ"), F.lit("i")))
+
+
 def folded_tokens(text: Column) -> Column:
     """Lower-cased words of letters and numbers of digits, of any script; marks of Latin letters folded away."""
-    return F.regexp_extract_all(F.translate(F.lower(text), MARKED, PLAIN_), F.lit(TOKEN), 0)
+    return F.regexp_extract_all(F.translate(_lowered(text), MARKED, PLAIN_), F.lit(TOKEN), 0)
 
 
 def lower_tokens(text: Column) -> Column:
     """``folded_tokens`` with their marks, for those who fold distinct words: a mark never divides a word. Null has none."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(_lowered(text), F.lit(TOKEN), 0), F.array().cast("array<string>"))
 
 
 def tokens_of(text: str) -> list[str]:
     """``folded_tokens`` of a text that the driver has, such as a query."""
     import regex
 
-    return regex.findall(TOKEN, text.lower().translate(str.maketrans(MARKED, PLAIN_)))
+    return regex.findall(TOKEN, text.replace("İ", "i").lower().translate(str.maketrans(MARKED, PLAIN_)))
 
 
 def extension(path: Column) -> Column:
